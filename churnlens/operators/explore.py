@@ -98,7 +98,7 @@ def describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
         F.min("x").alias("min"), F.max("x").alias("max"))
     q = exact_quantiles(st, "x", [0.25, 0.5, 0.75], by=["column"], approx=approx)
     q = q.groupBy("column").pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    q = q.select("column", F.col("0.25").alias("p25"), F.col("0.5").alias("p50"), F.col("0.75").alias("p75"))
+    q = q.select("column", F.col("`0.25`").alias("p25"), F.col("`0.5`").alias("p50"), F.col("`0.75`").alias("p75"))
     return moments.join(q, "column")
 
 
@@ -156,7 +156,7 @@ def box_stats(df: DataFrame, x: str, by: str = S.TARGET, approx: bool = False) -
     """quartiles, 1.5·IQR whiskers (most extreme point inside the fence) and outlier count."""
     q = exact_quantiles(df.select(by, F.col(x).cast("double").alias("x")), "x", [0.25, 0.5, 0.75], by=[by], approx=approx)
     q = q.groupBy(by).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value")).select(
-        by, F.col("0.25").alias("q1"), F.col("0.5").alias("median"), F.col("0.75").alias("q3"))
+        by, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = df.select(by, F.col(x).cast("double").alias("x")).join(F.broadcast(q), by)

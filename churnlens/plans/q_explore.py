@@ -38,3 +38,201 @@ def churn_by_contract(spark, sf):
     """F2 (and the flagship query)."""
     df = X.churn_by_category(s_treated(spark, sf), "Contract")
     return df.select("Contract", F.round("churn_rate", R6).alias("churn_rate"), "n")
+
+
+_BIV = ["Contract", "PaymentMethod", "InternetService", "OnlineSecurity", "TechSupport", "OnlineBackup",
+        "DeviceProtection", "SeniorCitizen", "Partner", "Dependents", "PaperlessBilling"]
+_UNPIVOT_BIV = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::varchar AS value, Churn FROM t" for c in _BIV)
+
+
+@register("churn_by_many", with_s(f"""
+SELECT "column", value, round(avg(Churn::double), 6) AS churn_rate, count(*) AS n,
+  round((SELECT avg(Churn::double) FROM t), 6) AS base_rate,
+  avg(Churn::double) > (SELECT avg(Churn::double) FROM t) AS above_base
+FROM ({_UNPIVOT_BIV}) x GROUP BY "column", value"""))
+def churn_by_many(spark, sf):
+    """Churn rate per category of 11 columns in one pass, with base and flag."""
+    df = X.churn_by_many(s_treated(spark, sf), _BIV)
+    return df.select("column", "value", F.round("churn_rate", R6).alias("churn_rate"), "n",
+                     F.round("base_rate", R6).alias("base_rate"), "above_base")
+
+
+_CAT16 = ["gender", "SeniorCitizen", "Partner", "Dependents", "PhoneService", "MultipleLines", "InternetService",
+          *S.ADDONS, "Contract", "PaperlessBilling", "PaymentMethod"]
+_UNPIVOT_16 = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::varchar AS value FROM t" for c in _CAT16)
+_SHARES_SQL = f"""
+, st AS ({_UNPIVOT_16}), c AS (SELECT "column", value, count(*) AS n FROM st WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", value, n, round(n / sum(n) OVER (PARTITION BY "column"), 6) AS share FROM c"""
+
+
+@register("value_shares", with_s(_SHARES_SQL))
+def value_shares(spark, sf):
+    """normalised value counts of 16 columns."""
+    df = X.value_shares(s_treated(spark, sf), _CAT16)
+    return df.select("column", "value", "n", F.round("share", R6).alias("share"))
+
+
+@register("rare_categories_10pct", with_s(_SHARES_SQL.replace(
+    'SELECT "column", value, n, round(', 'SELECT * FROM (SELECT "column", value, n, round(') + ") WHERE share < 0.10"))
+def rare_categories(spark, sf):
+    """Categories whose share is below a threshold (10% here; the EDA used 5%)."""
+    df = X.rare_categories(s_treated(spark, sf), _CAT16, threshold=0.10)
+    return df.select("column", "value", "n", F.round("share", R6).alias("share"))
+
+
+_DESC_SQL = " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
+  round(stddev_samp({c}), 6) AS std, min({c})::double AS min, round(quantile_cont({c}, 0.25), 6) AS p25,
+  round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, max({c})::double AS max
+  FROM t""" for c in S.NUMERIC)
+
+
+def _round_desc(df):
+    return df.select("column", "count", *[F.round(c, R6).alias(c) for c in ["mean", "std"]],
+                     "min", *[F.round(c, R6).alias(c) for c in ["p25", "p50", "p75"]], "max")
+
+
+@register("describe_numeric", with_s(_DESC_SQL))
+def describe_numeric(spark, sf):
+    """count, mean, sample std, min, quartiles, max of the 3 numerics."""
+    return _round_desc(X.describe(s_treated(spark, sf), S.NUMERIC))
+
+
+@register("describe_residual", with_s("""
+SELECT 'residual' AS "column", count(r) AS count, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std,
+  round(min(r), 6) AS min, round(quantile_cont(r, 0.25), 6) AS p25, round(quantile_cont(r, 0.5), 6) AS p50,
+  round(quantile_cont(r, 0.75), 6) AS p75, round(max(r), 6) AS max
+FROM (SELECT TotalCharges - tenure * MonthlyCharges AS r FROM t)"""))
+def describe_residual(spark, sf):
+    """C8 + F5: residual of total against tenure × monthly, described."""
+    df = s_treated(spark, sf).select(TR.total_residual().alias("residual"))
+    d = X.describe(df, ["residual"])
+    return d.select("column", "count", *[F.round(c, R6).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+
+
+_MED_SQL = " UNION ALL ".join(
+    f"SELECT Churn, '{c}' AS \"column\", round(quantile_cont({c}, 0.5), 6) AS median FROM t GROUP BY Churn"
+    for c in S.NUMERIC)
+
+
+@register("medians_by_class", with_s(_MED_SQL))
+def medians_by_class(spark, sf):
+    """medians of the 3 numerics per class."""
+    df = X.medians_by_class(s_treated(spark, sf), S.NUMERIC)
+    return df.select("Churn", "column", F.round("median", R6).alias("median"))
+
+
+@register("monthly_by_internet", with_s("""
+SELECT InternetService, round_even(avg(MonthlyCharges), 2) AS mean, round_even(quantile_cont(MonthlyCharges, 0.5), 2) AS median,
+  round_even(min(MonthlyCharges), 2) AS min, round_even(max(MonthlyCharges), 2) AS max, count(*) AS size
+FROM t GROUP BY InternetService"""))
+def monthly_by_internet(spark, sf):
+    """mean/median/min/max/size of monthly charges per internet type."""
+    return X.group_summary(s_treated(spark, sf), "InternetService", "MonthlyCharges")
+
+
+@register("fibre_price_quartiles", with_s("""
+, f AS (SELECT *, OnlineSecurity + OnlineBackup + DeviceProtection + TechSupport + StreamingTV + StreamingMovies AS n_addons
+        FROM t WHERE InternetService = 'Fiber optic'),
+e AS (SELECT quantile_cont(MonthlyCharges, [0.25, 0.5, 0.75]) AS edges FROM f),
+b AS (SELECT f.*, 1 + len(list_filter(edges, lambda x: x < MonthlyCharges)) AS bin FROM f, e)
+SELECT bin AS price_quartile, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n,
+  quantile_cont(tenure, 0.5) AS median_tenure, quantile_cont(n_addons, 0.5) AS median_addons,
+  round(avg((Contract = 'Month-to-month')::int::double), 3) AS share_month_to_month
+FROM b GROUP BY bin"""))
+def fibre_price_quartiles(spark, sf):
+    """F8 + G4: inside fibre, profile by price quartile (qcut edges, right-closed)."""
+    df = X.price_quartile_profile(s_treated(spark, sf))
+    return df.select(F.col("price_quartile").cast("int").alias("price_quartile"), "churn_rate", "n",
+                     "median_tenure", "median_addons", "share_month_to_month")
+
+
+_PAIRS = [(a, b) for a in S.NUMERIC for b in S.NUMERIC]
+
+
+@register("numeric_correlation", with_s(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM t" for a, b in _PAIRS)))
+def numeric_correlation(spark, sf):
+    """Pearson correlation matrix of the 3 numerics, one aggregate."""
+    return X.correlation_matrix(s_treated(spark, sf), S.NUMERIC).select("a", "b", F.round("r", R6).alias("r"))
+
+
+def _hist_sql(x: str, by: str | None) -> str:
+    keys = f"{by}, " if by else ""
+    dens = (f", round(n / (sum(n) OVER (PARTITION BY {by}) * (\"right\" - \"left\")), 9) AS density" if by else "")
+    return f"""
+, rg AS (SELECT min({x}) AS lo, max({x}) AS hi FROM t),
+b AS (SELECT {keys}CASE WHEN hi = lo THEN 0 ELSE least(29, cast(floor(({x} - lo) / ((hi - lo) / 30)) AS integer)) END AS bin, lo, hi
+      FROM t, rg),
+h AS (SELECT {keys}bin, round(lo + bin * (hi - lo) / 30, 6) AS "left", round(lo + (bin + 1) * (hi - lo) / 30, 6) AS "right",
+      count(*) AS n FROM b GROUP BY ALL)
+SELECT {keys}bin, "left", "right", n{dens} FROM h"""
+
+
+@register("histogram_tenure", with_s(_hist_sql("tenure", None)))
+def histogram_tenure(spark, sf):
+    """equal-width 30-bin histogram of tenure."""
+    h = X.histogram(s_treated(spark, sf), "tenure", 30)
+    return h.select("bin", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "n")
+
+
+@register("density_monthly_by_class", with_s(_hist_sql("MonthlyCharges", "Churn")))
+def density_monthly_by_class(spark, sf):
+    """per-class density histogram of monthly charges."""
+    h = X.histogram(s_treated(spark, sf), "MonthlyCharges", 30, by="Churn")
+    return h.select("Churn", "bin", F.round("left", 6).alias("left"), F.round("right", 6).alias("right"), "n",
+                    F.round("density", 9).alias("density"))
+
+
+@register("box_tenure_by_class", with_s("""
+, q AS (SELECT Churn, quantile_cont(tenure, 0.25) AS q1, quantile_cont(tenure, 0.5) AS median,
+               quantile_cont(tenure, 0.75) AS q3 FROM t GROUP BY Churn),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q)
+SELECT f.Churn, q1, median, q3,
+  min(CASE WHEN tenure BETWEEN lo_f AND hi_f THEN tenure END)::double AS whisker_lo,
+  max(CASE WHEN tenure BETWEEN lo_f AND hi_f THEN tenure END)::double AS whisker_hi,
+  count(CASE WHEN NOT (tenure BETWEEN lo_f AND hi_f) THEN 1 END) AS n_outliers
+FROM t JOIN f ON t.Churn = f.Churn GROUP BY f.Churn, q1, median, q3"""))
+def box_tenure_by_class(spark, sf):
+    """box-plot statistics of tenure per class."""
+    return X.box_stats(s_treated(spark, sf), "tenure", "Churn")
+
+
+@register("controlled_fibre_vs_dsl", with_s("""
+SELECT 'same_price_band' AS control, InternetService, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n
+FROM t WHERE InternetService <> 'No' AND MonthlyCharges BETWEEN 67.75 AND 94.80 GROUP BY InternetService
+UNION ALL
+SELECT 'm2m_tenure_le_12', InternetService, round(avg(Churn::double), 3), count(*)
+FROM t WHERE InternetService <> 'No' AND Contract = 'Month-to-month' AND tenure <= 12 GROUP BY InternetService"""))
+def controlled_fibre_vs_dsl(spark, sf):
+    """F14 (D2, D3): fibre vs DSL controlled by price band and by contract + tenure."""
+    return X.controlled_comparison(s_treated(spark, sf))
+
+
+@register("fibre_segment", with_s("SELECT * FROM t WHERE InternetService = 'Fiber optic'"))
+def fibre_segment(spark, sf):
+    """Equality segment filter (pushed into the projection over the scan)."""
+    return X.segment_filter(s_treated(spark, sf), "InternetService", "Fiber optic")
+
+
+@register("price_band_rows", with_s("SELECT * FROM t WHERE MonthlyCharges BETWEEN 67.75 AND 94.80"))
+def price_band_rows(spark, sf):
+    """Inclusive price range."""
+    return X.price_band(s_treated(spark, sf))
+
+
+@register("early_monthly_cohort", with_s("SELECT * FROM t WHERE Contract = 'Month-to-month' AND tenure <= 12"))
+def early_monthly_cohort(spark, sf):
+    """D3: conjunctive cohort."""
+    return X.early_monthly_cohort(s_treated(spark, sf))
+
+
+@register("derived_columns", with_s("""
+SELECT customerID, round_even(tenure * MonthlyCharges, 2) AS derived_total,
+  round(TotalCharges - tenure * MonthlyCharges, 6) AS residual,
+  OnlineSecurity + OnlineBackup + DeviceProtection + TechSupport + StreamingTV + StreamingMovies AS n_addons
+FROM t"""))
+def derived_columns(spark, sf):
+    """Derived total (half-even), residual, add-on count."""
+    return s_treated(spark, sf).select(
+        "customerID", TR.derived_total().alias("derived_total"),
+        F.round(TR.total_residual(), 6).alias("residual"), TR.addon_count().alias("n_addons"))
