@@ -74,8 +74,8 @@ def churn_by_many(df: DataFrame, cols: list[str], target: str = S.TARGET) -> Dat
     st = _stack(df, cols, [target])
     per = st.groupBy("column", "value").agg(
         F.avg(F.col(target).cast("double")).alias("churn_rate"), F.count(F.lit(1)).alias("n"))
-    base = df.agg(F.avg(F.col(target).cast("double")).alias("base_rate"))  # one row
-    return (per.crossJoin(F.broadcast(base))
+    base = df.agg(F.avg(F.col(target).cast("double"))).scalar()  # scalar subquery
+    return (per.withColumn("base_rate", base)
             .withColumn("above_base", F.col("churn_rate") > F.col("base_rate")))
 
 
@@ -135,9 +135,10 @@ def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> D
 
     With ``by`` each class gets its own density (integrates to 1 per class).
     """
-    rng = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))  # one row: broadcast
+    # global range as scalar subqueries (one partial-aggregate pass each)
+    binned = df.withColumn("lo", df.agg(F.min(x)).scalar()).withColumn("hi", df.agg(F.max(x)).scalar())
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = df.crossJoin(F.broadcast(rng)).withColumn(
+    binned = binned.withColumn(
         "bin", F.when(F.col("hi") == F.col("lo"), 0).otherwise(
             F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) / width).cast("int"))))
     keys = ([by] if by else []) + ["bin", "lo", "hi"]
@@ -175,14 +176,17 @@ def quartile_bins(df: DataFrame, x: str, q: int = 4, approx: bool = False, by: l
     """
     probs = [i / q for i in range(1, q)]
     keys = by or []
+    if not keys:
+        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     edges = exact_quantiles(df.select(*keys, F.col(x).cast("double").alias("x")), "x", probs, by=keys, approx=approx)
     arr = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("e")) \
         .select(*keys, F.transform("e", lambda s: s["value"]).alias("edges"))
     dup = arr.filter(F.size(F.array_distinct("edges")) < F.size("edges")).limit(1).collect()
     if dup:
         raise ValueError(f"quantile bin edges are not unique: {dup[0]['edges']}")
-    j = df.crossJoin(F.broadcast(arr)) if not keys else df.join(F.broadcast(arr), keys)
-    return j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
+    j = df.join(F.broadcast(arr), keys)  # one row per group
+    out = j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
+    return out.drop("_g") if keys == ["_g"] else out
 
 
 def price_quartile_profile(df: DataFrame, internet: str = "Fiber optic", approx: bool = False) -> DataFrame:

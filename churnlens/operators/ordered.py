@@ -108,7 +108,7 @@ def ordered_prefix(
 
     def windowed(d: DataFrame, parts: list[str]) -> DataFrame:
         w = Window.partitionBy(*parts).orderBy(*local_order)
-        d = d.withColumn(rn, F.row_number().over(w))
+        d = d.withColumn(rn, F.row_number().over(w).cast("long"))
         for s in sums:
             d = d.withColumn(prefix + s, F.sum(s).over(w.rowsBetween(*frame)))
         return d

@@ -28,6 +28,8 @@ def s_scored(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFr
         F.col("p_score").alias("p"),
         F.col("MonthlyCharges").alias("mc"),
         (F.col("Contract") == "Month-to-month").cast("int").alias("m2m"),
+        "Contract",
+        "tenure",
     )
 
 

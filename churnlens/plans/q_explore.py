@@ -135,7 +135,7 @@ def monthly_by_internet(spark, sf):
         FROM t WHERE InternetService = 'Fiber optic'),
 e AS (SELECT quantile_cont(MonthlyCharges, [0.25, 0.5, 0.75]) AS edges FROM f),
 b AS (SELECT f.*, 1 + len(list_filter(edges, lambda x: x < MonthlyCharges)) AS bin FROM f, e)
-SELECT bin AS price_quartile, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n,
+SELECT bin::integer AS price_quartile, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n,
   quantile_cont(tenure, 0.5) AS median_tenure, quantile_cont(n_addons, 0.5) AS median_addons,
   round(avg((Contract = 'Month-to-month')::int::double), 3) AS share_month_to_month
 FROM b GROUP BY bin"""))

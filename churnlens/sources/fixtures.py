@@ -109,8 +109,8 @@ def real_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_totalprice", "o_orderdate")
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate")
     om = orders.withColumn("m", month)
-    ref = om.agg(F.max("m").alias("ref_m"))  # one row: broadcast by size
-    aged = om.crossJoin(F.broadcast(ref)).withColumn("age", F.col("ref_m") - F.col("m"))
+    ref_m = om.agg(F.max("m")).scalar()  # reference month as a scalar subquery
+    aged = om.withColumn("age", ref_m - F.col("m"))
     pre = F.col("age") >= 12
     per_cust = aged.groupBy("o_custkey").agg(
         F.count(F.when(pre, 1)).alias("n_pre"),
