@@ -90,3 +90,41 @@ def brl(x: Column | str, decimals: int = 0, prefix: bool = False) -> Column:
     col = F.col(x) if isinstance(x, str) else x
     text = F.translate(F.format_number(col, decimals), ",.", ".,")
     return F.concat(F.lit("R$ "), text) if prefix else text
+
+
+def enforce_feasible(df: DataFrame) -> DataFrame:
+    """No phone ⇒ MultipleLines 0; no internet ⇒ the six add-ons 0 (treated 0/1 table)."""
+    fixed = {"MultipleLines": F.when(F.col("PhoneService") == 0, F.lit(0)).otherwise(F.col("MultipleLines"))}
+    for c in S.ADDONS:
+        fixed[c] = F.when(F.col("InternetService") == "No", F.lit(0)).otherwise(F.col(c))
+    return df.withColumns(fixed)
+
+
+def feasibility_violations(df: DataFrame) -> DataFrame:
+    """Per column, the number of rows the feasibility rule would change (one pass)."""
+    conds = {"MultipleLines": (F.col("PhoneService") == 0) & (F.col("MultipleLines") != 0)}
+    for c in S.ADDONS:
+        conds[c] = (F.col("InternetService") == "No") & (F.col(c) != 0)
+    row = df.agg(*[F.count_if(v).alias(k) for k, v in conds.items()])
+    return row.unpivot([], list(conds), "column", "n_violations")
+
+
+def label_table(spark) -> DataFrame:
+    """(column, value, label) display captions for the dictionary-translated columns."""
+    rows = [(c, v, lab) for c, m in S.VALUES_PT.items() for v, lab in m.items()]
+    return spark.createDataFrame(rows, "column string, value string, label string")
+
+
+def translate_values(df: DataFrame, cols: list[str], value: str = "value", column: str = "column") -> DataFrame:
+    """Translate (column, value) pairs for display: dictionary captions via a broadcast
+    join on a fixed lookup table; 0/1 columns become Sim/Não; else the value itself."""
+    lab = F.broadcast(label_table(df.sparkSession))
+    j = df.join(lab, [column, value], "left")
+    yes_no = F.when(F.col(value) == "1", S.BOOL_PT[1]).when(F.col(value) == "0", S.BOOL_PT[0])
+    return j.withColumn("value_label", F.coalesce(F.col("label"), yes_no, F.col(value))).drop("label")
+
+
+def column_caption(column: str = "column") -> Column:
+    """Portuguese caption of a column name (fixed map, falls back to the name)."""
+    m = F.create_map(*[x for k, v in S.LABELS_PT.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(m[F.col(column)], F.col(column))
