@@ -1 +1,66 @@
-"""Registered queries (filled in as sections land)."""
+"""Registered queries: the SQL-expressible parts of the model layer.
+
+Heavy learners (boosting, ensembles) are trained by the jobs and covered by
+tests; these queries fit only closed-form pieces: the population scaler +
+one-hot + pass-through feature matrix, and the contract-rule baseline.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from churnlens import schema as S
+from churnlens.models.features import feature_names, preprocessing_stages
+from churnlens.models.learners import ContractRule
+from churnlens.operators.splits import stratified_split
+from churnlens.oracle import with_s
+from churnlens.plans.catalog import register
+from churnlens.plans.inputs import s_treated
+from churnlens.plans.q_selection import SPLIT_SQL
+
+_LEVELS = {"InternetService": sorted(S.INTERNET), "Contract": sorted(S.CONTRACT), "PaymentMethod": sorted(S.PAYMENT)}
+_NAMES = ([f"{c}__z" for c in S.NUMERIC] + [f"{c}__oh_{v}" for c in S.CATEGORICAL for v in _LEVELS[c]]
+          + S.MODEL_BINARIES)
+
+
+def _feature_sql() -> str:
+    num = ", ".join(
+        f"round((t.{c} - (SELECT avg({c}) FROM tr)) / (SELECT stddev_pop({c}) FROM tr), 6) AS \"{c}__z\""
+        for c in S.NUMERIC)
+    cat = ", ".join(f"CASE WHEN t.{c} = '{v}' THEN 1.0::double ELSE 0.0::double END AS \"{c}__oh_{v}\""
+                    for c in S.CATEGORICAL for v in _LEVELS[c])
+    bins = ", ".join(f"t.{c}::double AS \"{c}\"" for c in S.MODEL_BINARIES)
+    return SPLIT_SQL + f"""
+, tr AS (SELECT t.* FROM t JOIN split USING (customerID) WHERE split = 'train')
+SELECT t.customerID, {num}, {cat}, {bins} FROM t"""
+
+
+@register("feature_matrix", with_s(_feature_sql()))
+def feature_matrix(spark, sf):
+    """Scaler (population std) + one-hot (all known levels) + 13 binaries, fitted on the
+    training split and applied to every row; columns named from the ML attribute metadata."""
+    t = s_treated(spark, sf)
+    train = stratified_split(t).filter(F.col("split") == "train").drop("split")
+    prep = Pipeline(stages=preprocessing_stages(True)).fit(train)
+    out = prep.transform(t)
+    names = feature_names(out)
+    arr = vector_to_array(F.col("features"))
+    cols = [(F.round(arr[i], 6) if n.endswith("__z") else arr[i]).alias(n) for i, n in enumerate(names)]
+    return out.select(S.ID, *cols)
+
+
+@register("rule_baseline_scores", with_s(SPLIT_SQL + """
+, rates AS (SELECT (t.Contract = 'Month-to-month') AS flag, avg(t.Churn::double) AS rate
+            FROM t JOIN split USING (customerID) WHERE split = 'train' GROUP BY flag)
+SELECT t.customerID, t.Churn AS y, rates.rate AS p, (t.Contract = 'Month-to-month')::integer AS prediction
+FROM t JOIN split USING (customerID) JOIN rates ON rates.flag = (t.Contract = 'Month-to-month')
+WHERE split = 'test'"""))
+def rule_baseline_scores(spark, sf):
+    """Contract rule fitted on the training split, scored on the test split."""
+    sp = stratified_split(s_treated(spark, sf))
+    fitted = ContractRule().fit(sp.filter(F.col("split") == "train"))
+    test = sp.filter(F.col("split") == "test")
+    scored = fitted.predict_class(fitted.predict(test))
+    return scored.select(S.ID, F.col("Churn").alias("y"), "p", "prediction")
