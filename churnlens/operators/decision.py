@@ -175,8 +175,7 @@ def business_sentence(opt: DataFrame, curves: DataFrame, n_base: int) -> DataFra
             "above %s%%, and the offer design must change before the model.",
             F.format_number(F.col("floor") * 100, 0)).alias("sentence"))
     contract = profit_at_budget(curves.filter(F.col("queue") == "contract_rule"), n)
-    j = opt.select("n_contacted", "profit").withColumn("_g", F.lit(0)).join(
-        F.broadcast(contract.withColumn("_g", F.lit(0))), "_g")
+    j = opt.select("n_contacted", "profit", contract.select("profit_at_n").scalar().alias("profit_at_n"))
     return j.select(F.format_string(
         "Contacting the %d customers of highest expected value (%s%% of the base), the campaign yields "
         "R$ %s of expected profit, against R$ %s for the contract rule on the same budget.",

@@ -88,8 +88,8 @@ def _choose(paired: DataFrame, leader, tied: DataFrame) -> DataFrame:
         tied.select("model", "seconds_per_fit"))  # E10: UNION ALL of leader and ties
     tied_list = tied.agg(F.array_sort(F.collect_list("model"))).scalar()
     best = cands.agg(F.min_by("model", "seconds_per_fit")).scalar()
-    return paired.limit(1).select(F.lit(leader).alias("leader") if isinstance(leader, str) else leader.alias("leader"),
-                                  tied_list.alias("tied"), best.alias("champion"))
+    return paired.sparkSession.range(1).select(leader.alias("leader"), tied_list.alias("tied"),
+                                               best.alias("champion"))
 
 
 def ablation_table(cv_with: DataFrame, cv_without: DataFrame, metric: str = "pr_auc") -> DataFrame:

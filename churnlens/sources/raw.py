@@ -66,6 +66,6 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def with_row_struct(df: DataFrame, name: str) -> DataFrame:
-    """Collapse a small table into one array-of-struct column (for nesting inside a report)."""
-    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+def nested(df: DataFrame):
+    """A small result table as an array-of-struct scalar subquery, for nesting in a one-row report."""
+    return df.agg(F.collect_list(F.struct(*df.columns))).scalar()
