@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.treat import treat
+from churnlens.session import ensure_checkpoint_dir
 from churnlens.sources.fixtures import planted_subscribers, real_subscribers
 
+_LOCK = threading.Lock()
+_TABLES: dict[tuple, str] = {}
+
+
+def _base(base: str | None) -> str:
+    """Key table of S: ``customer`` (oracle checks) or ``orders`` (10x rows, benchmark)."""
+    return base or os.environ.get("CHURNLENS_BASE", "customer")
+
+
+def s_table(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
+    """S written ONCE per session as parquet under the shared checkpoint folder and read back.
+
+    Like a staged source table: every query then scans parquet (column pruning, pushed
+    filters) instead of regenerating 20 md5 per row, and the written table cuts lineage.
+    """
+    base = _base(base)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), base)
+    with _LOCK:
+        path = _TABLES.get(key)
+        if path is None:
+            tag = hashlib.md5(repr(key).encode()).hexdigest()[:16]
+            path = f"{ensure_checkpoint_dir(spark)}/churnlens/subscribers-{tag}"
+            planted_subscribers(spark, sf_dir, base).write.mode("overwrite").parquet(path)
+            _TABLES[key] = path
+    return spark.read.parquet(path)
+
 
-def s_raw(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
+def s_raw(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """S with its 21 raw columns plus the fixed scorecard ``p_score``."""
-    return planted_subscribers(spark, sf_dir, base)
+    return s_table(spark, sf_dir, base)
 
 
-def s_treated(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
+def s_treated(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """Treated S (C5) with the id kept as key and ``p_score`` carried along."""
-    return treat(planted_subscribers(spark, sf_dir, base), keep=("p_score",))
+    return treat(s_table(spark, sf_dir, base), keep=("p_score",))
 
 
-def s_scored(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
+def s_scored(spark: SparkSession, sf_dir: str, base: str | None = None) -> DataFrame:
     """(customerID, y, p, mc, m2m): the scored table the metric and decision layers consume."""
     t = s_treated(spark, sf_dir, base)
     return t.select(
