@@ -55,16 +55,21 @@ def model_dir(out: str, name: str, use_total_charges: bool) -> str:
 
 def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 42, rounds: int = 300,
                 n_splits: int = 5, n_repeats: int = 3, parallelism: int = 2, test_size: float = 0.2,
-                reference: str = "logistic") -> dict[str, DataFrame]:
+                reference: str = "logistic", models: list[str] | None = None) -> dict[str, DataFrame]:
+    """``models`` restricts the ladder (default: all seven)."""
+    def cat(use_total):
+        c = catalogue(use_total, seed, rounds)
+        return {k: v for k, v in c.items() if not models or k in models}
+
     sp = stratified_split(treated, test_size=test_size, seed=seed).persist()
     train, test = sp.filter("split = 'train'").drop("split"), sp.filter("split = 'test'").drop("split")
-    fs_with = EV.cross_validate(train, catalogue(True, seed, rounds), n_splits, n_repeats, seed, parallelism)
-    fs_without = EV.cross_validate(train, catalogue(False, seed, rounds), n_splits, n_repeats, seed, parallelism)
+    fs_with = EV.cross_validate(train, cat(True), n_splits, n_repeats, seed, parallelism)
+    fs_without = EV.cross_validate(train, cat(False), n_splits, n_repeats, seed, parallelism)
     fs_with, fs_without = fs_with.persist(), fs_without.persist()
     cv_with, cv_without = SEL.cv_summary(fs_with), SEL.cv_summary(fs_without)
     paired = SEL.paired_comparison(fs_with, reference=reference)
     champ = SEL.champion(paired, cv_with)
-    test_metrics, test_calib, test_lift = EV.test_measurement(train, test, catalogue(True, seed, rounds), parallelism)
+    test_metrics, test_calib, test_lift = EV.test_measurement(train, test, cat(True), parallelism)
     cal_metrics, cal_curves = EV.calibration_experiment(train, test, calibration_variants(seed))
     tables = {
         "fold_scores": fs_with, "fold_scores_without_total": fs_without,
@@ -197,6 +202,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--n-splits", type=int, default=5)
     ap.add_argument("--n-repeats", type=int, default=3)
     ap.add_argument("--parallelism", type=int, default=2)
+    ap.add_argument("--models", help="comma-separated subset of the ladder (compare)")
     d = BusinessParams()
     ap.add_argument("--margin", type=float, default=d.margin)
     ap.add_argument("--discount", type=float, default=d.discount)
@@ -210,7 +216,8 @@ def main(argv: list[str] | None = None) -> None:
     treated = load_input(spark, a.csv, a.sf_dir, a.base).persist()
     params = BusinessParams(a.margin, a.discount, a.acceptance, a.horizon, a.contact_cost)
     if a.job == "compare":
-        r = compare_job(spark, treated, a.out, a.seed, a.rounds, a.n_splits, a.n_repeats, a.parallelism, a.test_size)
+        r = compare_job(spark, treated, a.out, a.seed, a.rounds, a.n_splits, a.n_repeats, a.parallelism, a.test_size,
+                        models=a.models.split(",") if a.models else None)
         r["champion"].show(truncate=False)
     elif a.job == "train":
         r = train_job(spark, treated, a.out, a.model, not a.without_total_charges, a.seed, a.test_size, a.rounds)
