@@ -134,3 +134,22 @@ def scored(fitted: FittedModel, df: DataFrame, label: str = S.TARGET) -> DataFra
     """(customerID, y, p) for the metric layer."""
     return fitted.score(df.select(*[c for c in df.columns])).select(
         S.ID, F.col(label).alias("y"), "p")
+
+
+def load_fitted(path: str, name: str = "loaded") -> FittedModel:
+    """Reload a model saved by ``FittedModel.save`` (preprocessor + Spark ML classifier)."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+
+    prep = PipelineModel.load(f"{path}/prep")
+    model = None
+    for cls in (LogisticRegressionModel, GBTClassificationModel):
+        try:
+            model = cls.load(f"{path}/model")
+            break
+        except Exception:  # noqa: BLE001 - try the next kind
+            continue
+    if model is None:
+        raise ValueError(f"no loadable classifier under {path}/model")
+    tag = model.getProbabilityCol().removeprefix("_prob_")
+    return FittedModel(name, prep, FittedSpark(model, tag))

@@ -62,3 +62,22 @@ def queue_curve(df: DataFrame, sort_key: Column, value: str = "ve", key: str = S
     d = df.withColumn("_k", sort_key)
     c = ordered_prefix(d, [("_k", descending)], sums=[value], tiebreak=key, rn="contacted", mode=mode)
     return c.select(key, "contacted", F.col(f"cum_{value}").alias("cum_profit"), F.col(value).alias("marginal_ve"))
+
+
+def lift_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
+    """G2 for many score sets at once (e.g. one per model): deciles inside each group."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y)).alias("_pos"))
+    bad = sizes.filter((F.col("_n") < k) | (F.col("_pos") == 0)).limit(1).collect()
+    if bad:
+        raise ValueError(f"lift by decile needs >= {k} rows and a positive label per group: {bad[0].asDict()}")
+    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank").join(F.broadcast(sizes), by)
+    ranked = ranked.withColumn("decile", decile_expr(F.col("rank"), F.col("_n"), k))
+    per = ranked.groupBy(*by, "decile").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),
+        F.avg(F.col(y).cast("double")).alias("churn_rate"), F.first("_n").alias("_n"), F.first("_pos").alias("_pos"))
+    w = Window.partitionBy(*by).orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.select(
+        *by, "decile", "n", "churns", "churn_rate",
+        (F.col("churn_rate") / (F.col("_pos") / F.col("_n"))).alias("lift"),
+        F.sum("churns").over(w).alias("cum_churns"),
+        (F.sum("churns").over(w) / F.col("_pos")).alias("cum_capture"))

@@ -28,6 +28,7 @@ def register(name: str, sql: str | None):
 def load_all() -> dict[str, tuple[Query, str | None]]:
     # importing the section modules fills REGISTRY
     from churnlens.plans import (  # noqa: F401
+        q_charts,
         q_decision,
         q_explore,
         q_metrics,

@@ -122,3 +122,15 @@ def test_coefficients_named(split):
     rows = fitted.coefficients(train).collect()
     assert rows[0]["feature"] == "intercept" and len(rows) == 27
     assert catalogue()["contract_rule"].fit(train).coefficients(train).count() == 0
+
+
+def test_save_and_load_round_trip(split, tmp_path):
+    from churnlens.models.catalog import load_fitted
+
+    train, test = split
+    fitted = catalogue()["logistic"].fit(train)
+    fitted.save(str(tmp_path / "m"))
+    again = load_fitted(str(tmp_path / "m"))
+    a = fitted.score(test).select("customerID", F.col("p").alias("a"))
+    b = again.score(test).select("customerID", F.col("p").alias("b"))
+    assert a.join(b, "customerID").select(F.max(F.abs(F.col("a") - F.col("b")))).first()[0] < 1e-12
