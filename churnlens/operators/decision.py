@@ -51,9 +51,9 @@ def optimal_campaign(df: DataFrame, params: BusinessParams | None = None, approx
         F.count(F.lit(1)).alias("n_base"),
         F.count_if(F.col("selected")).alias("n_contacted"),
         F.coalesce(F.sum(F.when(F.col("selected"), F.col("ve"))), F.lit(0.0)).alias("profit"),
-    ).withColumn("_g", F.lit(0))
-    med = exact_quantiles(d.select(F.lit(0).alias("_g"), "threshold"), "threshold", [0.5], by=["_g"], approx=approx)
-    out = agg.join(F.broadcast(med.select("_g", F.col("value").alias("median_threshold"))), "_g", "left")
+    )
+    med = exact_quantiles(d.select("threshold"), "threshold", [0.5], approx=approx).select("value").scalar()
+    out = agg.withColumn("median_threshold", med)
     return out.select(
         "n_contacted",
         F.coalesce(F.try_divide(F.col("n_contacted"), F.col("n_base")), F.lit(0.0)).alias("share"),
@@ -66,10 +66,10 @@ def optimal_campaign(df: DataFrame, params: BusinessParams | None = None, approx
 
 def threshold_summary(df: DataFrame, params: BusinessParams | None = None, approx: bool = False) -> DataFrame:
     """F16: median, min and max of the per-customer threshold."""
-    d = with_decision(df, params).withColumn("_g", F.lit(0))
-    med = exact_quantiles(d.select("_g", "threshold"), "threshold", [0.5], by=["_g"], approx=approx)
-    mm = d.groupBy("_g").agg(F.min("threshold").alias("threshold_min"), F.max("threshold").alias("threshold_max"))
-    return mm.join(F.broadcast(med.select("_g", F.col("value").alias("threshold_median"))), "_g").drop("_g")
+    d = with_decision(df, params)
+    med = exact_quantiles(d.select("threshold"), "threshold", [0.5], approx=approx).select("value").scalar()
+    mm = d.agg(F.min("threshold").alias("threshold_min"), F.max("threshold").alias("threshold_max"))
+    return mm.withColumn("threshold_median", med)
 
 
 def queue_keys(d: DataFrame, seed: int = 42, key: str = S.ID) -> DataFrame:

@@ -176,17 +176,15 @@ def quartile_bins(df: DataFrame, x: str, q: int = 4, approx: bool = False, by: l
     """
     probs = [i / q for i in range(1, q)]
     keys = by or []
-    if not keys:
-        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     edges = exact_quantiles(df.select(*keys, F.col(x).cast("double").alias("x")), "x", probs, by=keys, approx=approx)
     arr = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("e")) \
         .select(*keys, F.transform("e", lambda s: s["value"]).alias("edges"))
     dup = arr.filter(F.size(F.array_distinct("edges")) < F.size("edges")).limit(1).collect()
     if dup:
         raise ValueError(f"quantile bin edges are not unique: {dup[0]['edges']}")
-    j = df.join(F.broadcast(arr), keys)  # one row per group
-    out = j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
-    return out.drop("_g") if keys == ["_g"] else out
+    # one row per group: broadcast join, or a scalar subquery when ungrouped
+    j = df.join(F.broadcast(arr), keys) if keys else df.withColumn("edges", arr.select("edges").scalar())
+    return j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
 
 
 def price_quartile_profile(df: DataFrame, internet: str = "Fiber optic", approx: bool = False) -> DataFrame:

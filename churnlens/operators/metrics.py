@@ -38,27 +38,20 @@ def cumulative_scores(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[st
     return cum.withColumnRenamed("cum_pos", "tps").withColumnRenamed("cum_neg", "fps")
 
 
-def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Ungrouped calls run as one constant group ``_g``, so every path joins on keys."""
-    by = list(by)
-    return (df, by) if by else (df.withColumn("_g", F.lit(0)), ["_g"])
-
-
-def _ungrouped(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.drop("_g") if by == ["_g"] else df
+def _totals(cum: DataFrame, by: list[str], aggs: dict) -> DataFrame:
+    """Attach per-group totals: a broadcast join on the group keys (one row per group),
+    or scalar subqueries when ungrouped (no constant-key join)."""
+    if by:
+        tot = cum.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
+        return cum.join(F.broadcast(tot), by)
+    return cum.withColumns({k: cum.agg(a).scalar() for k, a in aggs.items()})
 
 
 def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H1 + H2: (by, roc_auc, pr_auc)."""
-    df, by = _grouped(df, by)
-    return _ungrouped(_ranking(df, y, p, by), by)
-
-
-def _ranking(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    by = list(by)
     cum = cumulative_scores(df, y, p, by)
-    # one row per group (few groups by construction): broadcast
-    tot = cum.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    j = cum.join(F.broadcast(tot), by)
+    j = _totals(cum, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
     terms = j.select(
         *by,
         (F.col("neg") * ((F.col("tps") - F.col("pos")) + F.col("pos") / 2.0) / (F.col("n_pos") * F.col("n_neg"))).alias("_auc"),
@@ -68,31 +61,34 @@ def _ranking(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
 
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H4: (by, roc_auc, pr_auc, brier, base_rate, n) — H3 Brier is a row-level mean."""
-    df, by = _grouped(df, by)
+    by = list(by)
     simple = df.groupBy(*by).agg(
         F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"),
         F.avg(F.col(y).cast("double")).alias("base_rate"),
         F.count(F.lit(1)).alias("n"))
-    rk = _ranking(df, y, p, by)
-    out = simple.join(F.broadcast(rk), by)
-    return _ungrouped(out.select(*by, "roc_auc", "pr_auc", "brier", "base_rate", "n"), by)
+    rk = ranking_metrics(df, y, p, by)
+    if by:
+        out = simple.join(F.broadcast(rk), by)  # one row per group
+    else:
+        out = simple.withColumns({c: rk.select(c).scalar() for c in ["roc_auc", "pr_auc"]})
+    return out.select(*by, "roc_auc", "pr_auc", "brier", "base_rate", "n")
 
 
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10,
                       by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """H5: quantile calibration — edges are exact percentiles of p; bin = inner edges strictly
     below p; empty bins dropped. Returns (by, bin, predicted, observed, n)."""
-    df, by = _grouped(df, by)
+    by = list(by)
     probs = [i / n_bins for i in range(1, n_bins)]
     edges = exact_quantiles(df.select(*by, F.col(p).alias("_x")), "_x", probs, by=by, approx=approx)
     arr = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_e")) \
         .select(*by, F.transform("_e", lambda s: s["value"]).alias("_edges"))
-    # at most one row per group: small, broadcast
-    j = df.join(F.broadcast(arr), by)
+    # one row per group: broadcast (or a scalar subquery when ungrouped)
+    j = df.join(F.broadcast(arr), by) if by else df.withColumn("_edges", arr.select("_edges").scalar())
     binned = j.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
-    return _ungrouped(binned.groupBy(*by, "bin").agg(
+    return binned.groupBy(*by, "bin").agg(
         F.avg(F.col(p)).alias("predicted"), F.avg(F.col(y).cast("double")).alias("observed"),
-        F.count(F.lit(1)).alias("n")), by)
+        F.count(F.lit(1)).alias("n"))
 
 
 def _shifted(cum: DataFrame, by: list[str], delta: int, suffix: str) -> DataFrame:
@@ -103,30 +99,31 @@ def _shifted(cum: DataFrame, by: list[str], delta: int, suffix: str) -> DataFram
 def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H6: ROC points (fpr, tpr, threshold) per distinct threshold, collinear points dropped,
     plus the origin (threshold null). Neighbours come from equi-joins on rn ± 1."""
-    df, by = _grouped(df, by)
+    by = list(by)
     cum = cumulative_scores(df, y, p, by).select(*by, "rn", "p", "tps", "fps")
-    tot = cum.groupBy(*by).agg(F.max("tps").alias("n_pos"), F.max("fps").alias("n_neg"), F.max("rn").alias("m"))
     j = (cum.join(_shifted(cum, by, 1, "prev"), [*by, "rn"], "left")
-         .join(_shifted(cum, by, -1, "next"), [*by, "rn"], "left")
-         .join(F.broadcast(tot), by))
+         .join(_shifted(cum, by, -1, "next"), [*by, "rn"], "left"))
+    j = _totals(j, by, {"n_pos": F.max("tps"), "n_neg": F.max("fps"), "m": F.max("rn")})
     second_diff_f = F.col("fps_next") - 2 * F.col("fps") + F.col("fps_prev")
     second_diff_t = F.col("tps_next") - 2 * F.col("tps") + F.col("tps_prev")
     keep = (F.col("rn") == 1) | (F.col("rn") == F.col("m")) | (second_diff_f != 0) | (second_diff_t != 0)
     pts = j.filter(keep).select(*by, (F.col("fps") / F.col("n_neg")).alias("fpr"),
                                 (F.col("tps") / F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
-    origin = tot.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(None).cast("double").alias("threshold"))
-    return _ungrouped(origin.unionByName(pts), by)
+    origin_src = cum.select(*by).distinct() if by else cum.sparkSession.range(1)
+    origin = origin_src.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+                               F.lit(None).cast("double").alias("threshold"))
+    return origin.unionByName(pts)
 
 
 def pr_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H7: precision-recall points per distinct threshold plus the closing (precision 1, recall 0)."""
-    df, by = _grouped(df, by)
+    by = list(by)
     cum = cumulative_scores(df, y, p, by)
-    tot = cum.groupBy(*by).agg(F.sum("pos").alias("n_pos"))
-    j = cum.join(F.broadcast(tot), by)
+    j = _totals(cum, by, {"n_pos": F.sum("pos")})
     pts = j.select(*by, (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"),
                    F.when(F.col("n_pos") == 0, 1.0).otherwise(F.col("tps") / F.col("n_pos")).alias("recall"),
                    F.col("p").alias("threshold"))
-    close = tot.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-                       F.lit(None).cast("double").alias("threshold"))
-    return _ungrouped(pts.unionByName(close), by)
+    close_src = cum.select(*by).distinct() if by else cum.sparkSession.range(1)
+    close = close_src.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
+                             F.lit(None).cast("double").alias("threshold"))
+    return pts.unionByName(close)

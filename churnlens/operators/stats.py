@@ -3,10 +3,10 @@
 Spark's ``percentile`` keeps a value->count map per group in one task, so a
 continuous column on a huge table would overload the final merge. Here:
 values are first collapsed to (group, value, count) with a map-side partial
-aggregate, cumulative counts come from the distributed ``ordered_prefix``,
-and the two order statistics around each requested rank are picked by a
-range-condition join against a tiny (group × probability) target table.
-``approx=True`` switches to ``percentile_approx`` (one pass, bounded memory).
+aggregate; cumulative counts come from the distributed ``ordered_prefix``;
+then the order statistic of 0-based rank r is ``min(value) where cumcount > r``
+— one grouped aggregate with a conditional min per needed rank, no join
+against the data. ``approx=True`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -32,23 +32,20 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
 
     counts = vals.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
     cum = ordered_prefix(counts, [(x, False)], sums=["_c"], partition=by, rn="_rk", prefix="_cum")
-    cum = cum.select(*by, x, (F.col("_cum_c") - F.col("_c")).alias("_lo"), F.col("_cum_c").alias("_hi"))
-    sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))  # one row per group
-    targets = sizes.select(*by, "_n", F.explode(F.array(*[F.lit(p) for p in probs])).alias("q")) \
-        .withColumn("_pos", F.col("q") * (F.col("_n") - 1)) \
-        .withColumn("_r0", F.floor("_pos").cast("bigint")) \
-        .withColumn("_r1", F.least(F.col("_r0") + 1, F.col("_n") - 1)) \
-        .withColumn("_frac", F.col("_pos") - F.col("_r0"))
-    picks = targets.select(*by, "q", "_frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_r0").alias("r")),
-        F.struct(F.lit(1).alias("side"), F.col("_r1").alias("r")))).alias("_p")) \
-        .select(*by, "q", "_frac", "_p.side", "_p.r")
-    # targets: (#groups × #probs × 2) rows — a grouping of few groups, broadcast-sized
-    cond = [cum[k] == picks[k] for k in by] + [picks["r"] >= cum["_lo"], picks["r"] < cum["_hi"]]
-    hit = cum.join(F.broadcast(picks), cond).select(*[cum[k] for k in by], picks["q"], picks["_frac"],
-                                                    picks["side"], cum[x].alias("_v"))
-    res = hit.groupBy(*by, "q").agg(
-        F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_v1"),
-        F.first("_frac").alias("_frac"))
-    return res.select(*by, "q", (F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac")).alias("value"))
+    if by:
+        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))  # one row per group: broadcast
+        cum = cum.join(F.broadcast(sizes), by)
+    else:
+        cum = cum.withColumn("_n", counts.agg(F.sum("_c")).scalar())
+    aggs, outs = [], []
+    for i, q in enumerate(probs):
+        pos = F.lit(q) * (F.col("_n") - 1)
+        r0 = F.floor(pos)
+        r1 = F.least(r0 + 1, F.col("_n") - 1)
+        aggs += [F.min(F.when(F.col("_cum_c") > r0, F.col(x))).alias(f"_a{i}"),
+                 F.min(F.when(F.col("_cum_c") > r1, F.col(x))).alias(f"_b{i}"),
+                 F.first(pos - r0).alias(f"_f{i}")]
+        outs.append(F.struct(F.lit(q).alias("q"),
+                             (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias("value")))
+    res = cum.groupBy(*by).agg(*aggs)
+    return res.select(*by, F.explode(F.array(*outs)).alias("_o")).select(*by, "_o.q", "_o.value")

@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The workload is batch analytics over one subscriber table with no event-time
+column, so there is no stream, watermark or stateful operator to build here.
+"""
