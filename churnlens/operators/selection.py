@@ -37,7 +37,10 @@ def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str
     rule = j.join(F.broadcast(rates), ["repeat", "fold", "flag"]).select(
         F.lit("contract_rule").alias("model"), "repeat", "fold", S.ID, "y", F.col("rate").alias("p"))
     card = j.select(F.lit("scorecard").alias("model"), "repeat", "fold", S.ID, "y", F.col("p_score").alias("p"))
-    return fold_metrics(card.unionByName(rule))
+    # the validation table feeds several jobs (counts, totals, metrics): materialise it once in
+    # the shared checkpoint folder instead of recomputing the fold ranking for each of them
+    val = card.unionByName(rule).checkpoint(eager=True)
+    return fold_metrics(val)
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
