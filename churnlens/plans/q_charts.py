@@ -39,7 +39,9 @@ def _preds(spark, sf):
     p_rule = rule.predict(unlabeled).select(F.lit("contract_rule").alias("model"), S.ID, "p")
     p_card = unlabeled.select(F.lit("scorecard").alias("model"), S.ID, F.col("p_score").alias("p"))
     labels = test.select(S.ID, F.col("Churn").alias("y"))
-    return p_card.unionByName(p_rule).join(labels, S.ID)  # E1: re-attach the label by row identity
+    # Re-attach the label by row identity; the result feeds several jobs, so it is
+    # materialised once in the shared checkpoint folder
+    return p_card.unionByName(p_rule).join(labels, S.ID).checkpoint(eager=True)
 
 
 def r6(c):

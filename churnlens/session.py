@@ -38,6 +38,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster; "
+                         "a machine-local scratch folder is only used in local mode")
     local = tempfile.mkdtemp(prefix="churnlens-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
