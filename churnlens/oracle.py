@@ -114,7 +114,7 @@ r_a AS (
 r_c AS (
   SELECT o_custkey,
     count(CASE WHEN age >= 12 THEN 1 END) AS n_pre,
-    sum(CASE WHEN age >= 12 THEN o_totalprice END) AS spend_pre,
+    sum(CASE WHEN age >= 12 THEN cast(round(o_totalprice * 100) AS bigint) END) AS cents_pre,
     max(age) AS max_age,
     count(CASE WHEN age < 12 THEN 1 END) AS n_post
   FROM r_a GROUP BY o_custkey HAVING count(CASE WHEN age >= 12 THEN 1 END) >= 1
@@ -122,8 +122,8 @@ r_c AS (
 r AS (
   SELECT cast(o_custkey as varchar) AS customerID,
     cast(max_age - 12 as integer) AS tenure,
-    round(spend_pre / 2000.0::double, 2) AS TotalCharges,
-    round(spend_pre / n_pre / 2000.0::double, 2) AS MonthlyCharges,
+    ((2 * cents_pre + 2000) // 4000) / 100.0::double AS TotalCharges,
+    ((2 * cents_pre + n_pre * 2000) // (2 * n_pre * 2000)) / 100.0::double AS MonthlyCharges,
     CASE WHEN n_pre <= 6 THEN 'Month-to-month' WHEN n_pre <= 10 THEN 'One year' ELSE 'Two year' END AS Contract,
     c_mktsegment AS segment,
     cast(n_regionkey as integer) AS region,

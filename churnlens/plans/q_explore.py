@@ -163,9 +163,9 @@ def _hist_sql(x: str, by: str | None) -> str:
 , rg AS (SELECT min({x}) AS lo, max({x}) AS hi FROM t),
 b AS (SELECT {keys}CASE WHEN hi = lo THEN 0 ELSE least(29, cast(floor(({x} - lo) / ((hi - lo) / 30)) AS integer)) END AS bin, lo, hi
       FROM t, rg),
-h AS (SELECT {keys}bin, round(lo + bin * (hi - lo) / 30, 6) AS "left", round(lo + (bin + 1) * (hi - lo) / 30, 6) AS "right",
+h AS (SELECT {keys}bin, lo + bin * (hi - lo) / 30 AS "left", lo + (bin + 1) * (hi - lo) / 30 AS "right",
       count(*) AS n FROM b GROUP BY ALL)
-SELECT {keys}bin, "left", "right", n{dens} FROM h"""
+SELECT {keys}bin, round("left", 6) AS "left", round("right", 6) AS "right", n{dens} FROM h"""
 
 
 @register("histogram_tenure", with_s(_hist_sql("tenure", None)))

@@ -105,6 +105,12 @@ def planted_subscribers(spark: SparkSession, sf_dir: str, base: str = "customer"
     return step2.select(*[expr.alias(name) for name, expr in cols.items()])
 
 
+def _div_half_up(num, den):
+    """round(num / den) half-up for non-negative integers, exactly: (2·num + den) div (2·den)."""
+    a, b = num * 2 + den, den * 2
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
 def raw_subscribers(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
     """The 21 raw columns of S (what a CSV export of the subscriber table would hold)."""
     return planted_subscribers(spark, sf_dir, base).select(*S.RAW_COLUMNS)
@@ -118,9 +124,11 @@ def real_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref_m = om.agg(F.max("m")).scalar()  # reference month as a scalar subquery
     aged = om.withColumn("age", ref_m - F.col("m"))
     pre = F.col("age") >= 12
+    # money in exact integer cents so the sum does not depend on summation order
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
     per_cust = aged.groupBy("o_custkey").agg(
         F.count(F.when(pre, 1)).alias("n_pre"),
-        F.sum(F.when(pre, F.col("o_totalprice"))).alias("spend_pre"),
+        F.sum(F.when(pre, cents)).alias("cents_pre"),
         F.max("age").alias("max_age"),
         F.count(F.when(~pre, 1)).alias("n_post"),
     ).filter(F.col("n_pre") >= 1)
@@ -132,8 +140,9 @@ def real_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("o_custkey").cast("string").alias("customerID"),
             (F.col("max_age") - 12).cast("int").alias("tenure"),
-            F.round(F.col("spend_pre") / 2000.0, 2).alias("TotalCharges"),
-            F.round(F.col("spend_pre") / F.col("n_pre") / 2000.0, 2).alias("MonthlyCharges"),
+            # round(x / 2000, 2) and round(x / n / 2000, 2), half-up, in integer cents
+            (_div_half_up(F.col("cents_pre"), F.lit(2000)) / 100.0).alias("TotalCharges"),
+            (_div_half_up(F.col("cents_pre"), F.col("n_pre") * 2000) / 100.0).alias("MonthlyCharges"),
             F.when(F.col("n_pre") <= 6, "Month-to-month").when(F.col("n_pre") <= 10, "One year")
             .otherwise("Two year").alias("Contract"),
             F.col("c_mktsegment").alias("segment"),
