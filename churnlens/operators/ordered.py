@@ -63,6 +63,46 @@ def _bucket_expr(keys: list[tuple[str, bool]], bounds: list[tuple]) -> Column:
     return node(0, len(bounds))
 
 
+CASE_MAX_BOUNDS = 128            # above this the CASE tree outgrows one JVM method
+
+
+def _asc_value(v, desc: bool):
+    if not desc:
+        return v
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        raise ValueError("descending order keys must be numeric for large bucket counts")
+    return -v
+
+
+def _asc_struct(keys: list[tuple[str, bool]]) -> Column:
+    """The row as a struct that sorts ascending in the composite order (desc numerics negated)."""
+    return F.struct(*[(-F.col(c) if d else F.col(c)).alias(f"f{i}") for i, (c, d) in enumerate(keys)])
+
+
+def _bound_struct(keys: list[tuple[str, bool]], bound: tuple) -> Column:
+    return F.struct(*[F.lit(_asc_value(v, d)).alias(f"f{i}") for i, ((_, d), v) in enumerate(zip(keys, bound))])
+
+
+def _bucket_expr_two_level(keys: list[tuple[str, bool]], bounds: list[tuple]) -> Column:
+    """Number of boundaries strictly before the row, for many boundaries: a coarse lookup over
+    every k-th boundary, then a fine lookup inside the selected segment (literal arrays, so the
+    generated code stays small; ~2·sqrt(B) struct comparisons per row)."""
+    m = len(bounds)
+    k = max(2, math.isqrt(m))
+    row = _asc_struct(keys)
+    coarse_idx = list(range(k - 1, m, k))
+    coarse = F.array(*[_bound_struct(keys, bounds[i]) for i in coarse_idx])
+    segments = []
+    for j in range(len(coarse_idx) + 1):
+        inner = bounds[j * k: (j + 1) * k - 1] if j < len(coarse_idx) else bounds[j * k:]
+        segments.append(F.array(*[_bound_struct(keys, b) for b in inner]) if inner
+                        else F.array_remove(F.array(_bound_struct(keys, bounds[0])), _bound_struct(keys, bounds[0])))
+    fine = F.array(*segments)
+    c = F.size(F.filter(coarse, lambda b: b < row))
+    f = F.size(F.filter(F.element_at(fine, c + 1), lambda b: b < row))
+    return c * k + f
+
+
 def _sample_bounds(df: DataFrame, keys: list[tuple[str, bool]], n: int, buckets: int, seed: int) -> list[tuple]:
     names = [c for c, _ in keys]
     frac = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
@@ -128,7 +168,8 @@ def ordered_prefix(
     if not bounds:
         return windowed(df, partition)
 
-    b = df.withColumn("_bkt", _bucket_expr(keys, bounds))
+    bucket = _bucket_expr(keys, bounds) if len(bounds) <= CASE_MAX_BOUNDS else _bucket_expr_two_level(keys, bounds)
+    b = df.withColumn("_bkt", bucket)
     local = windowed(b, ["_bkt", *partition])
     totals = b.groupBy("_bkt", *partition).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])

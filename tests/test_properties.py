@@ -149,3 +149,14 @@ def test_quartile_bins_equal_qcut(spark):
     pdf = t.toPandas()
     want = pd.qcut(pdf["MonthlyCharges"], 4, labels=[1, 2, 3, 4]).astype(int)
     assert all(got[i] == w for i, w in zip(pdf["customerID"], want))
+
+
+def test_ordered_prefix_many_buckets_two_level_lookup(spark, scored):
+    """More boundaries than the CASE tree holds: the two-level array lookup is used and exact."""
+    d = K.with_decision(scored).withColumn("g", F.col("m2m"))
+    a = ordered_prefix(d, [("ve", True)], sums=["mc"], partition=["g"], tiebreak="customerID", mode="window")
+    b = ordered_prefix(d, [("ve", True)], sums=["mc"], partition=["g"], tiebreak="customerID", n_buckets=400)
+    j = a.select("customerID", "rn", "cum_mc").join(
+        b.select("customerID", F.col("rn").alias("rn2"), F.col("cum_mc").alias("c2")), "customerID")
+    assert j.filter("rn <> rn2").count() == 0
+    assert j.agg(F.max(F.abs(F.col("cum_mc") - F.col("c2")))).first()[0] < 1e-6
