@@ -165,21 +165,31 @@ def top_overlap(df: DataFrame, params: BusinessParams | None = None, n: int | No
         (F.col("common") / F.lit(n)).alias("share_common"))
 
 
-def business_sentence(opt: DataFrame, curves: DataFrame, n_base: int) -> DataFrame:
+# --- fixed values: the business sentence, in the reference's wording (pt) and in English
+SENTENCES = {
+    "pt": ("Com estes parâmetros a campanha não se paga para nenhum cliente: o desconto ofertado exige "
+           "probabilidade de churn acima de %s%%, e o desenho da oferta precisa mudar antes do modelo.",
+           "Contatando os %d clientes de maior valor esperado (%s%% da base), a campanha rende R$ %s de lucro "
+           "esperado — contra R$ %s da regra de contrato no mesmo orçamento."),
+    "en": ("With these parameters the campaign pays off for no customer: the offer needs a churn probability "
+           "above %s%%, and the offer design must change before the model.",
+           "Contacting the %d customers of highest expected value (%s%% of the base), the campaign yields "
+           "R$ %s of expected profit, against R$ %s for the contract rule on the same budget."),
+}
+# ---------------------------------------------------------------------------
+
+
+def business_sentence(opt: DataFrame, curves: DataFrame, n_base: int, lang: str = "pt") -> DataFrame:
     """K8: the result in one sentence; another sentence when nobody pays off."""
+    dead, alive = SENTENCES[lang]
     row = opt.first()
     n = int(row["n_contacted"])
     if n == 0:
-        return opt.select(F.format_string(
-            "With these parameters the campaign pays off for no customer: the offer needs a churn probability "
-            "above %s%%, and the offer design must change before the model.",
-            F.format_number(F.col("floor") * 100, 0)).alias("sentence"))
+        return opt.select(F.format_string(dead, F.format_number(F.col("floor") * 100, 0)).alias("sentence"))
     contract = profit_at_budget(curves.filter(F.col("queue") == "contract_rule"), n)
     j = opt.select("n_contacted", "profit", contract.select("profit_at_n").scalar().alias("profit_at_n"))
     return j.select(F.format_string(
-        "Contacting the %d customers of highest expected value (%s%% of the base), the campaign yields "
-        "R$ %s of expected profit, against R$ %s for the contract rule on the same budget.",
-        F.col("n_contacted"), F.format_number(F.col("n_contacted") * 100.0 / n_base, 0),
+        alive, F.col("n_contacted"), F.format_number(F.col("n_contacted") * 100.0 / n_base, 0),
         brl(F.col("profit")), brl(F.col("profit_at_n"))).alias("sentence"))
 
 

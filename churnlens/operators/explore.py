@@ -203,8 +203,8 @@ def price_quartile_profile(df: DataFrame, internet: str = "Fiber optic", approx:
     med = med.groupBy("bin").pivot("column", ["tenure", "n_addons"]).agg(F.first("value")).select(
         "bin", F.col("tenure").alias("median_tenure"), F.col("n_addons").alias("median_addons"))
     return agg.join(med, "bin").select(
-        F.col("bin").alias("price_quartile"), F.round("churn_rate", 3).alias("churn_rate"), "n",
-        F.col("median_tenure"), F.col("median_addons"), F.round("share_month_to_month", 3).alias("share_month_to_month"))
+        F.col("bin").alias("price_quartile"), F.bround("churn_rate", 3).alias("churn_rate"), "n",
+        F.col("median_tenure"), F.col("median_addons"), F.bround("share_month_to_month", 3).alias("share_month_to_month"))
 
 
 def controlled_comparison(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -214,7 +214,7 @@ def controlled_comparison(df: DataFrame, approx: bool = False) -> DataFrame:
     b = early_monthly_cohort(with_net).withColumn("control", F.lit("m2m_tenure_le_12"))
     both = a.unionByName(b)
     return both.groupBy("control", "InternetService").agg(
-        F.round(F.avg(F.col(S.TARGET).cast("double")), 3).alias("churn_rate"), F.count(F.lit(1)).alias("n"))
+        F.bround(F.avg(F.col(S.TARGET).cast("double")), 3).alias("churn_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def implication_check(df: DataFrame, antecedent: str, antecedent_value: str, consequents: list[str],

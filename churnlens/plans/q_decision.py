@@ -171,8 +171,8 @@ def top_overlap(spark, sf):
                  count(*) AS nb FROM d),
 cr AS (SELECT row_number() OVER w AS rk, sum(ve) OVER (w ROWS UNBOUNDED PRECEDING) AS cum FROM d
        WINDOW w AS (ORDER BY -(m2m::double), customerID))
-SELECT CASE WHEN n = 0 THEN printf('With these parameters the campaign pays off for no customer: the offer needs a churn probability above %s%%, and the offer design must change before the model.', format('{:,.0f}', 0.1::double / 0.3::double * 100))
-  ELSE printf('Contacting the %d customers of highest expected value (%s%% of the base), the campaign yields R$ %s of expected profit, against R$ %s for the contract rule on the same budget.',
+SELECT CASE WHEN n = 0 THEN printf('Com estes parâmetros a campanha não se paga para nenhum cliente: o desconto ofertado exige probabilidade de churn acima de %s%%, e o desenho da oferta precisa mudar antes do modelo.', format('{:,.0f}', 0.1::double / 0.3::double * 100))
+  ELSE printf('Contatando os %d clientes de maior valor esperado (%s%% da base), a campanha rende R$ %s de lucro esperado — contra R$ %s da regra de contrato no mesmo orçamento.',
               n, format('{:,.0f}', n * 100.0 / nb), translate(format('{:,.0f}', profit), ',.', '.,'),
               translate(format('{:,.0f}', cum), ',.', '.,')) END AS sentence
 FROM opt LEFT JOIN cr ON cr.rk = opt.n"""))

@@ -72,6 +72,14 @@ def value_shares(spark, sf):
     return df.select("column", "value", "n", F.round("share", R6).alias("share"))
 
 
+@register("rare_categories", with_s(_SHARES_SQL.replace(
+    'SELECT "column", value, n, round(', 'SELECT * FROM (SELECT "column", value, n, round(') + ") WHERE share < 0.05"))
+def rare_categories_5pct(spark, sf):
+    """D5 with the EDA's 5 % threshold (S has no category that rare, so the answer is empty)."""
+    df = X.rare_categories(s_treated(spark, sf), _CAT16, threshold=0.05)
+    return df.select("column", "value", "n", F.round("share", R6).alias("share"))
+
+
 @register("rare_categories_10pct", with_s(_SHARES_SQL.replace(
     'SELECT "column", value, n, round(', 'SELECT * FROM (SELECT "column", value, n, round(') + ") WHERE share < 0.10"))
 def rare_categories(spark, sf):
@@ -135,9 +143,9 @@ def monthly_by_internet(spark, sf):
         FROM t WHERE InternetService = 'Fiber optic'),
 e AS (SELECT quantile_cont(MonthlyCharges, [0.25, 0.5, 0.75]) AS edges FROM f),
 b AS (SELECT f.*, 1 + len(list_filter(edges, lambda x: x < MonthlyCharges)) AS bin FROM f, e)
-SELECT bin::integer AS price_quartile, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n,
+SELECT bin::integer AS price_quartile, round_even(avg(Churn::double), 3) AS churn_rate, count(*) AS n,
   quantile_cont(tenure, 0.5) AS median_tenure, quantile_cont(n_addons, 0.5) AS median_addons,
-  round(avg((Contract = 'Month-to-month')::int::double), 3) AS share_month_to_month
+  round_even(avg((Contract = 'Month-to-month')::int::double), 3) AS share_month_to_month
 FROM b GROUP BY bin"""))
 def fibre_price_quartiles(spark, sf):
     """F8 + G4: inside fibre, profile by price quartile (qcut edges, right-closed)."""
@@ -198,10 +206,10 @@ def box_tenure_by_class(spark, sf):
 
 
 @register("controlled_fibre_vs_dsl", with_s("""
-SELECT 'same_price_band' AS control, InternetService, round(avg(Churn::double), 3) AS churn_rate, count(*) AS n
+SELECT 'same_price_band' AS control, InternetService, round_even(avg(Churn::double), 3) AS churn_rate, count(*) AS n
 FROM t WHERE InternetService <> 'No' AND MonthlyCharges BETWEEN 67.75 AND 94.80 GROUP BY InternetService
 UNION ALL
-SELECT 'm2m_tenure_le_12', InternetService, round(avg(Churn::double), 3), count(*)
+SELECT 'm2m_tenure_le_12', InternetService, round_even(avg(Churn::double), 3), count(*)
 FROM t WHERE InternetService <> 'No' AND Contract = 'Month-to-month' AND tenure <= 12 GROUP BY InternetService"""))
 def controlled_fibre_vs_dsl(spark, sf):
     """F14 (D2, D3): fibre vs DSL controlled by price band and by contract + tenure."""

@@ -121,5 +121,8 @@ def test_discount_at_or_above_margin_kills_campaign(spark):
     o = K.optimal_campaign(sc, params).first()
     assert o["n_contacted"] == 0 and o["profit"] == 0.0 and o["profit_per_contact"] == 0.0
     assert o["floor"] == 1.0
-    sentence = K.business_sentence(K.optimal_campaign(sc, params), K.queue_curves(sc, params), sc.count()).first()[0]
+    sentence = K.business_sentence(K.optimal_campaign(sc, params), K.queue_curves(sc, params), sc.count(),
+                                   lang="en").first()[0]
     assert "pays off for no customer" in sentence and "100%" in sentence
+    pt = K.business_sentence(K.optimal_campaign(sc, params), K.queue_curves(sc, params), sc.count()).first()[0]
+    assert "não se paga" in pt and "100%" in pt
