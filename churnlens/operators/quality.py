@@ -71,16 +71,34 @@ def out_of_domain(df: DataFrame, schema: dict | None = None) -> DataFrame:
     return st.join(dom, ["column", "value"], "left_anti").distinct()
 
 
-def validate_raw(df: DataFrame, schema: dict | None = None) -> None:
-    """Every problem of columns, kinds and domains, raised once."""
+def smallest_values(df: DataFrame, group: str, value: str, k: int, salts: int = 64) -> DataFrame:
+    """(group, values): the k smallest distinct values per group, in order — bounded work even when
+    one group holds millions of values: rank inside (group, hash-salt) sub-groups first, keep k per
+    salt, then rank the ≤ k·salts survivors per group (never a per-group list of every value)."""
+    from pyspark.sql import Window
+
+    d = df.select(group, value).distinct().withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
+    w1 = Window.partitionBy(group, "_salt").orderBy(value)
+    local = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
+    w2 = Window.partitionBy(group).orderBy(value)
+    top = local.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= k)
+    return top.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("values"))  # ≤ k per group
+
+
+def validate_raw(df: DataFrame, schema: dict | None = None, show: int = 20) -> None:
+    """Every problem of columns, kinds and domains, raised once (offending values listed
+    in order, the first ``show`` of them plus the distinct count)."""
     schema = schema or S.RAW_SCHEMA
     problems = column_problems(df, schema)
-    bad = (out_of_domain(df, schema).groupBy("column")
-           .agg(F.array_sort(F.collect_set("value")).alias("values")).collect())
+    ood = out_of_domain(df, schema)
+    counts = {r["column"]: r["n"] for r in ood.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    listed = {r["column"]: list(r["values"]) for r in smallest_values(ood, "column", "value", show).collect()} \
+        if counts else {}
     order = list(schema)
-    for r in sorted(bad, key=lambda r: order.index(r["column"])):
-        dom = list(schema[r["column"]][1])
-        problems.append(f"{r['column']}: values outside domain {dom}: {list(r['values'])}")
+    for c in sorted(counts, key=order.index):
+        dom = list(schema[c][1])
+        more = f" ... ({counts[c]} distinct)" if counts[c] > len(listed[c]) else ""
+        problems.append(f"{c}: values outside domain {dom}: {listed[c]}{more}")
     if problems:
         raise SchemaError("raw input does not match the expected schema:\n  - " + "\n  - ".join(problems))
 
@@ -93,11 +111,11 @@ def binary_contract(df: DataFrame, cols: list[str] | None = None, sample: int =
         [], cols, "column", "value").filter(F.col("value").isNotNull())
     d = st.distinct()
     bad = ~F.col("value").isin("0", "1")
-    return d.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.count(F.when(bad, 1)).alias("n_bad"),
-        F.when(F.count(F.when(bad, 1)) > 0, F.array_join(
-            F.slice(F.array_sort(F.collect_list(F.when(bad, F.col("value")))), 1, sample), ", ")).alias("bad_sample"))
+    counts = d.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"), F.count(F.when(bad, 1)).alias("n_bad"))
+    first = smallest_values(d.filter(bad), "column", "value", sample)  # bounded: `sample` mins per column
+    return counts.join(first, "column", "left").select(
+        "column", "n_distinct", "n_bad",
+        F.when(F.col("n_bad") > 0, F.array_join("values", ", ")).alias("bad_sample"))
 
 
 def validate_treated(df: DataFrame, cols: list[str] | None = None) -> None:

@@ -126,3 +126,13 @@ def test_discount_at_or_above_margin_kills_campaign(spark):
     assert "pays off for no customer" in sentence and "100%" in sentence
     pt = K.business_sentence(K.optimal_campaign(sc, params), K.queue_curves(sc, params), sc.count()).first()[0]
     assert "não se paga" in pt and "100%" in pt
+
+
+def test_smallest_values_bounded_on_hot_group(spark):
+    from churnlens.operators.quality import smallest_values
+
+    df = spark.range(200000).select(F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"),
+                                    F.format_string("v%07d", (F.lit(500000) - F.col("id"))).alias("v"))
+    got = {r["g"]: list(r["values"]) for r in smallest_values(df, "g", "v", 5).collect()}
+    assert got["hot"] == ["v0300001", "v0300002", "v0300003", "v0300004", "v0300005"]
+    assert got["cold"] == ["v0300010", "v0300020", "v0300030", "v0300040", "v0300050"]
