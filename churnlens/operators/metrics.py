@@ -44,7 +44,8 @@ def _totals(cum: DataFrame, by: list[str], aggs: dict) -> DataFrame:
     if by:
         tot = cum.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
         return cum.join(F.broadcast(tot), by)
-    return cum.withColumns({k: cum.agg(a).scalar() for k, a in aggs.items()})
+    one = cum.agg(F.struct(*[a.alias(k) for k, a in aggs.items()])).scalar()  # ONE subquery for all totals
+    return cum.withColumns({k: one[k] for k in aggs})
 
 
 def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
@@ -70,7 +71,8 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ())
     if by:
         out = simple.join(F.broadcast(rk), by)  # one row per group
     else:
-        out = simple.withColumns({c: rk.select(c).scalar() for c in ["roc_auc", "pr_auc"]})
+        one = rk.select(F.struct("roc_auc", "pr_auc")).scalar()
+        out = simple.withColumns({c: one[c] for c in ["roc_auc", "pr_auc"]})
     return out.select(*by, "roc_auc", "pr_auc", "brier", "base_rate", "n")
 
 
