@@ -135,8 +135,23 @@ def scored_test(spark: SparkSession, treated: DataFrame, mdir: str, seed: int =
     return spark.read.parquet(f"{mdir}/scored").filter("split = 'test'").drop("split")
 
 
+def parse_grid(text: str | None) -> dict | None:
+    """A custom one-at-a-time grid, e.g. "discount=0.05,0.10;contact_cost=5,15"."""
+    if not text:
+        return None
+    grid = {}
+    for part in text.split(";"):
+        name, values = part.split("=")
+        name = name.strip()
+        if name not in BusinessParams.__dataclass_fields__:
+            raise ValueError(f"unknown parameter {name!r}")
+        grid[name] = [float(v) for v in values.split(",")]
+    return grid
+
+
 def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | None = None,
-               params: BusinessParams | None = None, seed: int = 42, use_total_charges: bool = True) -> dict:
+               params: BusinessParams | None = None, seed: int = 42, use_total_charges: bool = True,
+               grid: dict | None = None) -> dict:
     params = params or BusinessParams()
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
     mdir = model_dir(out, name, use_total_charges)
@@ -148,7 +163,7 @@ def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | N
     curves = spark.read.parquet(f"{out}/decision/curves")
     at_n = K.profit_at_budget(curves, n)
     overlap = K.top_overlap(sc, params)
-    sens = K.sensitivity(sc, params)
+    sens = K.sensitivity(sc, params, grid)
     sentence = K.business_sentence(opt, curves, sc.count())
     thresholds = K.threshold_summary(sc, params)
     _tables(f"{out}/decision", {"optimal": opt, "profit_at_budget": at_n, "overlap": overlap, "sensitivity": sens,
@@ -209,6 +224,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--acceptance", type=float, default=d.acceptance)
     ap.add_argument("--horizon", type=int, default=d.horizon)
     ap.add_argument("--contact-cost", type=float, default=d.contact_cost)
+    ap.add_argument("--grid", help='custom sensitivity grid, e.g. "discount=0.05,0.1;margin=0.2,0.3"')
     a = ap.parse_args(argv)
     if not (a.csv or a.sf_dir):
         ap.error("give --csv or --sf-dir")
@@ -223,7 +239,8 @@ def main(argv: list[str] | None = None) -> None:
         r = train_job(spark, treated, a.out, a.model, not a.without_total_charges, a.seed, a.test_size, a.rounds)
         r["metrics"].show()
     elif a.job == "decide":
-        r = decide_job(spark, treated, a.out, a.model, params, a.seed, not a.without_total_charges)
+        r = decide_job(spark, treated, a.out, a.model, params, a.seed, not a.without_total_charges,
+                       parse_grid(a.grid))
         r["optimal"].show()
         print(r["sentence"].first()[0])
     else:

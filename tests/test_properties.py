@@ -160,3 +160,19 @@ def test_ordered_prefix_many_buckets_two_level_lookup(spark, scored):
         b.select("customerID", F.col("rn").alias("rn2"), F.col("cum_mc").alias("c2")), "customerID")
     assert j.filter("rn <> rn2").count() == 0
     assert j.agg(F.max(F.abs(F.col("cum_mc") - F.col("c2")))).first()[0] < 1e-6
+
+
+def test_approx_quantiles_close_to_exact(scored):
+    exact = {r["q"]: r["value"] for r in exact_quantiles(scored, "mc", [0.25, 0.5, 0.75]).collect()}
+    approx = {r["q"]: r["value"] for r in exact_quantiles(scored, "mc", [0.25, 0.5, 0.75], approx=True).collect()}
+    assert all(abs(exact[q] - approx[q]) < 0.5 for q in exact)
+
+
+def test_custom_grid(scored):
+    from churnlens.plans.jobs import parse_grid
+
+    grid = parse_grid("discount=0.05,0.1;contact_cost=5,15")
+    s = K.sensitivity(scored, grid=grid).collect()
+    assert len(s) == 4 and sum(r["is_default"] for r in s) == 2
+    with pytest.raises(ValueError):
+        parse_grid("price=1")
