@@ -58,13 +58,11 @@ def stratified_folds(df: DataFrame, y: str = S.TARGET, n_splits: int = 5, n_repe
         offsets[k] = acc % n_splits
         acc += c
     off = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-    base = df.select(key, y)
-    parts = []
-    for r in range(n_repeats):
-        ranked = _hash_rank(base, y, f"fold{seed}|{r}", key)
-        parts.append(ranked.select(key, y, F.lit(r).alias("repeat"),
-                                   F.pmod(F.col("_rk") - 1 + off[F.col(y)], F.lit(n_splits)).cast("int").alias("fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # all repeats ranked in ONE distributed pass: explode the repeat index, then rank within
+    # (repeat, class) by the repeat's hash md5("fold<seed>|<repeat>|<id>")
+    reps = df.select(key, y, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))
+    tag = F.concat(F.lit(f"fold{seed}|"), F.col("repeat").cast("string"), F.lit("|"), F.col(key).cast("string"))
+    reps = reps.withColumn("_h", F.conv(F.substring(F.md5(tag), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
+    ranked = ordered_prefix(reps, [("_h", False)], partition=["repeat", y], tiebreak=key, rn="_rk")
+    return ranked.select(key, y, F.col("repeat").cast("int").alias("repeat"),
+                         F.pmod(F.col("_rk") - 1 + off[F.col(y)], F.lit(n_splits)).cast("int").alias("fold"))
