@@ -159,7 +159,8 @@ def ordered_prefix(
     n = None
     if n_buckets is None:
         n = df.count()
-        n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n / ROWS_PER_BUCKET)))
+        per_bucket = int(df.sparkSession.conf.get("churnlens.ordered.rowsPerBucket", str(ROWS_PER_BUCKET)))
+        n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n / per_bucket)))
         if mode == "auto" and n_buckets == 1:
             return windowed(df, partition)
     if n is None:
