@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 ROWS_PER_BUCKET = 2_000_000     # target rows per local window task
 MAX_BUCKETS = 4096              # bound on boundaries held in the plan
 SAMPLE_PER_BUCKET = 32          # sampled rows per bucket (driver holds <= 32 * 4096 keys)
-BROADCAST_MAX_ROWS = 2_000_000  # offsets table is broadcast only below this
 
 
 def _orders(order: Sequence[tuple[str, bool]], tiebreak: str | None) -> list[tuple[str, bool]]:
@@ -137,7 +136,8 @@ def ordered_prefix(
     and inclusive running sums ``cum_<s>`` for every column in ``sums``.
 
     ``order`` is a list of (column, descending). The order plus ``tiebreak`` must be
-    total (unique) for results to be deterministic. ``mode``: "window" = one window per
+    total (unique) for results to be deterministic; order keys and summed columns must be
+    non-null. ``mode``: "window" = one window per
     partition group; "bucketed" = distributed; "auto" = bucketed when the input exceeds
     ``ROWS_PER_BUCKET`` rows or ``n_buckets`` is given.
     """
@@ -180,12 +180,11 @@ def ordered_prefix(
         F.coalesce(F.sum("_n").over(wt), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_t_{s}").over(wt), F.lit(0)).alias(f"_off_{s}") for s in sums],
     )
-    # the offsets table has one row per (bucket, partition value) that occurs: bounded by
-    # B + number of partition values; broadcast only after checking that bound.
-    n_off = len(bounds) + 1
-    if partition:
-        n_off = offsets.count()
-    offs = F.broadcast(offsets) if n_off <= BROADCAST_MAX_ROWS else offsets
+    # Without partition keys the offsets table has at most B + 1 rows (B <= MAX_BUCKETS): a proven
+    # bound, so broadcast it. With partition keys it has one row per (bucket, partition value) seen;
+    # leave the choice to AQE's runtime size check — the large side is already hash-partitioned on
+    # (_bkt, partition) by the local window, so a sort-merge join moves only the offsets.
+    offs = offsets if partition else F.broadcast(offsets)
     out = local.join(offs, ["_bkt", *partition])
     out = out.withColumn(rn, F.col(rn) + F.col("_off_n"))
     for s in sums:
