@@ -244,3 +244,37 @@ def derived_columns(spark, sf):
     return s_treated(spark, sf).select(
         "customerID", TR.derived_total().alias("derived_total"),
         F.round(TR.total_residual(), 6).alias("residual"), TR.addon_count().alias("n_addons"))
+
+
+# ---- the same operators over R, the subscribers derived from orders ⋈ customer ⋈ nation
+
+
+@register("r_churn_by_contract", with_r(
+    "SELECT Contract, round(avg(Churn::double), 6) AS churn_rate, count(*) AS n FROM r GROUP BY Contract"))
+def r_churn_by_contract(spark, sf):
+    """F2 over R."""
+    df = X.churn_by_category(r_table(spark, sf), "Contract")
+    return df.select("Contract", F.round("churn_rate", R6).alias("churn_rate"), "n")
+
+
+@register("r_segment_region_profile", with_r("""
+SELECT segment, region, count(*) AS n, round(avg(Churn::double), 6) AS churn_rate,
+       round(avg(tenure), 6) AS mean_tenure, round(avg(MonthlyCharges), 6) AS mean_monthly,
+       round(sum(TotalCharges), 2) AS total_spend
+FROM r GROUP BY segment, region"""))
+def r_segment_region_profile(spark, sf):
+    """F2 / F7 over R: churn and spend by market segment and region (join-derived keys)."""
+    r = r_table(spark, sf)
+    return r.groupBy("segment", "region").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("Churn").cast("double")), R6).alias("churn_rate"),
+        F.round(F.avg("tenure"), R6).alias("mean_tenure"), F.round(F.avg("MonthlyCharges"), R6).alias("mean_monthly"),
+        F.round(F.sum("TotalCharges"), 2).alias("total_spend"))
+
+
+@register("r_describe_numeric", with_r(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS count,
+  round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c})::double AS min,
+  round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50,
+  round(quantile_cont({c}, 0.75), 6) AS p75, max({c})::double AS max FROM r""" for c in S.NUMERIC)))
+def r_describe_numeric(spark, sf):
+    """F5 over R: exact quartiles of tenure and spend."""
+    return _round_desc(X.describe(r_table(spark, sf), S.NUMERIC))
