@@ -131,6 +131,7 @@ def ordered_prefix(
     rn: str = "rn",
     prefix: str = "cum_",
     seed: int = 7,
+    n: int | None = None,
 ) -> DataFrame:
     """Add ``rn`` (1-based position inside ``partition`` under ``order`` + ``tiebreak`` asc)
     and inclusive running sums ``cum_<s>`` for every column in ``sums``.
@@ -156,9 +157,8 @@ def ordered_prefix(
     if mode == "window":
         return windowed(df, partition)
 
-    n = None
     if n_buckets is None:
-        n = df.count()
+        n = df.count() if n is None else n
         per_bucket = int(df.sparkSession.conf.get("churnlens.ordered.rowsPerBucket", str(ROWS_PER_BUCKET)))
         n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n / per_bucket)))
         if mode == "auto" and n_buckets == 1:

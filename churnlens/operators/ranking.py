@@ -22,12 +22,12 @@ def decile_expr(rn: Column, n: Column, k: int = 10) -> Column:
     return F.greatest(F.lit(1), ((a - F.pmod(a, b)) / b).cast("int"))
 
 
-def deciles(df: DataFrame, p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
+def deciles(df: DataFrame, p: str = "p", key: str = S.ID, k: int = 10, n: int | None = None) -> DataFrame:
     """G1: decile of risk — rank by p descending, ties by id; bucket sizes follow pd.qcut
     on ranks (the short bucket lands in the middle, e.g. 141×5, 140, 141×4 for 1,409 rows)."""
-    n = df.agg(F.count(F.lit(1))).scalar()
-    ranked = ordered_prefix(df, [(p, True)], tiebreak=key, rn="rank")
-    return ranked.withColumn("decile", decile_expr(F.col("rank"), n, k))
+    n_col = df.agg(F.count(F.lit(1))).scalar() if n is None else F.lit(n)
+    ranked = ordered_prefix(df, [(p, True)], tiebreak=key, rn="rank", n=n)
+    return ranked.withColumn("decile", decile_expr(F.col("rank"), n_col, k))
 
 
 def lift_table(df: DataFrame, y: str = "y", p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
@@ -40,7 +40,7 @@ def lift_table(df: DataFrame, y: str = "y", p: str = "p", key: str = S.ID, k: in
     if not stats["pos"]:
         raise ValueError("lift by decile is undefined for a slice with no churn")
     base = stats["pos"] / stats["n"]
-    per = deciles(df, p, key, k).groupBy("decile").agg(
+    per = deciles(df, p, key, k, n=stats["n"]).groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),
         F.avg(F.col(y).cast("double")).alias("churn_rate"))
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # k rows only

@@ -30,9 +30,9 @@ def class_quotas(counts: dict, n_take: int) -> dict:
     return quota
 
 
-def _hash_rank(df: DataFrame, y: str, tag: str, key: str) -> DataFrame:
+def _hash_rank(df: DataFrame, y: str, tag: str, key: str, n: int | None = None) -> DataFrame:
     d = df.withColumn("_h", uniform(tag, F.col(key)))
-    return ordered_prefix(d, [("_h", False)], partition=[y], tiebreak=key, rn="_rk").drop("_h")
+    return ordered_prefix(d, [("_h", False)], partition=[y], tiebreak=key, rn="_rk", n=n).drop("_h")
 
 
 def stratified_split(df: DataFrame, y: str = S.TARGET, test_size: float = 0.2, seed: int = 42,
@@ -43,7 +43,7 @@ def stratified_split(df: DataFrame, y: str = S.TARGET, test_size: float = 0.2, s
     n = sum(counts.values())
     quota = class_quotas(counts, math.ceil(test_size * n))
     q = F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))])
-    ranked = _hash_rank(df, y, f"split{seed}", key)
+    ranked = _hash_rank(df, y, f"split{seed}", key, n=n)
     return ranked.withColumn("split", F.when(F.col("_rk") <= q[F.col(y)], "test").otherwise("train")).drop("_rk")
 
 
@@ -63,6 +63,7 @@ def stratified_folds(df: DataFrame, y: str = S.TARGET, n_splits: int = 5, n_repe
     reps = df.select(key, y, F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))
     tag = F.concat(F.lit(f"fold{seed}|"), F.col("repeat").cast("string"), F.lit("|"), F.col(key).cast("string"))
     reps = reps.withColumn("_h", F.conv(F.substring(F.md5(tag), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
-    ranked = ordered_prefix(reps, [("_h", False)], partition=["repeat", y], tiebreak=key, rn="_rk")
+    ranked = ordered_prefix(reps, [("_h", False)], partition=["repeat", y], tiebreak=key, rn="_rk",
+                            n=acc * n_repeats)
     return ranked.select(key, y, F.col("repeat").cast("int").alias("repeat"),
                          F.pmod(F.col("_rk") - 1 + off[F.col(y)], F.lit(n_splits)).cast("int").alias("fold"))
