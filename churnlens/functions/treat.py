@@ -13,18 +13,19 @@ from churnlens import schema as S
 
 
 def yes_no(c: str | Column) -> Column:
-    """'Yes' -> 1, 'No' -> 0, anything else -> null (a CASE without ELSE, like a dict map)."""
+    """C2: 'Yes' -> 1, 'No' -> 0, anything else -> null (a CASE without ELSE, like a dict map)."""
     col = F.col(c) if isinstance(c, str) else c
     return F.when(col == "Yes", 1).when(col == "No", 0)
 
 
 def male_female(c: str | Column) -> Column:
+    """C2: 'Male' -> 1, 'Female' -> 0."""
     col = F.col(c) if isinstance(c, str) else c
     return F.when(col == "Male", 1).when(col == "Female", 0)
 
 
 def folded_yes_no(c: str, no_value: str) -> Column:
-    """Fold a 'No <service>' category into 'No', then map to 1/0."""
+    """Fold a 'No <service>' category into 'No', then map to 1/0."""
     col = F.col(c)
     return F.when(col == "Yes", 1).when(col.isin("No", no_value), 0)
 

@@ -2,7 +2,7 @@
 
 * numerics: standardised with the POPULATION std learned on the training rows
   (``PopulationScaler``; Spark's StandardScaler uses the sample std);
-* 3 categoricals: StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast) —
+* 3 categoricals (J2): StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast) —
   every known level kept, an unseen level encodes to all zeros;
 * 13 model binaries passed through; anything else is dropped;
 * assembled to 26 columns (25 without TotalCharges) in the order num, cat, bin.

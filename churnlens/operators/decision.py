@@ -38,7 +38,7 @@ QUEUES = ["expected_value", "churn_probability", "contract_rule", "random"]
 
 
 def with_decision(df: DataFrame, params: BusinessParams | None = None, p: str = "p", mc: str = "mc") -> DataFrame:
-    """K1 + K3 + K5: ve, per-customer threshold and the selection flag as columns."""
+    """K1 + K3 + K5: ve, per-customer threshold and the selection flag (D4: strict ve > 0)."""
     return (df.withColumn("ve", expected_value(p, mc, params))
               .withColumn("threshold", customer_threshold(mc, params))
               .withColumn("selected", F.col("ve") > 0))

@@ -63,7 +63,7 @@ def base_rate(df: DataFrame, target: str = S.TARGET) -> DataFrame:
 
 
 def churn_by_category(df: DataFrame, column: str, target: str = S.TARGET) -> DataFrame:
-    """churn rate and n per category, rate descending."""
+    """churn rate and n per category, rate descending (G6: sorted result)."""
     return (df.groupBy(column)
             .agg(F.avg(F.col(target).cast("double")).alias("churn_rate"), F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("churn_rate"), F.col(column)))

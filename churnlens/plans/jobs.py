@@ -56,7 +56,9 @@ def model_dir(out: str, name: str, use_total_charges: bool) -> str:
 def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 42, rounds: int = 300,
                 n_splits: int = 5, n_repeats: int = 3, parallelism: int = 2, test_size: float = 0.2,
                 reference: str = "logistic", models: list[str] | None = None) -> dict[str, DataFrame]:
-    """``models`` restricts the ladder (default: all seven)."""
+    """M2 / A5: CV with and without TotalCharges, paired table, champion, test measurement,
+    calibration experiment; writes the tables and the comparison report.
+    ``models`` restricts the ladder (default: all seven)."""
     def cat(use_total):
         c = catalogue(use_total, seed, rounds)
         return {k: v for k, v in c.items() if not models or k in models}
@@ -120,6 +122,9 @@ def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | No
 
 # ------------------------------------------------------------------- M3 decide
 
+# K9: the whole decision job on the out-of-sample rows of the stored split
+
+
 class SplitMismatch(ValueError):
     """The stored split of the model is not the split this job would draw."""
 

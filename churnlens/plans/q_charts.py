@@ -157,3 +157,12 @@ def kde_tenure_by_class(spark, sf):
     k = L.kde(s_treated(spark, sf), "tenure", "Churn", 100)
     return k.select("Churn", F.col("point").cast("int").alias("point"), F.round("x", 6).alias("x"),
                     F.round("density", 9).alias("density"))
+
+
+@register("mean_probability", with_s(PREDS_SQL + """
+SELECT model, round(avg(p), 6) AS mean_p, round(avg(y::double), 6) AS base_rate, count(*) AS n FROM preds GROUP BY model"""))
+def mean_probability(spark, sf):
+    """mean predicted probability per model against the observed base rate (calibration level)."""
+    return _preds(spark, sf).groupBy("model").agg(
+        F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg(F.col("y").cast("double")), 6).alias("base_rate"),
+        F.count(F.lit(1)).alias("n"))
