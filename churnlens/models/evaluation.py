@@ -23,7 +23,7 @@ from churnlens import schema as S
 from churnlens.models.catalog import ChurnModel
 from churnlens.operators import selection as SEL
 from churnlens.operators.metrics import calibration_curve, evaluate
-from churnlens.operators.ranking import lift_table
+from churnlens.operators.ranking import lift_by
 from churnlens.operators.splits import stratified_folds
 from churnlens.session import ensure_checkpoint_dir
 
@@ -40,8 +40,9 @@ def cross_validate(train: DataFrame, models: dict[str, ChurnModel], n_splits: in
                    seed: int = 42, parallelism: int = 2, label: str = S.TARGET) -> DataFrame:
     """fold_scores (model, repeat, fold, roc_auc, pr_auc, brier, seconds)."""
     spark = train.sparkSession
+    # ranked once and written to the shared checkpoint folder: every fit task reads it
     folds = stratified_folds(train, y=label, n_splits=n_splits, n_repeats=n_repeats, seed=seed).select(
-        S.ID, "repeat", "fold")
+        S.ID, "repeat", "fold").checkpoint(eager=True)
     root = scratch_path(spark, "cv")
     data = train.persist()
     tasks = [(name, r, k) for r in range(n_repeats) for k in range(n_splits) for name in models]
@@ -83,10 +84,7 @@ def test_measurement(train: DataFrame, test: DataFrame, models: dict[str, ChurnM
     preds = spark.read.parquet(root)
     metrics = evaluate(preds, by=["model"])
     calib = calibration_curve(preds, by=["model"])
-    lifts = None
-    for name in models:  # one lift table per model (10 rows each)
-        lt = lift_table(preds.filter(F.col("model") == name)).withColumn("model", F.lit(name))
-        lifts = lt if lifts is None else lifts.unionByName(lt)
+    lifts = lift_by(preds, by=["model"])  # deciles inside each model, one job
     return metrics, calib, lifts
 
 
