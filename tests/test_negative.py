@@ -136,3 +136,14 @@ def test_smallest_values_bounded_on_hot_group(spark):
     got = {r["g"]: list(r["values"]) for r in smallest_values(df, "g", "v", 5).collect()}
     assert got["hot"] == ["v0300001", "v0300002", "v0300003", "v0300004", "v0300005"]
     assert got["cold"] == ["v0300010", "v0300020", "v0300030", "v0300040", "v0300050"]
+
+
+def test_nulls_pass_validators_and_are_reported(raw):
+    """A null is not a domain violation (both validators ignore it); the null report shows it."""
+    from churnlens.operators.quality import null_counts
+
+    with_null = raw.withColumn("Contract", F.when(F.col("tenure") < 5, F.lit(None)).otherwise(F.col("Contract")))
+    validate_raw(with_null)
+    validate_treated(treat(with_null))
+    rows = {r["column"]: r["n_null"] for r in null_counts(with_null).collect()}
+    assert rows["Contract"] == raw.filter(F.col("tenure") < 5).count() > 0
