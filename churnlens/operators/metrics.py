@@ -55,8 +55,10 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
     j = _totals(cum, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
     terms = j.select(
         *by,
-        (F.col("neg") * ((F.col("tps") - F.col("pos")) + F.col("pos") / 2.0) / (F.col("n_pos") * F.col("n_neg"))).alias("_auc"),
-        (F.col("pos") / F.col("n_pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("_ap"))
+        # undefined (null) when a group has a single class — ANSI mode would throw on /0
+        F.try_divide(F.col("neg") * ((F.col("tps") - F.col("pos")) + F.col("pos") / 2.0),
+                     F.col("n_pos") * F.col("n_neg")).alias("_auc"),
+        F.try_divide(F.col("pos") * F.col("tps"), F.col("n_pos") * (F.col("tps") + F.col("fps"))).alias("_ap"))
     return terms.groupBy(*by).agg(F.sum("_auc").alias("roc_auc"), F.sum("_ap").alias("pr_auc"))
 
 
@@ -109,8 +111,8 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()
     second_diff_f = F.col("fps_next") - 2 * F.col("fps") + F.col("fps_prev")
     second_diff_t = F.col("tps_next") - 2 * F.col("tps") + F.col("tps_prev")
     keep = (F.col("rn") == 1) | (F.col("rn") == F.col("m")) | (second_diff_f != 0) | (second_diff_t != 0)
-    pts = j.filter(keep).select(*by, (F.col("fps") / F.col("n_neg")).alias("fpr"),
-                                (F.col("tps") / F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
+    pts = j.filter(keep).select(*by, F.try_divide(F.col("fps"), F.col("n_neg")).alias("fpr"),
+                                F.try_divide(F.col("tps"), F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
     origin_src = cum.select(*by).distinct() if by else cum.sparkSession.range(1)
     origin = origin_src.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                                F.lit(None).cast("double").alias("threshold"))

@@ -147,3 +147,13 @@ def test_nulls_pass_validators_and_are_reported(raw):
     validate_treated(treat(with_null))
     rows = {r["column"]: r["n_null"] for r in null_counts(with_null).collect()}
     assert rows["Contract"] == raw.filter(F.col("tenure") < 5).count() > 0
+
+
+def test_single_class_group_gives_null_auc(spark):
+    from churnlens.operators.metrics import evaluate
+
+    sc = s_scored(spark, SF001).withColumn("g", F.when(F.col("y") == 1, "only_pos").otherwise("mixed"))
+    sc = sc.withColumn("g", F.when(F.col("customerID").cast("int") % 2 == 0, "mixed").otherwise(F.col("g")))
+    rows = {r["g"]: r for r in evaluate(sc, by=["g"]).collect()}
+    assert rows["only_pos"]["roc_auc"] is None
+    assert rows["mixed"]["roc_auc"] is not None
