@@ -64,7 +64,7 @@ def expected_value(p: Column | str, mc: Column | str, params: BusinessParams | d
 def threshold_floor(params: BusinessParams | dict | None = None) -> Column:
     """K2: discount / margin — below it no contact ever pays."""
     pr = params if isinstance(params, dict) else param_cols(params)
-    return _v(pr["discount"]) / _v(pr["margin"])
+    return F.try_divide(_v(pr["discount"]), _v(pr["margin"]))
 
 
 def customer_threshold(mc: Column | str, params: BusinessParams | dict | None = None) -> Column:

@@ -68,4 +68,4 @@ def kde(df: DataFrame, x: str, by: str, points: int = 100) -> DataFrame:
     z = (F.col("x") - F.col("_v")) / F.col("_h")
     contrib = F.col("_c") * F.exp(-0.5 * z * z) / F.lit(math.sqrt(2 * math.pi))
     return grid.groupBy(by, "point", "x").agg(
-        (F.sum(contrib) / F.first(F.col("_n") * F.col("_h"))).alias("density"))
+        F.try_divide(F.sum(contrib), F.first(F.col("_n") * F.col("_h"))).alias("density"))

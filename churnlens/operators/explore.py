@@ -149,7 +149,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> D
     if by:
         tot = h.groupBy(by).agg(F.sum("n").alias("class_n"))
         h = h.join(F.broadcast(tot), by).withColumn(
-            "density", F.col("n") / (F.col("class_n") * (F.col("right") - F.col("left")))).drop("class_n")
+            "density", F.try_divide(F.col("n"), F.col("class_n") * (F.col("right") - F.col("left")))).drop("class_n")
     return h
 
 

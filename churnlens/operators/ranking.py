@@ -19,7 +19,7 @@ def decile_expr(rn: Column, n: Column, k: int = 10) -> Column:
     """T1 rule in exact integer arithmetic: greatest(1, ceil((rn - 1) * k / (n - 1)))."""
     a = (rn - 1) * k + (n - 2)
     b = n - 1
-    return F.greatest(F.lit(1), ((a - F.pmod(a, b)) / b).cast("int"))
+    return F.when(n > 1, F.greatest(F.lit(1), ((a - F.pmod(a, b)) / b).cast("int"))).otherwise(F.lit(1))
 
 
 def deciles(df: DataFrame, p: str = "p", key: str = S.ID, k: int = 10, n: int | None = None) -> DataFrame:
