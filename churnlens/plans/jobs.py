@@ -233,7 +233,7 @@ def main(argv: list[str] | None = None) -> None:
     a = ap.parse_args(argv)
     if not (a.csv or a.sf_dir):
         ap.error("give --csv or --sf-dir")
-    spark = get_spark() if not SparkSession.getActiveSession() else SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or get_spark()
     treated = load_input(spark, a.csv, a.sf_dir, a.base).persist()
     params = BusinessParams(a.margin, a.discount, a.acceptance, a.horizon, a.contact_cost)
     if a.job == "compare":

@@ -8,8 +8,27 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# settings for a cluster run (pass with --conf); sized for large shuffles, AQE does the rest
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "churnlens") -> SparkSession:
-    """Local session for tests/bench. On a cluster the session comes from spark-submit."""
+    """Local session for tests/bench. Under spark-submit (a master is already configured)
+    the cluster's settings are kept and only the shared checkpoint folder is checked."""
+    from pyspark import SparkConf
+
+    configured = SparkConf().get("spark.master", None)
+    if configured and master is None:
+        spark = SparkSession.builder.appName(app).getOrCreate()
+        ensure_checkpoint_dir(spark)
+        return spark
     master = master or os.environ.get("CHURNLENS_MASTER", "local[8]")
     builder = (
         SparkSession.builder.master(master)
