@@ -64,3 +64,29 @@ def rule_baseline_scores(spark, sf):
     test = sp.filter(F.col("split") == "test")
     scored = fitted.predict_class(fitted.predict(test))
     return scored.select(S.ID, F.col("Churn").alias("y"), "p", "prediction")
+
+
+def _logistic_fit(spark, sf):
+    from churnlens.models.catalog import catalogue
+
+    sp = stratified_split(s_treated(spark, sf).drop("p_score"))
+    train = sp.filter(F.col("split") == "train").drop("split")
+    return sp, train, catalogue()["logistic"].fit(train)
+
+
+@register("logistic_split_metrics", None)
+def logistic_split_metrics(spark, sf):
+    """J6 / J15 / H4 (rows-only: iterative fit, no SQL twin): logistic regression with the
+    single-machine L2 objective fitted on the training split; metrics on train and test."""
+    from churnlens.operators.metrics import evaluate
+
+    sp, _, fitted = _logistic_fit(spark, sf)
+    scored = fitted.score(sp).select(S.ID, "split", F.col("Churn").alias("y"), "p")
+    return evaluate(scored, by=["split"])
+
+
+@register("logistic_coefficients", None)
+def logistic_coefficients(spark, sf):
+    """J14 (rows-only): named coefficients of the logistic model, intercept first."""
+    _, train, fitted = _logistic_fit(spark, sf)
+    return fitted.coefficients(train)
