@@ -54,3 +54,27 @@ def test_floors(spark, discount, floor):
 def test_threshold_formula(spark, mc, thr):
     v = spark.range(1).select(customer_threshold(F.lit(mc))).first()[0]
     assert round(v, 4) == thr
+
+
+def test_champion_vs_leader_rule(spark):
+    from churnlens.operators.selection import champion_vs_leader
+
+    rows = []
+    for r in range(3):
+        for f in range(5):
+            base = 0.5 + 0.01 * f
+            rows += [("a", r, f, 0.8, base + 0.02, 0.1, 1.0),      # leader, slow
+                     ("b", r, f, 0.8, base + 0.02 - (0.01 if f % 2 else -0.01), 0.1, 0.2),  # noisy, tied
+                     ("c", r, f, 0.8, base - 0.05, 0.1, 0.1)]      # clearly worse, cheapest
+    fs = spark.createDataFrame(rows, "model string, repeat int, fold int, roc_auc double, pr_auc double, "
+                                     "brier double, seconds double")
+    out = champion_vs_leader(fs).first()
+    assert out["leader"] in {"a", "b"} and out["champion"] == "b" and "c" not in out["tied"]
+
+
+def test_champion_name_falls_back_to_logistic(spark, tmp_path):
+    from churnlens.sources.raw import champion_name, write_report
+
+    assert champion_name(spark, str(tmp_path / "missing")) == "logistic"
+    write_report(spark.range(1).select(F.lit("xgboost").alias("champion")), str(tmp_path / "rep"))
+    assert champion_name(spark, str(tmp_path / "rep")) == "xgboost"
