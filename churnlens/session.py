@@ -51,15 +51,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset (tests)."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote session: the server owns the checkpoint folder
+        if not conf_dir:
+            raise ValueError("set spark.checkpoint.dir to a shared folder") from None
+        return conf_dir
+    current = sc.getCheckpointDir()
     if current:
         return current
     if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
+        sc.setCheckpointDir(conf_dir)
         return conf_dir
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster; "
                          "a machine-local scratch folder is only used in local mode")
     local = tempfile.mkdtemp(prefix="churnlens-ckpt-")
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local

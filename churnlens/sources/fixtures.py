@@ -47,9 +47,12 @@ def planted_subscribers(spark: SparkSession, sf_dir: str, base: str = "customer"
     # Generation is CPU-heavy (20 md5 per row) and row-local. A small key file is one
     # scan split; spread it over the cores by hashing the key (deterministic on retry).
     # On a large input the scan already has many splits and no exchange is added.
-    cores = spark.sparkContext.defaultParallelism
-    if k.rdd.getNumPartitions() < cores:
-        k = k.repartition(cores, "k")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        if k.rdd.getNumPartitions() < cores:
+            k = k.repartition(cores, "k")
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): keep the scan split
+        pass
     u = k.select("k", *[uniform(t, F.col("k")).alias(f"u_{t}") for t in U_TAGS])
     c = F.col
     internet = (F.when(c("u_net") < 0.34, "DSL").when(c("u_net") < 0.78, "Fiber optic").otherwise("No"))
