@@ -130,12 +130,6 @@ def calibration_variants(seed: int = 42) -> dict[str, ChurnModel]:
     }
 
 
-def scored(fitted: FittedModel, df: DataFrame, label: str = S.TARGET) -> DataFrame:
-    """(customerID, y, p) for the metric layer."""
-    return fitted.score(df.select(*[c for c in df.columns])).select(
-        S.ID, F.col(label).alias("y"), "p")
-
-
 def load_fitted(path: str, name: str = "loaded") -> FittedModel:
     """Reload a model saved by ``FittedModel.save`` (preprocessor + Spark ML classifier)."""
     from pyspark.ml import PipelineModel

@@ -176,3 +176,14 @@ def test_custom_grid(scored):
     assert len(s) == 4 and sum(r["is_default"] for r in s) == 2
     with pytest.raises(ValueError):
         parse_grid("price=1")
+
+
+def test_single_queue_curve_matches_four_queue_version(scored):
+    """One queue's curve equals the same queue inside the stacked four-queue job."""
+    from churnlens.operators.ranking import queue_curve
+
+    d = K.with_decision(scored)
+    one = {r["customerID"]: (r["contacted"], round(r["cum_profit"], 6)) for r in queue_curve(d, F.col("ve")).collect()}
+    four = {r["customerID"]: (r["contacted"], round(r["cum_profit"], 6))
+            for r in K.queue_curves(scored).filter("queue = 'expected_value'").collect()}
+    assert one == four
