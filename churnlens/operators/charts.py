@@ -40,7 +40,7 @@ def curve_series(preds: DataFrame, champion: str, baseline: str = "contract_rule
 def calibration_series(preds: DataFrame) -> DataFrame:
     """L3: calibration points per model with the model's Brier score."""
     brier = evaluate(preds, by=["model"]).select("model", "brier")
-    return calibration_curve(preds, by=["model"]).join(F.broadcast(brier), "model")
+    return calibration_curve(preds, by=["model"]).join(brier, "model")
 
 
 def lift_series(preds: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def kde(df: DataFrame, x: str, by: str, points: int = 100) -> DataFrame:
     stats = df.groupBy(by).agg(F.count(F.col(x)).alias("_n"), F.stddev_samp(x).alias("_sd"))
     stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2))
     vals = df.groupBy(by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    vals = vals.join(F.broadcast(stats), by)  # one row per class
+    vals = vals.join(stats, by)  # one row per class
     grid = vals.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     grid = grid.withColumn("x", lo + (hi - lo) * F.col("point") / F.lit(points - 1))
     z = (F.col("x") - F.col("_v")) / F.col("_h")

@@ -148,7 +148,7 @@ def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> D
                  (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("right"), "n")
     if by:
         tot = h.groupBy(by).agg(F.sum("n").alias("class_n"))
-        h = h.join(F.broadcast(tot), by).withColumn(
+        h = h.join(tot, by).withColumn(
             "density", F.try_divide(F.col("n"), F.col("class_n") * (F.col("right") - F.col("left")))).drop("class_n")
     return h
 
@@ -160,7 +160,7 @@ def box_stats(df: DataFrame, x: str, by: str = S.TARGET, approx: bool = False) -
         by, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(by, F.col(x).cast("double").alias("x")).join(F.broadcast(q), by)
+    j = df.select(by, F.col(x).cast("double").alias("x")).join(q, by)  # one row per class
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     w = j.groupBy(by).agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
@@ -182,8 +182,8 @@ def quartile_bins(df: DataFrame, x: str, q: int = 4, approx: bool = False, by: l
     dup = arr.filter(F.size(F.array_distinct("edges")) < F.size("edges")).limit(1).collect()
     if dup:
         raise ValueError(f"quantile bin edges are not unique: {dup[0]['edges']}")
-    # one row per group: broadcast join, or a scalar subquery when ungrouped
-    j = df.join(F.broadcast(arr), keys) if keys else df.withColumn("edges", arr.select("edges").scalar())
+    # one row per group (AQE broadcasts it when small), or a scalar subquery when ungrouped
+    j = df.join(arr, keys) if keys else df.withColumn("edges", arr.select("edges").scalar())
     return j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
 
 

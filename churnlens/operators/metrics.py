@@ -43,7 +43,7 @@ def _totals(cum: DataFrame, by: list[str], aggs: dict) -> DataFrame:
     or scalar subqueries when ungrouped (no constant-key join)."""
     if by:
         tot = cum.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
-        return cum.join(F.broadcast(tot), by)
+        return cum.join(tot, by)  # one row per group; AQE picks broadcast at runtime when small
     one = cum.agg(F.struct(*[a.alias(k) for k, a in aggs.items()])).scalar()  # ONE subquery for all totals
     return cum.withColumns({k: one[k] for k in aggs})
 
@@ -71,7 +71,7 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ())
         F.count(F.lit(1)).alias("n"))
     rk = ranking_metrics(df, y, p, by)
     if by:
-        out = simple.join(F.broadcast(rk), by)  # one row per group
+        out = simple.join(rk, by)  # one row per group on both sides
     else:
         one = rk.select(F.struct("roc_auc", "pr_auc")).scalar()
         out = simple.withColumns({c: one[c] for c in ["roc_auc", "pr_auc"]})
@@ -87,8 +87,8 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 1
     edges = exact_quantiles(df.select(*by, F.col(p).alias("_x")), "_x", probs, by=by, approx=approx)
     arr = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_e")) \
         .select(*by, F.transform("_e", lambda s: s["value"]).alias("_edges"))
-    # one row per group: broadcast (or a scalar subquery when ungrouped)
-    j = df.join(F.broadcast(arr), by) if by else df.withColumn("_edges", arr.select("_edges").scalar())
+    # one row per group (AQE broadcasts it when small), or a scalar subquery when ungrouped
+    j = df.join(arr, by) if by else df.withColumn("_edges", arr.select("_edges").scalar())
     binned = j.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
     return binned.groupBy(*by, "bin").agg(
         F.avg(F.col(p)).alias("predicted"), F.avg(F.col(y).cast("double")).alias("observed"),

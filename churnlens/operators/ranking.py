@@ -70,7 +70,7 @@ def lift_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str =
     bad = sizes.filter((F.col("_n") < k) | (F.col("_pos") == 0)).limit(1).collect()
     if bad:
         raise ValueError(f"lift by decile needs >= {k} rows and a positive label per group: {bad[0].asDict()}")
-    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank").join(F.broadcast(sizes), by)
+    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank").join(sizes, by)
     ranked = ranked.withColumn("decile", decile_expr(F.col("rank"), F.col("_n"), k))
     per = ranked.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),

@@ -33,8 +33,8 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
     counts = vals.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
     cum = ordered_prefix(counts, [(x, False)], sums=["_c"], partition=by, rn="_rk", prefix="_cum")
     if by:
-        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))  # one row per group: broadcast
-        cum = cum.join(F.broadcast(sizes), by)
+        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))  # one row per group
+        cum = cum.join(sizes, by)  # AQE broadcasts it at runtime when it is small
     else:
         cum = cum.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     aggs, outs = [], []
