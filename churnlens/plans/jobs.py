@@ -1,6 +1,6 @@
 """Batch jobs (M1-M4): compare → train → decide, plus the segment/campaign tables.
 
-    spark-submit -m churnlens.plans.jobs compare  --csv s3://.../raw.csv --out s3://.../churn
+    spark-submit -m churnlens.plans.jobs compare  --csv /shared/raw.csv --out /shared/churn
     python -m churnlens.plans.jobs train   --sf-dir /root/testdata/sf0.01 --out /shared/churn
     python -m churnlens.plans.jobs decide  --sf-dir ... --out ... --discount 0.05
     python -m churnlens.plans.jobs segments --sf-dir ... --out ...

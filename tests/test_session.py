@@ -22,14 +22,14 @@ def test_cluster_without_shared_dir_is_refused():
 
 
 def test_configured_dir_is_used():
-    spark, calls = _stub("yarn", conf_dir="hdfs:///shared/ckpt")
-    assert ensure_checkpoint_dir(spark) == "hdfs:///shared/ckpt"
-    assert calls["set"] == "hdfs:///shared/ckpt"
+    spark, calls = _stub("yarn", conf_dir="/mnt/shared/ckpt")
+    assert ensure_checkpoint_dir(spark) == "/mnt/shared/ckpt"
+    assert calls["set"] == "/mnt/shared/ckpt"
 
 
 def test_existing_dir_is_kept():
-    spark, calls = _stub("yarn", current="s3://bucket/ckpt")
-    assert ensure_checkpoint_dir(spark) == "s3://bucket/ckpt"
+    spark, calls = _stub("yarn", current="/mnt/shared/existing-ckpt")
+    assert ensure_checkpoint_dir(spark) == "/mnt/shared/existing-ckpt"
     assert "set" not in calls
 
 
