@@ -31,9 +31,11 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
 
 
-def cumulative_scores(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """(by, p, pos, neg, rn, tps, fps): cumulative counts at each distinct score, descending."""
-    sc = score_counts(df, y, p, by)
+def cumulative_scores(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
+                      counted: bool = False) -> DataFrame:
+    """(by, p, pos, neg, rn, tps, fps): cumulative counts at each distinct score, descending.
+    ``counted=True`` when ``df`` already is a (by, p, pos, neg) table."""
+    sc = df if counted else score_counts(df, y, p, by)
     cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn")
     return cum.withColumnRenamed("cum_pos", "tps").withColumnRenamed("cum_neg", "fps")
 
@@ -48,10 +50,11 @@ def _totals(cum: DataFrame, by: list[str], aggs: dict) -> DataFrame:
     return cum.withColumns({k: one[k] for k in aggs})
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
+                    counted: bool = False) -> DataFrame:
     """H1 + H2: (by, roc_auc, pr_auc)."""
     by = list(by)
-    cum = cumulative_scores(df, y, p, by)
+    cum = cumulative_scores(df, y, p, by, counted)
     j = _totals(cum, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
     terms = j.select(
         *by,
@@ -63,13 +66,20 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
 
 
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
-    """H4: (by, roc_auc, pr_auc, brier, base_rate, n) — H3 Brier is a row-level mean."""
+    """H4: (by, roc_auc, pr_auc, brier, base_rate, n), all from ONE pass over the rows:
+    rows collapse to (by, p, pos, neg), and every metric is computed on that table."""
+    return evaluate_counts(score_counts(df, y, p, by), by)
+
+
+def evaluate_counts(sc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """H1-H4 from a collapsed (by, p, pos, neg) table; H3 Brier = Σ pos·(p−1)² + neg·p² over n."""
     by = list(by)
-    simple = df.groupBy(*by).agg(
-        F.avg((F.col(p) - F.col(y)) ** 2).alias("brier"),
-        F.avg(F.col(y).cast("double")).alias("base_rate"),
-        F.count(F.lit(1)).alias("n"))
-    rk = ranking_metrics(df, y, p, by)
+    simple = sc.groupBy(*by).agg(
+        (F.sum(F.col("pos") * (F.col("p") - 1) ** 2 + F.col("neg") * F.col("p") ** 2)
+         / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
+        (F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("base_rate"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n"))
+    rk = ranking_metrics(sc, by=by, counted=True)
     if by:
         out = simple.join(rk, by)  # one row per group on both sides
     else:

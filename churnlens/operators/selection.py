@@ -7,11 +7,11 @@ ONE grouped metrics job over the union of all validation predictions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
-from churnlens.operators.metrics import evaluate
+from churnlens.operators.metrics import evaluate, evaluate_counts, score_counts
 
 METRICS = ["roc_auc", "pr_auc", "brier"]
 
@@ -37,10 +37,11 @@ def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str
     rule = j.join(F.broadcast(rates), ["repeat", "fold", "flag"]).select(
         F.lit("contract_rule").alias("model"), "repeat", "fold", S.ID, "y", F.col("rate").alias("p"))
     card = j.select(F.lit("scorecard").alias("model"), "repeat", "fold", S.ID, "y", F.col("p_score").alias("p"))
-    # the validation table feeds several jobs (counts, totals, metrics): materialise it once in
-    # the shared checkpoint folder instead of recomputing the fold ranking for each of them
-    val = card.unionByName(rule).checkpoint(eager=True)
-    return fold_metrics(val)
+    # collapse every validation set to (model, repeat, fold, p) -> (pos, neg) and materialise that
+    # small table once in the shared checkpoint folder: all metrics are computed from it
+    by = ["model", "repeat", "fold"]
+    counts = score_counts(card.unionByName(rule), by=by).checkpoint(eager=True)
+    return evaluate_counts(counts, by).select(*by, *METRICS)
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
@@ -54,8 +55,12 @@ def cv_summary(fold_scores: DataFrame) -> DataFrame:
 def paired_comparison(fold_scores: DataFrame, reference: str, metric: str = "pr_auc") -> DataFrame:
     """Per-fold difference against ``reference`` on the same (repeat, fold):
     mean, population std, folds won; plus mean seconds per fit when present."""
-    ref = fold_scores.filter(F.col("model") == reference).select("repeat", "fold", F.col(metric).alias("_ref"))
-    d = fold_scores.join(F.broadcast(ref), ["repeat", "fold"]).withColumn("_d", F.col(metric) - F.col("_ref"))
+    # E8 as a window over (repeat, fold) rather than a self-join: the fold table is evaluated
+    # ONCE, so the reference's own difference is exactly 0 (a self-join would evaluate the
+    # float sums twice, and distributed sums may differ in the last bit between evaluations)
+    w = Window.partitionBy("repeat", "fold")
+    ref = F.max(F.when(F.col("model") == reference, F.col(metric))).over(w)
+    d = fold_scores.withColumn("_d", F.col(metric) - ref)
     aggs = [F.avg(metric).alias(f"{metric}_mean"), F.avg("_d").alias("diff_mean"),
             F.stddev_pop("_d").alias("diff_std"), F.count_if(F.col("_d") > 0).alias("folds_won"),
             F.count(F.lit(1)).alias("n_folds")]
