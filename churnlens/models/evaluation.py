@@ -3,9 +3,9 @@ experiment (I3, I4, I5, I8, I9) — fits orchestrated from the driver, data on S
 
 Each fit is a set of Spark jobs; independent fits run concurrently from a
 driver thread pool (``parallelism``). Every fit's validation predictions are
-written as their own parquet folder under the shared checkpoint directory
-(a written table cuts lineage and survives executor loss); all metrics are
-then computed in ONE grouped job over those predictions. Each model is fitted
+written — collapsed to (score -> positives, negatives) — as its own parquet
+folder under the shared checkpoint directory (a written table cuts lineage and
+survives executor loss); all metrics are then computed in ONE grouped job. Each model is fitted
 once per fold: the CV table and the paired table both derive from the same
 ``fold_scores`` (no refit).
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.models.catalog import ChurnModel
 from churnlens.operators import selection as SEL
-from churnlens.operators.metrics import calibration_curve, evaluate
+from churnlens.operators.metrics import calibration_curve, evaluate, evaluate_counts, score_counts
 from churnlens.operators.ranking import lift_by
 from churnlens.operators.splits import stratified_folds
 from churnlens.session import ensure_checkpoint_dir
@@ -32,6 +32,13 @@ def scratch_path(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/churnlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _write_counts(fitted, frame: DataFrame, path: str, label: str) -> None:
+    """Validation scores collapsed to (p -> pos, neg): everything the CV metrics need, and far
+    smaller than row-level predictions on a large table."""
+    scored = fitted.score(frame).select(F.col(label).cast("int").alias("y"), "p")
+    score_counts(scored).write.mode("overwrite").parquet(path)
+
+
 def _write_predictions(fitted, frame: DataFrame, path: str, label: str) -> None:
     fitted.score(frame).select(S.ID, F.col(label).cast("int").alias("y"), "p").write.mode("overwrite").parquet(path)
 
@@ -55,14 +62,15 @@ def cross_validate(train: DataFrame, models: dict[str, ChurnModel], n_splits: in
         t0 = time.perf_counter()
         fitted = models[name].fit(tr, label)
         seconds = time.perf_counter() - t0
-        _write_predictions(fitted, va, f"{root}/model={name}/repeat={r}/fold={k}", label)
+        _write_counts(fitted, va, f"{root}/model={name}/repeat={r}/fold={k}", label)
         return name, r, k, seconds
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         timings = list(pool.map(run, tasks))
     data.unpersist()
-    preds = spark.read.parquet(root)
-    scores = SEL.fold_metrics(preds)
+    counts = spark.read.parquet(root)
+    by = ["model", "repeat", "fold"]
+    scores = evaluate_counts(counts, by).select(*by, *SEL.METRICS)
     secs = spark.createDataFrame(timings, "model string, repeat int, fold int, seconds double")
     return scores.join(secs, ["model", "repeat", "fold"])
 
