@@ -98,7 +98,7 @@ def test_measurement(train: DataFrame, test: DataFrame, models: dict[str, ChurnM
 
 def calibration_experiment(train: DataFrame, test: DataFrame, variants: dict[str, ChurnModel],
                            label: str = S.TARGET) -> tuple[DataFrame, DataFrame]:
-    """I8: metrics + mean predicted probability (F17) and calibration curve per variant."""
+    """Metrics + mean predicted probability (F17) and calibration curve per variant."""
     spark = train.sparkSession
     root = scratch_path(spark, "calib")
     for name, m in variants.items():

@@ -70,7 +70,7 @@ def paired_comparison(fold_scores: DataFrame, reference: str, metric: str = "pr_
 
 
 def champion(paired: DataFrame, cv: DataFrame | None = None) -> DataFrame:
-    """I6 (reference tie rule): leader = max_by PR-AUC mean (G7); a model ties with the leader
+    """I6 / E2 (reference tie rule): leader = max_by PR-AUC mean (G7), looked up by name; a model ties with the leader
     when |diff_mean_m − diff_mean_leader| < diff_std_m, where the differences are the paired
     ones against the reference model; leader + ties (E10) → cheapest by seconds per fit (min_by).
     Returns one row (leader, tied, champion)."""

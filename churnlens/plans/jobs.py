@@ -93,6 +93,8 @@ def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 4
 
 def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | None = None,
               use_total_charges: bool = True, seed: int = 42, test_size: float = 0.2, rounds: int = 300) -> dict:
+    """M1 (A3, A4, A7): champion from the comparison report (or --model), fit on the stored
+    training split, metrics by split, lift, coefficients, model and report written."""
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
     m = get_model(name, use_total_charges=use_total_charges, seed=seed, rounds=rounds)  # unknown name → error
     mdir = model_dir(out, name, use_total_charges)
@@ -157,6 +159,7 @@ def parse_grid(text: str | None) -> dict | None:
 def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | None = None,
                params: BusinessParams | None = None, seed: int = 42, use_total_charges: bool = True,
                grid: dict | None = None) -> dict:
+    """M3 / K9 (A6): the whole decision job on the model's out-of-sample rows."""
     params = params or BusinessParams()
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
     mdir = model_dir(out, name, use_total_charges)
@@ -206,6 +209,7 @@ def segments_job(spark: SparkSession, treated: DataFrame, out: str, model: str |
 # ------------------------------------------------------------------------ CLI
 
 def main(argv: list[str] | None = None) -> None:
+    """M1-M4 command line (K13 parameters and grid); A9: the treated base table is persisted once."""
     from churnlens.session import get_spark
 
     ap = argparse.ArgumentParser(prog="python -m churnlens.plans.jobs")
