@@ -64,7 +64,7 @@ def numeric_columns(use_total_charges: bool = True) -> list[str]:
 
 
 def preprocessing_stages(use_total_charges: bool = True, features: str = "features") -> list:
-    """Population scaler, one-hot (unknown -> zeros), binaries passed, assembled vector."""
+    """Population scaler, one-hot (unknown -> zeros), binaries passed, assembled vector."""
     num = numeric_columns(use_total_charges)
     cat = S.CATEGORICAL
     return [
