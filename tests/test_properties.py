@@ -187,3 +187,32 @@ def test_single_queue_curve_matches_four_queue_version(scored):
     four = {r["customerID"]: (r["contacted"], round(r["cum_profit"], 6))
             for r in K.queue_curves(scored).filter("queue = 'expected_value'").collect()}
     assert one == four
+
+
+def test_grouped_quantiles_equal_pandas(spark):
+    t = s_treated(spark, SF01)
+    got = {(r["Contract"], r["q"]): r["value"]
+           for r in exact_quantiles(t, "MonthlyCharges", [0.25, 0.5, 0.75], by=["Contract"]).collect()}
+    pdf = t.select("Contract", "MonthlyCharges").toPandas()
+    for (c, q), v in got.items():
+        assert abs(v - pdf[pdf.Contract == c].MonthlyCharges.quantile(q)) < 1e-9
+
+
+def test_shares_and_histogram_totals(spark):
+    from churnlens.operators.explore import histogram, value_shares
+
+    t = s_treated(spark, SF01)
+    sums = value_shares(t, ["Contract", "InternetService", "PaymentMethod"]).groupBy("column").agg(F.sum("share")).collect()
+    assert all(abs(r[1] - 1.0) < 1e-12 for r in sums)
+    h = histogram(t, "tenure", 30)
+    assert h.agg(F.sum("n")).first()[0] == t.count() and h.count() <= 30
+    dens = histogram(t, "MonthlyCharges", 30, by="Churn").withColumn("area", F.col("density") * (F.col("right") - F.col("left")))
+    assert all(abs(r[1] - 1.0) < 1e-9 for r in dens.groupBy("Churn").agg(F.sum("area")).collect())
+
+
+def test_sensitivity_is_monotone_in_discount_and_cost(scored):
+    s = K.sensitivity(scored).collect()
+    for param in ("discount", "contact_cost"):
+        rows = sorted((r["value"], r["n_contacted"]) for r in s if r["parameter"] == param)
+        ns = [n for _, n in rows]
+        assert ns == sorted(ns, reverse=True)  # a dearer offer never widens the campaign
