@@ -1,0 +1 @@
+"""Inputs and outputs: planted and real-table subscriber fixtures, raw CSV, reports, exports."""
