@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from churnlens.llm.common import table
 
@@ -59,3 +60,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnlens.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op8_decontaminate", r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'),
+             lambda x: x <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+'),
+             lambda x: x <> '') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, len(win) AS k, array_to_string(win, ' ') AS win FROM (
+          SELECT item_id, unnest([ws[i:i + 12] FOR i IN generate_series(1, greatest(1, len(ws) - 12))]) AS win
+          FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+       FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, sizes WHERE len(ws) >= k)),
+hit AS (SELECT DISTINCT d.doc_id, d.k, d.i, win.item_id FROM dw d JOIN win USING (k, win)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+          SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnlens.llm.decontaminate import contamination, is_contaminated
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
