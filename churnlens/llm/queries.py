@@ -99,3 +99,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnlens.llm.simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup", r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x{20}\x{09}-\x{0D}]+') AS ws FROM documents),
+s AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS win
+      FROM (SELECT r, ws, unnest(generate_series(1, len(ws) - 34)) AS i FROM w WHERE len(ws) >= 35)),
+rep AS (SELECT win FROM s GROUP BY win HAVING count(*) > 1),
+cov AS (SELECT DISTINCT r, unnest(generate_series(i, i + 34)) AS p FROM s JOIN rep USING (win)),
+each AS (SELECT r, unnest(generate_series(1, len(ws))) AS p, unnest(ws) AS word FROM w),
+kept AS (SELECT each.r, string_agg(word, ' ' ORDER BY each.p) AS body, count(*) AS n
+         FROM each ANTI JOIN cov ON each.r = cov.r AND each.p = cov.p GROUP BY each.r)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnlens.llm.substring_dedup import substring_dedup
+
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
