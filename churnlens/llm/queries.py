@@ -119,3 +119,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = substring_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def sentencepiece_model() -> bytes:
+    """The public BPE model with byte fallback that this machine offers (LLM_SENTENCEPIECE_MODEL names another)."""
+    import os
+
+    from churnlens.llm.sentencepiece_tokens import read_model
+
+    return read_model(os.environ.get("LLM_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnlens.llm.sentencepiece_tokens import encode
+
+    docs = table(spark, sf_dir, "documents")
+    rows = encode(docs, sentencepiece_model())
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "same")
