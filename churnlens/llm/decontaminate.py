@@ -31,6 +31,7 @@ from churnlens.llm.common import text_bytes, written
 
 WINDOW = 13
 AUTOMATON_BYTES = 32 << 20  # text of windows one automaton may hold
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 _KEPT = bytes(
@@ -104,7 +105,7 @@ def original_offsets(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int
     """Code point spans of word ranges in the text as it was."""
     if not ranges:
         return []
-    spans = [m.span() for m in WORD.finditer(text)]
+    spans = [m.span() for m in WORD.finditer(text.translate(_LOWER))]  # places stay: A-Z only
     return [(spans[s][0], spans[e - 1][1]) for s, e in ranges]
 
 
