@@ -158,3 +158,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = quality(docs, labels.where(~held_out()))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "difference")
+
+
+@query("op5_html_extract")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnlens.llm.html_extract import extract
+
+    rows = extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
