@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from churnlens.session import ensure_checkpoint_dir
 
@@ -38,3 +39,21 @@ def held_out(key: str = "doc_id"):
 def text_bytes(df: DataFrame, column: str) -> int:
     """Total UTF-8 bytes of a text column: one narrow aggregate, a single number on the driver."""
     return int(df.agg(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0)
+
+
+def carried(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """(doc_key, body) of the rows, and with ``carry`` all other columns, whatever their names, in ``rest``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return docs.select(F.col(id_col).cast("long").alias("doc_key"), F.col(text_col).cast("string").alias("body"),
+                       *([F.struct(F.lit(1).alias("_"), *others).alias("rest")] if carry else []))
+
+
+def restored(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """The columns of ``docs`` again, from rows with ``body`` and ``rest``."""
+    return rows.select(*[(F.col("body") if c == text_col else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
+def with_rest(ddl: str, base: DataFrame) -> StructType:
+    """The columns of ``ddl``, and ``body`` and ``rest`` if ``base`` carries its rows."""
+    out = StructType.fromDDL(ddl)
+    return StructType([*out.fields, base.schema["body"], base.schema["rest"]]) if "rest" in base.columns else out

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from churnlens.llm.common import text_bytes, written
+from churnlens.llm.common import carried, text_bytes, written
 
 WINDOW = 13
 AUTOMATON_BYTES = 32 << 20  # text of windows one automaton may hold
@@ -119,16 +120,14 @@ def _pairs(ranges) -> list[dict]:
     return [{"start": s, "stop": e} for s, e in ranges]
 
 
-def _scan(sent, more: bool):
-    """A pass over (doc_key, body[, n_words, ranges, items, spans]) rows with one automaton; ``more``: body stays."""
-    schema = pa.schema([FOUND.field(0), ("body", pa.string()), *list(FOUND)[1:]]) if more else FOUND
-
+def _scan(sent, keep: list[str]):
+    """A pass with one automaton over (doc_key, body, ...) rows; what earlier passes found is merged in."""
     def scan(batches):
         held = automaton(sent.value)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            before = b.select(["ranges", "items"]).to_pylist() if b.num_columns > 2 else None
-            out = {"doc_key": keys, "body": texts} | {k: [] for k in FOUND.names[1:]}
+            texts = b.column("body").to_pylist()
+            before = b.select(["ranges", "items"]).to_pylist() if "ranges" in b.schema.names else None
+            out = {k: [] for k in FOUND.names[1:]}
             for i, text in enumerate(texts):
                 n, ranges, ids = hits(held, text or "")
                 if before:
@@ -138,30 +137,36 @@ def _scan(sent, more: bool):
                 out["ranges"].append(_pairs(ranges))
                 out["items"].append(sorted(ids))
                 out["spans"].append(_pairs(original_offsets(text, ranges)))
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_pydict({k: b.column(k) for k in ["doc_key", *keep]} | {
+                k: pa.array(v, FOUND.field(k).type) for k, v in out.items()}).select([*FOUND.names, *keep])
 
     return scan
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-                  automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """One row per document: id, n_words, n_hit, items (sorted as strings), word ranges, spans in the original."""
+                  automaton_bytes: int = AUTOMATON_BYTES, carry: bool = False) -> DataFrame:
+    """One row per document: id, n_words, n_hit, items (sorted as strings), word ranges, spans in the original.
+
+    With ``carry`` the rows' own columns stay in ``body`` and ``rest`` (see ``common.restored``).
+    """
     spark = docs.sparkSession
     # a text's windows hold each of its words up to ``window`` times
     shards = max(1, math.ceil(text_bytes(benchmark, item_text) * window / automaton_bytes))
-    state = docs.select(F.col(id_col).cast("long").alias("doc_key"), F.col(text_col).alias("body"))
+    base = state = carried(docs, id_col, text_col, carry)
+    own = [base.schema[k] for k in ("body", "rest") if k in base.columns]
     for k in range(shards):
         part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(shards)) == k) if shards > 1 else benchmark
         sent = spark.sparkContext.broadcast(gathered(part.select(item_col, item_text).toLocalIterator(), window))
-        more = k < shards - 1
-        kind = FOUND_SQL.replace("doc_key long,", "doc_key long, body string,") if more else FOUND_SQL
-        state = state.mapInArrow(_scan(sent, more), kind)
-        if more:
+        last = k == shards - 1
+        keep = own if carry or not last else []
+        state = state.mapInArrow(_scan(sent, [f.name for f in keep]), StructType([*StructType.fromDDL(FOUND_SQL).fields, *keep]))
+        if not last:
             state = written(state, "decontaminate")
             sent.unpersist()
     n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
-    return state.select(F.col("doc_key").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "ranges", "spans")
+    return state.select(F.col("doc_key").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "ranges", "spans",
+                        *([F.col(f.name) for f in own] if carry else []))
 
 
 def is_contaminated():

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import written
+from churnlens.llm.common import carried, restored, written
 
 TABLE_BYTES = 64 << 20  # distinct content a table holds before the rest is spilled
 FANOUT = 32  # spill files a level
@@ -204,3 +204,41 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         merged, "grp long, wins boolean, keep_id long, group_size long, text_sha256 string")
     return members.select("id", "grp", "first").join(groups, "grp").select(
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("first") & F.col("wins")).alias("kept"), "text_sha256")
+
+
+def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows that stay, with all their columns: ``exact_dedup``'s kept ones, texts as they were but null as empty.
+
+    Only survivors of a partition are shuffled, once, and nothing is written in between.
+    """
+    def survivors(batches):
+        rest = []
+
+        def seen():
+            at = 0
+            for b in batches:
+                rest.append(b.column("rest"))
+                where = pa.array(range(at, at := at + b.num_rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("body"), b.column("doc_key"), where, pa.array([1] * b.num_rows)], ["body", "id", "at", "n"])
+
+        kept, size = [], 0
+        for content, group in _grouped(seen(), table_bytes):  # all input is read before the first group
+            kept.append((*max((k for k, _ in group), key=lambda k: (_order(k[0]), k[1])), content))
+            size += len(content)
+            if size > BLOCK * 8 or len(kept) >= ROWS_OUT:
+                yield _rows(kept, rest)
+                kept, size = [], 0
+        if kept:
+            yield _rows(kept, rest)
+
+    base = carried(docs, id_col, text_col, True)
+    local = base.mapInArrow(survivors, base.schema)
+    merged = local.repartition(F.xxhash64("body")).mapInArrow(survivors, base.schema)
+    return restored(merged, docs, text_col)
+
+
+def _rows(kept: list[tuple], rest: list) -> pa.RecordBatch:
+    ids, at, content = zip(*kept, strict=True)
+    others = pa.chunked_array(rest).take(pa.array(at, pa.int64())).combine_chunks()
+    others = others.chunk(0) if isinstance(others, pa.ChunkedArray) else others
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.binary()).cast(pa.string()), others], ["doc_key", "body", "rest"])

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import written
+from churnlens.llm.common import carried, restored, with_rest, written
 from churnlens.llm.components import components
 
 SHINGLE = 4
@@ -226,19 +226,48 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHAR
     return links.unionAll(written(more, "simhash-links").select("a", "b"))
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                   radius: int = RADIUS, shard: int = SHARD, tree_nodes: int = TREE_NODES) -> DataFrame:
-    """One row per input row: id, fingerprint (16 hex digits), component_id. Ids are integers."""
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry: bool) -> DataFrame:
+    """(doc_key, fp[, body, rest]) of the rows, written once."""
     def mark(batches):
         for b in batches:
-            prints = [_signed(fingerprint(t, shingle)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.int64())], ["id", "fp"])
+            prints = [_signed(fingerprint(t, shingle)) for t in b.column("body").to_pylist()]
+            own = {"body": b.column("body"), "rest": b.column("rest")} if carry else {}
+            yield pa.RecordBatch.from_pydict({"doc_key": b.column("doc_key"), "fp": pa.array(prints, pa.int64())} | own)
+
+    base = carried(docs, id_col, text_col, carry)
+    return written(base.mapInArrow(mark, with_rest("doc_key long, fp long", base)), "simhash")
+
 
-    marked = written(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(mark, "id long, fp long"), "simhash")
-    prints = marked.groupBy("fp").agg(F.min("id").alias("least"))
+def _grouped(marked: DataFrame, radius: int, shard: int, tree_nodes: int) -> DataFrame:
+    """(fp, component_id) of every distinct fingerprint."""
+    prints = marked.groupBy("fp").agg(F.min("doc_key").alias("least"))
     roots = components(fingerprint_links(prints.select("fp"), radius, shard, tree_nodes))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                   radius: int = RADIUS, shard: int = SHARD, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """One row per input row: id, fingerprint (16 hex digits), component_id. Ids are integers."""
+    marked = _marked(docs, id_col, text_col, shingle, False)
+    named = _grouped(marked, radius, shard, tree_nodes)
+    return marked.join(named.select("fp", "component_id"), "fp").select(
+        F.col("doc_key").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                      radius: int = RADIUS, shard: int = SHARD, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """One row of each component, with all its columns: the least id's (of rows with that id, the one whose hashes are least).
+
+    Rows equal in id and text, which exact dedup leaves once, stay or go together.
+    """
+    marked = _marked(docs, id_col, text_col, shingle, True)
+    row = F.struct(F.col("doc_key").isNull(), "doc_key", "fp", "th")
+    rows = marked.withColumn("th", F.xxhash64("body"))
+    # one row per fingerprint, then one per component: both are grouped minima of narrow rows
+    best = rows.groupBy("fp").agg(F.min(row).alias("best")).join(_grouped(marked, radius, shard, tree_nodes), "fp")
+    first = best.groupBy("root").agg(F.min("best").alias("best")).select(
+        F.col("best.doc_key").alias("k"), F.col("best.fp").alias("f"), F.col("best.th").alias("t"))
+    kept = rows.join(first, F.col("doc_key").eqNullSafe(F.col("k")) & (F.col("fp") == F.col("f")) & (F.col("th") == F.col("t")), "left_semi")
+    return restored(kept, docs, text_col)

@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from churnlens.llm import crf
+from churnlens.llm.common import carried, with_rest
 from churnlens.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = (1500, 3000)  # toxic and clean documents in the sample, at most
@@ -179,16 +179,15 @@ def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
     return model
 
 
-FOUND = pa.schema([("doc_key", pa.int64()), ("score", pa.float64()),
-                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())])))])
-FOUND_SQL = "doc_key long, score double, spans array<struct<start: long, stop: long, p: double>>"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             label_col: str = "toxic", per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+             per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None, carry: bool = False) -> DataFrame:
     """One row per document: id, score (0 to 1), spans (code points and marginal of each toxic word).
 
-    ``train_docs``: the table that has the labelled texts, if not ``docs``.
+    ``train_docs``: the table that has the labelled texts, if not ``docs``. With ``carry`` the rows'
+    own columns stay in ``body`` and ``rest`` (see ``common.restored``).
     """
     texts = labelled_sample(docs if train_docs is None else train_docs, labels, id_col, text_col, label_col, per_class, SAMPLE_CHARS)
     model, share = train(texts), sum(y for _, y in texts) / max(1, len(texts))
@@ -197,7 +196,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches):
         scorer = Scorer(sent.value) if sent.value else None
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column("body").to_pylist()]
             if scorer is None:
                 scores, spans = [share] * len(texts), [[] for _ in texts]
             else:
@@ -206,6 +205,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     scores.append(scorer.score(surest, expected))
                     places = [m.span() for m in WORD.finditer(text)] if len(which) else []
                     spans.append([{"start": places[i][0], "stop": places[i][1], "p": float(q)} for i, q in zip(which.tolist(), p, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, FOUND.field(2).type)], schema=FOUND)
+            own = {"body": b.column("body"), "rest": b.column("rest")} if b.num_columns > 2 else {}
+            yield pa.RecordBatch.from_pydict({"doc_key": b.column("doc_key"), "score": pa.array(scores, pa.float64()), "spans": pa.array(spans, SPANS)} | own)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_key"), text_col).mapInArrow(run, FOUND_SQL).withColumnRenamed("doc_key", id_col)
+    base = carried(docs, id_col, text_col, carry)
+    ddl = "doc_key long, score double, spans array<struct<start: long, stop: long, p: double>>"
+    return base.mapInArrow(run, with_rest(ddl, base)).withColumnRenamed("doc_key", id_col)
