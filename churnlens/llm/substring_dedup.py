@@ -82,8 +82,8 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 def _slices(h: np.ndarray, shards: int):
     """(shard, from, to) of sorted hashes."""
     of = _shard(h, shards)
-    cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
-    for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
+    cuts = [*(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else []
+    for s, e in zip([0, *cuts[:-1]], cuts, strict=False):
         yield int(of[s]), s, e
 
 
