@@ -27,6 +27,12 @@ FRAMES = [
     ("<table><tr><td class='text'>{}</td></tr></table>", "h1", "p"),
     ("<div itemprop='articleBody' class='text'>{}</div>", "h1", "div"),
     ("<article>{}</article>", "h1", "p"),
+    ("{}", "h1", "p"),
+    ("<article>{}</article>", "h2", "div"),
+    ("<div class='story-text'>{}</div>", "h1", "div"),
+    ("<main>{}</main>", "h1", "section"),
+    ("<article>{}</article>", "h1", ""),
+    ("<div class='content'>{}</div>", "h2", ""),
 ]
 # furniture that holds links
 LINKS = [
@@ -53,13 +59,16 @@ COMMENTS = [
     "<div class='comment-list'><h3>{w}</h3><ol><li class='comment'><p>{}</p></li><li class='comment reply'><p>{}</p></li></ol></div>",
     "<div id='disqus_thread' class='comments discussion'><p>{}</p><p>{}</p></div>",
     "<ul class='comments'><li>{}</li><li>{}</li></ul>",
+    "<section id='comments'><p>{}</p></section>", "<section class='comments'><p>{}</p><p>{}</p><p>{}</p></section>", "<div class='comment'>{}</div>",
+    "<section class='reader-comments'><h2>{w}</h2><article><p>{}</p></article><article class='comment'><p>{}</p></article></section>",
+    "<div id='comments'><div><p>{}</p></div><div><p>{}</p></div></div>", "<div class='replies reader responses'><p>{}</p></div>",
 ]
 # blocks of an article besides paragraphs
 INNER = ["<ul><li>{m}</li><li>{m}</li></ul>", "<blockquote><p>{m}</p></blockquote>", "<h2>{m}</h2>", "<pre>{m}</pre>", "<ol><li>{m}</li></ol>",
          "<table><tr><td>{m}</td><td>{m}</td></tr></table>", "<figure><figcaption>{m}</figcaption></figure>", "<h3>{m}</h3>"]
 
 
-def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 420, seed: int = 7) -> list[str]:
     """``count`` pages, the same at every call."""
     rng = random.Random(seed)
 
@@ -82,7 +91,9 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
     def article(frame: str, head: str, para: str) -> str:
         heading = f"<{head}>{MARK}{prose(15)}</{head}>"
         parts = [] if "{h}" in frame else [heading]
-        for _ in range(rng.randint(1, 8)):
+        if not para:  # the text stands in the frame itself
+            parts = rng.choice([[], [], parts]) + [MARK + prose() + "<br>" + prose()]
+        for _ in range(rng.randint(1, 8) if para else 0):
             r = rng.random()
             text = MARK + prose()
             text = text if r > 0.3 else text + f" <a href='#'>{word()}</a> <b>{word()}</b>"
@@ -107,7 +118,7 @@ def labelled_pages(count: int = 240, seed: int = 7) -> list[str]:
     for i in range(count):
         before = [links() if rng.random() < 0.5 else fill(rng.choice(PROSE)) for _ in range(rng.randint(1, 4))]
         after = [links() if rng.random() < 0.4 else fill(rng.choice(PROSE)) for _ in range(rng.randint(1, 4))]
-        if rng.random() < 0.3:
+        if rng.random() < 0.4:
             after.insert(0, fill(rng.choice(COMMENTS)))
         body = plain() if i % 8 == 7 else "".join(before) + article(*FRAMES[i % len(FRAMES)]) + "".join(after)
         body = f"<div id='page' class='container'>{body}</div>" if rng.random() < 0.3 else body

@@ -5,7 +5,7 @@ least hash of their id, so the same at every run):
 
 1. near copies in the sample are left out, so that a copied text counts once;
 2. words of toxic documents are labelled toxic if one of their features (the word, its first three
-   to five letters) is bound to toxic documents: a likelihood ratio beyond what the best of so many
+   to eight letters) is bound to toxic documents: a likelihood ratio beyond what the best of so many
    features would reach by chance, or, for documents still without such a word, the feature that
    accounts for most of them;
 3. the CRF is trained on part of these documents with such token labels;
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -37,24 +36,27 @@ from churnlens.llm.common import carried, with_rest
 from churnlens.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = (1500, 3000)  # toxic and clean documents in the sample, at most
-FIT_PER_CLASS = 500  # of these, the CRF is trained on so many of each
+FIT_PER_CLASS = (1000, 500)  # of these, the CRF is trained on so many clean and toxic ones
 SAMPLE_CHARS = 20_000  # longer documents aren't used for training (they are scored whole)
 GROUP_WORDS = 200_000  # words whose chains are swept together
 KNOWN_WORDS = 200_000  # words whose emissions a worker remembers
 WORD = re.compile(r"\S+")
+BEGINNINGS = 7  # of a word's features, so many are the word and its beginnings
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+LEAST_RATIO = 7.5  # how many times the share of clean documents a feature's share of toxic ones must be
 LEAST = 0.5  # a word is toxic from this marginal on
 
 
 def word_features(word: str) -> list[str]:
-    w = word.lower().strip(EDGES)
-    shape = "A" if word.isupper() else "a" if w.isalpha() else "9" if any(map(str.isdigit, w)) else "-"
-    return [f"w={w}", f"5={w[:5]}", f"4={w[:4]}", f"3={w[:3]}", f"e={w[-3:]}", f"s={shape}{min(len(w), 8)}"]
+    w = word.strip(EDGES).lower()
+    shape = "a" if w.isalpha() else "-"
+    return ["w=" + w, "8=" + w[:8], "7=" + w[:7], "6=" + w[:6], "5=" + w[:5], "4=" + w[:4], "3=" + w[:3], "e=" + w[-3:], "s=" + shape]
 
 
-def _signature(words: list[str]) -> int | None:
-    """Least hash of the long words: equal in near copies, else hardly ever."""
-    return min((xxhash.xxh3_64_intdigest(w) for w in set(words) if len(w) >= 8), default=None)
+def _signatures(words: list[str]) -> set[int]:
+    """Least hashes of the runs of three words: near copies have at least one in common, others hardly ever."""
+    runs = {" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    return {min(xxhash.xxh3_64_intdigest(r, seed) for r in runs) for seed in range(4)} if runs else set()
 
 
 def _ratio(p: int, n: int, pos: int, neg: int) -> float:
@@ -67,26 +69,52 @@ def _ratio(p: int, n: int, pos: int, neg: int) -> float:
 
 
 def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features (words and word beginnings) bound to toxic documents."""
-    sets = [({f for w in set(words) for f in word_features(w)[:4]}, y) for words, y in docs]
-    count = (Counter(), Counter())
-    for names, y in sets:
-        count[y].update(names)
-    pos, neg = sum(y for _, y in sets), sum(1 - y for _, y in sets)
-    bound = {}
-    for f, p in count[1].items():
-        n = count[0][f]
-        if p >= 3 and p / pos > 20 * n / neg and len(f) > 4:
-            bound[f] = _ratio(p, n, pos, neg)
-    chance = 2 * math.log(max(2, len(count[1]))) + 8
-    chosen = {f for f, r in bound.items() if r >= chance}
-    left = [names for names, y in sets if y and not names & chosen]
-    while left:  # each round accounts for some of the documents left
-        best = Counter(f for names in left for f in names if f in bound).most_common(1)
-        if not best or best[0][1] < 3:
-            break
-        chosen.add(best[0][0])
-        left = [names for names in left if best[0][0] not in names]
+    """Features (words and word beginnings) bound to toxic documents.
+
+    The purest come first; a feature is judged by those of its words that no earlier one covers, so
+    that a short beginning isn't taken for the sake of one toxic word.
+    """
+    of_word: dict[str, tuple[set, set]] = {}  # clean and toxic documents of each word
+    for i, (words, y) in enumerate(docs):
+        for w in set(words):
+            of_word.setdefault(w, (set(), set()))[y].add(i)
+    pos = sum(y for _, y in docs)
+    neg = len(docs) - pos
+    of_feature: dict[str, list[str]] = {}
+    for w, held in of_word.items():
+        if held[1]:
+            for f in word_features(w)[:BEGINNINGS]:
+                if len(f) > 4:
+                    of_feature.setdefault(f, []).append(w)
+    clean: dict[str, set] = {}
+    for w, held in of_word.items():
+        for f in word_features(w)[:BEGINNINGS] if held[0] else ():
+            if f in of_feature:
+                clean.setdefault(f, set()).update(held[0])
+    toxic = {f: len(set().union(*(of_word[w][1] for w in ws))) for f, ws in of_feature.items()}
+
+    def purity(p: int, n: int) -> float:
+        return (p / pos) / (max(n, 0.5) / neg)
+
+    order = [(purity(p, len(clean.get(f, ()))), len(f), f) for f, p in toxic.items() if p >= 3]
+    chance, chosen, covered, weak = 2 * math.log(max(2, len(toxic))) + 8, set(), set(), []
+    for _, _, f in sorted((x for x in order if x[0] >= LEAST_RATIO), reverse=True):
+        left = [w for w in of_feature[f] if w not in covered]
+        p = len(set().union(*(of_word[w][1] for w in left)))
+        n = len(clean.get(f, ()))
+        if p >= 3 and purity(p, n) >= LEAST_RATIO:
+            if _ratio(p, n, pos, neg) >= chance:
+                chosen.add(f)
+                covered.update(left)
+            else:
+                weak.append(f)
+    known = set().union(*(of_word[w][1] for w in covered))
+    for f in weak:  # for toxic documents without a toxic word so far
+        found = set().union(*(of_word[w][1] for w in of_feature[f] if w not in covered)) - known
+        if len(found) >= 3:
+            chosen.add(f)
+            covered.update(of_feature[f])
+            known |= found
     return chosen
 
 
@@ -95,23 +123,26 @@ class Scorer:
 
     def __init__(self, model: crf.Crf) -> None:
         self.model = model
+        # of two states only the difference counts
+        self.weight = dict(zip(model.features, (model.weights[:, 1] - model.weights[:, 0]).tolist(), strict=True))
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.emissions: list[np.ndarray] = []
+        self.odds = np.zeros(0)
 
     def _kinds(self, words: list[str]) -> np.ndarray:
-        for w in set(words):
-            if w not in self.known:
-                self.known[w] = len(self.emissions)
-                self.emissions.append(self.model.emission(word_features(w)))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        get, known = self.weight.get, self.known
+        new = [w for w in set(words) if w not in known]
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        self.odds = np.append(self.odds, [sum(get(f, 0.0) for f in word_features(w)) for w in new])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def _group(self, docs: list[list[str]]) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
         kinds = self._kinds(list(chain.from_iterable(docs)))
         lengths = [len(d) for d in docs]
-        p = crf.marginals(np.array(self.emissions).reshape(-1, 2)[kinds], lengths, self.model.trans, self.model.start)[:, 1]
+        odds = self.odds[kinds]
+        p = crf.marginals(np.column_stack([np.zeros(len(odds)), odds]), lengths, self.model.trans, self.model.start)[:, 1]
         if len(self.known) > KNOWN_WORDS:
             self._forget()
         out, at = [], 0
@@ -145,18 +176,18 @@ def _logit(p) -> float:
 
 def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
     """The model from labelled texts; None if one of the classes is missing."""
-    seen, docs = set(), []
+    seen, docs = (set(), set()), []
     for text, y in texts:
         words = text.split()
-        mark = (_signature(words), y)
-        if mark[0] is None or mark not in seen:
-            seen.add(mark)
+        marks = _signatures(words)
+        if marks.isdisjoint(seen[y]):
             docs.append((words, y, text))
+        seen[y].update(marks)
     if len({y for _, y, _ in docs}) < 2:
         return None
     bound = toxic_features([(w, y) for w, y, _ in docs])
     by = [[d for d in docs if d[1] == y] for y in (0, 1)]
-    cut = [min(FIT_PER_CLASS, -(-len(x) * 2 // 3)) for x in by]
+    cut = [min(most, -(-len(x) * 2 // 3)) for x, most in zip(by, FIT_PER_CLASS, strict=True)]
     fit = [d for x, c in zip(by, cut, strict=True) for d in x[:c]]
     kinds, names = {}, []
     items, gold, lengths = [], [], []
@@ -172,7 +203,7 @@ def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
     model = crf.train(names, np.array(items, np.int64), lengths, np.array(gold, np.int64), 2)
     heavy = {n: i for n, i in model.features.items() if np.abs(model.weights[i]).max() > 1e-3}
     model.weights, model.features = model.weights[list(heavy.values())], {n: i for i, n in enumerate(heavy)}
-    back = [d for x, c in zip(by, cut, strict=True) for d in (x[c:c + 2 * FIT_PER_CLASS] or x)]
+    back = [d for x, c in zip(by, cut, strict=True) for d in (x[c:c + 1000] or x)]
     found = list(Scorer(model).evidence([t for _, _, t in back]))
     x = np.array([[_logit(a), math.log1p(b)] for a, b, _, _ in found])
     model.extra["curve"] = logistic(x, np.array([y for _, y, _ in back], float))
