@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def yes_no(c: str | Column) -> Column:
     """C2: 'Yes' -> 1, 'No' -> 0, anything else -> null (a CASE without ELSE, like a dict map)."""
     col = F.col(c) if isinstance(c, str) else c
@@ -31,12 +34,13 @@ def folded_yes_no(c: str, no_value: str) -> Column:
 
 
 def coerce_number(c: str | Column, fill: float = 0.0) -> Column:
-    """Coercing numeric parse: unparsable text (e.g. a blank) becomes ``fill``.
+    """Coercing numeric parse: text that is no decimal number (a blank, "nan", "12D") becomes ``fill``.
 
-    ANSI mode makes a plain cast throw, so use ``try_cast`` on the trimmed text.
+    The form is checked first, as a cast also takes Java's literals; ANSI mode makes a plain cast
+    throw, so use ``try_cast`` on the trimmed text.
     """
-    col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.trim(col).try_cast("double"), F.lit(fill))
+    col = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce(F.when(col.rlike(NUMBER), col.try_cast("double")), F.lit(fill))
 
 
 def treated_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> list[Column]:

@@ -28,7 +28,7 @@ from churnlens.functions.decision import (
     threshold_floor,
 )
 from churnlens.functions.treat import brl
-from churnlens.operators.ordered import ordered_prefix
+from churnlens.operators.ordered import ordered_prefix, stored
 from churnlens.operators.ranking import random_key
 from churnlens.operators.stats import exact_quantiles
 
@@ -84,12 +84,12 @@ def queue_keys(d: DataFrame, seed: int = 42, key: str = S.ID) -> DataFrame:
     return d.select(key, "ve", F.explode(F.array(*keys)).alias("_q")).select(key, "ve", "_q.queue", "_q.sort_key")
 
 
-def queue_curves(df: DataFrame, params: BusinessParams | None = None, seed: int = 42, mode: str = "auto",
+def queue_curves(df: DataFrame, params: BusinessParams | None = None, seed: int = 42,
                  n_buckets: int | None = None) -> DataFrame:
     """K6: four queues, same VE: (queue, customerID, contacted, cum_profit, marginal_ve)."""
     stacked = queue_keys(with_decision(df, params), seed)
     c = ordered_prefix(stacked, [("sort_key", False)], sums=["ve"], partition=["queue"], tiebreak=S.ID,
-                       rn="contacted", mode=mode, n_buckets=n_buckets)
+                       rn="contacted", n_buckets=n_buckets)
     return c.select("queue", S.ID, "contacted", F.col("cum_ve").alias("cum_profit"), F.col("ve").alias("marginal_ve"))
 
 
@@ -154,11 +154,15 @@ def offer_status(sens: DataFrame) -> DataFrame:
 
 def top_overlap(df: DataFrame, params: BusinessParams | None = None, n: int | None = None) -> DataFrame:
     """Overlap of the top-n by VE and the top-n by p (n = max(optimal n, 1))."""
-    d = with_decision(df, params)
-    if n is None:
-        n = max(d.filter("selected").count(), 1)
-    by_ve = ordered_prefix(d.select(S.ID, "ve"), [("ve", True)], tiebreak=S.ID, rn="r").filter(F.col("r") <= n)
-    by_p = ordered_prefix(d.select(S.ID, "p"), [("p", True)], tiebreak=S.ID, rn="r").filter(F.col("r") <= n)
+    d = stored(with_decision(df, params).select(S.ID, "ve", "p", "selected"))
+    best = d.filter("selected").count()  # VE > 0: exactly the top by VE at the optimum
+    n = max(best, 1) if n is None else n
+
+    def top(value: str) -> DataFrame:
+        return ordered_prefix(d.select(S.ID, value), [(value, True)], tiebreak=S.ID, rn="r", write=False).filter(F.col("r") <= n)
+
+    by_ve = d.filter("selected") if n == best else top("ve")
+    by_p = top("p")
     common = by_ve.select(S.ID).intersect(by_p.select(S.ID))  # INTERSECT
     return common.agg(F.count(F.lit(1)).alias("common")).select(
         F.lit(n).cast("long").alias("cut"), "common", (F.lit(n) - F.col("common")).alias("swapped"),
@@ -193,13 +197,16 @@ def business_sentence(opt: DataFrame, curves: DataFrame, n_base: int, lang: str
         brl(F.col("profit")), brl(F.col("profit_at_n"))).alias("sentence"))
 
 
-def contact_list(df: DataFrame, params: BusinessParams | None = None) -> DataFrame:
-    """K10 (G5, C6, C12): everyone with VE > 0 — exactly the top-n by VE at the optimal n —
-    with the contract translated and Portuguese captions."""
-    d = with_decision(df, params).filter("selected")
+def contact_list(df: DataFrame, params: BusinessParams | None = None, n: int | None = None) -> DataFrame:
+    """K10 (G5, C6, C12): the ``n`` customers of highest VE (by default everyone with VE > 0, which is
+    the top at the optimal n), by VE and then id, with the place in that order as ``position``, the
+    contract translated and Portuguese captions."""
+    d = with_decision(df, params)
+    d = ordered_prefix(d if n is not None else d.filter("selected"), [("ve", True)], tiebreak=S.ID, rn="position")
+    d = (d if n is None else d.filter(F.col("position") <= n)).orderBy("position")
     label = F.create_map(*[x for k, v in S.VALUES_PT["Contract"].items() for x in (F.lit(k), F.lit(v))])
     return d.select(
-        F.col(S.ID),
+        "position", F.col(S.ID),
         F.coalesce(label[F.col("Contract")], F.col("Contract")).alias("Contrato"),
         F.col("tenure").alias("Tempo de casa"), F.col("mc").alias("Mensalidade"),
         F.col("p").alias("P(churn)"), F.col("ve").alias("Valor esperado"))

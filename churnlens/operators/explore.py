@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.functions.treat import addon_count
+from churnlens.operators.lookup import lookup
+from churnlens.operators.ordered import stored
 from churnlens.operators.stats import exact_quantiles
 
 
@@ -160,7 +162,8 @@ def box_stats(df: DataFrame, x: str, by: str = S.TARGET, approx: bool = False) -
         by, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = df.select(by, F.col(x).cast("double").alias("x")).join(q, by)  # one row per class
+    q = stored(q, "fences")  # one row per class
+    j = lookup(df.select(by, F.col(x).cast("double").alias("x")), q, [by])
     inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
     w = j.groupBy(by).agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
@@ -170,20 +173,22 @@ def box_stats(df: DataFrame, x: str, by: str = S.TARGET, approx: bool = False) -
 
 
 def quartile_bins(df: DataFrame, x: str, q: int = 4, approx: bool = False, by: list[str] | None = None) -> DataFrame:
-    """Pd.qcut-style quantile bins — right-closed, lowest included; error on equal edges.
+    """Pd.qcut-style quantile bins — right-closed, lowest included; error on equal edges, the
+    least and the greatest value among them.
 
     bin = 1 + number of inner edges strictly below x (equal to qcut for distinct edges).
     """
-    probs = [i / q for i in range(1, q)]
+    probs = [i / q for i in range(q + 1)]
     keys = by or []
     edges = exact_quantiles(df.select(*keys, F.col(x).cast("double").alias("x")), "x", probs, by=keys, approx=approx)
     arr = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("e")) \
         .select(*keys, F.transform("e", lambda s: s["value"]).alias("edges"))
+    arr = stored(arr, "edges")  # one row per group
     dup = arr.filter(F.size(F.array_distinct("edges")) < F.size("edges")).limit(1).collect()
     if dup:
         raise ValueError(f"quantile bin edges are not unique: {dup[0]['edges']}")
-    # one row per group (AQE broadcasts it when small), or a scalar subquery when ungrouped
-    j = df.join(arr, keys) if keys else df.withColumn("edges", arr.select("edges").scalar())
+    arr = arr.withColumn("edges", F.slice("edges", 2, q - 1))
+    j = lookup(df, arr, keys) if keys else df.withColumn("edges", arr.select("edges").scalar())
     return j.withColumn("bin", F.lit(1) + F.size(F.filter("edges", lambda e: e < F.col(x)))).drop("edges")
 
 

@@ -20,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.operators.ordered import ordered_prefix
+from churnlens.operators.lookup import lookup
+from churnlens.operators.ordered import ordered_prefix, stored
 from churnlens.operators.stats import exact_quantiles
 
 
@@ -34,19 +35,18 @@ def score_counts(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] =
 def cumulative_scores(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
                       counted: bool = False) -> DataFrame:
     """(by, p, pos, neg, rn, tps, fps): cumulative counts at each distinct score, descending.
-    ``counted=True`` when ``df`` already is a (by, p, pos, neg) table."""
-    sc = df if counted else score_counts(df, y, p, by)
-    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn")
+    ``counted=True`` when ``df`` already is a stored (by, p, pos, neg) table."""
+    sc = df if counted else stored(score_counts(df, y, p, by), "scores")
+    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False)
     return cum.withColumnRenamed("cum_pos", "tps").withColumnRenamed("cum_neg", "fps")
 
 
-def _totals(cum: DataFrame, by: list[str], aggs: dict) -> DataFrame:
-    """Attach per-group totals: a broadcast join on the group keys (one row per group),
-    or scalar subqueries when ungrouped (no constant-key join)."""
+def _totals(cum: DataFrame, sc: DataFrame, by: list[str], aggs: dict) -> DataFrame:
+    """Attach per-group totals of the collapsed table ``sc``: a lookup on the group keys, or one
+    scalar subquery when ungrouped (no constant-key join)."""
     if by:
-        tot = cum.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()])
-        return cum.join(tot, by)  # one row per group; AQE picks broadcast at runtime when small
-    one = cum.agg(F.struct(*[a.alias(k) for k, a in aggs.items()])).scalar()  # ONE subquery for all totals
+        return lookup(cum, sc.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]), by)
+    one = sc.agg(F.struct(*[a.alias(k) for k, a in aggs.items()])).scalar()  # ONE subquery for all totals
     return cum.withColumns({k: one[k] for k in aggs})
 
 
@@ -54,8 +54,9 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str]
                     counted: bool = False) -> DataFrame:
     """H1 + H2: (by, roc_auc, pr_auc)."""
     by = list(by)
-    cum = cumulative_scores(df, y, p, by, counted)
-    j = _totals(cum, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
+    sc = df if counted else stored(score_counts(df, y, p, by), "scores")
+    cum = cumulative_scores(sc, by=by, counted=True)
+    j = _totals(cum, sc, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
     terms = j.select(
         *by,
         # undefined (null) when a group has a single class — ANSI mode would throw on /0
@@ -74,6 +75,7 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ())
 def evaluate_counts(sc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """H1-H4 from a collapsed (by, p, pos, neg) table; H3 Brier = Σ pos·(p−1)² + neg·p² over n."""
     by = list(by)
+    sc = stored(sc, "scores")
     simple = sc.groupBy(*by).agg(
         (F.sum(F.col("pos") * (F.col("p") - 1) ** 2 + F.col("neg") * F.col("p") ** 2)
          / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
@@ -97,8 +99,8 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 1
     edges = exact_quantiles(df.select(*by, F.col(p).alias("_x")), "_x", probs, by=by, approx=approx)
     arr = edges.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("_e")) \
         .select(*by, F.transform("_e", lambda s: s["value"]).alias("_edges"))
-    # one row per group (AQE broadcasts it when small), or a scalar subquery when ungrouped
-    j = df.join(arr, by) if by else df.withColumn("_edges", arr.select("_edges").scalar())
+    # one row per group, or a scalar subquery when ungrouped
+    j = lookup(df, arr, by) if by else df.withColumn("_edges", arr.select("_edges").scalar())
     binned = j.withColumn("bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))
     return binned.groupBy(*by, "bin").agg(
         F.avg(F.col(p)).alias("predicted"), F.avg(F.col(y).cast("double")).alias("observed"),
@@ -114,10 +116,11 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()
     """H6: ROC points (fpr, tpr, threshold) per distinct threshold, collinear points dropped,
     plus the origin (threshold null). Neighbours come from equi-joins on rn ± 1."""
     by = list(by)
-    cum = cumulative_scores(df, y, p, by).select(*by, "rn", "p", "tps", "fps")
+    sc = stored(score_counts(df, y, p, by), "scores")
+    cum = stored(cumulative_scores(sc, by=by, counted=True).select(*by, "rn", "p", "tps", "fps"), "roc")
     j = (cum.join(_shifted(cum, by, 1, "prev"), [*by, "rn"], "left")
          .join(_shifted(cum, by, -1, "next"), [*by, "rn"], "left"))
-    j = _totals(j, by, {"n_pos": F.max("tps"), "n_neg": F.max("fps"), "m": F.max("rn")})
+    j = _totals(j, cum, by, {"n_pos": F.max("tps"), "n_neg": F.max("fps"), "m": F.max("rn")})
     second_diff_f = F.col("fps_next") - 2 * F.col("fps") + F.col("fps_prev")
     second_diff_t = F.col("tps_next") - 2 * F.col("tps") + F.col("tps_prev")
     keep = (F.col("rn") == 1) | (F.col("rn") == F.col("m")) | (second_diff_f != 0) | (second_diff_t != 0)
@@ -132,12 +135,13 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()
 def pr_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H7: precision-recall points per distinct threshold plus the closing (precision 1, recall 0)."""
     by = list(by)
-    cum = cumulative_scores(df, y, p, by)
-    j = _totals(cum, by, {"n_pos": F.sum("pos")})
+    sc = stored(score_counts(df, y, p, by), "scores")
+    cum = cumulative_scores(sc, by=by, counted=True)
+    j = _totals(cum, sc, by, {"n_pos": F.sum("pos")})
     pts = j.select(*by, (F.col("tps") / (F.col("tps") + F.col("fps"))).alias("precision"),
                    F.when(F.col("n_pos") == 0, 1.0).otherwise(F.col("tps") / F.col("n_pos")).alias("recall"),
                    F.col("p").alias("threshold"))
-    close_src = cum.select(*by).distinct() if by else cum.sparkSession.range(1)
+    close_src = sc.select(*by).distinct() if by else cum.sparkSession.range(1)
     close = close_src.select(*by, F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
                              F.lit(None).cast("double").alias("threshold"))
     return pts.unionByName(close)

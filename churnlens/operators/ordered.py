@@ -1,31 +1,42 @@
 """Distributed total order: row numbers and running sums without a one-task window.
 
-A window with no PARTITION BY (or partitioned by a key that holds a third of
-all rows) sorts everything in ONE task. ``ordered_prefix`` instead:
-
-1. samples a bounded number of rows (``SAMPLE_PER_BUCKET`` × buckets) and picks
-   ``B - 1`` boundaries of the full composite order (partition keys, order keys,
-   id tie-break), so even one giant tie is split across buckets by id;
-2. assigns each row a bucket with a balanced binary CASE tree over literal
-   boundaries — a pure function of the row's values, so a recomputed partition
-   after executor loss lands in the same bucket;
-3. runs a local window per bucket for local row numbers / running sums;
-4. computes per-(bucket, partition) totals (at most ~B + groups rows), turns
-   them into running offsets with a window over that tiny table, and joins them
-   back (broadcast only behind a checked row count).
+A window with no PARTITION BY (or partitioned by a key that holds a third of all rows) sorts
+everything in ONE task. ``ordered_prefix`` has one plan for every size instead:
+
+1. the input is written once (unless it is a narrow projection of a stored table), so that count,
+   sample, totals and ranks read the same rows;
+2. a sample of about ``SAMPLE_PER_BUCKET`` rows per bucket, ordered by Spark, gives the boundaries of
+   the full composite order (partition keys, order keys, id tie-break): one giant tie is split by id.
+   There are as many buckets as the session has shuffle partitions;
+3. a row's bucket is found by binary search over the boundaries, which reach the tasks as one
+   sorted array (a scalar subquery): a pure function of the row, so a task that is run again after an
+   executor is lost puts it in the same bucket. Nulls and descending keys of any type follow Spark's
+   order (nulls first when ascending, last when descending);
+4. a window per bucket gives local row numbers and running sums;
+5. per-(bucket, partition) totals (at most buckets + groups rows) become offsets by a window over
+   that small table, and are joined back.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-ROWS_PER_BUCKET = 2_000_000     # target rows per local window task
-MAX_BUCKETS = 4096              # bound on boundaries held in the plan
-SAMPLE_PER_BUCKET = 32          # sampled rows per bucket (driver holds <= 32 * 4096 keys)
+from churnlens.session import ensure_checkpoint_dir
+
+SAMPLE_PER_BUCKET = 32
+
+
+def stored(df: DataFrame, tag: str = "ordered") -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/churnlens/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _orders(order: Sequence[tuple[str, bool]], tiebreak: str | None) -> list[tuple[str, bool]]:
@@ -36,88 +47,39 @@ def _orders(order: Sequence[tuple[str, bool]], tiebreak: str | None) -> list[tup
 
 
 def _sort_cols(keys: list[tuple[str, bool]]) -> list[Column]:
-    return [F.col(c).desc() if d else F.col(c).asc() for c, d in keys]
-
-
-def _le(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    """Row precedes-or-equals ``bound`` in the lexicographic order ``keys``."""
-    expr: Column | None = None
-    for (c, desc), v in reversed(list(zip(keys, bound))):
-        col, lit = F.col(c), F.lit(v)
-        before = (col > lit) if desc else (col < lit)
-        if expr is None:
-            expr = (col >= lit) if desc else (col <= lit)
-        else:
-            expr = before | ((col == lit) & expr)
-    return expr
-
-
-def _bucket_expr(keys: list[tuple[str, bool]], bounds: list[tuple]) -> Column:
-    """Number of boundaries strictly before the row: balanced binary search as nested CASE."""
-    def node(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_le(keys, bounds[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
-    return node(0, len(bounds))
-
-
-CASE_MAX_BOUNDS = 128            # above this the CASE tree outgrows one JVM method
-
-
-def _asc_value(v, desc: bool):
-    if not desc:
-        return v
-    if isinstance(v, bool) or not isinstance(v, (int, float)):
-        raise ValueError("descending order keys must be numeric for large bucket counts")
-    return -v
-
-
-def _asc_struct(keys: list[tuple[str, bool]]) -> Column:
-    """The row as a struct that sorts ascending in the composite order (desc numerics negated)."""
-    return F.struct(*[(-F.col(c) if d else F.col(c)).alias(f"f{i}") for i, (c, d) in enumerate(keys)])
-
-
-def _bound_struct(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    return F.struct(*[F.lit(_asc_value(v, d)).alias(f"f{i}") for i, ((_, d), v) in enumerate(zip(keys, bound))])
-
-
-def _bucket_expr_two_level(keys: list[tuple[str, bool]], bounds: list[tuple]) -> Column:
-    """Number of boundaries strictly before the row, for many boundaries: a coarse lookup over
-    every k-th boundary, then a fine lookup inside the selected segment (literal arrays, so the
-    generated code stays small; ~2·sqrt(B) struct comparisons per row)."""
-    m = len(bounds)
-    k = max(2, math.isqrt(m))
-    row = _asc_struct(keys)
-    coarse_idx = list(range(k - 1, m, k))
-    coarse = F.array(*[_bound_struct(keys, bounds[i]) for i in coarse_idx])
-    segments = []
-    for j in range(len(coarse_idx) + 1):
-        inner = bounds[j * k: (j + 1) * k - 1] if j < len(coarse_idx) else bounds[j * k:]
-        segments.append(F.array(*[_bound_struct(keys, b) for b in inner]) if inner
-                        else F.array_remove(F.array(_bound_struct(keys, bounds[0])), _bound_struct(keys, bounds[0])))
-    fine = F.array(*segments)
-    c = F.size(F.filter(coarse, lambda b: b < row))
-    f = F.size(F.filter(F.element_at(fine, c + 1), lambda b: b < row))
-    return c * k + f
-
-
-def _sample_bounds(df: DataFrame, keys: list[tuple[str, bool]], n: int, buckets: int, seed: int) -> list[tuple]:
-    names = [c for c, _ in keys]
-    frac = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
-    rows = [tuple(r) for r in df.select(*names).sample(False, frac, seed).collect()]
-    if any(v is None for r in rows for v in r):
-        raise ValueError("ordered_prefix needs non-null order keys; fill them first")
-    for i in reversed(range(len(names))):  # stable multi-key sort, least significant first
-        rows.sort(key=lambda r, i=i: r[i], reverse=keys[i][1])
-    if not rows:
-        return []
-    picks = sorted({min(len(rows) - 1, (j * len(rows)) // buckets) for j in range(1, buckets)})
-    bounds: list[tuple] = []
-    for p in picks:
-        if not bounds or rows[p] != bounds[-1]:
-            bounds.append(rows[p])
-    return bounds
+    return [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in keys]
+
+
+def _precedes(bound: Column, keys: list[tuple[str, bool]]) -> Column:
+    """The boundary (a struct f0, f1, ...) stands strictly before the row."""
+    out = F.lit(False)
+    for i, (c, desc) in reversed(list(enumerate(keys))):
+        b, v = bound[f"f{i}"], F.col(c)
+        # ascending: null is the least value; descending: the last
+        first = (b.isNotNull() & (v.isNull() | (b > v))) if desc else (v.isNotNull() & (b.isNull() | (b < v)))
+        out = F.coalesce(first, F.lit(False)) | (b.eqNullSafe(v) & out)
+    return out
+
+
+def _bucket(keys: list[tuple[str, bool]], bounds: str, n: int) -> Column:
+    """Number of boundaries strictly before the row: binary search by halving steps."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+
+    def step(at: Column, size: Column) -> Column:
+        there = (at + size <= n) & _precedes(F.get(F.col(bounds), at + size - 1), keys)
+        return F.when(there, at + size).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+
+def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, buckets: int, seed: int) -> list[tuple]:
+    """At most ``buckets`` - 1 distinct rows of the order's keys, in order."""
+    share = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
+    rows = [tuple(r) for r in df.select(*[c for c, _ in keys]).sample(False, share, seed).orderBy(*_sort_cols(keys)).collect()]
+    picks = sorted({j * len(rows) // buckets for j in range(1, buckets)}) if rows else []
+    return list(dict.fromkeys(rows[p] for p in picks))
 
 
 def ordered_prefix(
@@ -126,67 +88,52 @@ def ordered_prefix(
     sums: Sequence[str] = (),
     partition: Sequence[str] = (),
     tiebreak: str | None = None,
-    mode: str = "auto",
     n_buckets: int | None = None,
     rn: str = "rn",
     prefix: str = "cum_",
     seed: int = 7,
     n: int | None = None,
+    write: bool = True,
 ) -> DataFrame:
     """Add ``rn`` (1-based position inside ``partition`` under ``order`` + ``tiebreak`` asc)
     and inclusive running sums ``cum_<s>`` for every column in ``sums``.
 
-    ``order`` is a list of (column, descending). The order plus ``tiebreak`` must be
-    total (unique) for results to be deterministic; order keys and summed columns must be
-    non-null. ``mode``: "window" = one window per
-    partition group; "bucketed" = distributed; "auto" = bucketed when the input exceeds
-    ``ROWS_PER_BUCKET`` rows or ``n_buckets`` is given.
+    ``order`` is a list of (column, descending). The order plus ``tiebreak`` must be total (unique)
+    for results to be deterministic. ``write=False``: the input is a narrow projection of a stored
+    table, cheap to read again. ``n``: its row count, if known.
     """
     partition = list(partition)
-    keys = [(p, False) for p in partition] + _orders(order, tiebreak)
-    local_order = _sort_cols(_orders(order, tiebreak))
-    frame = Window.unboundedPreceding, Window.currentRow
-
-    def windowed(d: DataFrame, parts: list[str]) -> DataFrame:
-        w = Window.partitionBy(*parts).orderBy(*local_order)
-        d = d.withColumn(rn, F.row_number().over(w).cast("long"))
-        for s in sums:
-            d = d.withColumn(prefix + s, F.sum(s).over(w.rowsBetween(*frame)))
-        return d
-
-    if mode == "window":
-        return windowed(df, partition)
-
-    if n_buckets is None:
-        n = df.count() if n is None else n
-        per_bucket = int(df.sparkSession.conf.get("churnlens.ordered.rowsPerBucket", str(ROWS_PER_BUCKET)))
-        n_buckets = min(MAX_BUCKETS, max(1, math.ceil(n / per_bucket)))
-        if mode == "auto" and n_buckets == 1:
-            return windowed(df, partition)
-    if n is None:
-        n = df.count()
-    bounds = _sample_bounds(df, keys, n, n_buckets, seed)
-    if not bounds:
-        return windowed(df, partition)
-
-    bucket = _bucket_expr(keys, bounds) if len(bounds) <= CASE_MAX_BOUNDS else _bucket_expr_two_level(keys, bounds)
-    b = df.withColumn("_bkt", bucket)
-    local = windowed(b, ["_bkt", *partition])
+    own = _orders(order, tiebreak)
+    keys = [(p, False) for p in partition] + own
+    src = stored(df) if write else df
+    buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _boundaries(src, keys, src.count() if n is None else n, buckets, seed)
+
+    fields = [StructField("i", IntegerType())] + [StructField(f"f{i}", src.schema[c].dataType) for i, (c, _) in enumerate(keys)]
+    table = df.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bounds)], StructType(fields))
+    held = table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)))).scalar()
+    b = src.withColumn("_bounds", held).withColumn("_bkt", _bucket(keys, "_bounds", len(bounds))).drop("_bounds")
+
+    w = Window.partitionBy("_bkt", *partition).orderBy(*_sort_cols(own))
+    out = b.withColumn(rn, F.row_number().over(w).cast("long"))
+    for s in sums:
+        out = out.withColumn(prefix + s, F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
     totals = b.groupBy("_bkt", *partition).agg(
         F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
     wt = Window.partitionBy(*partition).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_bkt", *partition,
+        F.col("_bkt").alias("_ob"), *[F.col(p).alias(f"_o_{p}") for p in partition],
         F.coalesce(F.sum("_n").over(wt), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_t_{s}").over(wt), F.lit(0)).alias(f"_off_{s}") for s in sums],
     )
-    # Without partition keys the offsets table has at most B + 1 rows (B <= MAX_BUCKETS): a proven
-    # bound, so broadcast it. With partition keys it has one row per (bucket, partition value) seen;
-    # leave the choice to AQE's runtime size check — the large side is already hash-partitioned on
-    # (_bkt, partition) by the local window, so a sort-merge join moves only the offsets.
-    offs = offsets if partition else F.broadcast(offsets)
-    out = local.join(offs, ["_bkt", *partition])
+    # Without partition keys there is one row per bucket: a proven bound, so broadcast it. With them it
+    # is left to AQE's size check at run time; the rows are hash-partitioned on these keys already.
+    same = F.col("_bkt") == F.col("_ob")
+    for p in partition:
+        same = same & F.col(p).eqNullSafe(F.col(f"_o_{p}"))
+    out = out.join(offsets if partition else F.broadcast(offsets), same)
     out = out.withColumn(rn, F.col(rn) + F.col("_off_n"))
     for s in sums:
         out = out.withColumn(prefix + s, F.col(prefix + s) + F.col(f"_off_{s}"))
-    return out.drop("_bkt", "_off_n", *[f"_off_{s}" for s in sums])
+    return out.drop("_bkt", "_ob", "_off_n", *[f"_o_{p}" for p in partition], *[f"_off_{s}" for s in sums])

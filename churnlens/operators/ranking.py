@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
-from churnlens.operators.ordered import ordered_prefix
+from churnlens.operators.lookup import lookup
+from churnlens.operators.ordered import ordered_prefix, stored
 from churnlens.sources.fixtures import uniform
 
 
@@ -57,20 +58,22 @@ def random_key(seed: int, key: str = S.ID) -> Column:
 
 
 def queue_curve(df: DataFrame, sort_key: Column, value: str = "ve", key: str = S.ID,
-                descending: bool = True, mode: str = "auto") -> DataFrame:
+                descending: bool = True) -> DataFrame:
     """Campaign curve for one queue: (contacted, cum_value, marginal)."""
     d = df.withColumn("_k", sort_key)
-    c = ordered_prefix(d, [("_k", descending)], sums=[value], tiebreak=key, rn="contacted", mode=mode)
+    c = ordered_prefix(d, [("_k", descending)], sums=[value], tiebreak=key, rn="contacted")
     return c.select(key, "contacted", F.col(f"cum_{value}").alias("cum_profit"), F.col(value).alias("marginal_ve"))
 
 
 def lift_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
     """G2 for many score sets at once (e.g. one per model): deciles inside each group."""
+    df = stored(df.select(*by, key, p, y))
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y)).alias("_pos"))
     bad = sizes.filter((F.col("_n") < k) | (F.col("_pos") == 0)).limit(1).collect()
     if bad:
         raise ValueError(f"lift by decile needs >= {k} rows and a positive label per group: {bad[0].asDict()}")
-    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank").join(sizes, by)
+    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank", write=False)
+    ranked = lookup(ranked, sizes, by)
     ranked = ranked.withColumn("decile", decile_expr(F.col("rank"), F.col("_n"), k))
     per = ranked.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),

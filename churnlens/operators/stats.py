@@ -16,7 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.operators.ordered import ordered_prefix
+from churnlens.operators.lookup import lookup
+from churnlens.operators.ordered import ordered_prefix, stored
 
 
 def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -30,11 +31,11 @@ def exact_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[
         return agg.select(*by, F.posexplode("_v").alias("_i", "value")).select(
             *by, F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("_i") + 1).alias("q"), "value")
 
-    counts = vals.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c"))
-    cum = ordered_prefix(counts, [(x, False)], sums=["_c"], partition=by, rn="_rk", prefix="_cum")
+    # collapsed and written once: sample, totals, ranks and group sizes are all taken from this table
+    counts = stored(vals.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_c")), "quantiles")
+    cum = ordered_prefix(counts, [(x, False)], sums=["_c"], partition=by, rn="_rk", prefix="_cum", write=False)
     if by:
-        sizes = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))  # one row per group
-        cum = cum.join(sizes, by)  # AQE broadcasts it at runtime when it is small
+        cum = lookup(cum, counts.groupBy(*by).agg(F.sum("_c").alias("_n")), by)
     else:
         cum = cum.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     aggs, outs = [], []

@@ -185,7 +185,7 @@ def business_sentence(spark, sf):
 
 
 @register("contact_list", with_s(D + """
-SELECT customerID,
+SELECT row_number() OVER (ORDER BY ve DESC, customerID) AS "position", customerID,
   CASE Contract WHEN 'Month-to-month' THEN 'Mês a mês' WHEN 'One year' THEN 'Um ano' WHEN 'Two year' THEN 'Dois anos'
        ELSE Contract END AS "Contrato",
   tenure AS "Tempo de casa", mc AS "Mensalidade", p AS "P(churn)", round(ve, 6) AS "Valor esperado"

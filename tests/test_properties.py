@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnlens.operators import decision as K
@@ -24,10 +25,36 @@ def local(scored):
     return pdf
 
 
+def plain_window(df, order, sums=(), partition=()):
+    """The same by one window per group."""
+    cols = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_first() for c, d in order]
+    w = Window.partitionBy(*partition).orderBy(*cols)
+    df = df.withColumn("rn", F.row_number().over(w).cast("long"))
+    for s in sums:
+        df = df.withColumn(f"cum_{s}", F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return df
+
+
+@pytest.mark.parametrize("buckets", [1, 7, 130, 400])
+@pytest.mark.parametrize("order", [[("num", True)], [("num", False)], [("txt", True)], [("txt", False), ("num", True)]])
+def test_ordered_prefix_nulls_text_and_any_number_of_buckets(spark, buckets, order):
+    rows = [(i, None if i % 7 == 0 else float((i * 37) % 50), None if i % 5 == 0 else "abcäéz"[i % 6] * (i % 3), ["x", "y", None][i % 3]) for i in range(600)]
+    d = spark.createDataFrame(rows, "id long, num double, txt string, g string")
+    for part in ([], ["g"]):
+        a = plain_window(d, [*order, ("id", False)], ["id"], part)
+        b = ordered_prefix(d, order, sums=["id"], partition=part, tiebreak="id", n_buckets=buckets)
+        assert sorted(a.select("id", "rn", "cum_id").collect()) == sorted(b.select("id", "rn", "cum_id").collect())
+
+
+def test_ordered_prefix_of_nothing(spark):
+    d = spark.createDataFrame([], "id long, v double")
+    assert ordered_prefix(d, [("v", True)], sums=["v"], tiebreak="id").collect() == []
+
+
 def test_ordered_prefix_bucketed_equals_window(spark, scored):
     d = K.with_decision(scored)
-    a = ordered_prefix(d, [("p", True)], sums=["ve"], tiebreak="customerID", mode="window")
-    b = ordered_prefix(d, [("p", True)], sums=["ve"], tiebreak="customerID", mode="bucketed", n_buckets=7)
+    a = plain_window(d, [("p", True), ("customerID", False)], ["ve"])
+    b = ordered_prefix(d, [("p", True)], sums=["ve"], tiebreak="customerID", n_buckets=7)
     j = a.select("customerID", "rn", F.col("cum_ve").alias("a")).join(
         b.select("customerID", F.col("rn").alias("rn_b"), F.col("cum_ve").alias("b")), "customerID")
     assert j.filter("rn <> rn_b").count() == 0
@@ -38,7 +65,7 @@ def test_ordered_prefix_bucketed_equals_window(spark, scored):
 def test_ordered_prefix_partitioned_giant_tie(spark, scored):
     """One partition holding most rows, all tied on the key: split across buckets by id."""
     d = scored.withColumn("g", F.when(F.col("m2m") == 1, "hot").otherwise("cold")).withColumn("k", F.lit(1.0))
-    a = ordered_prefix(d, [("k", False)], sums=["mc"], partition=["g"], tiebreak="customerID", mode="window")
+    a = plain_window(d, [("k", False), ("customerID", False)], ["mc"], ["g"])
     b = ordered_prefix(d, [("k", False)], sums=["mc"], partition=["g"], tiebreak="customerID", n_buckets=16)
     j = a.select("customerID", "rn", "cum_mc").join(
         b.select("customerID", F.col("rn").alias("rn2"), F.col("cum_mc").alias("c2")), "customerID")
@@ -151,10 +178,10 @@ def test_quartile_bins_equal_qcut(spark):
     assert all(got[i] == w for i, w in zip(pdf["customerID"], want))
 
 
-def test_ordered_prefix_many_buckets_two_level_lookup(spark, scored):
-    """More boundaries than the CASE tree holds: the two-level array lookup is used and exact."""
+def test_ordered_prefix_many_buckets(spark, scored):
+    """More buckets than rows in most of them."""
     d = K.with_decision(scored).withColumn("g", F.col("m2m"))
-    a = ordered_prefix(d, [("ve", True)], sums=["mc"], partition=["g"], tiebreak="customerID", mode="window")
+    a = plain_window(d, [("ve", True), ("customerID", False)], ["mc"], ["g"])
     b = ordered_prefix(d, [("ve", True)], sums=["mc"], partition=["g"], tiebreak="customerID", n_buckets=400)
     j = a.select("customerID", "rn", "cum_mc").join(
         b.select("customerID", F.col("rn").alias("rn2"), F.col("cum_mc").alias("c2")), "customerID")
