@@ -25,7 +25,9 @@ import struct
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,9 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2  # trainer_spec.model_type
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types
 MODEL_BYTES = 64 << 20  # a model is sent to every worker: larger files are refused
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 1 << 20
 THREADS = 2
-KNOWN_RUNS = 300_000  # words whose ids a worker remembers
+KNOWN_RUNS = 400_000  # words whose ids a worker remembers
 
 
 def _fields(data: bytes):
@@ -117,7 +119,9 @@ def build(m: Model):
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
     if m.kind == UNIGRAM:
-        t = Tokenizer(models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback))
+        # only normal pieces may match: the others get names that no text holds, and byte fallback is the codec's
+        least = min((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        t = Tokenizer(models.Unigram([(p, s) if kind == NORMAL else (f"\x00{MARK}\x00{i}", least) for i, (p, s, kind) in enumerate(m.pieces)], m.unk_id, False))
     else:
         t = Tokenizer(models.BPE(
             {p: i for i, (p, _, _) in enumerate(m.pieces)}, merges(m), fuse_unk=True, byte_fallback=m.byte_fallback,
@@ -132,8 +136,26 @@ def build(m: Model):
     return t
 
 
+class _Numbers(dict):
+    """Numbers runs in the order they are first met; ``new`` has those without ids yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, run: str) -> int:
+        self[run] = n = len(self)
+        self.new.append(run)
+        return n
+
+
+def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... (sizes[i] of them) one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Codec:
-    """Encodes and decodes batches of texts with a rebuilt tokenizer.
+    """Encodes and decodes batches of texts with a rebuilt tokenizer, as Arrow arrays.
 
     Where no piece can cross into a run of markers, a text is encoded run by run: those not met
     before go to the library in one multithreaded batch, and their ids are remembered.
@@ -146,37 +168,105 @@ class Codec:
         self.normalizer = self.tokenizer.normalizer
         self.plain = not m.charsmap and not m.remove_extra_whitespaces
         self.prefix = MARK if m.add_dummy_prefix else ""
+        self.trim = m.remove_extra_whitespaces
+        self.tokenizer.normalizer = None
+        self.bytes_of_unknown = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE} if m.kind == UNIGRAM and m.byte_fallback else {}
+        self.unk_id = m.unk_id
         self.by_run = not any(MARK in p.lstrip(MARK) for p, _, kind in m.pieces if kind == NORMAL)
-        if self.by_run:
-            self.tokenizer.normalizer = None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bytes = [b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE
-                      else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        pieces = [b"" if kind == CONTROL else " \u2047 ".encode() if kind == UNKNOWN else bytes([int(p[3:5], 16)]) if kind == BYTE
+                  else p.replace(MARK, " ").encode() for p, _, kind in m.pieces]
+        self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.piece_sizes = np.array([len(p) for p in pieces], np.int64)
+        self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each)."""
+        if self.bytes_of_unknown:
+            ids = [self._with_bytes(t, e) if self.unk_id in e.ids else e.ids
+                   for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)]
+        else:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+
+    def _with_bytes(self, text: str, encoded) -> list[int]:
+        """Ids with the UTF-8 bytes' pieces in the place of unknown characters."""
+        out: list[int] = []
+        for i, (s, e) in zip(encoded.ids, encoded.offsets, strict=True):
+            out += [self.bytes_of_unknown[b] for b in text[s:e].encode()] if i == self.unk_id else [i]
+        return out
+
+    def _normal(self, text: str) -> str:
+        if not text:
+            return ""
+        line = self.prefix + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
+        return line.rstrip(MARK) if self.trim else line  # a marker in the text itself counts as a space
+
+    def _runs(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.plain and self.prefix and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text):
+            return [MARK + w for w in text.split(" ")]
+        return self.RUN.findall(self._normal(text))
+
+    def encode(self, texts: list[str]) -> pa.ListArray:
         if not self.by_run:
-            return self._ids(texts)
-        lines = [self.prefix + t.replace(" ", MARK) if t else "" for t in texts] if self.plain else [
-            self.normalizer.normalize_str(t) if t else "" for t in texts]
-        runs = [self.RUN.findall(line) for line in lines]
+            return _lists(*self._encoded([self._normal(t) for t in texts]))
         if len(self.known) > KNOWN_RUNS:
-            self.known.clear()
-        known = self.known
-        new = [r for r in set(chain.from_iterable(runs)) if r not in known]
-        known.update(zip(new, map(tuple, self._ids(new)), strict=True))
-        return [list(chain.from_iterable(map(known.__getitem__, r))) for r in runs]
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        """Pieces joined, byte pieces as UTF-8 (what is no UTF-8 as U+FFFD), without the dummy prefix."""
-        texts = [b"".join(map(self.bytes.__getitem__, x)).decode(errors="replace") for x in ids]
-        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+            self._forget()
+        numbers, counts = [], []
+        for t in texts:
+            runs = self._runs(t)
+            counts.append(len(runs))
+            numbers.append(np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs)))
+        if self.known.new:
+            ids, sizes = self._encoded(self.known.new)
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+            self.known.new = []
+        runs = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[runs]
+        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+        edge = np.cumsum([0, *counts])
+        return _lists(self.ids[_flat(starts[runs], sizes)], np.diff(total[edge]))
+
+    def decode(self, ids: pa.ListArray) -> pa.StringArray:
+        """Pieces joined, byte pieces as UTF-8, without the space of the dummy prefix."""
+        flat, edge = ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64)
+        sizes = self.piece_sizes[flat]
+        data = self.piece_bytes[_flat(self.piece_starts[flat], sizes)]
+        at = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))[edge]
+        starts, stops = at[:-1], at[1:]
+        if self.prefix:
+            padded = np.append(data, 0)
+            starts = starts + ((starts < stops) & (padded[starts] == 32))
+        raw = data.tobytes()
+        return pa.array([raw[s:e].decode(errors="replace") for s, e in zip(starts.tolist(), stops.tolist(), strict=True)], pa.string())
+
+
+def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(ids, pa.int32()))
+
+
+def agreement(ids: pa.ListArray, decoded: pa.StringArray, own_ids: list[list[int]], own_texts: list[str]) -> pa.BooleanArray:
+    """Of each text, whether both libraries gave the same ids and the same text back."""
+    sizes = np.array([len(x) for x in own_ids], np.int64)
+    flat = np.fromiter(chain.from_iterable(own_ids), np.int32, int(sizes.sum()))
+    edge = ids.offsets.to_numpy().astype(np.int64)
+    if np.array_equal(np.diff(edge), sizes) and np.array_equal(ids.values.to_numpy(), flat):
+        same = np.ones(len(sizes), bool)
+    else:
+        same = np.array([x == y for x, y in zip(ids.to_pylist(), own_ids, strict=True)])
+    return pc.and_(pa.array(same), pc.equal(decoded, pa.array(own_texts, pa.string())))
 
 
 def _parts(texts: list[str]):
-    """Runs of texts of a few MB together: one call to the library each."""
+    """Runs of texts of about a MB together: one call to the library each."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t)
@@ -187,7 +277,6 @@ def _parts(texts: list[str]):
         yield texts[start:]
 
 
-OUT = pa.schema([("doc_key", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("same", pa.bool_())])
 OUT_SQL = "doc_key long, ids array<int>, decoded string, same boolean"
 
 
@@ -213,18 +302,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
             own = SentencePieceProcessor(model_proto=sent.value)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            done = 0
+            done, texts = 0, [t or "" for t in b.column(1).to_pylist()]
             for part in _parts(texts):
                 ids = codec.encode(part)
                 decoded = codec.decode(ids)
-                same: list = [None] * len(part)
+                same = pa.nulls(len(part), pa.bool_())
                 if verify:
                     exact = own.encode(part, num_threads=threads)
-                    back = own.decode(exact, num_threads=threads)
-                    same = [x == y and u == v for x, y, u, v in zip(ids, exact, decoded, back, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip((keys[done:done + len(part)], ids, decoded, same), OUT.types, strict=True)], schema=OUT)
+                    same = agreement(ids, decoded, exact, own.decode(exact, num_threads=threads))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(part)), ids, decoded, same], ["doc_key", "ids", "decoded", "same"])
                 done += len(part)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_key"), text_col).mapInArrow(run, OUT_SQL).withColumnRenamed("doc_key", id_col)
