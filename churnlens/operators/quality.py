@@ -1,82 +1,95 @@
 """Schema validation and data quality.
 
-Column / type checks read only ``df.schema`` on the driver (metadata, no job).
-All value checks over all columns run as ONE job: columns are unpivoted to
-(column, value) pairs, compared against a broadcast domain table (a few dozen
-fixed rows) with a left-anti join, and reduced with ``distinct`` — partial
-aggregation keeps each shuffle at (distinct values × partitions).
-Problems are gathered and raised once (B4).
+What is wrong with an input is a table: (column, check, value, n), one row per finding. Column and
+type findings come from ``df.schema`` (metadata, no job); value findings of all columns come from
+one job: columns are unpivoted to (column, value) pairs, counted, and compared with a broadcast
+domain table of a few dozen fixed rows. A validator raises once, with a message made from the table,
+and carries the whole table in ``problems``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
+from churnlens.functions.treat import NUMBER
+
+PROBLEM = "column string, check string, value string, n long"
+SHOWN = 20  # values named in a message; the table has all
 
 
 class SchemaError(ValueError):
-    """The input is not what the pipeline expects."""
+    """The input is not what the pipeline expects; ``problems`` is the table of all findings."""
 
+    def __init__(self, message: str, problems: DataFrame | None = None) -> None:
+        super().__init__(message)
+        self.problems = problems
 
-def domain_table(spark: SparkSession, schema: dict | None = None) -> DataFrame:
-    schema = schema or S.RAW_SCHEMA
-    rows = [(c, v) for c, (_, dom) in schema.items() if dom for v in dom]
-    return spark.createDataFrame(rows, "column string, value string")
 
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, value) of the non-null values, as text."""
+    return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        [], cols, "column", "value").filter(F.col("value").isNotNull())
 
-def column_problems(df: DataFrame, schema: dict | None = None) -> list[str]:
-    """B1 + B2: missing / unexpected columns and kind mismatches (metadata only)."""
-    schema = schema or S.RAW_SCHEMA
-    problems = []
-    missing = [c for c in schema if c not in df.columns]
-    if missing:
-        problems.append(f"missing columns: {missing}")
-    extra = [c for c in df.columns if c not in schema]
-    if extra:
-        problems.append(f"unexpected columns: {extra}")
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    for c, (kind, _) in schema.items():
-        if c in types and not S.kind_matches(types[c], kind):
-            problems.append(f"{c}: expected {kind}, got {types[c].simpleString()}")
-    return problems
 
+def domain_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(c, v) for c, values in S.DOMAINS.items() for v in values], "column string, value string")
 
-def _checkable(df: DataFrame, schema: dict) -> list[str]:
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    return [c for c, (kind, dom) in schema.items()
-            if dom and c in types and S.kind_matches(types[c], kind)]
 
+def _checkable(df: DataFrame) -> list[str]:
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return [c.name for c in S.COLUMNS if c.domain and c.name in types and c.holds(types[c.name])]
 
-def domain_audit(df: DataFrame, schema: dict | None = None) -> DataFrame:
+
+def domain_audit(df: DataFrame) -> DataFrame:
     """(column, value, n, in_domain) for every domain-checked column, nulls ignored."""
-    schema = schema or S.RAW_SCHEMA
-    cols = _checkable(df, schema)
-    st = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value").filter(F.col("value").isNotNull())
-    dom = F.broadcast(domain_table(df.sparkSession, schema).withColumn("in_domain", F.lit(True)))
-    counts = st.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(dom, ["column", "value"], "left").select(
+    known = F.broadcast(domain_table(df.sparkSession).withColumn("in_domain", F.lit(True)))
+    counts = _values(df, _checkable(df)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(known, ["column", "value"], "left").select(
         "column", "value", "n", F.coalesce("in_domain", F.lit(False)).alias("in_domain"))
 
 
-def out_of_domain(df: DataFrame, schema: dict | None = None) -> DataFrame:
+def out_of_domain(df: DataFrame) -> DataFrame:
     """Distinct out-of-domain values per column (left-anti join on the domain table)."""
-    schema = schema or S.RAW_SCHEMA
-    cols = _checkable(df, schema)
-    st = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value").filter(F.col("value").isNotNull())
-    dom = F.broadcast(domain_table(df.sparkSession, schema))
-    return st.join(dom, ["column", "value"], "left_anti").distinct()
+    known = F.broadcast(domain_table(df.sparkSession))
+    return _values(df, _checkable(df)).join(known, ["column", "value"], "left_anti").distinct()
+
+
+def column_problems(df: DataFrame, text: bool = False) -> DataFrame:
+    """B1 + B2: missing and unexpected columns, and columns of another kind (``text``: all are text yet)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    rows = [(c.name, "missing", None, None) for c in S.COLUMNS if c.name not in types]
+    rows += [(name, "unexpected", None, None) for name in types if name not in S.RAW_COLUMNS]
+    if not text:
+        rows += [(c.name, f"not {c.kind}", types[c.name].simpleString(), None) for c in S.COLUMNS
+                 if c.name in types and not c.holds(types[c.name])]
+    return df.sparkSession.createDataFrame(rows, PROBLEM)
+
+
+def kind_problems(text: DataFrame) -> DataFrame:
+    """B2 on a text table (a CSV): the values of int and decimal columns that are no such number, with counts."""
+    cols = [c for c in S.COLUMNS if c.kind != "text" and c.name in text.columns]
+    if not cols:
+        return text.sparkSession.createDataFrame([], PROBLEM)
+    kind = F.create_map(*[F.lit(x) for c in cols for x in (c.name, c.kind)])[F.col("column")]
+    good = F.when(kind == "int", F.col("value").rlike(r"^\s*[+-]?[0-9]{1,9}\s*$")).otherwise(F.trim("value").rlike(NUMBER))
+    bad = _values(text, [c.name for c in cols]).filter(~good)
+    return bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select(
+        "column", F.concat(F.lit("not "), kind).alias("check"), "value", "n")
+
+
+def raw_problems(df: DataFrame, text: bool = False) -> DataFrame:
+    """Every finding on a raw table; ``text``: a table read as text, whose numbers are checked by value."""
+    domain = domain_audit(df).filter(~F.col("in_domain")).select("column", F.lit("outside domain").alias("check"), "value", "n")
+    found = column_problems(df, text).unionByName(domain)
+    return found.unionByName(kind_problems(df)) if text else found
 
 
 def smallest_values(df: DataFrame, group: str, value: str, k: int, salts: int = 64) -> DataFrame:
     """(group, values): the k smallest distinct values per group, in order — bounded work even when
     one group holds millions of values: rank inside (group, hash-salt) sub-groups first, keep k per
     salt, then rank the ≤ k·salts survivors per group (never a per-group list of every value)."""
-    from pyspark.sql import Window
-
     d = df.select(group, value).distinct().withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)))
     w1 = Window.partitionBy(group, "_salt").orderBy(value)
     local = d.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
@@ -85,31 +98,32 @@ def smallest_values(df: DataFrame, group: str, value: str, k: int, salts: int =
     return top.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("values"))  # ≤ k per group
 
 
-def validate_raw(df: DataFrame, schema: dict | None = None, show: int = 20) -> None:
-    """Every problem of columns, kinds and domains, raised once (offending values listed
-    in order, the first ``show`` of them plus the distinct count)."""
-    schema = schema or S.RAW_SCHEMA
-    problems = column_problems(df, schema)
-    ood = out_of_domain(df, schema)
-    counts = {r["column"]: r["n"] for r in ood.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    listed = {r["column"]: list(r["values"]) for r in smallest_values(ood, "column", "value", show).collect()} \
-        if counts else {}
-    order = list(schema)
-    for c in sorted(counts, key=order.index):
-        dom = list(schema[c][1])
-        more = f" ... ({counts[c]} distinct)" if counts[c] > len(listed[c]) else ""
-        problems.append(f"{c}: values outside domain {dom}: {listed[c]}{more}")
-    if problems:
-        raise SchemaError("raw input does not match the expected schema:\n  - " + "\n  - ".join(problems))
+def _raise_for(problems: DataFrame, headline: str) -> None:
+    """One SchemaError for all findings: per column and check, the first values and how many there are."""
+    keyed = problems.withColumn("_k", F.concat_ws("\x1f", "column", "check"))
+    # one row per column and check
+    found = keyed.groupBy("_k", "column", "check").agg(F.count("value").alias("distinct")).collect()
+    if not found:
+        return
+    shown = {r["_k"]: r["values"] for r in smallest_values(keyed.filter(F.col("value").isNotNull()), "_k", "value", SHOWN).collect()}
+    place = {c: i for i, c in enumerate(S.RAW_COLUMNS)}
+    lines = []
+    for r in sorted(found, key=lambda r: (r["check"] != "missing", r["check"] != "unexpected", place.get(r["column"], 99), r["column"])):
+        values, more = shown.get(r["_k"], []), r["distinct"] - len(shown.get(r["_k"], []))
+        lines.append(f"{r['column']}: {r['check']}" + (f": {', '.join(map(repr, values))}" if values else "") + (f" and {more} more" if more else ""))
+    raise SchemaError(f"{headline}\n  - " + "\n  - ".join(lines), problems)
+
+
+def validate_raw(df: DataFrame, text: bool = False) -> None:
+    """Raises once for all findings of columns, kinds and domains."""
+    _raise_for(raw_problems(df, text), "the raw table breaks its schema:")
 
 
 def binary_contract(df: DataFrame, cols: list[str] | None = None, sample: int = 5) -> DataFrame:
     """Per model-binary column, distinct values, offending (non-0/1) distinct count and
     a sample of up to ``sample`` offending values ordered as text."""
     cols = [c for c in (cols or S.MODEL_BINARIES) if c in df.columns]
-    st = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value").filter(F.col("value").isNotNull())
-    d = st.distinct()
+    d = _values(df, cols).distinct()
     bad = ~F.col("value").isin("0", "1")
     counts = d.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"), F.count(F.when(bad, 1)).alias("n_bad"))
     first = smallest_values(d.filter(bad), "column", "value", sample)  # bounded: `sample` mins per column
@@ -118,15 +132,18 @@ def binary_contract(df: DataFrame, cols: list[str] | None = None, sample: int =
         F.when(F.col("n_bad") > 0, F.array_join("values", ", ")).alias("bad_sample"))
 
 
-def validate_treated(df: DataFrame, cols: list[str] | None = None) -> None:
-    """B5 guard: raise once, listing each column that is missing or not 0/1 after treatment."""
+def treated_problems(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Model binaries that are missing, or hold values other than 0 and 1."""
     cols = cols or S.MODEL_BINARIES
-    problems = [f"{c}: missing after treatment" for c in cols if c not in df.columns]
-    for r in binary_contract(df, cols).filter("n_bad > 0").collect():
-        more = f", ... ({r['n_distinct']} distinct values)" if r["n_distinct"] > min(5, r["n_bad"]) else ""
-        problems.append(f"{r['column']}: should be 0/1 after treatment, got {r['bad_sample']}{more}")
-    if problems:
-        raise SchemaError("treated input breaks the feature contract:\n  - " + "\n  - ".join(problems))
+    missing = df.sparkSession.createDataFrame([(c, "missing", None, None) for c in cols if c not in df.columns], PROBLEM)
+    bad = _values(df, [c for c in cols if c in df.columns]).filter(~F.col("value").isin("0", "1"))
+    return missing.unionByName(bad.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select(
+        "column", F.lit("not 0/1").alias("check"), "value", "n"))
+
+
+def validate_treated(df: DataFrame, cols: list[str] | None = None) -> None:
+    """B5 guard: raises once for all columns that are missing or not 0/1 after treatment."""
+    _raise_for(treated_problems(df, cols), "the treated table breaks the feature contract:")
 
 
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ compute exactly what ``churnlens.sources.fixtures`` computes in Spark.
 
 from __future__ import annotations
 
-from churnlens.sources.fixtures import ADDON_TAGS, BASE_KEYS, U_TAGS
+from churnlens.sources.fixtures import ADDON_TAGS, BASE_KEYS, DIRT, U_TAGS
 
 
 def _u(tag: str) -> str:
@@ -141,3 +141,19 @@ def with_s(body: str, treated: bool = True, base: str = "customer") -> str:
 
 def with_r(body: str) -> str:
     return f"WITH {R_CTE}\n{body}"
+
+
+def _planted(column: str, modulus: int, value) -> str:
+    text = "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+    return f"CASE WHEN cast(customerID AS bigint) % {modulus} = 0 THEN {text} ELSE {column} END AS {column}"
+
+
+# D: S with planted faults, and its treatment
+D_CTE = ("d0 AS (SELECT * EXCLUDE (p_score) REPLACE (" + ", ".join(_planted(c, *x) for c, x in DIRT.items()) + ") FROM s),\n"
+         "d AS (SELECT * FROM d0 UNION ALL SELECT * FROM d0 WHERE cast(customerID AS bigint) % 37 = 0)")
+TD_CTE = T_CTE.replace("t AS (", "td AS (", 1).replace("FROM s", "FROM d").replace("AS Churn,\n    p_score", "AS Churn")
+
+
+def with_d(sql: str) -> str:
+    """A query over D (``d``) and treated D (``td``)."""
+    return with_s(f", {D_CTE}, {TD_CTE}\n{sql}", treated=False)

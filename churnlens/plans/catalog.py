@@ -30,6 +30,7 @@ def load_all() -> dict[str, tuple[Query, str | None]]:
     from churnlens.plans import (  # noqa: F401
         q_charts,
         q_decision,
+        q_dirty,
         q_explore,
         q_metrics,
         q_ml,

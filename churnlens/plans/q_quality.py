@@ -12,8 +12,8 @@ from churnlens.oracle import with_s
 from churnlens.plans.catalog import register
 from churnlens.plans.inputs import s_raw, s_treated
 
-_DOM_COLS = [c for c, (_, d) in S.RAW_SCHEMA.items() if d]
-_DOM_VALUES = ", ".join(f"('{c}', '{v}')" for c, (_, d) in S.RAW_SCHEMA.items() if d for v in d)
+_DOM_COLS = list(S.DOMAINS)
+_DOM_VALUES = ", ".join(f"('{c}', '{v}')" for c, values in S.DOMAINS.items() for v in values)
 _UNPIVOT_RAW = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c}::varchar AS value FROM s" for c in _DOM_COLS)
 
 

@@ -153,3 +153,22 @@ def real_subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("n_post") == 0, 1).otherwise(0).alias("Churn"),
         )
     )
+
+
+def dirty_subscribers(raw: DataFrame) -> DataFrame:
+    """D: the raw table with planted faults, row-locally by the id's remainders, for the quality checks:
+    values out of domain, nulls, a flag that is 2, options without their service, a rare category, and
+    rows that come twice. ``churnlens.oracle.D_CTE`` is the DuckDB twin."""
+    def planted(column: str, modulus: int, value) -> Column:
+        return F.when(F.pmod(F.col(S.ID).cast("bigint"), F.lit(modulus)) == 0, F.lit(value)).otherwise(F.col(column)).alias(column)
+
+    d = raw.select(*[planted(c, *DIRT[c]) if c in DIRT else F.col(c) for c in S.RAW_COLUMNS])
+    twice = F.pmod(F.col(S.ID).cast("bigint"), F.lit(37)) == 0
+    return d.select("*", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+
+
+#: column -> (remainder 0 of the id modulo this, planted value)
+DIRT = {
+    "Contract": (17, "Three year"), "Partner": (19, "Maybe"), "gender": (23, None), "PaymentMethod": (41, "Crypto"),
+    "OnlineBackup": (13, "Yes"), "MultipleLines": (11, "Yes"), "SeniorCitizen": (29, 2),
+}

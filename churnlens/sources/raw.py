@@ -8,21 +8,41 @@ the cluster uses.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.functions.treat import treat
-from churnlens.operators.quality import validate_raw, validate_treated
+from churnlens.operators.quality import SchemaError, column_problems, raw_problems, validate_raw, validate_treated
 
 _CSV_OPTS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
              "nullValue": "", "emptyValue": ""}
 
 
-def read_raw_csv(spark: SparkSession, path: str, schema: dict | None = None) -> DataFrame:
-    """A1: the raw subscriber CSV with header, untouched, with the declared schema (no inference).
-    ``TotalCharges`` stays text so blanks survive to the treatment."""
-    return spark.read.schema(S.raw_struct(schema)).options(**_CSV_OPTS).csv(path)
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV with header, every column as text under its own name."""
+    return spark.read.options(**_CSV_OPTS, inferSchema="false").csv(path)
+
+
+def typed(text: DataFrame) -> DataFrame:
+    """The declared columns, taken by name and cast to their kinds (null where a value is no such number)."""
+    return text.select(*[F.trim(c.name).try_cast(c.spark_type).alias(c.name) if c.kind != "text" else F.col(c.name) for c in S.COLUMNS])
+
+
+def csv_problems(spark: SparkSession, path: str) -> DataFrame:
+    """B1-B4 on a CSV: (column, check, value, n) of everything that breaks the schema."""
+    return raw_problems(read_text_csv(spark, path), text=True)
+
+
+def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A1: the raw subscriber CSV, columns by header name, no inference. Missing and unexpected columns
+    raise. ``TotalCharges`` stays text so blanks survive to the treatment."""
+    text = read_text_csv(spark, path)
+    broken = column_problems(text, text=True)
+    if not broken.isEmpty():
+        raise SchemaError(f"{path}: " + ", ".join(f"{r['column']} {r['check']}" for r in broken.collect()), broken)
+    return typed(text)
 
 
 def write_raw_csv(df: DataFrame, path: str) -> None:
@@ -31,10 +51,10 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
 
 
 def load_treated(spark: SparkSession, path: str) -> DataFrame:
-    """A2: load → validate (all problems at once) → treat → validate the 0/1 contract."""
-    raw = read_raw_csv(spark, path)
-    validate_raw(raw)
-    treated = treat(raw)
+    """A2: load → validate (all problems at once, numbers by value) → treat → validate the 0/1 contract."""
+    text = read_text_csv(spark, path)
+    validate_raw(text, text=True)
+    treated = treat(typed(text))
     validate_treated(treated)
     return treated
 
@@ -45,11 +65,13 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame | None:
-    """A3: read a saved report; None when it does not exist."""
+    """A3: read a saved report; None when it does not exist. A broken report raises."""
     try:
         return spark.read.json(path)
-    except Exception:  # noqa: BLE001 - absent folder
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def champion_name(spark: SparkSession, comparison_path: str, default: str = "logistic") -> str:
@@ -62,7 +84,7 @@ def champion_name(spark: SparkSession, comparison_path: str, default: str = "log
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; the customer id is an ordinary column."""
+    """CSV with header, in the rows' order if they have one; the customer id is an ordinary column."""
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
