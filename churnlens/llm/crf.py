@@ -8,6 +8,7 @@ strings; those seen in training have a row of weights, others none.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 
@@ -165,8 +166,11 @@ def train(kinds: list[list[str]], items: np.ndarray, lengths, gold: np.ndarray,
         for n in names:
             times[n] = times.get(n, 0) + c
     features = {n: i for i, n in enumerate(n for n, c in times.items() if c >= min_count)}
-    pairs = [(k, features[n]) for k, names in enumerate(kinds) for n in names if n in features]
-    of_kind, of_feature = np.array(pairs, np.int64).reshape(-1, 2).T
+    del times
+    held = [[features[n] for n in names if n in features] for names in kinds]
+    of_kind = np.repeat(np.arange(len(kinds)), [len(x) for x in held])
+    of_feature = np.fromiter(chain.from_iterable(held), np.int64, len(of_kind))
+    del held
     w, trans, start = np.zeros((len(features), states)), np.zeros((states, states)), np.zeros(states)
     sums = [np.full_like(x, 1e-6) for x in (w, trans, start)]
     truth = np.zeros((len(items), states))

@@ -23,6 +23,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -37,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece
 MODEL_BYTES = 64 << 20  # a model is sent to every worker: larger files are refused
 BATCH_CHARS = 1 << 20
 THREADS = 2
-KNOWN_RUNS = 400_000  # words whose ids a worker remembers
+KNOWN_RUNS = 300_000  # words whose ids a worker remembers
 
 
 def _fields(data: bytes):
@@ -277,6 +278,14 @@ def _parts(texts: list[str]):
         yield texts[start:]
 
 
+@lru_cache(1)
+def _libraries(model: bytes):
+    """The rebuilt codec and the sentencepiece library's own: kept by a worker from task to task."""
+    from sentencepiece import SentencePieceProcessor
+
+    return Codec(parse_model(model)), SentencePieceProcessor(model_proto=model)
+
+
 OUT_SQL = "doc_key long, ids array<int>, decoded string, same boolean"
 
 
@@ -296,11 +305,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     def run(batches):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        codec = Codec(parse_model(sent.value))
-        if verify:
-            from sentencepiece import SentencePieceProcessor
-
-            own = SentencePieceProcessor(model_proto=sent.value)
+        codec, own = _libraries(sent.value)
         for b in batches:
             done, texts = 0, [t or "" for t in b.column(1).to_pylist()]
             for part in _parts(texts):

@@ -36,13 +36,14 @@ from churnlens.llm.common import carried, with_rest
 from churnlens.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = (1500, 3000)  # toxic and clean documents in the sample, at most
-FIT_PER_CLASS = (1000, 500)  # of these, the CRF is trained on so many clean and toxic ones
+FIT_PER_CLASS = (600, 400)  # of these, the CRF is trained on so many clean and toxic ones
 SAMPLE_CHARS = 20_000  # longer documents aren't used for training (they are scored whole)
-GROUP_WORDS = 200_000  # words whose chains are swept together
-KNOWN_WORDS = 200_000  # words whose emissions a worker remembers
+GROUP_WORDS = 100_000  # words whose chains are swept together
+KNOWN_WORDS = 150_000  # words whose emissions a worker remembers
 WORD = re.compile(r"\S+")
 BEGINNINGS = 7  # of a word's features, so many are the word and its beginnings
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+LEAST_WEIGHT = 0.2  # features that move the log odds less aren't sent to the workers
 LEAST_RATIO = 7.5  # how many times the share of clean documents a feature's share of toxic ones must be
 LEAST = 0.5  # a word is toxic from this marginal on
 
@@ -74,43 +75,50 @@ def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
     The purest come first; a feature is judged by those of its words that no earlier one covers, so
     that a short beginning isn't taken for the sake of one toxic word.
     """
-    of_word: dict[str, tuple[set, set]] = {}  # clean and toxic documents of each word
-    for i, (words, y) in enumerate(docs):
-        for w in set(words):
-            of_word.setdefault(w, (set(), set()))[y].add(i)
     pos = sum(y for _, y in docs)
     neg = len(docs) - pos
-    of_feature: dict[str, list[str]] = {}
-    for w, held in of_word.items():
-        if held[1]:
-            for f in word_features(w)[:BEGINNINGS]:
-                if len(f) > 4:
-                    of_feature.setdefault(f, []).append(w)
-    clean: dict[str, set] = {}
-    for w, held in of_word.items():
-        for f in word_features(w)[:BEGINNINGS] if held[0] else ():
-            if f in of_feature:
-                clean.setdefault(f, set()).update(held[0])
-    toxic = {f: len(set().union(*(of_word[w][1] for w in ws))) for f, ws in of_feature.items()}
+    held: dict[str, list[int]] = {}  # toxic documents of each word
+    for i, (words, y) in enumerate(docs):
+        for w in set(words) if y else ():
+            held.setdefault(w, []).append(i)
+    # features of at least three toxic documents; most are in one
+    met, often = {}, set()
+    for w, where in held.items():
+        for f in word_features(w)[:BEGINNINGS]:
+            if len(f) > 4 and f not in often:
+                met[f] = seen = met.get(f, 0) + len(where)
+                if seen >= 3:
+                    often.add(f)
+    del met
+    of_feature: dict[str, list[str]] = {f: [] for f in often}
+    for w in held:
+        for f in word_features(w)[:BEGINNINGS]:
+            if f in often:
+                of_feature[f].append(w)
+    toxic = {f: len(set().union(*(held[w] for w in ws))) for f, ws in of_feature.items()}
+    clean = dict.fromkeys(often, 0)
+    for words, y in docs:
+        if not y:
+            for f in {f for w in set(words) for f in word_features(w)[:BEGINNINGS] if f in often}:
+                clean[f] += 1
 
     def purity(p: int, n: int) -> float:
         return (p / pos) / (max(n, 0.5) / neg)
 
-    order = [(purity(p, len(clean.get(f, ()))), len(f), f) for f, p in toxic.items() if p >= 3]
+    order = [(purity(p, clean[f]), len(f), f) for f, p in toxic.items() if p >= 3]
     chance, chosen, covered, weak = 2 * math.log(max(2, len(toxic))) + 8, set(), set(), []
     for _, _, f in sorted((x for x in order if x[0] >= LEAST_RATIO), reverse=True):
         left = [w for w in of_feature[f] if w not in covered]
-        p = len(set().union(*(of_word[w][1] for w in left)))
-        n = len(clean.get(f, ()))
+        p, n = len(set().union(*(held[w] for w in left))), clean[f]
         if p >= 3 and purity(p, n) >= LEAST_RATIO:
             if _ratio(p, n, pos, neg) >= chance:
                 chosen.add(f)
                 covered.update(left)
             else:
                 weak.append(f)
-    known = set().union(*(of_word[w][1] for w in covered))
+    known = set().union(*(held[w] for w in covered))
     for f in weak:  # for toxic documents without a toxic word so far
-        found = set().union(*(of_word[w][1] for w in of_feature[f] if w not in covered)) - known
+        found = set().union(*(held[w] for w in of_feature[f] if w not in covered)) - known
         if len(found) >= 3:
             chosen.add(f)
             covered.update(of_feature[f])
@@ -200,8 +208,8 @@ def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
                 names.append(word_features(w))
             items.append(k)
             gold.append(y and not bound.isdisjoint(names[k]))
-    model = crf.train(names, np.array(items, np.int64), lengths, np.array(gold, np.int64), 2)
-    heavy = {n: i for n, i in model.features.items() if np.abs(model.weights[i]).max() > 1e-3}
+    model = crf.train(names, np.array(items, np.int64), lengths, np.array(gold, np.int64), 2, rounds=40, min_count=4)
+    heavy = {n: i for n, i in model.features.items() if abs(model.weights[i, 1] - model.weights[i, 0]) > LEAST_WEIGHT}
     model.weights, model.features = model.weights[list(heavy.values())], {n: i for i, n in enumerate(heavy)}
     back = [d for x, c in zip(by, cut, strict=True) for d in (x[c:c + 1000] or x)]
     found = list(Scorer(model).evidence([t for _, _, t in back]))
@@ -225,7 +233,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):
-        scorer = Scorer(sent.value) if sent.value else None
+        # a worker keeps the scorer, and the words it knows, with the model from task to task
+        scorer = sent.value and (sent.value.extra.get("scorer") or sent.value.extra.setdefault("scorer", Scorer(sent.value)))
         for b in batches:
             texts = [t or "" for t in b.column("body").to_pylist()]
             if scorer is None:
