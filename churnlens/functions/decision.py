@@ -1,75 +1,81 @@
 """Column expressions of the expected-value decision layer (K1-K3).
 
-    VE = acceptance · mc · horizon · (p · margin − discount) − contact_cost
-    floor = discount / margin
-    threshold = floor + contact_cost / (acceptance · margin · mc · horizon)
+A contact reaches a customer who accepts with probability a. Accepting keeps what the customer would
+have brought over the horizon H, worth mc * H * margin with probability p, and costs the discount,
+mc * H * discount, for sure. With the cost of the contact itself:
 
-Business parameters are literals (Catalyst folds them); a sensitivity grid
-passes them as columns instead, so the same expressions serve both.
+    VE(p) = gain * p - cost,   gain = a * mc * H * margin,   cost = a * mc * H * discount + contact
+
+so the threshold, where VE is 0, is cost / gain, and its floor, without the contact, is discount /
+margin. Assumptions are literals or, for a sensitivity grid, columns: the same expressions serve both.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# --- fixed values: the assumptions' defaults, and the one-at-a-time sensitivity grid (31 points)
+DEFAULTS = {"margin": 0.30, "discount": 0.10, "acceptance": 0.40, "horizon": 12, "contact_cost": 15.0}
+DEFAULT_GRID: dict[str, list[float]] = {
+    "margin": [0.15, 0.20, 0.25, 0.30, 0.40, 0.50],
+    "discount": [0.02, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30],
+    "acceptance": [0.10, 0.20, 0.30, 0.40, 0.60, 0.80],
+    "horizon": [3, 6, 12, 18, 24, 36],
+    "contact_cost": [0.0, 5.0, 15.0, 30.0, 50.0, 100.0],
+}
+# ---------------------------------------------------------------------------
+
 
 @dataclass(frozen=True)
 class BusinessParams:
-    """Business assumptions (not learned from data): defaults of the reference."""
+    """Assumptions about the business; none is learned from data."""
 
-    margin: float = 0.30        # contribution margin on the monthly charge
-    discount: float = 0.10      # discount offered, fraction of the monthly charge
-    acceptance: float = 0.40    # P(accepts | contacted)
-    horizon: int = 12           # months over which retention and discount apply
-    contact_cost: float = 15.0  # fixed cost per contacted customer
+    margin: float = DEFAULTS["margin"]
+    discount: float = DEFAULTS["discount"]
+    acceptance: float = DEFAULTS["acceptance"]
+    horizon: int = DEFAULTS["horizon"]
+    contact_cost: float = DEFAULTS["contact_cost"]
 
     def as_dict(self) -> dict:
-        return asdict(self)
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
-PARAM_NAMES = ["margin", "discount", "acceptance", "horizon", "contact_cost"]
+PARAM_NAMES = list(DEFAULTS)
 
-# --- fixed values: default one-at-a-time sensitivity grid (31 points) -------
-DEFAULT_GRID: dict[str, list[float]] = {
-    "margin": [0.15, 0.20, 0.25, 0.30, 0.40, 0.50],
-    "discount": [0.02, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30],
-    "acceptance": [0.10, 0.20, 0.30, 0.40, 0.60, 0.80],
-    "horizon": [3, 6, 12, 18, 24, 36],
-    "contact_cost": [0.0, 5.0, 15.0, 30.0, 50.0, 100.0],
-}
-# ---------------------------------------------------------------------------
+
+def param_cols(params: BusinessParams | dict | None = None) -> dict[str, Column]:
+    """The assumptions as columns; a dict may hold columns already."""
+    given = params if isinstance(params, dict) else (params or BusinessParams()).as_dict()
+    return {k: v if isinstance(v, Column) else F.lit(float(v)) for k, v in given.items()}
 
 
-def _v(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(float(x))
+def _column(x: Column | str) -> Column:
+    return F.col(x) if isinstance(x, str) else x
 
 
-def param_cols(params: BusinessParams | None = None) -> dict[str, Column]:
-    params = params or BusinessParams()
-    return {k: F.lit(float(v)) for k, v in params.as_dict().items()}
+def gain_and_cost(mc: Column | str, params: BusinessParams | dict | None = None) -> tuple[Column, Column]:
+    """What a contact brings per unit of churn probability, and what it costs whatever the probability."""
+    a = param_cols(params)
+    billed = a["acceptance"] * _column(mc) * a["horizon"]
+    return billed * a["margin"], billed * a["discount"] + a["contact_cost"]
 
 
 def expected_value(p: Column | str, mc: Column | str, params: BusinessParams | dict | None = None) -> Column:
     """K1: expected value of contacting one customer."""
-    pr = params if isinstance(params, dict) else param_cols(params)
-    p = F.col(p) if isinstance(p, str) else p
-    mc = F.col(mc) if isinstance(mc, str) else mc
-    scale = _v(pr["acceptance"]) * mc * _v(pr["horizon"])
-    return scale * (p * _v(pr["margin"]) - _v(pr["discount"])) - _v(pr["contact_cost"])
+    gain, cost = gain_and_cost(mc, params)
+    return gain * _column(p) - cost
 
 
 def threshold_floor(params: BusinessParams | dict | None = None) -> Column:
-    """K2: discount / margin — below it no contact ever pays."""
-    pr = params if isinstance(params, dict) else param_cols(params)
-    return F.try_divide(_v(pr["discount"]), _v(pr["margin"]))
+    """K2: below this probability no contact ever pays, however cheap."""
+    a = param_cols(params)
+    return F.try_divide(a["discount"], a["margin"])
 
 
 def customer_threshold(mc: Column | str, params: BusinessParams | dict | None = None) -> Column:
-    """K3: per-customer contact threshold; null when the denominator is 0 (mc = 0)."""
-    pr = params if isinstance(params, dict) else param_cols(params)
-    mc = F.col(mc) if isinstance(mc, str) else mc
-    denom = _v(pr["acceptance"]) * _v(pr["margin"]) * mc * _v(pr["horizon"])
-    return threshold_floor(pr) + F.try_divide(_v(pr["contact_cost"]), F.when(denom != 0, denom))
+    """K3: the probability from which contacting this customer pays; null if a contact can bring nothing."""
+    gain, cost = gain_and_cost(mc, params)
+    return F.try_divide(cost, gain)

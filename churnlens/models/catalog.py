@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
+from churnlens.models import store
 from churnlens.models.features import feature_names, preprocessing_stages
 from churnlens.models.learners import (
     GBT,
@@ -79,11 +81,11 @@ class FittedModel:
         return spark.createDataFrame(rows, "feature string, coefficient double")
 
     def save(self, path: str) -> None:
-        """Spark ML format, one folder per component."""
+        """The feature preparation and the model, one folder each."""
         if self.prep is not None:
             self.prep.write().overwrite().save(f"{path}/prep")
-        if isinstance(self.fitted, FittedSpark):
-            self.fitted.save(f"{path}/model")
+        store.save(self.fitted, f"{path}/model")
+        store._note(path, "churn model", name=self.name, prepared=self.prep is not None)
 
 
 def catalogue(use_total_charges: bool = True, seed: int = 42, rounds: int = 300) -> dict[str, ChurnModel]:
@@ -130,20 +132,12 @@ def calibration_variants(seed: int = 42) -> dict[str, ChurnModel]:
     }
 
 
-def load_fitted(path: str, name: str = "loaded") -> FittedModel:
-    """Reload a model saved by ``FittedModel.save`` (preprocessor + Spark ML classifier)."""
+def load_fitted(path: str, name: str | None = None) -> FittedModel:
+    """A model saved by ``FittedModel.save``, of any kind; a folder without one raises."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel
+    from pyspark.sql import SparkSession
 
-    prep = PipelineModel.load(f"{path}/prep")
-    model = None
-    for cls in (LogisticRegressionModel, GBTClassificationModel):
-        try:
-            model = cls.load(f"{path}/model")
-            break
-        except Exception:  # noqa: BLE001 - try the next kind
-            continue
-    if model is None:
-        raise ValueError(f"no loadable classifier under {path}/model")
-    tag = model.getProbabilityCol().removeprefix("_prob_")
-    return FittedModel(name, prep, FittedSpark(model, tag))
+    row = SparkSession.active().read.schema("kind string, fields string").json(f"{path}/kind").first()
+    about = json.loads(row["fields"])
+    prep = PipelineModel.load(f"{path}/prep") if about["prepared"] else None
+    return FittedModel(name or about["name"], prep, store.load(f"{path}/model"))

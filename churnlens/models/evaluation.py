@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.models.catalog import ChurnModel
 from churnlens.operators import selection as SEL
+from churnlens.operators.ordered import stored
 from churnlens.operators.metrics import calibration_curve, evaluate, evaluate_counts, score_counts
 from churnlens.operators.ranking import lift_by
 from churnlens.operators.splits import stratified_folds
@@ -47,18 +48,17 @@ def cross_validate(train: DataFrame, models: dict[str, ChurnModel], n_splits: in
                    seed: int = 42, parallelism: int = 2, label: str = S.TARGET) -> DataFrame:
     """fold_scores (model, repeat, fold, roc_auc, pr_auc, brier, seconds)."""
     spark = train.sparkSession
-    # ranked once and written to the shared checkpoint folder: every fit task reads it
-    folds = stratified_folds(train, y=label, n_splits=n_splits, n_repeats=n_repeats, seed=seed).select(
-        S.ID, "repeat", "fold").checkpoint(eager=True)
+    # one fold column per repeat, written once with the rows: a fit's rows are then a plain filter
+    folds = stratified_folds(train, y=label, n_splits=n_splits, n_repeats=n_repeats, seed=seed)
+    wide = folds.groupBy(S.ID).agg(*[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(n_repeats)])
+    data = stored(train.join(wide, S.ID), "cv")
     root = scratch_path(spark, "cv")
-    data = train.persist()
     tasks = [(name, r, k) for r in range(n_repeats) for k in range(n_splits) for name in models]
 
     def run(task):
         name, r, k = task
-        f = folds.filter(F.col("repeat") == r)
-        tr = data.join(f.filter(F.col("fold") != k).select(S.ID), S.ID, "left_semi")
-        va = data.join(f.filter(F.col("fold") == k).select(S.ID), S.ID, "left_semi")
+        rows = data.select(*train.columns, F.col(f"fold_{r}").alias("_fold"))
+        tr, va = rows.filter(F.col("_fold") != k).drop("_fold"), rows.filter(F.col("_fold") == k).drop("_fold")
         t0 = time.perf_counter()
         fitted = models[name].fit(tr, label)
         seconds = time.perf_counter() - t0
@@ -67,7 +67,6 @@ def cross_validate(train: DataFrame, models: dict[str, ChurnModel], n_splits: in
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         timings = list(pool.map(run, tasks))
-    data.unpersist()
     counts = spark.read.parquet(root)
     by = ["model", "repeat", "fold"]
     scores = evaluate_counts(counts, by).select(*by, *SEL.METRICS)

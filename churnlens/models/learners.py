@@ -6,10 +6,8 @@ feature table (one preprocessor fitted on the outer training rows).
 
 * Logistic: the single-machine objective ½‖w‖² + C·Σ loss (C = 1, raw features)
   equals Spark's averaged loss with regParam = 1 / Σweights, standardization off.
-* AdaBoost (SAMME, depth-1 trees): sample weights have the closed form
-  exp(Σ_j α_j · wrong_j(x)), so each round's weight is ONE column expression
-  over the cached feature table — no lineage growth across 300 rounds — and
-  the fitted ensemble scores as one fused expression.
+* AdaBoost (SAMME, depth-1 trees): a row's log weight Σ_j α_j · wrong_j(x) is a column that is
+  written with the features every few rounds; the fitted ensemble scores as one expression.
 * Gradient boosting: MLlib ``GBTClassifier`` stands in for both boosters
   (first-order, level-wise; same knobs, not the same numbers).
 * Isotonic calibration: per fold, Spark's ``IsotonicRegression`` on the held-out
@@ -19,7 +17,6 @@ feature table (one preprocessor fitted on the outer training rows).
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
@@ -30,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
+from churnlens.operators.ordered import stored
 
 LABEL = S.TARGET
 FEATURES = "features"
@@ -110,82 +108,85 @@ class GBT:
 
 # ------------------------------------------------------------------ AdaBoost
 
-_SPLIT = re.compile(r"If \(feature (\d+) (<=|in) ([^)]*)\)\s*Predict: ([0-9.]+)\s*Else \(feature \d+ (?:>|not in) [^)]*\)\s*"
-                    r"Predict: ([0-9.]+)")
-_LEAF = re.compile(r"^\s*Predict: ([0-9.]+)\s*$", re.M)
-
-
-def _stump_expr(debug: str, arr: str = "_fa") -> Column:
-    """Depth-1 tree as a column expression returning the predicted class (0/1)."""
-    m = _SPLIT.search(debug)
-    if not m:
-        leaf = _LEAF.search(debug)
-        return F.lit(float(leaf.group(1)))
-    k, op, rhs, left, right = int(m.group(1)), m.group(2), m.group(3), float(m.group(4)), float(m.group(5))
-    x = F.col(arr)[k]
-    if op == "<=":
-        cond = x <= float(rhs)
-    else:
-        cats = [float(v) for v in rhs.strip("{} ").split(",") if v.strip()]
-        cond = x.isin(*cats)
-    return F.when(cond, F.lit(left)).otherwise(F.lit(right))
+@dataclass(frozen=True)
+class Stump:
+    """A depth-1 tree: class ``left`` where the feature is at most ``threshold`` (or one of ``values``)."""
+
+    alpha: float
+    left: float
+    right: float
+    feature: int = -1  # -1: a single leaf, class ``left``
+    threshold: float | None = None
+    values: tuple[float, ...] = ()
+
+    @staticmethod
+    def of(tree, alpha: float) -> "Stump":
+        """From a fitted tree's nodes (Spark's ``ml.tree`` API)."""
+        root = tree._call_java("rootNode")
+        if tree.numNodes == 1:
+            return Stump(alpha, root.prediction(), root.prediction())
+        split, sides = root.split(), (root.leftChild().prediction(), root.rightChild().prediction())
+        if split.getClass().getSimpleName() == "ContinuousSplit":
+            return Stump(alpha, *sides, split.featureIndex(), split.threshold())
+        return Stump(alpha, *sides, split.featureIndex(), None, tuple(split.leftCategories()))
+
+    def predicted(self, arr: str = "_fa") -> Column:
+        if self.feature < 0:
+            return F.lit(self.left)
+        x = F.col(arr)[self.feature]
+        return F.when(x.isin(*self.values) if self.threshold is None else x <= self.threshold, F.lit(self.left)).otherwise(F.lit(self.right))
 
 
 @dataclass
 class AdaBoost:
-    """SAMME with decision stumps, ``rounds`` rounds, shrinkage ``learning_rate``."""
+    """SAMME with decision stumps, ``rounds`` rounds, shrinkage ``learning_rate``.
+
+    ``max_bins`` bounds the split points tried per feature. A row's log weight is a column; every
+    ``flush`` rounds it is written with the features, so a round's expression has that many terms at most.
+    """
 
     rounds: int = 300
     learning_rate: float = 0.5
     max_bins: int = 256
+    flush: int = 25
     features: str = FEATURES
 
     def fit(self, df: DataFrame, label: str = LABEL, tag: str = "ada"):
-        base = df.select(self.features, F.col(label).cast("double").alias("_y"),
-                         vector_to_array(F.col(self.features)).alias("_fa")).persist()
-        alphas: list[float] = []
-        stumps: list[Column] = []
-        log_w = F.lit(0.0)
-        bound = 0.0
-        try:
-            for _ in range(self.rounds):
-                d = base.withColumn("_w", F.exp(log_w - F.lit(bound)))
-                tree = DecisionTreeClassifier(featuresCol=self.features, labelCol="_y", weightCol="_w", maxDepth=1,
-                                              maxBins=self.max_bins).fit(d)
-                pred = _stump_expr(tree.toDebugString)
-                wrong = (pred != F.col("_y")).cast("double")
-                err_row = d.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()
-                err = float(err_row["e"])
-                if err <= 0:
-                    alphas.append(1.0)
-                    stumps.append(pred)
-                    break
-                if err >= 0.5:
-                    if not stumps:
-                        raise ValueError("AdaBoost: first stump is no better than chance")
-                    break
-                alpha = self.learning_rate * math.log((1 - err) / err)
-                alphas.append(alpha)
-                stumps.append(pred)
-                log_w = log_w + F.lit(alpha) * wrong
-                bound += alpha
-        finally:
-            base.unpersist()
-        return FittedAdaBoost(alphas, stumps, self.features)
+        base = stored(df.select(self.features, F.col(label).cast("double").alias("_y"),
+                                vector_to_array(F.col(self.features)).alias("_fa"), F.lit(0.0).alias("_lw")), "boost")
+        stumps: list[Stump] = []
+        log_w, bound = F.col("_lw"), 0.0
+        for i in range(self.rounds):
+            d = base.withColumn("_w", F.exp(log_w - F.lit(bound)))
+            tree = DecisionTreeClassifier(featuresCol=self.features, labelCol="_y", weightCol="_w", maxDepth=1,
+                                          maxBins=self.max_bins).fit(d)
+            wrong = (Stump.of(tree, 0.0).predicted() != F.col("_y")).cast("double")
+            err = float(d.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()["e"])
+            if err <= 0:
+                stumps.append(Stump.of(tree, 1.0))
+                break
+            if err >= 0.5:
+                if not stumps:
+                    raise ValueError("AdaBoost: first stump is no better than chance")
+                break
+            alpha = self.learning_rate * math.log((1 - err) / err)
+            stumps.append(Stump.of(tree, alpha))
+            log_w, bound = log_w + F.lit(alpha) * wrong, bound + alpha
+            if (i + 1) % self.flush == 0:
+                base, log_w = stored(base.withColumn("_lw", log_w), "boost"), F.col("_lw")
+        return FittedAdaBoost(stumps, self.features)
 
 
 @dataclass
 class FittedAdaBoost:
-    alphas: list[float]
-    stumps: list[Column] = field(repr=False)
+    stumps: list[Stump] = field(repr=False)
     features: str = FEATURES
 
     def decision(self) -> Column:
-        total = sum(self.alphas)
         vote = F.lit(0.0)
-        for a, s in zip(self.alphas, self.stumps):
-            vote = vote + F.lit(a) * (F.lit(2.0) * s - F.lit(1.0))
-        return vote / F.lit(total)
+        for s in self.stumps:
+            vote = vote + F.lit(s.alpha) * (F.lit(2.0) * s.predicted() - F.lit(1.0))
+        return vote / F.lit(sum(s.alpha for s in self.stumps))
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         d = df.withColumn("_fa", vector_to_array(F.col(self.features)))
@@ -279,8 +280,10 @@ class IsotonicCalibrated:
         for k in range(self.n_folds):
             fitted = self.base.fit(d.filter(F.col("fold") != k), label, tag=f"{tag}{k}")
             held = fitted.logit(d.filter(F.col("fold") == k), out="_logit")
-            iso = IsotonicRegression(featuresCol="_logit", labelCol=label, predictionCol="_iso", isotonic=True)
-            pairs.append((fitted, iso.fit(held.withColumn(label, F.col(label).cast("double")))))
+            # equal logits are collapsed to their mean label and count: the pooling sees distinct logits only
+            held = held.groupBy("_logit").agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+            iso = IsotonicRegression(featuresCol="_logit", labelCol="_y", weightCol="_w", predictionCol="_iso", isotonic=True)
+            pairs.append((fitted, iso.fit(held)))
         d.unpersist()
         return FittedIsotonic(pairs)
 

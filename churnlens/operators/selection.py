@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.operators.metrics import evaluate, evaluate_counts, score_counts
+from churnlens.operators.ordered import stored
 
 METRICS = ["roc_auc", "pr_auc", "brier"]
 
@@ -21,11 +22,12 @@ def fold_metrics(val: DataFrame, by: tuple[str, ...] = ("model", "repeat", "fold
     return evaluate(val, "y", "p", by=list(by)).select(*by, *METRICS)
 
 
-def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str = S.TARGET) -> DataFrame:
+def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str = S.TARGET, scorers: dict | None = None) -> DataFrame:
     """Fold scores of the two scorers that need no iterative fit: the fixed scorecard and the
     contract rule (J5) re-fitted on each training fold. The rule's fit is a per
     (repeat, fold, flag) aggregate (≤ repeats × folds × 2 rows), so training-fold rates come
-    from totals minus the held-out part — no row is read twice."""
+    from totals minus the held-out part — no row is read twice. ``scorers``: further models as
+    row-local score columns of ``treated``; their table also has a cost column, ``seconds``."""
     t = treated.select(S.ID, F.col(y).alias("y"), F.col("p_score"),
                        (F.col("Contract") == S.MONTH_TO_MONTH).alias("flag"))
     j = folds.select(S.ID, "repeat", "fold").join(t, S.ID)
@@ -39,9 +41,17 @@ def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str
     card = j.select(F.lit("scorecard").alias("model"), "repeat", "fold", S.ID, "y", F.col("p_score").alias("p"))
     # collapse every validation set to (model, repeat, fold, p) -> (pos, neg) and materialise that
     # small table once in the shared checkpoint folder: all metrics are computed from it
+    val = card.unionByName(rule)
+    for name, score in (scorers or {}).items():
+        val = val.unionByName(j.join(treated.select(S.ID, score.alias("_p")), S.ID).select(
+            F.lit(name).alias("model"), "repeat", "fold", S.ID, "y", F.col("_p").alias("p")))
     by = ["model", "repeat", "fold"]
-    counts = score_counts(card.unionByName(rule), by=by).checkpoint(eager=True)
-    return evaluate_counts(counts, by).select(*by, *METRICS)
+    counts = stored(score_counts(val, by=by), "folds")
+    scores = evaluate_counts(counts, by).select(*by, *METRICS)
+    if not scorers:
+        return scores
+    # no fit is timed here: a model's cost is how many distinct scores it gives
+    return scores.join(counts.groupBy(*by).agg((F.count(F.lit(1)) / 1000).alias("seconds")), by)
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:
@@ -100,14 +110,24 @@ def _choose(paired: DataFrame, leader, tied: DataFrame) -> DataFrame:
                                                best.alias("champion"))
 
 
-def ablation_table(cv_with: DataFrame, cv_without: DataFrame, metric: str = "pr_auc") -> DataFrame:
-    """With vs without a feature, per model: means, difference, difference of stds."""
+def ablation_table(cv_with: DataFrame, cv_without: DataFrame, metric: str = "roc_auc") -> DataFrame:
+    """Without against with a feature, per model: means, difference (without - with), and that
+    difference in fold deviations of the "with" run (null where that is 0)."""
     a = cv_with.select("model", F.col(f"{metric}_mean").alias("with_mean"), F.col(f"{metric}_std").alias("with_std"))
-    b = cv_without.select("model", F.col(f"{metric}_mean").alias("without_mean"),
-                          F.col(f"{metric}_std").alias("without_std"))
-    return a.join(b, "model").select(
-        "model", "with_mean", "without_mean", (F.col("with_mean") - F.col("without_mean")).alias("difference"),
-        "with_std", "without_std", (F.col("with_std") - F.col("without_std")).alias("std_difference"))
+    b = cv_without.select("model", F.col(f"{metric}_mean").alias("without_mean"))
+    change = F.col("without_mean") - F.col("with_mean")
+    return a.join(b, "model").select("model", "with_mean", "without_mean", change.alias("difference"), "with_std",
+                                     F.try_divide(change, F.col("with_std")).alias("in_deviations"))
+
+
+def ablation_dumbbell(cv_with: DataFrame, cv_without: DataFrame) -> DataFrame:
+    """(model, metric, with, without) of ROC-AUC and PR-AUC, without the baseline."""
+    def points(cv: DataFrame, name: str) -> DataFrame:
+        return cv.select("model", F.col("roc_auc_mean").alias("roc_auc"), F.col("pr_auc_mean").alias("pr_auc")).unpivot(
+            ["model"], ["roc_auc", "pr_auc"], "metric", name)
+
+    both = points(cv_with, "with_total").join(points(cv_without, "without_total"), ["model", "metric"])
+    return drop_baseline(both)
 
 
 def drop_baseline(df: DataFrame, baseline: str = "contract_rule", column: str = "model") -> DataFrame:

@@ -31,8 +31,8 @@ def class_quotas(counts: dict, n_take: int) -> dict:
 
 
 def _hash_rank(df: DataFrame, y: str, tag: str, key: str, n: int | None = None) -> DataFrame:
-    d = df.withColumn("_h", uniform(tag, F.col(key)))
-    return ordered_prefix(d, [("_h", False)], partition=[y], tiebreak=key, rn="_rk", n=n).drop("_h")
+    d = df.withColumn("_h", uniform(tag, F.col(key)))  # a narrow projection: read again, not written
+    return ordered_prefix(d, [("_h", False)], partition=[y], tiebreak=key, rn="_rk", n=n, write=False).drop("_h")
 
 
 def stratified_split(df: DataFrame, y: str = S.TARGET, test_size: float = 0.2, seed: int = 42,
@@ -64,6 +64,6 @@ def stratified_folds(df: DataFrame, y: str = S.TARGET, n_splits: int = 5, n_repe
     tag = F.concat(F.lit(f"fold{seed}|"), F.col("repeat").cast("string"), F.lit("|"), F.col(key).cast("string"))
     reps = reps.withColumn("_h", F.conv(F.substring(F.md5(tag), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
     ranked = ordered_prefix(reps, [("_h", False)], partition=["repeat", y], tiebreak=key, rn="_rk",
-                            n=acc * n_repeats)
+                            n=acc * n_repeats, write=False)
     return ranked.select(key, y, F.col("repeat").cast("int").alias("repeat"),
                          F.pmod(F.col("_rk") - 1 + off[F.col(y)], F.lit(n_splits)).cast("int").alias("fold"))

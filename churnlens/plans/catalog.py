@@ -29,6 +29,7 @@ def load_all() -> dict[str, tuple[Query, str | None]]:
     # importing the section modules fills REGISTRY
     from churnlens.plans import (  # noqa: F401
         q_charts,
+        q_choice,
         q_decision,
         q_dirty,
         q_explore,

@@ -21,13 +21,16 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import churnlens
 from churnlens import schema as S
 from churnlens.functions.decision import BusinessParams
 from churnlens.models import evaluation as EV
 from churnlens.models.catalog import calibration_variants, catalogue, get_model
+from churnlens.models.features import feature_names
 from churnlens.operators import decision as K
 from churnlens.operators import selection as SEL
 from churnlens.operators.metrics import evaluate
+from churnlens.operators.ordered import stored
 from churnlens.operators.ranking import lift_table
 from churnlens.operators.splits import stratified_split
 from churnlens.plans.inputs import s_treated
@@ -63,7 +66,7 @@ def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 4
         c = catalogue(use_total, seed, rounds)
         return {k: v for k, v in c.items() if not models or k in models}
 
-    sp = stratified_split(treated, test_size=test_size, seed=seed).persist()
+    sp = stored(stratified_split(treated, test_size=test_size, seed=seed), "split")
     train, test = sp.filter("split = 'train'").drop("split"), sp.filter("split = 'test'").drop("split")
     fs_with = EV.cross_validate(train, cat(True), n_splits, n_repeats, seed, parallelism)
     fs_without = EV.cross_validate(train, cat(False), n_splits, n_repeats, seed, parallelism)
@@ -84,7 +87,8 @@ def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 4
     base_rate = test.agg(F.avg(F.col(S.TARGET).cast("double"))).scalar()
     report = champ.select(F.lit(seed).alias("seed"), base_rate.alias("test_base_rate"), "leader", "tied", "champion",
                           RAW.nested(paired).alias("paired"), RAW.nested(cv_with).alias("cv_with_total"),
-                          RAW.nested(test_metrics).alias("test"))
+                          RAW.nested(cv_without).alias("cv_without_total"), RAW.nested(test_lift).alias("test_lift"),
+                          RAW.nested(test_calib).alias("test_calibration"), RAW.nested(test_metrics).alias("test"))
     RAW.write_report(report, f"{out}/compare/report")
     return {**tables, "champion": champ}
 
@@ -100,6 +104,8 @@ def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | No
     mdir = model_dir(out, name, use_total_charges)
     sp = stratified_split(treated, test_size=test_size, seed=seed)
     sp.select(S.ID, "split").write.mode("overwrite").parquet(f"{mdir}/split")   # the split travels with the model
+    RAW.write_report(spark.range(1).select(F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"),
+                                           F.lit(use_total_charges).alias("use_total_charges")), f"{mdir}/settings")
     sp = spark.read.parquet(f"{mdir}/split").join(treated, S.ID)
     train = sp.filter("split = 'train'").drop("split")
     fitted = m.fit(train)
@@ -115,13 +121,19 @@ def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | No
     report = spark.range(1).select(
         F.current_timestamp().alias("trained_at"), F.lit(name).alias("model"), F.lit(use_total_charges).alias("use_total_charges"),
         F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"),
-        F.struct(F.lit(pyspark.__version__).alias("spark"), F.lit(platform.python_version()).alias("python")).alias("versions"),
+        F.lit(n_features(fitted, train)).alias("n_features"), F.lit(type(m.learner).__name__).alias("estimator"),
+        F.struct(F.lit(churnlens.__version__).alias("churnlens"), F.lit(pyspark.__version__).alias("spark"), F.lit(platform.python_version()).alias("python")).alias("versions"),
         F.array(*[F.lit(c) for c in treated.columns]).alias("columns"),
         RAW.nested(metrics).alias("metrics"), RAW.nested(lift).alias("lift"), RAW.nested(coefs).alias("coefficients"))
     RAW.write_report(report, f"{mdir}/report")
     return {"model_dir": mdir, "metrics": metrics, "lift": lift, "coefficients": coefs}
 
 
+def n_features(fitted, train: DataFrame) -> int:
+    """Length of the feature vector; of a model that reads one raw column, 1."""
+    return 1 if fitted.prep is None else len(feature_names(fitted.prep.transform(train.limit(1))))
+
+
 # ------------------------------------------------------------------- M3 decide
 
 # K9: the whole decision job on the out-of-sample rows of the stored split
@@ -131,14 +143,19 @@ class SplitMismatch(ValueError):
     """The stored split of the model is not the split this job would draw."""
 
 
-def scored_test(spark: SparkSession, treated: DataFrame, mdir: str, seed: int = 42, test_size: float = 0.2) -> DataFrame:
-    """The model's out-of-sample rows; refuses a model trained on another split."""
-    stored = spark.read.parquet(f"{mdir}/split")
-    mine = stratified_split(treated, test_size=test_size, seed=seed).select(S.ID, F.col("split").alias("mine"))
-    diff = stored.join(mine, S.ID, "full_outer").filter(
-        F.col("split").isNull() | F.col("mine").isNull() | (F.col("split") != F.col("mine"))).limit(1).count()
-    if diff:
-        raise SplitMismatch(f"model at {mdir} was trained on a different split (seed {seed}); refusing to decide")
+def id_checksum(df: DataFrame) -> tuple:
+    """Count and order-free checksum of the ids: equal for equal sets of customers."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(S.ID).cast("decimal(38,0)"))).first())
+
+
+def scored_test(spark: SparkSession, treated: DataFrame, mdir: str, seed: int | None = None, test_size: float | None = None) -> DataFrame:
+    """The model's out-of-sample rows. Refuses a model trained on other customers, or with another seed or
+    test size than asked for; by default its own are taken."""
+    has = spark.read.json(f"{mdir}/settings").first()
+    if (seed not in (None, has["seed"])) or (test_size not in (None, has["test_size"])):
+        raise SplitMismatch(f"model at {mdir} was trained with seed {has['seed']} and test size {has['test_size']}; refusing to decide")
+    if id_checksum(spark.read.parquet(f"{mdir}/split")) != id_checksum(treated):
+        raise SplitMismatch(f"model at {mdir} was trained on other customers; refusing to decide")
     return spark.read.parquet(f"{mdir}/scored").filter("split = 'test'").drop("split")
 
 
@@ -157,13 +174,14 @@ def parse_grid(text: str | None) -> dict | None:
 
 
 def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | None = None,
-               params: BusinessParams | None = None, seed: int = 42, use_total_charges: bool = True,
-               grid: dict | None = None) -> dict:
+               params: BusinessParams | None = None, seed: int | None = None, use_total_charges: bool = True,
+               grid: dict | None = None, test_size: float | None = None) -> dict:
     """M3 / K9 (A6): the whole decision job on the model's out-of-sample rows."""
     params = params or BusinessParams()
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
     mdir = model_dir(out, name, use_total_charges)
-    sc = scored_test(spark, treated, mdir, seed).persist()
+    sc = scored_test(spark, treated, mdir, seed, test_size).persist()
+    seed = int(spark.read.json(f"{mdir}/settings").first()["seed"])
     opt = K.optimal_campaign(sc, params)
     n = int(opt.first()["n_contacted"])
     curves = K.queue_curves(sc, params, seed)
@@ -181,7 +199,8 @@ def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | N
                         F.lit(seed).alias("seed"), F.struct(*opt.columns).alias("optimal"),
                         thresholds.select(F.struct(*thresholds.columns)).scalar().alias("thresholds"),
                         sentence.select("sentence").scalar().alias("sentence"),
-                        RAW.nested(at_n).alias("profit_at_budget"), RAW.nested(overlap).alias("overlap"),
+                        sc.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.col("y").cast("double")).alias("rate"))).scalar().alias("test_base"),
+                        F.lit(treated.count()).alias("base_size"), RAW.nested(at_n).alias("profit_at_budget"), RAW.nested(overlap).alias("overlap"),
                         RAW.nested(sens).alias("sensitivity"))
     RAW.write_report(report, f"{out}/decision/report")
     return {"optimal": opt, "curves": curves, "sensitivity": sens, "overlap": overlap, "sentence": sentence}
@@ -190,7 +209,8 @@ def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | N
 # ----------------------------------------------------------------- M4 segments
 
 def segments_job(spark: SparkSession, treated: DataFrame, out: str, model: str | None = None,
-                 params: BusinessParams | None = None, seed: int = 42) -> dict:
+                 params: BusinessParams | None = None, seed: int | None = None, use_total_charges: bool = True,
+                 test_size: float | None = None) -> dict:
     from churnlens.operators.explore import churn_by_many
 
     params = params or BusinessParams()
@@ -198,7 +218,9 @@ def segments_job(spark: SparkSession, treated: DataFrame, out: str, model: str |
             "Dependents", "Partner", "PaperlessBilling"]
     seg = churn_by_many(treated, cols)
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
-    sc = scored_test(spark, treated, model_dir(out, name, True), seed)
+    mdir = model_dir(out, name, use_total_charges)
+    sc = scored_test(spark, treated, mdir, seed, test_size)
+    seed = int(spark.read.json(f"{mdir}/settings").first()["seed"])
     contacts = K.contact_list(sc, params)
     _tables(f"{out}/segments", {"churn_by_category": seg, "curves": K.queue_curves(sc, params, seed)})
     n = contacts.count()
@@ -220,8 +242,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--model")
     ap.add_argument("--without-total-charges", action="store_true")
-    ap.add_argument("--seed", type=int, default=42)
-    ap.add_argument("--test-size", type=float, default=0.2)
+    ap.add_argument("--seed", type=int, help="default: 42; when deciding, the model's own")
+    ap.add_argument("--test-size", type=float, help="default: 0.2; when deciding, the model's own")
     ap.add_argument("--rounds", type=int, default=300)
     ap.add_argument("--n-splits", type=int, default=5)
     ap.add_argument("--n-repeats", type=int, default=3)
@@ -240,20 +262,21 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.getActiveSession() or get_spark()
     treated = load_input(spark, a.csv, a.sf_dir, a.base).persist()
     params = BusinessParams(a.margin, a.discount, a.acceptance, a.horizon, a.contact_cost)
+    seed, size = 42 if a.seed is None else a.seed, 0.2 if a.test_size is None else a.test_size
     if a.job == "compare":
-        r = compare_job(spark, treated, a.out, a.seed, a.rounds, a.n_splits, a.n_repeats, a.parallelism, a.test_size,
+        r = compare_job(spark, treated, a.out, seed, a.rounds, a.n_splits, a.n_repeats, a.parallelism, size,
                         models=a.models.split(",") if a.models else None)
         r["champion"].show(truncate=False)
     elif a.job == "train":
-        r = train_job(spark, treated, a.out, a.model, not a.without_total_charges, a.seed, a.test_size, a.rounds)
+        r = train_job(spark, treated, a.out, a.model, not a.without_total_charges, seed, size, a.rounds)
         r["metrics"].show()
     elif a.job == "decide":
         r = decide_job(spark, treated, a.out, a.model, params, a.seed, not a.without_total_charges,
-                       parse_grid(a.grid))
+                       parse_grid(a.grid), a.test_size)
         r["optimal"].show()
         print(r["sentence"].first()[0])
     else:
-        segments_job(spark, treated, a.out, a.model, params, a.seed)
+        segments_job(spark, treated, a.out, a.model, params, a.seed, not a.without_total_charges, a.test_size)
 
 
 if __name__ == "__main__":

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.models.learners import ContractRule
+from churnlens.operators.ordered import stored
 from churnlens.operators import charts as L
 from churnlens.operators import decision as K
 from churnlens.operators import selection as SEL
@@ -41,7 +42,7 @@ def _preds(spark, sf):
     labels = test.select(S.ID, F.col("Churn").alias("y"))
     # Re-attach the label by row identity; the result feeds several jobs, so it is
     # materialised once in the shared checkpoint folder
-    return p_card.unionByName(p_rule).join(labels, S.ID).checkpoint(eager=True)
+    return stored(p_card.unionByName(p_rule).join(labels, S.ID), "scores")
 
 
 def r6(c):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.models.features import feature_names, preprocessing_stages
 from churnlens.models.learners import ContractRule
+from churnlens.operators.ordered import stored
 from churnlens.operators.splits import stratified_split
 from churnlens.oracle import with_s
 from churnlens.plans.catalog import register
@@ -42,7 +43,7 @@ def feature_matrix(spark, sf):
     """Scaler (population std) + one-hot (all known levels) + 13 binaries, fitted on the
     training split and applied to every row; columns named from the ML attribute metadata."""
     t = s_treated(spark, sf)
-    train = stratified_split(t).filter(F.col("split") == "train").drop("split")
+    train = stored(stratified_split(t), "split").filter(F.col("split") == "train").drop("split")
     prep = Pipeline(stages=preprocessing_stages(True)).fit(train)
     out = prep.transform(t)
     names = feature_names(out)
@@ -59,7 +60,7 @@ FROM t JOIN split USING (customerID) JOIN rates ON rates.flag = (t.Contract = 'M
 WHERE split = 'test'"""))
 def rule_baseline_scores(spark, sf):
     """Contract rule fitted on the training split, scored on the test split."""
-    sp = stratified_split(s_treated(spark, sf))
+    sp = stored(stratified_split(s_treated(spark, sf)), "split")
     fitted = ContractRule().fit(sp.filter(F.col("split") == "train"))
     test = sp.filter(F.col("split") == "test")
     scored = fitted.predict_class(fitted.predict(test))
@@ -69,7 +70,8 @@ def rule_baseline_scores(spark, sf):
 def _logistic_fit(spark, sf):
     from churnlens.models.catalog import catalogue
 
-    sp = stratified_split(s_treated(spark, sf).drop("p_score"))
+    # the split is written once; filters, scaler, encoder, fit and scoring read it
+    sp = stored(stratified_split(s_treated(spark, sf).drop("p_score")), "split")
     train = sp.filter(F.col("split") == "train").drop("split")
     return sp, train, catalogue()["logistic"].fit(train)
 
@@ -77,7 +79,7 @@ def _logistic_fit(spark, sf):
 @register("logistic_split_metrics", None)
 def logistic_split_metrics(spark, sf):
     """J6 / J15 / H4 (rows-only: iterative fit, no SQL twin): logistic regression with the
-    single-machine L2 objective fitted on the training split; metrics on train and test."""
+    single-machine ridge objective fitted on the training split; metrics on train and test."""
     from churnlens.operators.metrics import evaluate
 
     sp, _, fitted = _logistic_fit(spark, sf)
