@@ -68,7 +68,7 @@ INNER = ["<ul><li>{m}</li><li>{m}</li></ul>", "<blockquote><p>{m}</p></blockquot
          "<table><tr><td>{m}</td><td>{m}</td></tr></table>", "<figure><figcaption>{m}</figcaption></figure>", "<h3>{m}</h3>"]
 
 
-def labelled_pages(count: int = 420, seed: int = 7) -> list[str]:
+def labelled_pages(count: int = 600, seed: int = 7) -> list[str]:
     """``count`` pages, the same at every call."""
     rng = random.Random(seed)
 
@@ -100,7 +100,7 @@ def labelled_pages(count: int = 420, seed: int = 7) -> list[str]:
             parts.append(f"<{para}><b>{text}<br>" if r > 0.9 and para == "p" else f"<{para}>{text}</{para}>")
             if rng.random() < 0.15:
                 parts.append(fill(rng.choice(INNER)))
-            if rng.random() < 0.08:
+            if rng.random() < 0.15:
                 parts.append(fill(rng.choice(PROSE[:3] + ["<div class='share'>{}</div>", "<nav class='toc'>{}</nav>", "<aside class='related'>{}</aside>"])))
         if rng.random() < 0.15:
             parts.append(fill(rng.choice(COMMENTS)))
