@@ -7,7 +7,10 @@ ends). Two states, main text or not, form a chain in page order; the model is tr
 pages (``html_labels``, or a table of one's own with marked main blocks).
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by
-one line feed. What is no text of the page (head, script, style, comments, templates) isn't read.
+one line feed. What is no text of the page (head, script, style, comments, templates) isn't read. A
+head that isn't closed ends where HTML ends it: before the first tag, or text that isn't blank, that
+can't stand in a head. Formulas belong to the block they stand in; the text of drawings (svg), and
+what stands in object, iframe and noscript, are blocks like others, left to the CRF.
 
 Defined results: null or empty html, or a page without main text: empty text; broken markup is read
 as far as it goes; repeated rows are extracted one by one; an empty table gives an empty result.
@@ -30,9 +33,16 @@ from churnlens.llm.html_labels import MARK, labelled_pages
 
 # fixed values: HTML's element kinds
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
-                   "s samp small span strike strong sub sup time tt u var wbr".split())
+                   "s samp small span strike strong sub sup time tt u var wbr tspan textpath "
+                   "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded "
+                   "mphantom menclose mfenced merror mtable mtr mtd mlabeledtr mmultiscripts mprescripts none semantics annotation "
+                   "annotation-xml maction maligngroup malignmark".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = frozenset("head script style template svg math iframe object title".split())
+UNREAD = frozenset("head script style template title".split())  # an svg's title isn't the head's and is read
+IN_HEAD = frozenset("head html base basefont bgsound link meta noframes noscript script style template title".split())
+FOREIGN = ("svg", "math")
+PHRASE = ("svg", "object", "iframe")  # blocks that close no paragraph
+APART = ("mtd", "annotation", "annotation-xml")  # inline, with a space before and after
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "optgroup": {"option", "optgroup"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"},
@@ -47,7 +57,7 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
-        self.unread = self.links = 0
+        self.unread = self.heads = self.svgs = self.links = 0
         self.parts: list[str] = []
         self.link_chars = 0
         self.blocks: list[tuple[str, tuple, int]] = []
@@ -62,22 +72,34 @@ class Blocks(HTMLParser):
     def _pop(self, at: int) -> None:
         for tag, _ in self.stack[at:]:
             self.unread -= tag in UNREAD
+            self.heads -= tag == "head"
+            self.svgs -= tag == "svg"
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def end_head(self) -> None:
+        """Ends an open head, unless something else unread (its title, a script) is still open."""
+        if self.heads and self.heads == self.unread:
+            self.stack = [x for x in self.stack if x[0] != "head"]
+            self.unread = self.heads = 0
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
+        if tag == "title" and self.svgs:
+            tag = "svg:title"
         if tag in ("br", "wbr"):
             self.parts.append(" " if tag == "br" else "")
             return
         block = tag not in INLINE
         if block:
             self.end_block()
-            if tag == "body":  # an unclosed head ends here
-                self._pop(next((i for i, x in enumerate(self.stack) if x[0] == "head"), len(self.stack)))
+            if tag == "body":  # whatever is still open of a head ends here
+                self._pop(next((i for i, x in enumerate(self.stack) if x[0] in ("head", "noscript")), len(self.stack)))
             ends = CLOSED_BY.get(tag, ())
             for i in range(len(self.stack) - 1, -1, -1):
                 at = self.stack[i][0]
-                if at in ends or at == "p" and tag != "p" and not ends or at == tag == "p":
+                if at in ends or at == "p" and tag != "p" and not ends and tag not in PHRASE or at == tag == "p":
                     self._pop(i)
                     if at not in ends or tag not in ("tr", "dt", "dd"):
                         break
@@ -85,20 +107,28 @@ class Blocks(HTMLParser):
                     break
         if tag in VOID:
             return
+        if tag in APART:
+            self.parts.append(" ")
         names = " ".join(f"{v}" for k, v in attrs if k in ("class", "id", "role", "itemprop") and v).lower() if block else ""
         self.stack.append((tag, names))
         self.unread += tag in UNREAD
+        self.heads += tag == "head"
+        self.svgs += tag == "svg"
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math", "iframe", "object"):
+        if tag not in VOID and (tag in ("svg", "math", "iframe", "object") or any(x[0] in FOREIGN for x in self.stack)):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             self.parts.append(" ")
             return
+        if tag in APART:
+            self.parts.append(" ")
+        if tag == "title" and self.svgs:
+            tag = "svg:title"
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
         if at is None:
             return
@@ -108,7 +138,13 @@ class Blocks(HTMLParser):
             return  # an inline end tag closes no block
         self._pop(at)
 
+    def unknown_decl(self, data: str) -> None:
+        if data.startswith("CDATA[") and any(x[0] in FOREIGN for x in self.stack):
+            self.handle_data(data.removeprefix("CDATA["))
+
     def handle_data(self, data: str) -> None:
+        if self.heads and data.strip(" \t\n\f\r"):
+            self.end_head()
         if not self.unread:
             self.parts.append(data)
             if self.links:

@@ -262,6 +262,18 @@ def test_broken_pages(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def test_open_heads_formulas_and_drawings(spark):
+    pages = [("<html><head><title>t</title><p>article", "article"), ("<head><meta name=a><style>x</style> <article>bare <b>text</b>", "bare text"),
+             ("<head><title>a <b>no</b></title><template><p>no</p></template><script>'<p>no</p>'</script><article><p>one", "one"),
+             ("<head><noscript><link href=x></noscript><title>no</title><article><p>one", "one"),
+             ("<article><p>where <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds</p></article>", "where x=2 holds"),
+             ("<article><p>see <object data=f><p>other text</p></object> after</p></article>", "see\nother text\nafter"),
+             ("<article><p>see <svg><title>map</title><style>no</style><path d='m'/><text>a <tspan>b</tspan></text></svg> after</p></article>", "see\nmap\na b\nafter"),
+             ("<article><p>one</p><iframe>other text</iframe></article>", "one\nother text"), ("<head><title>open<body><p>x</p>", "x"), ("<head><title>only", "")]
+    df = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: t for i, (_, t) in enumerate(pages)}
+
+
 # classifiers
 
 
