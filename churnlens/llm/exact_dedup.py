@@ -13,6 +13,9 @@ So a text that fills a third of all rows is one row per input partition before t
 spill files are the task's own, like a sort's: nobody else reads them, a repeated task writes its own
 again, and they are gone when the task ends. The result of pass 1 is written to the shared folder.
 
+``exact_survivors`` holds one (id, row number) per text; the other columns of its rows wait in a file
+of the task's own, too, so a task holds no more than its table.
+
 Defined results: null text counts as empty; of equal texts exactly one row is kept, one with the
 largest id; a null id loses against any other; repeated rows come back as often as they came; an
 empty table gives an empty result. Only the id and the text are read, so other columns play no part.
@@ -24,8 +27,9 @@ import contextlib
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -109,11 +113,47 @@ class Spill:
         self.file.close()
 
 
-def grace(records: Iterable[tuple], budget: int, folder: str, level: int = 0) -> Iterator[tuple[ContentTable, list]]:
+class Rests:
+    """Arrow values of the rows read, in a file; given back by row number once all are written."""
+
+    def __init__(self, folder: str) -> None:
+        self.path = f"{folder}/rest"
+        self.writer = self.reader = None
+        self.starts: list[int] = []
+        self.rows = 0
+
+    def put(self, values: pa.Array) -> range:
+        """The values' row numbers."""
+        if len(values):
+            batch = pa.RecordBatch.from_arrays([values], ["rest"])
+            if self.writer is None:
+                self.writer = pa.ipc.new_file(self.path, batch.schema)
+            self.writer.write_batch(batch)
+            self.starts.append(self.rows)
+        self.rows += len(values)
+        return range(self.rows - len(values), self.rows)
+
+    def take(self, rows: tuple[int, ...]) -> pa.Array:
+        if self.reader is None:
+            self.writer.close()
+            self.reader = pa.ipc.open_file(pa.memory_map(self.path))
+        at = np.array(rows, np.int64)
+        starts = np.array(self.starts)
+        batch = np.searchsorted(starts, at, "right") - 1
+        order = np.argsort(batch, kind="stable")
+        found, first = np.unique(batch[order], return_index=True)
+        parts = [self.reader.get_batch(int(k)).column(0).take(pa.array(at[i] - starts[k]))
+                 for k, i in zip(found, np.split(order, first[1:]), strict=True)]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(order, kind="stable")))
+
+
+def grace(records: Iterable[tuple], budget: int, folder: str, level: int = 0,
+          best: Callable | None = None) -> Iterator[tuple[ContentTable, list]]:
     """Groups (content, id, n) records; yields (table, groups) per bucket, a group being its list of (id, n).
 
     Each table takes ``budget`` bytes of distinct content before anything is spilled, so every level
-    leaves less to do, whatever the hashes; copies of a held text never take more than their ids.
+    leaves less to do, whatever the hashes; copies of a held text never take more than their ids. With
+    ``best`` (a sort key of ids) a group is its first largest (id, n) alone, and copies take nothing.
     """
     table, groups, spills = ContentTable(), [], []
     for content, key, n in records:
@@ -127,13 +167,17 @@ def grace(records: Iterable[tuple], budget: int, folder: str, level: int = 0) ->
                 continue
             e = table.add(-1 - e, h, content)
             groups.append([])
+        if best and groups[e]:
+            if best(key) > best(groups[e][0][0]):
+                groups[e][0] = (key, n)
+            continue
         groups[e].append((key, n))
         table.bytes += 16
     if groups:
         yield table, groups
     del table, groups
     for spill in spills:
-        yield from grace(spill.records(), budget, folder, level + 1)
+        yield from grace(spill.records(), budget, folder, level + 1, best)
         spill.close()
 
 
@@ -141,7 +185,7 @@ def _order(key) -> tuple:
     return (key is not None, key if key is not None else 0)
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[tuple[bytes, list]]:
+def _grouped(batches: Iterable[pa.RecordBatch], budget: int, best: Callable | None = None) -> Iterator[tuple[bytes, list]]:
     """(content, [(key, n), ...]) per distinct content; columns: content, id[, group, n]."""
     def records():
         for b in batches:
@@ -151,7 +195,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[tuple[b
                 yield text or b"", ids[i] if not more else (ids[i], more[0][i]), more[1][i] if more else 1
 
     with tempfile.TemporaryDirectory() as folder:
-        for table, groups in grace(records(), budget, folder):
+        for table, groups in grace(records(), budget, folder, best=best):
             yield from zip(table.contents, groups, strict=True)
 
 
@@ -206,30 +250,35 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), "keep_id", "group_size", (F.col("first") & F.col("wins")).alias("kept"), "text_sha256")
 
 
-def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns: ``exact_dedup``'s kept ones, texts as they were but null as empty.
-
-    Only survivors of a partition are shuffled, once, and nothing is written in between.
-    """
-    def survivors(batches):
-        rest = []
+def surviving(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Of (doc_key, body, rest) rows one per text, with the largest id; null texts as empty."""
+    with tempfile.TemporaryDirectory() as folder:
+        rests = Rests(folder)
 
         def seen():
-            at = 0
             for b in batches:
-                rest.append(b.column("rest"))
-                where = pa.array(range(at, at := at + b.num_rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("body"), b.column("doc_key"), where, pa.array([1] * b.num_rows)], ["body", "id", "at", "n"])
+                # columns of a batch share one buffer, so none is held: rest goes to the file
+                where = pa.array(rests.put(b.column("rest")), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("body"), b.column("doc_key"), where, pa.array([1] * b.num_rows, pa.int64())], ["body", "id", "at", "n"])
 
         kept, size = [], 0
-        for content, group in _grouped(seen(), table_bytes):  # all input is read before the first group
-            kept.append((*max((k for k, _ in group), key=lambda k: (_order(k[0]), k[1])), content))
+        for content, group in _grouped(seen(), budget, lambda key: _order(key[0])):  # all input is read before the first group
+            kept.append((*group[0][0], content))
             size += len(content)
             if size > BLOCK * 8 or len(kept) >= ROWS_OUT:
-                yield _rows(kept, rest)
+                yield _rows(kept, rests)
                 kept, size = [], 0
         if kept:
-            yield _rows(kept, rest)
+            yield _rows(kept, rests)
+
+
+def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows that stay, with all their columns: ``exact_dedup``'s kept ones, texts as they were but null as empty.
+
+    Only survivors of a partition are shuffled, once, and nothing is written in between.
+    """
+    def survivors(batches):
+        return surviving(batches, table_bytes)
 
     base = carried(docs, id_col, text_col, True)
     local = base.mapInArrow(survivors, base.schema)
@@ -237,8 +286,6 @@ def exact_survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return restored(merged, docs, text_col)
 
 
-def _rows(kept: list[tuple], rest: list) -> pa.RecordBatch:
+def _rows(kept: list[tuple], rests: Rests) -> pa.RecordBatch:
     ids, at, content = zip(*kept, strict=True)
-    others = pa.chunked_array(rest).take(pa.array(at, pa.int64())).combine_chunks()
-    others = others.chunk(0) if isinstance(others, pa.ChunkedArray) else others
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.binary()).cast(pa.string()), others], ["doc_key", "body", "rest"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.binary()).cast(pa.string()), rests.take(at)], ["doc_key", "body", "rest"])

@@ -3,6 +3,7 @@ import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -46,6 +47,27 @@ def test_survivors_are_the_kept_rows(spark):
     assert sorted(((r.doc_id, sha(r.text)) for r in got.collect()), key=repr) == want
 
 
+def test_survivors_hold_no_batch(tmp_path):
+    rest = pa.array([{"_": 1, "lang": "en", "tags": ["a"]}, None])
+    base = pa.RecordBatch.from_pydict({"doc_key": [0, 0], "body": ["x" * (1 << 20), "y" * (1 << 20)], "rest": rest})
+    with pa.OSFile(f"{tmp_path}/one", "wb") as file, pa.ipc.new_stream(file, base.schema) as out:
+        out.write_batch(base)
+    start, held = pa.total_allocated_bytes(), []
+
+    def batches():  # the columns of each share one buffer, as those that Spark sends do
+        for i in range(40):
+            b = pa.ipc.open_stream(pa.OSFile(f"{tmp_path}/one")).read_next_batch()
+            yield pa.RecordBatch.from_arrays([pa.array([2 * i, 2 * i + 1]), b.column("body"), b.column("rest")], names=base.schema.names)
+            del b
+            held.append(pa.total_allocated_bytes() - start)
+
+    for budget in (64 << 20, 1):
+        got = [r for b in E.surviving(batches(), budget) for r in b.to_pylist()]
+        assert sorted((r["doc_key"], r["body"][0]) for r in got) == [(78, "x"), (79, "y")]
+        assert sorted((r["doc_key"], r["rest"]) for r in got) == [(78, {"_": 1, "lang": "en", "tags": ["a"]}), (79, None)]
+    assert max(held) < 20 << 20
+
+
 def test_exact_empty(spark):
     none = spark.createDataFrame([], EMPTY)
     assert E.exact_dedup(none).count() == 0 and E.exact_survivors(none).count() == 0
