@@ -7,7 +7,7 @@ and the least plain compression ratio (text that repeats itself leaves no differ
 through a logistic curve fitted on labelled documents that aren't in the dictionaries.
 
 Training uses a bounded sample: at most ``per_class`` labelled documents of each label, the ones with
-the least hash of their id; half of them make the dictionaries, half the curve. Every document is
+the least hash of their id; half of them make the dictionaries, each whole, in pieces, half the curve. Every document is
 scored whole, piece by piece.
 
 Defined results: null and empty texts are one empty piece and get that piece's score; repeated rows
@@ -29,7 +29,7 @@ from churnlens.llm.labelled import labelled_sample, logistic
 PER_CLASS = (3000, 2000)  # good and bad documents in the sample, at most
 SAMPLE_CHARS = 20_000  # longer documents aren't used for training
 DICT_BYTES = 112 << 10
-DICT_PIECE = 8192  # bytes of a document that a dictionary is trained on
+DICT_PIECE = 8192  # bytes of the pieces that a dictionary is trained on
 PIECE = 1024
 LEVEL = 3
 
@@ -56,6 +56,12 @@ class Compressors:
         return [diff.mean(), diff.min(), (diff < 0).mean(), ratio.min()]
 
 
+def dict_pieces(text: str) -> list[bytes]:
+    """The whole text in consecutive pieces."""
+    raw = text.encode()
+    return [raw[i:i + DICT_PIECE] for i in range(0, max(1, len(raw)), DICT_PIECE)]
+
+
 class Model:
     """Dictionaries and curve; ``share`` alone if there was too little to train on."""
 
@@ -64,7 +70,7 @@ class Model:
         self.dicts = None
         by = [list(dict.fromkeys(t for t, y in texts if y == want)) for want in (1, 0)]
         try:
-            dicts = [zstandard.train_dictionary(DICT_BYTES, [t.encode()[:DICT_PIECE] for t in x[::2]]).as_bytes() for x in by]
+            dicts = [zstandard.train_dictionary(DICT_BYTES, [p for t in x[::2] for p in dict_pieces(t)]).as_bytes() for x in by]
         except (zstandard.ZstdError, ValueError):  # too few samples, or too little in them
             return
         rest = [(t, y) for x, y in zip(by, (1, 0), strict=True) for t in x[1::2]]

@@ -294,6 +294,16 @@ def test_held_out_accuracy(spark, kind):
     assert sum(clean) / len(clean) < (0.02 if kind == "toxic" else 0.12), (sum(clean), len(clean))
 
 
+def test_dictionaries_take_whole_texts(monkeypatch):
+    seen = []
+    train = Q.zstandard.train_dictionary
+    monkeypatch.setattr(Q.zstandard, "train_dictionary", lambda size, samples: seen.append(samples) or train(size, samples))
+    texts = [(f"{i} " + "good words here " * 1200 + f"end{i}", i % 2) for i in range(8)]
+    Q.Model(texts)
+    assert b"".join(seen[0]) == "".join([t for t, y in texts if y == 1][::2]).encode()
+    assert max(map(len, seen[0])) <= Q.DICT_PIECE
+
+
 @pytest.mark.parametrize("op", [X.toxicity, Q.quality])
 def test_classifiers_on_awkward_rows(spark, op):
     data = awkward()
