@@ -7,8 +7,10 @@ words match; a document is scanned once, and a match's place is turned into word
 asked for, into code points of the original text.
 
 The benchmark is the small side by its nature; its windows are still measured before they are sent
-out. Beyond ``automaton_bytes`` the items are dealt to shards, each with an automaton of its own that
-is gathered, sent, scanned and written before the next: only then is a document scanned more than once.
+out, and what is bounded is the automaton's own size in a worker, ``NODE_BYTES`` for each character of a
+window at most. A worker builds it once and keeps it from task to task. Beyond ``automaton_bytes`` the items
+are dealt to shards, each with an automaton of its own that is gathered, sent, scanned and written before the
+next: only then is a document scanned more than once.
 
 Defined results: null text or one without words: no words, no hits, not contaminated; items without
 words match nothing; repeated rows and items are treated one by one (an item_id counts once per
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -31,7 +34,8 @@ from pyspark.sql.types import StructType
 from churnlens.llm.common import carried, text_bytes, written
 
 WINDOW = 13
-AUTOMATON_BYTES = 32 << 20  # text of windows one automaton may hold
+AUTOMATON_BYTES = 256 << 20  # of memory that one automaton may take in a worker
+NODE_BYTES = 64  # that a character of a window takes in it at most: a node, its edge and its share of the tables
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -73,6 +77,19 @@ def automaton(windows: dict[str, list[str]]) -> ahocorasick.Automaton | None:
     return a
 
 
+class Windows:
+    """The windows as they are sent; a worker builds the automaton once, when the first task asks for it."""
+
+    def __init__(self, windows: dict[str, list[str]]) -> None:
+        self.windows = windows
+
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton | None:
+        held = automaton(self.windows)
+        self.windows = {}  # the automaton has them
+        return held
+
+
 def hits(a: ahocorasick.Automaton | None, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
     """(words, merged word ranges that are hit, item ids) of one document."""
     got = words(text)
@@ -123,7 +140,7 @@ def _pairs(ranges) -> list[dict]:
 def _scan(sent, keep: list[str]):
     """A pass with one automaton over (doc_key, body, ...) rows; what earlier passes found is merged in."""
     def scan(batches):
-        held = automaton(sent.value)
+        held = sent.value.automaton
         for b in batches:
             texts = b.column("body").to_pylist()
             before = b.select(["ranges", "items"]).to_pylist() if "ranges" in b.schema.names else None
@@ -152,12 +169,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     # a text's windows hold each of its words up to ``window`` times
-    shards = max(1, math.ceil(text_bytes(benchmark, item_text) * window / automaton_bytes))
+    shards = max(1, math.ceil(text_bytes(benchmark, item_text) * window * NODE_BYTES / automaton_bytes))
     base = state = carried(docs, id_col, text_col, carry)
     own = [base.schema[k] for k in ("body", "rest") if k in base.columns]
     for k in range(shards):
         part = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(shards)) == k) if shards > 1 else benchmark
-        sent = spark.sparkContext.broadcast(gathered(part.select(item_col, item_text).toLocalIterator(), window))
+        sent = spark.sparkContext.broadcast(Windows(gathered(part.select(item_col, item_text).toLocalIterator(), window)))
         last = k == shards - 1
         keep = own if carry or not last else []
         state = state.mapInArrow(_scan(sent, [f.name for f in keep]), StructType([*StructType.fromDDL(FOUND_SQL).fields, *keep]))

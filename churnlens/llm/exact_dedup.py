@@ -4,9 +4,10 @@
    complete content. Once the distinct contents held reach the memory budget, texts not in the table
    go to spill files by the next bits of their hash; each file is treated the same way, recursively,
    until its distinct contents fit. Each row comes out with its local leader (the largest id of
-   its text in the partition); only a leader carries the text.
+   its text in the partition); only a leader carries the text. A text in the table holds one id and a
+   count: of two ids the lesser goes out at once, so copies take no memory, however many there are.
 2. The leaders, at most one per text and input partition, are dealt by content hash and go through
-   the same Grace step, which merges counts and gives the global keeper.
+   the same Grace step, which merges counts and gives the global keeper; it holds 8 bytes per leader.
 3. Rows meet their leader's keeper by leader id.
 
 So a text that fills a third of all rows is one row per input partition before the shuffle. The
@@ -25,8 +26,10 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import itertools
 import pickle
 import tempfile
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -147,15 +150,15 @@ class Rests:
         return pa.concat_arrays(parts).take(pa.array(np.argsort(order, kind="stable")))
 
 
-def grace(records: Iterable[tuple], budget: int, folder: str, level: int = 0,
-          best: Callable | None = None) -> Iterator[tuple[ContentTable, list]]:
-    """Groups (content, id, n) records; yields (table, groups) per bucket, a group being its list of (id, n).
+def grace(records: Iterable[tuple], budget: int, folder: str, fold: Callable, level: int = 0) -> Iterator[tuple]:
+    """Folds (content, key, n) records by content: yields (content, state) per distinct content once its
+    bucket is read, and before that (None, row) for every row that ``fold`` lets go at once.
 
-    Each table takes ``budget`` bytes of distinct content before anything is spilled, so every level
-    leaves less to do, whatever the hashes; copies of a held text never take more than their ids. With
-    ``best`` (a sort key of ids) a group is its first largest (id, n) alone, and copies take nothing.
+    ``fold(state, key, n)`` gives (new state, bytes that it grew by, row or None); a new content's state is None.
+    Each table takes ``budget`` bytes before records of further contents are spilled, so every level leaves
+    less to do, whatever the hashes.
     """
-    table, groups, spills = ContentTable(), [], []
+    table, states, spills = ContentTable(), [], []
     for content, key, n in records:
         h = xxhash.xxh3_64_intdigest(content, seed=level)
         e = table.find(h, content)
@@ -166,18 +169,15 @@ def grace(records: Iterable[tuple], budget: int, folder: str, level: int = 0,
                 spills[(h >> 40) % FANOUT].put((content, key, n))
                 continue
             e = table.add(-1 - e, h, content)
-            groups.append([])
-        if best and groups[e]:
-            if best(key) > best(groups[e][0][0]):
-                groups[e][0] = (key, n)
-            continue
-        groups[e].append((key, n))
-        table.bytes += 16
-    if groups:
-        yield table, groups
-    del table, groups
+            states.append(None)
+        states[e], grown, row = fold(states[e], key, n)
+        table.bytes += grown
+        if row is not None:
+            yield None, row
+    yield from zip(table.contents, states, strict=True)
+    del table, states
     for spill in spills:
-        yield from grace(spill.records(), budget, folder, level + 1, best)
+        yield from grace(spill.records(), budget, folder, fold, level + 1)
         spill.close()
 
 
@@ -185,8 +185,44 @@ def _order(key) -> tuple:
     return (key is not None, key if key is not None else 0)
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], budget: int, best: Callable | None = None) -> Iterator[tuple[bytes, list]]:
-    """(content, [(key, n), ...]) per distinct content; columns: content, id[, group, n]."""
+STATE_BYTES = 200  # of a text's state: a few small objects
+
+
+def leading(first_group: int) -> Callable:
+    """Fold of (id, 1) records; state (group, largest id, count). The lesser of two ids goes out as (id, group)."""
+    groups = itertools.count(first_group)
+
+    def fold(state, key, n):
+        if state is None:
+            return (next(groups), key, n), STATE_BYTES, None
+        group, best, held = state
+        if _order(key) > _order(best):
+            return (group, key, held + n), 0, (best, group)
+        return (group, best, held + n), 0, (key, group)
+
+    return fold
+
+
+def merging(state, key, n):
+    """Fold of ((id, group), n) leaders; state [largest (id, group), count, all groups]."""
+    if state is None:
+        return [key, n, array("q", [key[1]])], STATE_BYTES, None
+    state[2].append(key[1])
+    state[1] += n
+    if (_order(key[0]), key[1]) > (_order(state[0][0]), state[0][1]):
+        state[0] = key
+    return state, 8, None
+
+
+def best_key(state, key, n):
+    """Fold that keeps one (id, row), the first with the largest id."""
+    if state is None:
+        return key, STATE_BYTES, None
+    return (key if _order(key[0]) > _order(state[0]) else state), 0, None
+
+
+def _folded(batches: Iterable[pa.RecordBatch], budget: int, fold: Callable) -> Iterator[tuple]:
+    """``grace`` over Arrow batches with the columns content, id[, group or row, n]."""
     def records():
         for b in batches:
             content = b.column(0).cast(pa.binary()).to_pylist()
@@ -195,8 +231,7 @@ def _grouped(batches: Iterable[pa.RecordBatch], budget: int, best: Callable | No
                 yield text or b"", ids[i] if not more else (ids[i], more[0][i]), more[1][i] if more else 1
 
     with tempfile.TemporaryDirectory() as folder:
-        for table, groups in grace(records(), budget, folder, best=best):
-            yield from zip(table.contents, groups, strict=True)
+        yield from grace(records(), budget, folder, fold)
 
 
 def _batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -223,20 +258,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256. Ids are integers."""
     def local(batches):
         def rows():
-            start = TaskContext.get().partitionId() << 40
-            for g, (content, group) in enumerate(_grouped(batches, table_bytes)):
-                lead = max(range(len(group)), key=lambda i: _order(group[i][0]))
-                for i, (key, _) in enumerate(group):
-                    yield (key, start + g, i == lead, *((content, len(group)) if i == lead else (None, None)))
+            for content, found in _folded(batches, table_bytes, leading(TaskContext.get().partitionId() << 40)):
+                if content is None:
+                    yield (*found, False, None, None)
+                else:
+                    yield (found[1], found[0], True, content, found[2])
 
         yield from _batches(rows(), LOCAL)
 
     def merged(batches):
         def rows():
-            for content, group in _grouped(batches, table_bytes):
-                (keep, winner), size = max((k for k, _ in group), key=lambda k: (_order(k[0]), k[1])), sum(n for _, n in group)
+            for content, ((keep, winner), size, groups) in _folded(batches, table_bytes, merging):
                 digest = hashlib.sha256(content).hexdigest()
-                for (_, g), _ in group:
+                for g in groups:
                     yield (g, g == winner, keep, size, digest)
 
         yield from _batches(rows(), MERGED)
@@ -262,8 +296,8 @@ def surviving(batches: Iterable[pa.RecordBatch], budget: int) -> Iterator[pa.Rec
                 yield pa.RecordBatch.from_arrays([b.column("body"), b.column("doc_key"), where, pa.array([1] * b.num_rows, pa.int64())], ["body", "id", "at", "n"])
 
         kept, size = [], 0
-        for content, group in _grouped(seen(), budget, lambda key: _order(key[0])):  # all input is read before the first group
-            kept.append((*group[0][0], content))
+        for content, key in _folded(seen(), budget, best_key):  # all input is read before the first group
+            kept.append((*key, content))
             size += len(content)
             if size > BLOCK * 8 or len(kept) >= ROWS_OUT:
                 yield _rows(kept, rests)

@@ -22,14 +22,28 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str,
-           per_class: tuple[int, int], most_chars: int) -> list[tuple[str, int]]:
-    """At most ``per_class`` (label 1, label 0) labelled texts: those whose ids hash least."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    kept = None
-    for y, n in ((1, per_class[0]), (0, per_class[1])):
-        part = labels.where(F.col(label_col) == y).select(id_col, F.lit(y).alias("y")).distinct().orderBy(order, id_col).limit(n)
-        kept = part if kept is None else kept.unionAll(part)
-    # the sample's ids are bounded by per_class
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("body")).where(
-        F.length("body") <= most_chars).join(F.broadcast(kept), id_col).select(order.alias("o"), "body", "y").collect()
-    return [(r.body, r.y) for r in sorted(rows, key=lambda r: (r.o, r.body))]
+                    per_class: tuple[int, int], chars: tuple[int, int]) -> list[tuple[str, int]]:
+    """Whole labelled texts, at most ``per_class`` (label 1, label 0) different (id, text) rows and ``chars`` characters
+    of each label: in the order of their ids' hash, passing over a text that is longer than what is left.
+
+    The first job finds the rows by id, hash and length alone; only the chosen texts are collected, once each.
+    """
+    key, body = F.col(id_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), body.alias("body")).withColumn("digest", F.xxhash64("body"))
+    narrow = rows.select("key", "digest", F.length("body").alias("size"))
+    order = F.xxhash64("key")
+    kept = []
+    for y, most, room in ((1, per_class[0], chars[0]), (0, per_class[1], chars[1])):
+        marked = labels.where(F.col(label_col) == y).select(key.alias("key")).distinct()
+        found = narrow.where(F.col("size") <= room).join(marked, "key").distinct().orderBy(order, "key", "digest").limit(most)
+        for r in found.collect():  # at most per_class
+            if r["size"] <= room:
+                room -= r["size"]
+                kept.append((r["key"], r["digest"], y))
+    if not kept:
+        return []
+    # the sample's keys are bounded by per_class
+    chosen = docs.sparkSession.createDataFrame(kept, "key string, digest long, y int")
+    texts = rows.join(F.broadcast(chosen), ["key", "digest"]).dropDuplicates(["key", "digest", "y"]).select(
+        order.alias("o"), "body", "y").collect()
+    return [(r.body, r.y) for r in sorted(texts, key=lambda r: (r.o, r.body, r.y))]

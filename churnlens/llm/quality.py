@@ -6,9 +6,10 @@ The mean and the least difference of the pieces, the share of pieces nearer to t
 and the least plain compression ratio (text that repeats itself leaves no difference to see) go
 through a logistic curve fitted on labelled documents that aren't in the dictionaries.
 
-Training uses a bounded sample: at most ``per_class`` labelled documents of each label, the ones with
-the least hash of their id; half of them make the dictionaries, each whole, in pieces, half the curve. Every document is
-scored whole, piece by piece.
+Training uses a bounded sample of whole labelled documents: at most ``per_class`` of each label and
+``sample_chars`` characters of them, in the order of their ids' hash (a text longer than ``sample_chars`` isn't
+used); half of them make the dictionaries, each whole, in pieces, half the curve. Every document is scored
+whole, piece by piece.
 
 Defined results: null and empty texts are one empty piece and get that piece's score; repeated rows
 are scored one by one; without labels of both classes, or with too little text for a dictionary, the
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from churnlens.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = (3000, 2000)  # good and bad documents in the sample, at most
-SAMPLE_CHARS = 20_000  # longer documents aren't used for training
+SAMPLE_CHARS = (10_000_000, 7_000_000)  # of good and bad texts in the sample, at most
 DICT_BYTES = 112 << 10
 DICT_PIECE = 8192  # bytes of the pieces that a dictionary is trained on
 PIECE = 1024
@@ -88,9 +89,10 @@ SCORED = pa.schema([("doc_key", pa.int64()), ("score", pa.float64()), ("differen
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-            per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None) -> DataFrame:
+            per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None,
+            sample_chars: tuple[int, int] = SAMPLE_CHARS) -> DataFrame:
     """One row per document: id, score (0 to 1), difference (mean normalised difference, null without dictionaries)."""
-    model = Model(labelled_sample(docs if train_docs is None else train_docs, labels, id_col, text_col, label_col, per_class, SAMPLE_CHARS))
+    model = Model(labelled_sample(docs if train_docs is None else train_docs, labels, id_col, text_col, label_col, per_class, sample_chars))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries
 
     def run(batches):

@@ -24,7 +24,7 @@ import re
 import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece
 MODEL_BYTES = 64 << 20  # a model is sent to every worker: larger files are refused
 BATCH_CHARS = 1 << 20
 THREADS = 2
-KNOWN_RUNS = 300_000  # words whose ids a worker remembers
+KNOWN_BYTES = 48 << 20  # of runs and their ids in a generation of the table that a worker keeps (it keeps two)
+RUN_BYTES = 200  # what a run takes beside its characters and ids
 
 
 def _fields(data: bytes):
@@ -137,16 +138,52 @@ def build(m: Model):
     return t
 
 
-class _Numbers(dict):
-    """Numbers runs in the order they are first met; ``new`` has those without ids yet."""
+class _Known:
+    """Ids of runs met before: two generations, bounded in bytes.
 
-    def __init__(self) -> None:
-        self.new: list[str] = []
+    Runs are numbered in the order they are first met. Once the young generation is full it becomes the old
+    one, and the old one is dropped: a run asked for again in between has moved to the young one by then, so
+    frequent runs stay however many rare ones pass.
+    """
 
-    def __missing__(self, run: str) -> int:
-        self[run] = n = len(self)
-        self.new.append(run)
-        return n
+    def __init__(self, most: int = KNOWN_BYTES) -> None:
+        self.most = most
+        self.numbers, self.ids, self.sizes, self.bytes = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+        self.old = self.numbers, self.ids, self.sizes
+
+    def age(self) -> None:
+        """Called between batches: numbers given within a batch stay valid."""
+        if self.bytes > self.most:
+            self.old = self.numbers, self.ids, self.sizes
+            self.numbers, self.ids, self.sizes, self.bytes = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), 0
+
+    def find(self, runs: list[str], encode) -> np.ndarray:
+        """The runs' numbers; those met nowhere yet go to ``encode`` together."""
+        out = np.fromiter(map(self.numbers.get, runs, repeat(-1)), np.int64, len(runs))
+        missing = np.flatnonzero(out < 0)
+        if not len(missing):
+            return out
+        new: dict[str, int] = {}
+        first = len(self.numbers)
+        out[missing] = [new.setdefault(runs[i], first + len(new)) for i in missing.tolist()]
+        texts = list(new)
+        numbers, ids, sizes = self.old
+        before = np.fromiter(map(numbers.get, texts, repeat(-1)), np.int64, len(texts))
+        there = before >= 0
+        held = np.zeros(len(texts), np.int64)
+        held[there] = sizes[before[there]]
+        fresh = np.flatnonzero(~there)
+        if len(fresh):
+            fresh_ids, held[fresh] = encode([texts[i] for i in fresh.tolist()])
+        starts = np.cumsum(held) - held
+        moved = np.zeros(int(held.sum()), np.int32)
+        moved[_flat(starts[there], held[there])] = ids[_flat((np.cumsum(sizes) - sizes)[before[there]], held[there])]
+        if len(fresh):
+            moved[_flat(starts[fresh], held[fresh])] = fresh_ids
+        self.numbers.update(new)
+        self.ids, self.sizes = np.concatenate((self.ids, moved)), np.concatenate((self.sizes, held))
+        self.bytes += RUN_BYTES * len(texts) + 2 * sum(map(len, texts)) + 4 * len(moved)
+        return out
 
 
 def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -179,11 +216,7 @@ class Codec:
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_sizes = np.array([len(p) for p in pieces], np.int64)
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known = _Numbers()
-        self.ids, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.known = _Known()
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each)."""
@@ -208,32 +241,38 @@ class Codec:
         line = self.prefix + text.replace(" ", MARK) if self.plain else self.normalizer.normalize_str(text)
         return line.rstrip(MARK) if self.trim else line  # a marker in the text itself counts as a space
 
-    def _runs(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self.plain and self.prefix and not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text):
-            return [MARK + w for w in text.split(" ")]
-        return self.RUN.findall(self._normal(text))
+    def _words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct runs, their numbers in the order of the texts, runs of each text), of words between single spaces."""
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        places = words.flatten().dictionary_encode()
+        return [MARK + w for w in places.dictionary.to_pylist()], places.indices.to_numpy(), np.diff(words.offsets.to_numpy())
+
+    def _runs(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The same, of any texts."""
+        lists = [self.RUN.findall(self._normal(t)) if t else [] for t in texts]
+        numbers: dict[str, int] = {}
+        places = [numbers.setdefault(r, len(numbers)) for runs in lists for r in runs]
+        return list(numbers), np.array(places, np.int64), np.array([len(x) for x in lists], np.int64)
 
     def encode(self, texts: list[str]) -> pa.ListArray:
         if not self.by_run:
             return _lists(*self._encoded([self._normal(t) for t in texts]))
-        if len(self.known) > KNOWN_RUNS:
-            self._forget()
-        numbers, counts = [], []
-        for t in texts:
-            runs = self._runs(t)
-            counts.append(len(runs))
-            numbers.append(np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs)))
-        if self.known.new:
-            ids, sizes = self._encoded(self.known.new)
-            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
-            self.known.new = []
-        runs = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
-        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[runs]
+        self.known.age()
+        single = np.array([bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t for t in texts], bool)
+        single &= self.plain and bool(self.prefix)
+        order = np.concatenate((np.flatnonzero(single), np.flatnonzero(~single)))
+        runs, counts = [], []
+        for part, cut in ((self._words, order[:single.sum()]), (self._runs, order[single.sum():])):
+            if len(cut):
+                distinct, places, each = part([texts[i] for i in cut.tolist()])
+                runs.append(self.known.find(distinct, self._encoded)[places])
+                counts.append(each)
+        runs, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs, counts))
+        starts, sizes = np.cumsum(self.known.sizes) - self.known.sizes, self.known.sizes[runs]
         total = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
-        edge = np.cumsum([0, *counts])
-        return _lists(self.ids[_flat(starts[runs], sizes)], np.diff(total[edge]))
+        edge = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+        ids = _lists(self.known.ids[_flat(starts[runs], sizes)], np.diff(total[edge]))
+        return ids if single.all() or not single.any() else ids.take(pa.array(np.argsort(order)))
 
     def decode(self, ids: pa.ListArray) -> pa.StringArray:
         """Pieces joined, byte pieces as UTF-8, without the space of the dummy prefix."""

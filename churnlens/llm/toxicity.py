@@ -1,15 +1,16 @@
 """Toxicity: a linear-chain CRF tags toxic words; forward-backward marginals give scores and spans.
 
-Training, on a bounded sample of labelled documents (``per_class`` of each label, the ones with the
-least hash of their id, so the same at every run):
+Training, on a bounded sample of whole labelled documents (``per_class`` and ``sample_chars`` of each label,
+in the order of their ids' hash, so the same at every run; a text longer than ``sample_chars`` isn't used):
 
 1. near copies in the sample are left out, so that a copied text counts once;
 2. words of toxic documents are labelled toxic if one of their features (the word, its first three
    to eight letters) is bound to toxic documents: a likelihood ratio beyond what the best of so many
    features would reach by chance, or, for documents still without such a word, the feature that
    accounts for most of them;
-3. the CRF is trained on part of these documents with such token labels;
-4. on the part held back, a logistic curve turns a document's evidence into a probability.
+3. the CRF is trained on two thirds of these documents, ``fit_per_class`` at most, with such token labels;
+4. on those held back, ``curve_per_class`` at most, a logistic curve turns a document's evidence into a
+   probability.
 
 A document's evidence is the log odds of its surest toxic word and how many toxic words are
 expected. Words are what white space separates, all of them, in one chain per document.
@@ -36,8 +37,9 @@ from churnlens.llm.common import carried, with_rest
 from churnlens.llm.labelled import labelled_sample, logistic
 
 PER_CLASS = (1500, 3000)  # toxic and clean documents in the sample, at most
+SAMPLE_CHARS = (6_000_000, 10_000_000)  # of toxic and clean texts in the sample, at most
 FIT_PER_CLASS = (600, 400)  # of these, the CRF is trained on so many clean and toxic ones
-SAMPLE_CHARS = 20_000  # longer documents aren't used for training (they are scored whole)
+CURVE_PER_CLASS = 1000  # and the curve on so many of each label
 GROUP_WORDS = 100_000  # words whose chains are swept together
 KNOWN_WORDS = 150_000  # words whose emissions a worker remembers
 WORD = re.compile(r"\S+")
@@ -182,7 +184,7 @@ def _logit(p) -> float:
     return float(np.clip(np.log(max(p, 1e-9)) - np.log(max(1 - p, 1e-9)), -12, 12))
 
 
-def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
+def train(texts: list[tuple[str, int]], fit_per_class: tuple[int, int] = FIT_PER_CLASS, curve_per_class: int = CURVE_PER_CLASS) -> crf.Crf | None:
     """The model from labelled texts; None if one of the classes is missing."""
     seen, docs = (set(), set()), []
     for text, y in texts:
@@ -195,7 +197,7 @@ def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
         return None
     bound = toxic_features([(w, y) for w, y, _ in docs])
     by = [[d for d in docs if d[1] == y] for y in (0, 1)]
-    cut = [min(most, -(-len(x) * 2 // 3)) for x, most in zip(by, FIT_PER_CLASS, strict=True)]
+    cut = [min(most, -(-len(x) * 2 // 3)) for x, most in zip(by, fit_per_class, strict=True)]
     fit = [d for x, c in zip(by, cut, strict=True) for d in x[:c]]
     kinds, names = {}, []
     items, gold, lengths = [], [], []
@@ -211,7 +213,7 @@ def train(texts: list[tuple[str, int]]) -> crf.Crf | None:
     model = crf.train(names, np.array(items, np.int64), lengths, np.array(gold, np.int64), 2, rounds=40, min_count=4)
     heavy = {n: i for n, i in model.features.items() if abs(model.weights[i, 1] - model.weights[i, 0]) > LEAST_WEIGHT}
     model.weights, model.features = model.weights[list(heavy.values())], {n: i for i, n in enumerate(heavy)}
-    back = [d for x, c in zip(by, cut, strict=True) for d in (x[c:c + 1000] or x)]
+    back = [d for x, c in zip(by, cut, strict=True) for d in (x[c:c + curve_per_class] or x)]
     found = list(Scorer(model).evidence([t for _, _, t in back]))
     x = np.array([[_logit(a), math.log1p(b)] for a, b, _, _ in found])
     model.extra["curve"] = logistic(x, np.array([y for _, y, _ in back], float))
@@ -222,14 +224,16 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", p
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-             per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None, carry: bool = False) -> DataFrame:
+             per_class: tuple[int, int] = PER_CLASS, train_docs: DataFrame | None = None, carry: bool = False,
+             sample_chars: tuple[int, int] = SAMPLE_CHARS, fit_per_class: tuple[int, int] = FIT_PER_CLASS,
+             curve_per_class: int = CURVE_PER_CLASS) -> DataFrame:
     """One row per document: id, score (0 to 1), spans (code points and marginal of each toxic word).
 
     ``train_docs``: the table that has the labelled texts, if not ``docs``. With ``carry`` the rows'
     own columns stay in ``body`` and ``rest`` (see ``common.restored``).
     """
-    texts = labelled_sample(docs if train_docs is None else train_docs, labels, id_col, text_col, label_col, per_class, SAMPLE_CHARS)
-    model, share = train(texts), sum(y for _, y in texts) / max(1, len(texts))
+    texts = labelled_sample(docs if train_docs is None else train_docs, labels, id_col, text_col, label_col, per_class, sample_chars)
+    model, share = train(texts, fit_per_class, curve_per_class), sum(y for _, y in texts) / max(1, len(texts))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches):

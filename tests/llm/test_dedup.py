@@ -1,5 +1,6 @@
 import hashlib
 import tempfile
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -77,15 +78,52 @@ def test_exact_empty(spark):
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 60)), max_size=300), st.integers(200, 2000))
 def test_grace_groups_everything_once(data, budget):
     records = [(b"x" * n + bytes([c]), i, 1) for i, (c, n) in enumerate(data)]
-    seen, groups = [], {}
+    gone, groups = defaultdict(list), {}
     with tempfile.TemporaryDirectory() as folder:
-        for table, found in E.grace(iter(records), budget, folder):
-            for content, group in zip(table.contents, found, strict=True):
+        for content, found in E.grace(iter(records), budget, folder, E.leading(100)):
+            if content is None:
+                gone[found[1]].append(found[0])
+            else:
                 assert content not in groups
-                groups[content] = [k for k, _ in group]
-                seen += groups[content]
-    assert sorted(seen) == list(range(len(records)))
-    assert all(records[i][0] == c for c, ks in groups.items() for i in ks)
+                groups[content] = found
+    want = defaultdict(list)
+    for content, i, _ in records:
+        want[content].append(i)
+    assert {c: (best, n) for c, (_, best, n) in groups.items()} == {c: (max(ids), len(ids)) for c, ids in want.items()}
+    assert {c: sorted([*gone[g], best]) for c, (g, best, _) in groups.items()} == want
+
+
+def traced_peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_copies_of_a_held_text_take_no_memory():
+    """400,000 rows of one text and as many leaders of one text: budget 1 MB."""
+    with tempfile.TemporaryDirectory() as folder:
+        def local():
+            seen = sum(1 for _ in E.grace(((b"", i, 1) for i in range(400_000)), 1 << 20, folder, E.leading(0)))
+            assert seen == 400_000
+
+        def merged():
+            found = list(E.grace(((b"", (i, i), 1) for i in range(400_000)), 1 << 20, folder, E.merging))
+            assert found[0][1][0] == (399_999, 399_999) and len(found[0][1][2]) == 400_000
+
+        assert traced_peak(local) < 1 << 20
+        assert traced_peak(merged) < 8 << 20
+
+
+def test_exact_with_a_hot_text(spark):
+    """One text that is a third of all rows, under ids that repeat, and an empty one."""
+    docs = spark.range(30_000).selectExpr("id % 9000 as doc_id", "case when id % 3 = 0 then 'hot' when id % 3 = 1 then '' else cast(id as string) end as text")
+    got = E.exact_dedup(docs.repartition(11), table_bytes=1 << 16)
+    assert got.count() == 30_000 and got.where("kept").count() == 10_002
+    assert {tuple(r) for r in got.where("group_size > 1").select("keep_id", "group_size").distinct().collect()} == {(8997, 10_000), (8998, 10_000)}
+    assert got.where("group_size > 1 and kept").count() == 2
 
 
 def test_table_compares_content_under_equal_hashes():

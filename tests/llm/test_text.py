@@ -16,6 +16,7 @@ from churnlens.llm import quality as Q
 from churnlens.llm import sentencepiece_tokens as T
 from churnlens.llm import toxicity as X
 from churnlens.llm.common import held_out, table
+from churnlens.llm.labelled import labelled_sample
 from churnlens.llm.queries import sentencepiece_model
 from churnlens.llm.url_filter import filter_urls
 from tests.llm.helpers import awkward, documents, rows, sha, text
@@ -51,7 +52,7 @@ def contamination_twin(data, items, window):
 ITEMS = [(1, text(30, 1)), (2, text(30, 1)), (10, "Two words"), (3, None), (4, "..."), (5, "zeta9, ETA! " + text(13, 9)), (6, text(14, 8)), (7, "é漢")]
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 500])
+@pytest.mark.parametrize("limit", [256 << 20, 32_000])
 @pytest.mark.parametrize("carry", [False, True])
 def test_contamination_equals_brute_force(spark, limit, carry):
     data = awkward() + [(50, "x TWO--words y two words words two"), (51, "so é漢 it is é漢é"), (52, text(5, 9) + "\x85" + text(40, 9)), (53, "Zeta9 eta " + text(20, 9))]
@@ -73,6 +74,26 @@ def test_contamination_empty_tables(spark):
     assert got.where("n_hit > 0").count() == 0 and got.count() == len(awkward())
 
 
+def test_automaton_stays_in_its_bound(spark):
+    items = [(i, " ".join(f"{(i * 7919 + j * 104729) % 99991}x" for j in range(40))) for i in range(200)]
+    windows = C.gathered(items, 13)
+    size = sum(len(t) for _, t in items)
+    held = C.Windows(windows)
+    assert held.automaton.get_stats()["total_size"] <= size * 13 * C.NODE_BYTES
+    assert held.automaton is held.automaton and held.windows == {}
+    before = held.automaton.get_stats()
+    assert before["words_count"] == len(windows)
+
+
+def test_shards_follow_the_automaton_bytes(spark, monkeypatch):
+    sizes, gather = [], C.gathered
+    monkeypatch.setattr(C, "gathered", lambda items, window: sizes.append(len(out := gather(items, window))) or out)
+    items = spark.createDataFrame([(i, text(40, i)) for i in range(12)], "item_id long, text string")
+    limit = 1 << 19
+    C.contamination(documents(spark, awkward()), items, automaton_bytes=limit).count()
+    assert len(sizes) > 3
+
+
 # urls
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"),
@@ -162,6 +183,23 @@ def test_encode_rows(spark):
     assert T.encode(spark.createDataFrame([], EMPTY), sentencepiece_model()).count() == 0
 
 
+def test_runs_remembered_stay_right_and_bounded():
+    """A table far too small for the runs: frequent ones stay, rare ones are encoded again, ids never change."""
+    from sentencepiece import SentencePieceProcessor
+
+    data = sentencepiece_model()
+    codec, own = T.Codec(T.parse_model(data)), SentencePieceProcessor(model_proto=data)
+    codec.known = T._Known(20_000)
+    asked, encoded = [], codec._encoded
+    codec._encoded = lambda texts: asked.extend(texts) or encoded(texts)
+    rng = random.Random(3)
+    for i in range(60):
+        texts = [" ".join(["the", "and", *(f"w{rng.randrange(10**6)}" for _ in range(30))]), f"  two  spaces{i} the ", "", "x▁y"]
+        assert codec.encode(texts).to_pylist() == own.encode(texts)
+        assert codec.known.bytes < 40_000
+    assert asked.count("▁the") == 1 and len(set(asked)) > 1500
+
+
 def test_models_that_cannot_be_rebuilt_are_refused():
     with pytest.raises(ValueError):
         T.parse_model(field(2, field(3, 4)))
@@ -304,6 +342,36 @@ def test_dictionaries_take_whole_texts(monkeypatch):
     assert max(map(len, seen[0])) <= Q.DICT_PIECE
 
 
+@pytest.mark.parametrize("op", [X.toxicity, Q.quality])
+def test_long_labelled_texts_are_learned_from(spark, op):
+    """All labelled texts over 20,000 characters: they are used whole, up to the sample's characters."""
+    column = "toxic" if op is X.toxicity else "quality"
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rng = random.Random(5)
+
+    def long(extra):
+        return " ".join(rng.choice(words) + (f" {extra}{rng.randrange(3)}" if rng.random() < 0.03 else "") for _ in range(6000))
+
+    data = [(i, long("vilest" if i % 2 else "pleasant")) for i in range(60)]
+    assert min(len(t) for _, t in data) > 20_000
+    labels = spark.createDataFrame([(i, i % 2 if column == "toxic" else 1 - i % 2) for i in range(0, 40)], f"doc_id long, {column} int")
+    scores = {r.doc_id: r.score for r in op(documents(spark, data), labels).collect()}
+    if op is X.toxicity:
+        assert all((scores[i] >= 0.5) == bool(i % 2) for i in range(60))
+    assert len(set(scores.values())) > 1
+    assert len({r.score for r in op(documents(spark, data), labels, sample_chars=(10, 10)).collect()}) == 1  # none fits
+
+
+def test_sample_is_bounded_and_refilled(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i % 2 else 10) + str(i)) for i in range(100)] + [(1, "again")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(100)], "doc_id long, y int")
+    got = labelled_sample(docs, labels, "doc_id", "text", "y", (10, 20), (4000, 12_000))
+    one, zero = ([t for t, y in got if y == k] for k in (1, 0))
+    assert len(one) == 10 and max(map(len, one)) < 20  # long ones don't fit: the next ones take their place
+    assert len(zero) <= 20 and sum(map(len, zero)) <= 12_000 and len(set(zero)) == len(zero)
+    assert labelled_sample(docs.limit(0), labels, "doc_id", "text", "y", (10, 20), (4000, 12_000)) == []
+
+
 @pytest.mark.parametrize("op", [X.toxicity, Q.quality])
 def test_classifiers_on_awkward_rows(spark, op):
     data = awkward()
