@@ -39,6 +39,7 @@ MODEL_BYTES = 64 << 20  # a model is sent to every worker: larger files are refu
 BATCH_CHARS = 1 << 20
 THREADS = 2
 KNOWN_BYTES = 48 << 20  # of runs and their ids in a generation of the table that a worker keeps (it keeps two)
+RUNS_TOGETHER = 64  # runs met for the first time that are encoded as one text
 RUN_BYTES = 200  # what a run takes beside its characters and ids
 
 
@@ -216,6 +217,8 @@ class Codec:
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_sizes = np.array([len(p) for p in pieces], np.int64)
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
+        self.begins = np.array([kind == NORMAL and p.startswith(MARK) for p, _, kind in m.pieces], bool)
+        self.joins = not self.bytes_of_unknown
         self.known = _Known()
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,6 +231,27 @@ class Codec:
         sizes = np.array([len(x) for x in ids], np.int64)
         return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
+    def _encoded_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs. Runs with one marker are put together to longer texts: no piece crosses into a
+        marker, so a text's pieces that begin with one tell where its runs begin."""
+        alone = np.array([r[0] != MARK or MARK in r[1:] for r in runs], bool) | (not self.joins)
+        sizes, ids = np.zeros(len(runs), np.int64), [np.zeros(0, np.int32)] * 2
+        single, joined = np.flatnonzero(alone), np.flatnonzero(~alone)
+        if len(joined):
+            groups = ["".join(runs[i] for i in joined[at:at + RUNS_TOGETHER].tolist()) for at in range(0, len(joined), RUNS_TOGETHER)]
+            ids[0], _ = self._encoded(groups)
+            begins = np.flatnonzero(self.begins[ids[0]])
+            if len(begins) != len(joined):  # a marker that the model doesn't know: one by one
+                return self._encoded(runs)
+            sizes[joined] = np.diff(np.append(begins, len(ids[0])))
+        if len(single):
+            ids[1], sizes[single] = self._encoded([runs[i] for i in single.tolist()])
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.int32)
+        for which, own in ((joined, ids[0]), (single, ids[1])):
+            out[_flat(starts[which], sizes[which])] = own
+        return out, sizes
+
     def _with_bytes(self, text: str, encoded) -> list[int]:
         """Ids with the UTF-8 bytes' pieces in the place of unknown characters."""
         out: list[int] = []
@@ -245,7 +269,8 @@ class Codec:
         """(distinct runs, their numbers in the order of the texts, runs of each text), of words between single spaces."""
         words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         places = words.flatten().dictionary_encode()
-        return [MARK + w for w in places.dictionary.to_pylist()], places.indices.to_numpy(), np.diff(words.offsets.to_numpy())
+        marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), places.dictionary, pa.scalar("", pa.large_string()))
+        return marked.to_numpy(zero_copy_only=False).tolist(), places.indices.to_numpy(), np.diff(words.offsets.to_numpy())
 
     def _runs(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The same, of any texts."""
@@ -265,7 +290,7 @@ class Codec:
         for part, cut in ((self._words, order[:single.sum()]), (self._runs, order[single.sum():])):
             if len(cut):
                 distinct, places, each = part([texts[i] for i in cut.tolist()])
-                runs.append(self.known.find(distinct, self._encoded)[places])
+                runs.append(self.known.find(distinct, self._encoded_runs)[places])
                 counts.append(each)
         runs, counts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs, counts))
         starts, sizes = np.cumsum(self.known.sizes) - self.known.sizes, self.known.sizes[runs]

@@ -190,8 +190,8 @@ def test_runs_remembered_stay_right_and_bounded():
     data = sentencepiece_model()
     codec, own = T.Codec(T.parse_model(data)), SentencePieceProcessor(model_proto=data)
     codec.known = T._Known(20_000)
-    asked, encoded = [], codec._encoded
-    codec._encoded = lambda texts: asked.extend(texts) or encoded(texts)
+    asked, encoded = [], codec._encoded_runs
+    codec._encoded_runs = lambda runs: asked.extend(runs) or encoded(runs)
     rng = random.Random(3)
     for i in range(60):
         texts = [" ".join(["the", "and", *(f"w{rng.randrange(10**6)}" for _ in range(30))]), f"  two  spaces{i} the ", "", "x▁y"]
