@@ -10,8 +10,10 @@ In a shard a BK-tree (children keyed by their Hamming distance to the parent) is
 edges within the radius only. Since components are wanted, a subtree that is already in the
 component of the fingerprint in hand isn't entered: a large group of near copies costs about as much
 as its nodes, and gives a spanning forest of links instead of all its pairs. A shard over
-``tree_nodes`` is put off and dealt out: its nodes to several trees of bounded size, every node as a
-query to each of them. Trees are sent to nobody and nothing is gathered on the driver.
+``tree_nodes`` is put off while it is read, no more than that many nodes being held, and dealt out: its
+nodes to several trees of about that size, every node as a query to the trees of other numbers. A task
+builds its tree and streams ``QUERIES`` times as many queries past it; further queries go to further tasks
+with the same tree. Trees are sent to nobody and nothing is gathered on the driver.
 
 Defined results: null, empty or wordless texts have fingerprint zero and are linked like any others;
 a text of fewer words than a shingle is one shingle; component_id is the least non-null id of the
@@ -21,8 +23,7 @@ an empty result. Only the id and the text are read, so other columns play no par
 
 from __future__ import annotations
 
-import math
-from itertools import combinations
+from itertools import chain, combinations, groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SHINGLE = 4
 RADIUS = 4
 SHARD = 32
 TREE_NODES = 100_000
+QUERIES = 16  # queries, in trees' sizes, that one task streams past its tree
+SALTS = 32  # parts that the members of one component are dealt to where its least id is looked up
 PIECE = 1 << 15  # shingles whose bits are counted at once
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -118,20 +121,26 @@ class BKTree:
                     todo.append(c)
 
 
-def tree_links(values: list[int], queries: list[int], radius: int):
-    """Links (value, value) that join what is within the radius: among ``values``, and of ``queries`` to them."""
-    tree = BKTree()
-    for v in values:
-        for at in tree.insert(v, radius):
-            yield v, tree.values[at]
-    tree.settle()
-    for i, v in enumerate(values):
-        for at in tree.search(v, radius, lambda i=i: tree.find(i)):
-            if tree.union(at, i):
+class Linker:
+    """Links (value, value) that join what is within the radius: among a tree's values, and of queries to them."""
+
+    def __init__(self, values: list[int], radius: int) -> None:
+        self.tree, self.values, self.radius = BKTree(), values, radius
+
+    def own(self):
+        tree = self.tree
+        for v in self.values:
+            for at in tree.insert(v, self.radius):
                 yield v, tree.values[at]
-    for v in queries:
-        first = None
-        for at in tree.search(v, radius, lambda: -1 if first is None else tree.find(first)):
+        tree.settle()
+        for i, v in enumerate(self.values):
+            for at in tree.search(v, self.radius, lambda i=i: tree.find(i)):
+                if tree.union(at, i):
+                    yield v, tree.values[at]
+
+    def query(self, v: int):
+        tree, first = self.tree, None
+        for at in tree.search(v, self.radius, lambda: -1 if first is None else tree.find(first)):
             if first is None or tree.find(first) != tree.find(at):
                 yield v, tree.values[at]
                 if first is not None:
@@ -139,6 +148,13 @@ def tree_links(values: list[int], queries: list[int], radius: int):
             first = at if first is None else first
 
 
+def tree_links(values: list[int], queries, radius: int):
+    linker = Linker(values, radius)
+    yield from linker.own()
+    for v in queries:
+        yield from linker.query(v)
+
+
 def blocks_for(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
     """Least number of blocks for which the agreed bits leave about ``shard`` random fingerprints together."""
     for blocks in range(radius + 1, 3 * radius + 1):
@@ -161,26 +177,52 @@ def _unsigned(xs) -> list[int]:
     return [x & 0xFFFFFFFFFFFFFFFF for x in xs]
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64()), ("trees", pa.int32())])
-LINKS_SQL = "a long, b long, shard long, trees int"
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shard", pa.int64())])
+LINKS_SQL = "a long, b long, shard long"
 
 
-def _links_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), LINKS.types, strict=True)], schema=LINKS)
+def _batched(rows, most: int = 10_000):
+    """Arrow batches of (a, b, shard) rows."""
+    rows = iter(rows)
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), LINKS.types, strict=True)], schema=LINKS)
 
 
-def _runs(batches, keys: int):
-    """(key, columns) of runs of equal leading ``keys`` columns in sorted batches."""
-    key, held = None, []
+def _rows(batches):
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if r[:keys] != key:
-                if held:
-                    yield key, held
-                key, held = r[:keys], []
-            held.append(r[keys:])
-    if held:
-        yield key, held
+        yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+
+def _shard_links(rows, radius: int, tree_nodes: int):
+    """(a, b, None) links of the shards of sorted (shard, fp) rows; (fp, None, shard) of a shard over ``tree_nodes``."""
+    for key, run in groupby(rows, lambda r: r[0]):
+        held = [fp for _, fp in islice(run, tree_nodes + 1)]
+        if len(held) > tree_nodes:
+            for fp in held:
+                yield fp, None, key
+            for _, fp in run:
+                yield fp, None, key
+        elif len(held) > 1:
+            for a, b in tree_links(_unsigned(held), [], radius):
+                yield _signed(a), _signed(b), None
+
+
+def _dealt_links(rows, radius: int):
+    """Links of (shard, tree, part, is a query, fp) rows, a tree's own fingerprints first: those are held, queries pass."""
+    for (_, _, part), run in groupby(rows, lambda r: r[:3]):
+        linker, own = None, []
+        for *_, is_query, fp in chain(run, [(True, None)]):
+            if not is_query:
+                own.append(fp & 0xFFFFFFFFFFFFFFFF)
+                continue
+            if linker is None:
+                linker = Linker(own, radius)
+                for a, b in linker.own():
+                    if part == 0:  # the other parts have the same tree
+                        yield _signed(a), _signed(b), None
+            if fp is not None:
+                for a, b in linker.query(fp & 0xFFFFFFFFFFFFFFFF):
+                    yield _signed(a), _signed(b), None
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, tree_nodes: int = TREE_NODES) -> DataFrame:
@@ -190,18 +232,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHAR
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("shard"))
 
     def search(batches):
-        rows = []
-        for (key,), held in _runs(batches, 1):
-            if len(held) > tree_nodes:
-                trees = math.ceil(len(held) / tree_nodes)
-                rows += [(x, None, key, trees) for (x,) in held]
-            elif len(held) > 1:
-                rows += [(_signed(a), _signed(b), None, None) for a, b in tree_links(_unsigned(x for (x,) in held), [], radius)]
-            while len(rows) >= 10_000:
-                yield _links_batch(rows[:10_000])
-                rows = rows[10_000:]
-        if rows:
-            yield _links_batch(rows)
+        yield from _batched(_shard_links(_rows(batches), radius, tree_nodes))
 
     found = written(keyed.repartition("shard").sortWithinPartitions("shard", "fp").select("shard", "fp").mapInArrow(search, LINKS_SQL), "simhash-links")
     links, put_off = found.where("shard is null").select("a", "b"), found.where("shard is not null")
@@ -209,21 +240,18 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHAR
         return links
 
     def split(batches):
-        rows = []
-        for _, held in _runs(batches, 2):
-            values, queries = ([x for own, x in held if own == flag] for flag in (True, False))
-            rows += [(_signed(a), _signed(b), None, None) for a, b in tree_links(_unsigned(values), _unsigned(queries), radius)]
-            while len(rows) >= 10_000:
-                yield _links_batch(rows[:10_000])
-                rows = rows[10_000:]
-        if rows:
-            yield _links_batch(rows)
+        yield from _batched(_dealt_links(_rows(batches), radius))
 
+    sizes = put_off.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / tree_nodes).cast("int").alias("trees"))
     own = F.pmod(F.xxhash64("a"), F.col("trees")).cast("int")
-    dealt = put_off.withColumn("own", own).withColumn("tree", F.explode(F.sequence(F.col("own"), F.col("trees") - 1)))
-    dealt = dealt.select("shard", "tree", (F.col("own") == F.col("tree")).alias("is_own"), F.col("a").alias("fp"))
-    more = dealt.repartition("shard", "tree").sortWithinPartitions("shard", "tree").mapInArrow(split, LINKS_SQL)
-    return links.unionAll(written(more, "simhash-links").select("a", "b"))
+    parts = F.ceil(F.col("trees") / QUERIES).cast("int")
+    placed = put_off.join(sizes, "shard").select("shard", F.col("a").alias("fp"), own.alias("own"), parts.alias("parts"))
+    # a tree's fingerprints go to each of its parts, a query to one
+    trees = placed.select("shard", F.col("own").alias("tree"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("is_query"), "fp")
+    queries = placed.where("own > 0").select("shard", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("tree"), F.pmod(
+        F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("is_query"), "fp")
+    dealt = trees.unionAll(queries).repartition("shard", "tree", "part").sortWithinPartitions("shard", "tree", "part", "is_query")
+    return links.unionAll(written(dealt.mapInArrow(split, LINKS_SQL), "simhash-links").select("a", "b"))
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry: bool) -> DataFrame:
@@ -243,8 +271,12 @@ def _grouped(marked: DataFrame, radius: int, shard: int, tree_nodes: int) -> Dat
     prints = marked.groupBy("fp").agg(F.min("doc_key").alias("least"))
     roots = components(fingerprint_links(prints.select("fp"), radius, shard, tree_nodes))
     rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    # one component may hold a third of all: its members are dealt to SALTS parts, its least id goes to each.
+    # A fingerprint without links has its own, so only the least ids of linked ones are repeated.
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    each = least.select("root", "component_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])).alias("salt"))
+    salted = rooted.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    return salted.join(each, ["root", "salt"], "left").select("fp", "root", F.coalesce("component_id", "least").alias("component_id"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

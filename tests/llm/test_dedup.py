@@ -278,3 +278,56 @@ def test_components_of_chains_stars_and_repeats(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {i: 0 for i in range(1, 61)} | {i: 100 for i in [*range(101, 140), 200]} | {300: -5}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_hot_shard_is_never_held_whole():
+    """A third of all fingerprints in one shard: no more rows than a tree's are read ahead of what is given back."""
+    read, given = [0], [0]
+
+    def rows():
+        for key, n in ((1, 50), (2, 3000), (3, 50)):
+            for fp in range(n):
+                read[0] += 1
+                assert read[0] - given[0] < 300  # 50 + 101 and a run's links
+                yield key, fp * 0x9E3779B97F4A7C15 % (1 << 63)
+
+    off = 0
+    for a, b, key in S._shard_links(rows(), 4, 100):
+        given[0] += 1 if key is not None else 0
+        if key is None:
+            assert b is not None
+            continue
+        assert key == 2 and b is None
+        off += 1
+        if given[0] == 1:
+            given[0] += 51  # the first shard's rows gave links only
+    assert off == 3000
+
+
+@pytest.mark.parametrize("tree_nodes", [5, 40])
+def test_links_of_hot_shards_join_the_same(spark, tree_nodes, monkeypatch):
+    """Fingerprints that agree in all shards' blocks: trees, parts and queries give the components of all pairs."""
+    monkeypatch.setattr(S, "QUERIES", 2)
+    rng = np.random.default_rng(4)
+    values = {int(base) ^ sum(1 << int(b) for b in rng.choice(20, 3, replace=False)) for base in rng.integers(0, 1 << 14, 60) * 7919 for _ in range(4)}
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    links = [tuple(r) for r in S.fingerprint_links(prints, shard=1 << 40, tree_nodes=tree_nodes).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+
+    def parts(pairs):
+        root = {v: v for v in values}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        groups = defaultdict(set)
+        for v in values:
+            groups[find(v)].add(v)
+        return sorted(map(sorted, groups.values()))
+
+    held = sorted(values)
+    assert parts(links) == parts((a, b) for i, a in enumerate(held) for b in held[:i] if (a ^ b).bit_count() <= 4)
