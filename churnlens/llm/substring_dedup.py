@@ -14,7 +14,12 @@ stays the same. Everything that travels is packed: a chunk sends each shard one
 4. Each chunk drops the covered words.
 
 The dealt documents (step 1, 3, 4) are one shuffle that Spark reuses. A window that fills the corpus
-is one entry per chunk, so no shard gets more of it than there are chunks.
+is one entry per chunk, so no shard gets more of it than there are chunks. Rows equal in id and text would
+go to one chunk: a task counts them before they are dealt, one row per batch that it reads, and they are
+repeated again at the end.
+
+A window's hash is 128 bits, two polynomials over the two halves of each word's 128-bit hash: the halves
+are independent, so two words that agree in one don't agree in the other. "Exactly" means by these 128 bits.
 
 Defined results: null, empty or wordless text: no words, nothing removed, kept text empty; documents
 shorter than a window lose nothing; repeated rows repeat each other's windows; empty table: empty
@@ -69,10 +74,10 @@ def window_hashes(docs: list[list[bytes]], window: int) -> tuple[np.ndarray, np.
     n = int(sizes.sum())
     if n < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for d in docs for w in d), np.uint64, n)
+    words = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for d in docs for w in d]), "<u8").reshape(-1, 2)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # words from here to the document's end
     at = np.flatnonzero(left[:n - window + 1] >= window)
-    return _rolling(words, _BASES[0], window)[at], _rolling(_mixed(words), _BASES[1], window)[at], at
+    return _rolling(words[:, 0], _BASES[0], window)[at], _rolling(words[:, 1], _BASES[1], window)[at], at
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
@@ -99,9 +104,9 @@ BLOBS = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("held", pa.bin
 BLOBS_SQL = "chunk long, shard long, held binary, twice binary"
 ANSWER = pa.schema([("chunk", pa.int64()), ("step", pa.int32()), ("shard", pa.int64()), ("bits", pa.binary())])
 ANSWER_SQL = "chunk long, step int, shard long, bits binary"
-KEPT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
+KEPT = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                   ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_text", pa.binary())])
-KEPT_SQL = "id long, n_words long, n_removed long, removed array<struct<start: long, stop: long>>, kept_text binary"
+KEPT_SQL = "id long, n long, n_words long, n_removed long, removed array<struct<start: long, stop: long>>, kept_text binary"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -116,10 +121,14 @@ class Chunk:
         self.number = rows.column("chunk")[0].as_py() if rows.num_rows else None
         self.ids = rows.column("id").to_pylist()
         self.docs = [word_list(t) for t in rows.column("body").to_pylist()]
+        self.copies = rows.column("n").to_numpy()
         self.h1, self.h2, self.at = window_hashes(self.docs, window)
+        sizes = np.array([len(d) for d in self.docs], np.int64)
+        self.times = self.copies[np.searchsorted(np.cumsum(sizes), self.at, "right")]  # rows that a window's document stands for
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(self.h1, return_counts=True)
+        h, place = np.unique(self.h1, return_inverse=True)
+        return h, np.bincount(place, self.times, len(h))
 
     def repeated(self, answers: pa.Table, step: int, h: np.ndarray, shards: int) -> np.ndarray:
         """The answers' bits for sorted hashes ``h``."""
@@ -140,6 +149,10 @@ class Chunk:
         first = np.flatnonzero(new)
         return which, first, np.diff(np.append(first, len(which)))
 
+    def repeated_here(self, which: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of each pair of ``candidates``, whether it starts more than once in this chunk's rows."""
+        return np.add.reduceat(self.times[which], first) > 1 if len(first) else np.zeros(0, bool)
+
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                     chunk_bytes: int = CHUNK_BYTES, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
@@ -147,8 +160,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = text_bytes(docs, text_col)
     chunks = max(1, math.ceil(size / chunk_bytes))
     shards = max(1, math.ceil(size / 6 / shard_windows))  # about six bytes a word
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias("chunk"),
-                        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+
+    def counted(batches):
+        for b in batches:
+            number = {}
+            place = np.array([number.setdefault(r, len(number)) for r in zip(b.column("id").to_pylist(), b.column("body").to_pylist(), strict=True)], np.int64)
+            first = np.unique(place, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(first)).columns, pa.array(np.bincount(place), pa.int64())], ["id", "body", "n"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(counted, "id long, body binary, n long")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "body"), F.lit(chunks)).alias("chunk"), "id", "body", "n")
 
     def sketched(rows: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
@@ -183,9 +204,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def compared(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(rows, window)
-        which, first, times = c.candidates(answers, shards)
-        a, b = c.h1[which[first]], c.h2[which[first]]
-        return _table([(c.number, shard, a[s:e].tobytes() + b[s:e].tobytes(), _bits(times[s:e] > 1))
+        which, first, _ = c.candidates(answers, shards)
+        a, b, more = c.h1[which[first]], c.h2[which[first]], c.repeated_here(which, first)
+        return _table([(c.number, shard, a[s:e].tobytes() + b[s:e].tobytes(), _bits(more[s:e]))
                        for shard, s, e in _slices(a, shards)], BLOBS)
 
     def dropped(rows: pa.Table, answers: pa.Table) -> pa.Table:
@@ -198,11 +219,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         np.add.at(edge, starts + window, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out, begin = [], 0
-        for key, words in zip(c.ids, c.docs, strict=True):
+        for key, n, words in zip(c.ids, c.copies.tolist(), c.docs, strict=True):
             mask = gone[begin:begin + len(words)]
             begin += len(words)
             flips = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))).reshape(-1, 2)
-            out.append((key, len(words), int(mask.sum()), [{"start": s, "stop": e} for s, e in flips.tolist()],
+            out.append((key, n, len(words), int(mask.sum()), [{"start": s, "stop": e} for s, e in flips.tolist()],
                         b" ".join(compress(words, (~mask).tolist()))))
         return _table(out, KEPT)
 
@@ -211,7 +232,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = by_chunk.cogroup(guess.groupBy("chunk")).applyInArrow(compared, BLOBS_SQL)
     known = pairs.groupBy("shard").applyInArrow(exact, ANSWER_SQL)
     kept = by_chunk.cogroup(guess.unionAll(known).groupBy("chunk")).applyInArrow(dropped, KEPT_SQL)
-    return kept.withColumnRenamed("id", id_col)
+    again = kept.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return again.drop("n").withColumnRenamed("id", id_col)
 
 
 def _answers(blobs: pa.Table, step: int, sizes: list[int], passed: np.ndarray) -> pa.Table:

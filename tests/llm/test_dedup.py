@@ -155,6 +155,14 @@ def test_substrings_equal_brute_force(spark, sizes, window):
     assert all(sum(x.stop - x.start for x in r.removed) == r.n_removed for r in got)
 
 
+def test_equal_rows_are_one_row_of_a_chunk(spark):
+    """A row that comes 600 times, a third of all: its chunk gets one row per batch, the result all of them."""
+    data = [(1, text(60, 1))] * 600 + [(2, text(20, 2))] * 3 + [(i, text(40, i)) for i in range(10, 30)] + [(None, None)] * 4
+    got = D.substring_dedup(documents(spark, data).repartition(4)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text).hexdigest()) for r in got), key=repr) == substring_twin(data, 35)
+    assert sum(r.n_removed == 60 for r in got) == 600 and sum(r.n_removed for r in got if r.doc_id == 2) == 0
+
+
 def test_substrings_empty(spark):
     assert D.substring_dedup(spark.createDataFrame([], EMPTY)).count() == 0
     assert rows(D.substring_dedup(documents(spark, [(1, None), (2, "a b")])), "doc_id", "n_words", "n_removed") == [(1, 0, 0), (2, 2, 0)]
