@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.functions.treat import NUMBER
+from churnlens.operators.lookup import lookup
 
 PROBLEM = "column string, check string, value string, n long"
+CORRUPT = "_malformed"  # column of a text table: the whole record, where its fields aren't the header's
+RECORD = "(record)"  # stands for the column in findings on whole records
 SHOWN = 20  # values named in a message; the table has all
 
 
@@ -29,6 +32,8 @@ class SchemaError(ValueError):
 
 def _values(df: DataFrame, cols: list[str]) -> DataFrame:
     """(column, value) of the non-null values, as text."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string")
     return df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
         [], cols, "column", "value").filter(F.col("value").isNotNull())
 
@@ -60,7 +65,7 @@ def column_problems(df: DataFrame, text: bool = False) -> DataFrame:
     """B1 + B2: missing and unexpected columns, and columns of another kind (``text``: all are text yet)."""
     types = {f.name: f.dataType for f in df.schema.fields}
     rows = [(c.name, "missing", None, None) for c in S.COLUMNS if c.name not in types]
-    rows += [(name, "unexpected", None, None) for name in types if name not in S.RAW_COLUMNS]
+    rows += [(name, "unexpected", None, None) for name in types if name not in S.RAW_COLUMNS and name != CORRUPT]
     if not text:
         rows += [(c.name, f"not {c.kind}", types[c.name].simpleString(), None) for c in S.COLUMNS
                  if c.name in types and not c.holds(types[c.name])]
@@ -79,8 +84,29 @@ def kind_problems(text: DataFrame) -> DataFrame:
         "column", F.concat(F.lit("not "), kind).alias("check"), "value", "n")
 
 
+def any_text(text: DataFrame):
+    """True of every row, but reads a column: Spark's CSV source refuses to give the malformed records alone."""
+    first = next((c for c in text.columns if c != CORRUPT), None)
+    return F.coalesce(F.length(F.col(f"`{first}`")), F.lit(0)) >= 0 if first else F.lit(True)
+
+
+def record_problems(text: DataFrame) -> DataFrame:
+    """Malformed records of a text table, with counts: too many fields, too few, or a quote left open."""
+    width = len(text.columns) - 1
+    # what is left without the quoted parts has the separators, and a quote only if one isn't closed
+    bare = F.regexp_replace(F.col(CORRUPT), r'"(?:[^"]|"")*"', "")
+    n_fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    check = F.when(F.contains(bare, F.lit('"')), "open quote").when(n_fields > width, "long record").when(n_fields < width, "short record").otherwise("malformed record")
+    return text.where(F.col(CORRUPT).isNotNull() & any_text(text)).groupBy(F.col(CORRUPT).alias("value"), check.alias("check")).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(RECORD).alias("column"), "check", "value", "n")
+
+
 def raw_problems(df: DataFrame, text: bool = False) -> DataFrame:
-    """Every finding on a raw table; ``text``: a table read as text, whose numbers are checked by value."""
+    """Every finding on a raw table; ``text``: a table read as text, whose numbers are checked by value.
+    The values of malformed records aren't judged: the record itself is the finding."""
+    if CORRUPT in df.columns:
+        records, df = record_problems(df), df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        return records.unionByName(raw_problems(df, text))
     domain = domain_audit(df).filter(~F.col("in_domain")).select("column", F.lit("outside domain").alias("check"), "value", "n")
     found = column_problems(df, text).unionByName(domain)
     return found.unionByName(kind_problems(df)) if text else found
@@ -147,9 +173,14 @@ def validate_treated(df: DataFrame, cols: list[str] | None = None) -> None:
 
 
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each exact duplicate group."""
+    """Rows beyond the first of each exact duplicate group, in two phases: 128-bit digests of all rows
+    are counted, then whole rows are compared only where a digest comes again. What is shuffled of the
+    other rows is their digest."""
     cols = cols or df.columns
-    return df.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*cols))).alias("n_duplicates"))
+    rows = df.select(*cols).withColumn("_d", F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *reversed(cols)).alias("b")))
+    again = rows.groupBy("_d").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_d")
+    whole = lookup(rows, again, ["_d"], "left_semi").drop("_d")
+    return whole.agg((F.count(F.lit(1)) - F.count_distinct(F.struct(*cols))).alias("n_duplicates"))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

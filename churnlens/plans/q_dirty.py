@@ -5,6 +5,7 @@ On the clean table these checks have nothing to find; here each has.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
@@ -13,7 +14,7 @@ from churnlens.functions.treat import treat
 from churnlens.models.evaluation import scratch_path
 from churnlens.operators import explore as X
 from churnlens.operators import quality as Q
-from churnlens.oracle import with_d
+from churnlens.oracle import with_d, with_s
 from churnlens.plans.catalog import register
 from churnlens.plans.inputs import s_raw
 from churnlens.sources import raw as RAW
@@ -50,6 +51,49 @@ def csv_problems(spark, sf):
     return RAW.csv_problems(spark, path)
 
 
+def _line(names, values=None) -> Column:
+    """One CSV record of the columns, null as nothing."""
+    values = values or {}
+    return F.concat_ws(",", *[F.coalesce(values.get(c, F.col(c)).cast("string"), F.lit("")) for c in names])
+
+
+def _write_records(df, path, names):
+    """Text files of ready records, each file with the header in front."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    df.select(F.concat(F.when(first, F.lit(",".join(names) + "\n")).otherwise(""), "line").alias("value")).write.text(path)
+
+
+_KEY = "cast(customerID AS bigint)"
+
+
+@register("csv_malformed", with_s(f"""SELECT '(record)' AS "column", 'long record' AS "check", NULL AS value, count(*) AS n FROM s WHERE {_KEY} % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT '(record)', 'short record', NULL, count(*) FROM s WHERE {_KEY} % 7 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'PaymentMethod', 'outside domain', 'Electronic "check", by hand', count(*) FROM s WHERE {_KEY} % 7 = 2 HAVING count(*) > 0
+UNION ALL SELECT 'PaymentMethod', 'outside domain', 'Mailed' || chr(10) || 'check', count(*) FROM s WHERE {_KEY} % 7 = 3 HAVING count(*) > 0
+UNION ALL SELECT 'gender.1', 'unexpected', NULL, NULL""", treated=False))
+def csv_malformed(spark, sf):
+    """A1, B1-B4 on a CSV with a field too many, two too few, doubled quotes, a quoted line feed and a column named twice."""
+    names = [*S.RAW_COLUMNS, "gender"]
+    k = F.col(S.ID).cast("bigint") % 7
+    quoted = {"PaymentMethod": F.when(k == 2, F.lit('"Electronic ""check"", by hand"')).when(k == 3, F.lit('"Mailed\ncheck"')).otherwise(F.col("PaymentMethod"))}
+    line = F.when(k == 0, F.concat(_line(names), F.lit(",more"))).when(k == 1, _line(names[:-2])).otherwise(_line(names, quoted))
+    path = scratch_path(spark, "malformed-csv")
+    _write_records(s_raw(spark, sf).select(line.alias("line")), path, names)
+    found = RAW.csv_problems(spark, path)
+    value = F.when(F.col("column") != Q.RECORD, F.col("value"))
+    return found.groupBy("column", "check", value.alias("value")).agg(F.sum("n").alias("n"))
+
+
+@register("csv_quoted", with_s("""SELECT * EXCLUDE (p_score) REPLACE (
+  customerID || ' "a", b' || chr(10) || 'c\\' AS customerID, nullif(TotalCharges, '') AS TotalCharges) FROM s""", treated=False))
+def csv_quoted(spark, sf):
+    """A1: ids with quotes, separators, line feeds and a backslash come back as they were."""
+    path = scratch_path(spark, "quoted-csv")
+    raw = s_raw(spark, sf).select(*S.RAW_COLUMNS).withColumn(S.ID, F.concat(S.ID, F.lit(' "a", b\nc\\')))
+    RAW.write_raw_csv(raw, path)
+    return RAW.read_raw_csv(spark, path)
+
+
 @register("raw_csv_reordered", with_d("SELECT * EXCLUDE (p_score) FROM s"))
 def raw_csv_reordered(spark, sf):
     """A1: columns are taken by header name, whatever their order in the file."""
