@@ -28,7 +28,8 @@ from churnlens.functions.decision import (
     threshold_floor,
 )
 from churnlens.functions.treat import brl
-from churnlens.operators.ordered import ordered_prefix, stored
+from churnlens.operators.cuts import Cuts, cuts_before, group_is
+from churnlens.operators.ordered import ordered_prefix
 from churnlens.operators.ranking import random_key
 from churnlens.operators.stats import exact_quantiles
 
@@ -154,21 +155,35 @@ def offer_status(sens: DataFrame) -> DataFrame:
 
 def top_overlap(df: DataFrame, params: BusinessParams | None = None, n: int | None = None) -> DataFrame:
     """Overlap of the top-n by VE and the top-n by p (n = max(optimal n, 1))."""
-    d = stored(with_decision(df, params).select(S.ID, "ve", "p", "selected"))
-    best = d.filter("selected").count()  # VE > 0: exactly the top by VE at the optimum
+    d = with_decision(df, params).select(S.ID, "ve", "p", "selected")
+    base, best = d.agg(F.count(F.lit(1)), F.count_if("selected")).first()  # VE > 0: exactly the top by VE at the optimum
     n = max(best, 1) if n is None else n
 
-    def top(value: str) -> DataFrame:
-        return ordered_prefix(d.select(S.ID, value), [(value, True)], tiebreak=S.ID, rn="r", write=False).filter(F.col("r") <= n)
+    def top(value: str):
+        if n >= base:
+            return F.lit(True)
+        cuts = Cuts(d, [(value, True), (S.ID, False)])
+        return cuts_before(cuts, cuts.at({(): [n]})[()]) == 0
 
-    by_ve = d.filter("selected") if n == best else top("ve")
-    by_p = top("p")
-    common = by_ve.select(S.ID).intersect(by_p.select(S.ID))  # INTERSECT
-    return common.agg(F.count(F.lit(1)).alias("common")).select(
+    by_ve = F.col("selected") if n == best else top("ve")
+    common = d.agg(F.count_if(by_ve & top("p")).alias("common"))  # rows in both: what INTERSECT of the ids counts
+    return common.select(
         F.lit(n).cast("long").alias("cut"), "common", (F.lit(n) - F.col("common")).alias("swapped"),
         (F.col("common") / F.lit(n)).alias("share_common"))
 
 
+def queue_profits(df: DataFrame, n: int, params: BusinessParams | None = None, seed: int = 42) -> DataFrame:
+    """G8 without the curves: profit of each queue's first ``n`` customers. Each queue is cut at one key, and
+    customers up to it are added up where they are read."""
+    stacked = queue_keys(with_decision(df, params), seed)
+    cuts = Cuts(stacked, [("sort_key", False), (S.ID, False)], ["queue"])
+    last = cuts.at({g: [min(n, size)] for g, size in cuts.sizes.items()} if n > 0 else {})
+    chosen = F.lit(False)
+    for group, keys in last.items():
+        chosen = chosen | (group_is(cuts, group) & (cuts_before(cuts, keys) == 0))
+    return stacked.groupBy("queue").agg(F.coalesce(F.sum(F.when(chosen, F.col("ve"))), F.lit(0.0)).alias("profit_at_n"))
+
+
 # --- fixed values: the business sentence, in the reference's wording (pt) and in English
 SENTENCES = {
     "pt": ("Com estes parâmetros a campanha não se paga para nenhum cliente: o desconto ofertado exige "
@@ -184,13 +199,15 @@ SENTENCES = {
 
 
 def business_sentence(opt: DataFrame, curves: DataFrame, n_base: int, lang: str = "pt") -> DataFrame:
-    """K8: the result in one sentence; another sentence when nobody pays off."""
+    """K8: the result in one sentence; another sentence when nobody pays off. ``curves``: the queue curves, or
+    the profits at the optimal n (``queue_profits``)."""
     dead, alive = SENTENCES[lang]
     row = opt.first()
     n = int(row["n_contacted"])
     if n == 0:
         return opt.select(F.format_string(dead, F.format_number(F.col("floor") * 100, 0)).alias("sentence"))
-    contract = profit_at_budget(curves.filter(F.col("queue") == "contract_rule"), n)
+    at_n = curves if "profit_at_n" in curves.columns else profit_at_budget(curves, n)
+    contract = at_n.filter(F.col("queue") == "contract_rule")
     j = opt.select("n_contacted", "profit", contract.select("profit_at_n").scalar().alias("profit_at_n"))
     return j.select(F.format_string(
         alive, F.col("n_contacted"), F.format_number(F.col("n_contacted") * 100.0 / n_base, 0),

@@ -50,44 +50,30 @@ def _totals(cum: DataFrame, sc: DataFrame, by: list[str], aggs: dict) -> DataFra
     return cum.withColumns({k: one[k] for k in aggs})
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = (),
-                    counted: bool = False) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H1 + H2: (by, roc_auc, pr_auc)."""
-    by = list(by)
-    sc = df if counted else stored(score_counts(df, y, p, by), "scores")
-    cum = cumulative_scores(sc, by=by, counted=True)
-    j = _totals(cum, sc, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
-    terms = j.select(
-        *by,
-        # undefined (null) when a group has a single class — ANSI mode would throw on /0
-        F.try_divide(F.col("neg") * ((F.col("tps") - F.col("pos")) + F.col("pos") / 2.0),
-                     F.col("n_pos") * F.col("n_neg")).alias("_auc"),
-        F.try_divide(F.col("pos") * F.col("tps"), F.col("n_pos") * (F.col("tps") + F.col("fps"))).alias("_ap"))
-    return terms.groupBy(*by).agg(F.sum("_auc").alias("roc_auc"), F.sum("_ap").alias("pr_auc"))
+    return evaluate(df, y, p, by).select(*by, "roc_auc", "pr_auc")
 
 
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H4: (by, roc_auc, pr_auc, brier, base_rate, n), all from ONE pass over the rows:
     rows collapse to (by, p, pos, neg), and every metric is computed on that table."""
-    return evaluate_counts(score_counts(df, y, p, by), by)
+    return evaluate_counts(stored(score_counts(df, y, p, by), "scores"), by)
 
 
 def evaluate_counts(sc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """H1-H4 from a collapsed (by, p, pos, neg) table; H3 Brier = Σ pos·(p−1)² + neg·p² over n."""
+    """H1-H4 from a stored (by, p, pos, neg) table: one order, one aggregate. H3 Brier = Σ pos·(p−1)² + neg·p² over n.
+    ROC-AUC and PR-AUC are null, not an ANSI error, when a group has a single class."""
     by = list(by)
-    sc = stored(sc, "scores")
-    simple = sc.groupBy(*by).agg(
-        (F.sum(F.col("pos") * (F.col("p") - 1) ** 2 + F.col("neg") * F.col("p") ** 2)
-         / F.sum(F.col("pos") + F.col("neg"))).alias("brier"),
-        (F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("base_rate"),
-        F.sum(F.col("pos") + F.col("neg")).alias("n"))
-    rk = ranking_metrics(sc, by=by, counted=True)
-    if by:
-        out = simple.join(rk, by)  # one row per group on both sides
-    else:
-        one = rk.select(F.struct("roc_auc", "pr_auc")).scalar()
-        out = simple.withColumns({c: one[c] for c in ["roc_auc", "pr_auc"]})
-    return out.select(*by, "roc_auc", "pr_auc", "brier", "base_rate", "n")
+    cum = cumulative_scores(sc, by=by, counted=True)
+    pos, neg, n = F.col("n_pos"), F.col("n_neg"), F.col("n_pos") + F.col("n_neg")
+    sums = cum.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.sum(F.col("neg") * ((F.col("tps") - F.col("pos")) + F.col("pos") / 2.0)).alias("_auc"),
+        F.sum(F.col("pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("_ap"),
+        F.sum(F.col("pos") * (F.col("p") - 1) ** 2 + F.col("neg") * F.col("p") ** 2).alias("_se"))
+    return sums.select(*by, F.try_divide("_auc", pos.cast("double") * neg).alias("roc_auc"), F.try_divide("_ap", pos).alias("pr_auc"),
+                       (F.col("_se") / n).alias("brier"), (pos / n).alias("base_rate"), n.alias("n"))
 
 
 def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 10,
@@ -107,26 +93,18 @@ def calibration_curve(df: DataFrame, y: str = "y", p: str = "p", n_bins: int = 1
         F.count(F.lit(1)).alias("n"))
 
 
-def _shifted(cum: DataFrame, by: list[str], delta: int, suffix: str) -> DataFrame:
-    return cum.select(*by, (F.col("rn") + delta).alias("rn"),
-                      F.col("tps").alias(f"tps_{suffix}"), F.col("fps").alias(f"fps_{suffix}"))
-
-
 def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """H6: ROC points (fpr, tpr, threshold) per distinct threshold, collinear points dropped,
-    plus the origin (threshold null). Neighbours come from equi-joins on rn ± 1."""
+    plus the origin (threshold null). A point is on the line of its neighbours if the next score has
+    the same counts, so one order gives all that is needed."""
     by = list(by)
     sc = stored(score_counts(df, y, p, by), "scores")
-    cum = stored(cumulative_scores(sc, by=by, counted=True).select(*by, "rn", "p", "tps", "fps"), "roc")
-    j = (cum.join(_shifted(cum, by, 1, "prev"), [*by, "rn"], "left")
-         .join(_shifted(cum, by, -1, "next"), [*by, "rn"], "left"))
-    j = _totals(j, cum, by, {"n_pos": F.max("tps"), "n_neg": F.max("fps"), "m": F.max("rn")})
-    second_diff_f = F.col("fps_next") - 2 * F.col("fps") + F.col("fps_prev")
-    second_diff_t = F.col("tps_next") - 2 * F.col("tps") + F.col("tps_prev")
-    keep = (F.col("rn") == 1) | (F.col("rn") == F.col("m")) | (second_diff_f != 0) | (second_diff_t != 0)
-    pts = j.filter(keep).select(*by, F.try_divide(F.col("fps"), F.col("n_neg")).alias("fpr"),
-                                F.try_divide(F.col("tps"), F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
-    origin_src = cum.select(*by).distinct() if by else cum.sparkSession.range(1)
+    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False, nexts=["pos", "neg"])
+    j = _totals(cum, sc, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
+    keep = (F.col("rn") == 1) | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+    pts = j.filter(keep).select(*by, F.try_divide(F.col("cum_neg"), F.col("n_neg")).alias("fpr"),
+                                F.try_divide(F.col("cum_pos"), F.col("n_pos")).alias("tpr"), F.col("p").alias("threshold"))
+    origin_src = sc.select(*by).distinct() if by else cum.sparkSession.range(1)
     origin = origin_src.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                                F.lit(None).cast("double").alias("threshold"))
     return origin.unionByName(pts)

@@ -94,38 +94,50 @@ def ordered_prefix(
     seed: int = 7,
     n: int | None = None,
     write: bool = True,
+    bucket: Column | None = None,
+    nexts: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``rn`` (1-based position inside ``partition`` under ``order`` + ``tiebreak`` asc)
     and inclusive running sums ``cum_<s>`` for every column in ``sums``.
 
     ``order`` is a list of (column, descending). The order plus ``tiebreak`` must be total (unique)
     for results to be deterministic. ``write=False``: the input is a narrow projection of a stored
-    table, cheap to read again. ``n``: its row count, if known.
+    table, cheap to read again. ``n``: its row count, if known. ``bucket``: a column that doesn't fall
+    as the order goes on (a hash's leading digits), in place of sampled boundaries.
+
+    ``nexts``: columns whose value in the next row of the order is added as ``next_<c>`` (null in a
+    partition's last row). Inside a bucket that is a lead over the window that numbers the rows; between
+    buckets it comes with the offsets, from one edge row per bucket. All keys must have one direction.
     """
     partition = list(partition)
     own = _orders(order, tiebreak)
     keys = [(p, False) for p in partition] + own
     src = stored(df) if write else df
-    buckets = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _boundaries(src, keys, src.count() if n is None else n, buckets, seed)
-
-    fields = [StructField("i", IntegerType())] + [StructField(f"f{i}", src.schema[c].dataType) for i, (c, _) in enumerate(keys)]
-    table = df.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bounds)], StructType(fields))
-    held = table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)))).scalar()
-    b = src.withColumn("_bounds", held).withColumn("_bkt", _bucket(keys, "_bounds", len(bounds))).drop("_bounds")
+    if bucket is not None:
+        b = src.withColumn("_bkt", bucket)
+    else:
+        b = _bucketed(src, keys, n_buckets, n, seed)
+    if nexts and len({d for _, d in own}) > 1:
+        raise ValueError("the next row is given for orders of one direction")
 
     w = Window.partitionBy("_bkt", *partition).orderBy(*_sort_cols(own))
     out = b.withColumn(rn, F.row_number().over(w).cast("long"))
     for s in sums:
         out = out.withColumn(prefix + s, F.sum(s).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    wt = Window.partitionBy(*partition).orderBy("_bkt")
+    edges, edge_cols = [], []
+    if nexts:
+        out = out.withColumn("_lead", F.lead(F.struct(*nexts)).over(w))
+        first = (F.max_by if own[0][1] else F.min_by)(F.struct(*nexts), F.struct(*[c for c, _ in own]))
+        edges, edge_cols = [first.alias("_first")], [F.lead("_first").over(wt).alias("_edge")]
 
     totals = b.groupBy("_bkt", *partition).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums])
-    wt = Window.partitionBy(*partition).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+        F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_t_{s}") for s in sums], *edges)
+    wb = wt.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         F.col("_bkt").alias("_ob"), *[F.col(p).alias(f"_o_{p}") for p in partition],
-        F.coalesce(F.sum("_n").over(wt), F.lit(0)).alias("_off_n"),
-        *[F.coalesce(F.sum(f"_t_{s}").over(wt), F.lit(0)).alias(f"_off_{s}") for s in sums],
+        F.coalesce(F.sum("_n").over(wb), F.lit(0)).alias("_off_n"),
+        *[F.coalesce(F.sum(f"_t_{s}").over(wb), F.lit(0)).alias(f"_off_{s}") for s in sums], *edge_cols,
     )
     # Without partition keys there is one row per bucket: a proven bound, so broadcast it. With them it
     # is left to AQE's size check at run time; the rows are hash-partitioned on these keys already.
@@ -136,4 +148,17 @@ def ordered_prefix(
     out = out.withColumn(rn, F.col(rn) + F.col("_off_n"))
     for s in sums:
         out = out.withColumn(prefix + s, F.col(prefix + s) + F.col(f"_off_{s}"))
-    return out.drop("_bkt", "_ob", "_off_n", *[f"_o_{p}" for p in partition], *[f"_off_{s}" for s in sums])
+    for c in nexts:
+        out = out.withColumn(f"next_{c}", F.when(F.col("_lead").isNotNull(), F.col("_lead")[c]).otherwise(F.col("_edge")[c]))
+    return out.drop("_bkt", "_ob", "_off_n", "_lead", "_edge", *[f"_o_{p}" for p in partition], *[f"_off_{s}" for s in sums])
+
+
+def _bucketed(src: DataFrame, keys: list[tuple[str, bool]], n_buckets: int | None, n: int | None, seed: int) -> DataFrame:
+    """``src`` with the number of its bucket, by binary search over sampled boundaries."""
+    buckets = n_buckets or int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _boundaries(src, keys, src.count() if n is None else n, buckets, seed)
+
+    fields = [StructField("i", IntegerType())] + [StructField(f"f{i}", src.schema[c].dataType) for i, (c, _) in enumerate(keys)]
+    table = src.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bounds)], StructType(fields))
+    held = table.agg(F.array_sort(F.collect_list(F.struct(*table.columns)))).scalar()
+    return src.withColumn("_bounds", held).withColumn("_bkt", _bucket(keys, "_bounds", len(bounds))).drop("_bounds")

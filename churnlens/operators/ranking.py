@@ -1,8 +1,9 @@
 """Risk deciles, lift table and contact queues.
 
 Every queue is a total order ``(key, customerID)``: rows have no intrinsic
-order in Spark, so "row order" tie-breaks become id order everywhere, and
-positions come from the distributed ``ordered_prefix``.
+order in Spark, so "row order" tie-breaks become id order everywhere. Deciles need
+their nine cut keys only (``operators/cuts.py``); positions come from the distributed
+``ordered_prefix``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
+from churnlens.operators.cuts import Cuts, cut_table, cuts_before, cuts_before_in
 from churnlens.operators.lookup import lookup
 from churnlens.operators.ordered import ordered_prefix, stored
 from churnlens.sources.fixtures import uniform
@@ -31,6 +33,19 @@ def deciles(df: DataFrame, p: str = "p", key: str = S.ID, k: int = 10, n: int |
     return ranked.withColumn("decile", decile_expr(F.col("rank"), n_col, k))
 
 
+def decile_ends(n: int, k: int = 10) -> list[int]:
+    """The last rank of each decile but the last, by ``decile_expr``'s rule."""
+    return [d * (n - 1) // k + 1 for d in range(1, k)]
+
+
+def with_decile(df: DataFrame, p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
+    """G1 without the ranks: the rows and their decile, by comparison with the cut keys; rows don't move."""
+    cuts = Cuts(df, [(p, True), (key, False)])
+    n = cuts.sizes.get((), 0)
+    keys = cuts.at({(): decile_ends(n, k)})[()] if n else []
+    return df.withColumn("decile", cuts_before(cuts, keys) + 1)
+
+
 def lift_table(df: DataFrame, y: str = "y", p: str = "p", key: str = S.ID, k: int = 10) -> DataFrame:
     """Per decile n, churns, rate, lift, running churns and cumulative capture.
 
@@ -41,7 +56,7 @@ def lift_table(df: DataFrame, y: str = "y", p: str = "p", key: str = S.ID, k: in
     if not stats["pos"]:
         raise ValueError("lift by decile is undefined for a slice with no churn")
     base = stats["pos"] / stats["n"]
-    per = deciles(df, p, key, k, n=stats["n"]).groupBy("decile").agg(
+    per = with_decile(df, p, key, k).groupBy("decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),
         F.avg(F.col(y).cast("double")).alias("churn_rate"))
     w = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # k rows only
@@ -72,9 +87,9 @@ def lift_by(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str =
     bad = sizes.filter((F.col("_n") < k) | (F.col("_pos") == 0)).limit(1).collect()
     if bad:
         raise ValueError(f"lift by decile needs >= {k} rows and a positive label per group: {bad[0].asDict()}")
-    ranked = ordered_prefix(df, [(p, True)], partition=by, tiebreak=key, rn="rank", write=False)
-    ranked = lookup(ranked, sizes, by)
-    ranked = ranked.withColumn("decile", decile_expr(F.col("rank"), F.col("_n"), k))
+    cuts = Cuts(df, [(p, True), (key, False)], by)
+    held = cut_table(df, cuts, cuts.at({g: decile_ends(n, k) for g, n in cuts.sizes.items()})).join(sizes, by)
+    ranked = lookup(df, held, by).withColumn("decile", cuts_before_in(cuts, "_cuts") + 1)
     per = ranked.groupBy(*by, "decile").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y)).cast("long").alias("churns"),
         F.avg(F.col(y).cast("double")).alias("churn_rate"), F.first("_n").alias("_n"), F.first("_pos").alias("_pos"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.operators.metrics import evaluate, evaluate_counts, score_counts
 from churnlens.operators.ordered import stored
+from churnlens.operators.splits import stratified_folds
 
 METRICS = ["roc_auc", "pr_auc", "brier"]
 
@@ -22,36 +23,35 @@ def fold_metrics(val: DataFrame, by: tuple[str, ...] = ("model", "repeat", "fold
     return evaluate(val, "y", "p", by=list(by)).select(*by, *METRICS)
 
 
-def rule_and_scorecard_fold_scores(treated: DataFrame, folds: DataFrame, y: str = S.TARGET, scorers: dict | None = None) -> DataFrame:
+def rule_and_scorecard_fold_scores(treated: DataFrame, y: str = S.TARGET, scorers: dict | None = None,
+                                   n_splits: int = 5, n_repeats: int = 3, seed: int = 42) -> DataFrame:
     """Fold scores of the two scorers that need no iterative fit: the fixed scorecard and the
     contract rule (J5) re-fitted on each training fold. The rule's fit is a per
     (repeat, fold, flag) aggregate (≤ repeats × folds × 2 rows), so training-fold rates come
-    from totals minus the held-out part — no row is read twice. ``scorers``: further models as
-    row-local score columns of ``treated``; their table also has a cost column, ``seconds``."""
-    t = treated.select(S.ID, F.col(y).alias("y"), F.col("p_score"),
-                       (F.col("Contract") == S.MONTH_TO_MONTH).alias("flag"))
-    j = folds.select(S.ID, "repeat", "fold").join(t, S.ID)
+    from totals minus the held-out part. ``scorers``: further models as row-local score columns of
+    ``treated``; their table also has a cost column, ``seconds``. Scores come along when the folds are
+    dealt, so fold and row are never joined, and the dealt rows are written once."""
+    scores = {"scorecard": F.col("p_score"), **(scorers or {})}
+    names = {f"_p{i}": name for i, name in enumerate(scores)}
+    t = treated.select(S.ID, F.col(y).alias("y"), (F.col("Contract") == S.MONTH_TO_MONTH).alias("flag"),
+                       *[scores[name].alias(c) for c, name in names.items()])
+    j = stored(stratified_folds(t, "y", n_splits, n_repeats, seed, keep=["flag", *names]).drop(S.ID), "folds")
     part = j.groupBy("repeat", "fold", "flag").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("c"))
     tot = part.groupBy("repeat", "flag").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"))
     rates = part.join(tot, ["repeat", "flag"]).select(
         "repeat", "fold", "flag",
         ((F.col("ts") - F.col("s")).cast("double") / (F.col("tc") - F.col("c")).cast("double")).alias("rate"))
-    rule = j.join(F.broadcast(rates), ["repeat", "fold", "flag"]).select(
-        F.lit("contract_rule").alias("model"), "repeat", "fold", S.ID, "y", F.col("rate").alias("p"))
-    card = j.select(F.lit("scorecard").alias("model"), "repeat", "fold", S.ID, "y", F.col("p_score").alias("p"))
-    # collapse every validation set to (model, repeat, fold, p) -> (pos, neg) and materialise that
-    # small table once in the shared checkpoint folder: all metrics are computed from it
-    val = card.unionByName(rule)
-    for name, score in (scorers or {}).items():
-        val = val.unionByName(j.join(treated.select(S.ID, score.alias("_p")), S.ID).select(
-            F.lit(name).alias("model"), "repeat", "fold", S.ID, "y", F.col("_p").alias("p")))
+    # every validation set collapsed to (model, repeat, fold, p) -> (pos, neg), written once: all metrics
+    # are computed from that small table
+    each = F.array(*[F.struct(F.lit(name).alias("model"), F.col(c).alias("p")) for c, name in {**names, "rate": "contract_rule"}.items()])
+    val = j.join(F.broadcast(rates), ["repeat", "fold", "flag"]).select("repeat", "fold", "y", F.inline(each))
     by = ["model", "repeat", "fold"]
-    counts = stored(score_counts(val, by=by), "folds")
-    scores = evaluate_counts(counts, by).select(*by, *METRICS)
+    counts = stored(score_counts(val, by=by), "scores")
+    found = evaluate_counts(counts, by).select(*by, *METRICS)
     if not scorers:
-        return scores
+        return found
     # no fit is timed here: a model's cost is how many distinct scores it gives
-    return scores.join(counts.groupBy(*by).agg((F.count(F.lit(1)) / 1000).alias("seconds")), by)
+    return found.join(counts.groupBy(*by).agg((F.count(F.lit(1)) / 1000).alias("seconds")), by)
 
 
 def cv_summary(fold_scores: DataFrame) -> DataFrame:

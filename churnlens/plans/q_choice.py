@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from churnlens.operators import selection as SEL
-from churnlens.operators import splits as SP
+from churnlens.operators.ordered import stored
 from churnlens.oracle import with_s
 from churnlens.plans.catalog import register
 from churnlens.plans.inputs import s_treated
@@ -52,9 +52,19 @@ def _ladder_sql(total: bool) -> str:
         "fs AS (SELECT * FROM rkm JOIN br USING (model, repeat, fold) JOIN cost USING (model, repeat, fold))")
 
 
-def _fold_scores(spark, sf, total: bool = True):
-    t = s_treated(spark, sf)
-    return SEL.rule_and_scorecard_fold_scores(t, SP.stratified_folds(t, n_splits=5, n_repeats=3), scorers=scorers(total))
+def _fold_scores(spark, sf):
+    """Fold scores of the five scorers, with their cost."""
+    return SEL.rule_and_scorecard_fold_scores(s_treated(spark, sf), scorers=scorers(True))
+
+
+def _with_and_without(spark, sf):
+    """Summaries of the five scorers with and without TotalCharges, over the same folds."""
+    other = {f"{name} without": score for name, score in scorers(False).items()}
+    fs = stored(SEL.rule_and_scorecard_fold_scores(s_treated(spark, sf), scorers={**scorers(True), **other}), "ablation")
+    changed = F.col("model").isin(list(other))
+    same = ~F.col("model").isin(list(scorers(True)))
+    return (SEL.cv_summary(fs.filter(~changed)),
+            SEL.cv_summary(fs.filter(changed | same).withColumn("model", F.regexp_replace("model", " without$", ""))))
 
 
 _PAIRED = """
@@ -72,7 +82,7 @@ SELECT leader, coalesce((SELECT list_sort(list(model)) FROM tied), []) AS tied,
     "list_sort(list(model))", "array_to_string(list_sort(list(model)), ',')").replace(", [])", ", '')")))
 def champion_choice(spark, sf):
     """Leader by mean PR-AUC, its ties by the paired rule, the cheapest of them."""
-    fs = _fold_scores(spark, sf)
+    fs = stored(_fold_scores(spark, sf), "choice")
     row = SEL.champion(SEL.paired_comparison(fs, reference="scorecard"), SEL.cv_summary(fs))
     return row.withColumn("tied", F.array_join("tied", ","))
 
@@ -82,7 +92,7 @@ def champion_choice(spark, sf):
     "list_sort(list(model))", "array_to_string(list_sort(list(model)), ',')").replace(", [])", ", '')")))
 def champion_vs_leader(spark, sf):
     """Ties judged on differences to the leader itself."""
-    return SEL.champion_vs_leader(_fold_scores(spark, sf)).withColumn("tied", F.array_join("tied", ","))
+    return SEL.champion_vs_leader(stored(_fold_scores(spark, sf), "choice")).withColumn("tied", F.array_join("tied", ","))
 
 
 def _both(sql: str) -> str:
@@ -104,7 +114,7 @@ SELECT model, round(w.m, 6) AS with_mean, round(o.m, 6) AS without_mean, round(o
        round((o.m - w.m) / nullif(w.s, 0), 4) AS in_deviations FROM w JOIN o USING (model)""")))
 def ablation_table(spark, sf):
     """Without against with TotalCharges, in ROC-AUC and in fold deviations."""
-    a = SEL.ablation_table(SEL.cv_summary(_fold_scores(spark, sf)), SEL.cv_summary(_fold_scores(spark, sf, False)))
+    a = SEL.ablation_table(*_with_and_without(spark, sf))
     return a.select("model", *[F.round(c, 6).alias(c) for c in ("with_mean", "without_mean", "difference", "with_std")],
                     F.round("in_deviations", 4).alias("in_deviations"))
 
@@ -117,7 +127,7 @@ FROM (SELECT model, metric, avg(v) AS v FROM l GROUP BY ALL) a JOIN (SELECT mode
 WHERE model <> 'contract_rule'""")))
 def ablation_dumbbell(spark, sf):
     """Both metrics with and without TotalCharges, without the baseline."""
-    d = SEL.ablation_dumbbell(SEL.cv_summary(_fold_scores(spark, sf)), SEL.cv_summary(_fold_scores(spark, sf, False)))
+    d = SEL.ablation_dumbbell(*_with_and_without(spark, sf))
     return d.select("model", "metric", F.round("with_total", 6).alias("with_total"), F.round("without_total", 6).alias("without_total"))
 
 

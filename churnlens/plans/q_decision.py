@@ -87,7 +87,7 @@ def profit_at_optimal_budget(spark, sf):
     """Profit of each queue at the optimal budget n."""
     sc = s_scored(spark, sf)
     n = K.optimal_campaign(sc).first()["n_contacted"]
-    return K.profit_at_budget(K.queue_curves(sc), n).select("queue", r("profit_at_n", 4))
+    return K.queue_profits(sc, n).select("queue", r("profit_at_n", 4))
 
 
 @register("optimum_check", with_s(Q + """
@@ -181,7 +181,7 @@ def business_sentence(spark, sf):
     sc = s_scored(spark, sf)
     opt = K.optimal_campaign(sc)
     n_base = sc.count()
-    return K.business_sentence(opt, K.queue_curves(sc), n_base)
+    return K.business_sentence(opt, K.queue_profits(sc, opt.first()["n_contacted"]), n_base)
 
 
 @register("contact_list", with_s(D + """

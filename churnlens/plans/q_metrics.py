@@ -94,6 +94,12 @@ DEC = SC + """
 d AS (SELECT *, greatest(1, ((rk - 1) * 10 + (nn - 2)) // (nn - 1))::integer AS decile FROM r)"""
 
 
+@register("decile_of_customer", with_s(DEC + "\nSELECT customerID, decile FROM d"))
+def decile_of_customer(spark, sf):
+    """G1 without ranks: every customer's decile by comparison with nine cut keys."""
+    return RK.with_decile(s_scored(spark, sf)).select("customerID", "decile")
+
+
 @register("risk_deciles", with_s(DEC + "\nSELECT customerID, p, rk AS rank, decile FROM d"))
 def risk_deciles(spark, sf):
     """G1: rank by p desc (ties by id) and decile by the qcut-on-ranks rule."""

@@ -84,8 +84,7 @@ fs AS (SELECT * FROM rkm JOIN br USING (model, repeat, fold))"""
 
 
 def _fold_scores(spark, sf):
-    t = s_treated(spark, sf)
-    return SEL.rule_and_scorecard_fold_scores(t, SP.stratified_folds(t, n_splits=5, n_repeats=3))
+    return SEL.rule_and_scorecard_fold_scores(s_treated(spark, sf))
 
 
 @register("cv_fold_scores", with_s(SCORES_SQL + """
