@@ -6,11 +6,10 @@ per-model predictions, queue curves), so these are cheap projections/unions.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.operators.distributions import kde_table
 from churnlens.operators.metrics import calibration_curve, evaluate, pr_points, roc_points
 from churnlens.operators.ranking import lift_by
 
@@ -55,17 +54,5 @@ def budget_curve(curves: DataFrame, optimal: DataFrame) -> DataFrame:
 
 
 def kde(df: DataFrame, x: str, by: str, points: int = 100) -> DataFrame:
-    """Gaussian kernel density per class on a common grid over the global range, Scott
-    bandwidth (sample std × n^(-1/5)). Rows are first collapsed to (class, distinct value,
-    count) by a map-side aggregate, so the grid expansion costs distinct values × points."""
-    lo, hi = df.agg(F.min(x)).scalar(), df.agg(F.max(x)).scalar()
-    stats = df.groupBy(by).agg(F.count(F.col(x)).alias("_n"), F.stddev_samp(x).alias("_sd"))
-    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2))
-    vals = df.groupBy(by, F.col(x).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    vals = vals.join(stats, by)  # one row per class
-    grid = vals.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    grid = grid.withColumn("x", lo + (hi - lo) * F.col("point") / F.lit(points - 1))
-    z = (F.col("x") - F.col("_v")) / F.col("_h")
-    contrib = F.col("_c") * F.exp(-0.5 * z * z) / F.lit(math.sqrt(2 * math.pi))
-    return grid.groupBy(by, "point", "x").agg(
-        F.try_divide(F.sum(contrib), F.first(F.col("_n") * F.col("_h"))).alias("density"))
+    """F13 of one column (``distributions.kde_table``)."""
+    return kde_table(df, [x], by, points).drop("column")

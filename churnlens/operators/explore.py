@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from churnlens import schema as S
 from churnlens.functions.treat import addon_count
+from churnlens.operators.distributions import box_table, histograms
 from churnlens.operators.lookup import lookup
 from churnlens.operators.ordered import stored
 from churnlens.operators.stats import exact_quantiles
@@ -133,43 +134,13 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30, by: str | None = None) -> DataFrame:
-    """Equal-width histogram over the global range, last bin closed.
-
-    With ``by`` each class gets its own density (integrates to 1 per class).
-    """
-    # global range as scalar subqueries (one partial-aggregate pass each)
-    binned = df.withColumn("lo", df.agg(F.min(x)).scalar()).withColumn("hi", df.agg(F.max(x)).scalar())
-    width = (F.col("hi") - F.col("lo")) / bins
-    binned = binned.withColumn(
-        "bin", F.when(F.col("hi") == F.col("lo"), 0).otherwise(
-            F.least(F.lit(bins - 1), F.floor((F.col(x) - F.col("lo")) / width).cast("int"))))
-    keys = ([by] if by else []) + ["bin", "lo", "hi"]
-    h = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    h = h.select(*([by] if by else []), "bin",
-                 (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("left"),
-                 (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("right"), "n")
-    if by:
-        tot = h.groupBy(by).agg(F.sum("n").alias("class_n"))
-        h = h.join(tot, by).withColumn(
-            "density", F.try_divide(F.col("n"), F.col("class_n") * (F.col("right") - F.col("left")))).drop("class_n")
-    return h
+    """F10 / F11 of one column (``distributions.histograms``)."""
+    return histograms(df, [x], bins, by).drop("column")
 
 
 def box_stats(df: DataFrame, x: str, by: str = S.TARGET, approx: bool = False) -> DataFrame:
-    """quartiles, 1.5·IQR whiskers (most extreme point inside the fence) and outlier count."""
-    q = exact_quantiles(df.select(by, F.col(x).cast("double").alias("x")), "x", [0.25, 0.5, 0.75], by=[by], approx=approx)
-    q = q.groupBy(by).pivot("q", [0.25, 0.5, 0.75]).agg(F.first("value")).select(
-        by, F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"), F.col("`0.75`").alias("q3"))
-    q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
-         .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    q = stored(q, "fences")  # one row per class
-    j = lookup(df.select(by, F.col(x).cast("double").alias("x")), q, [by])
-    inside = (F.col("x") >= F.col("lo_fence")) & (F.col("x") <= F.col("hi_fence"))
-    w = j.groupBy(by).agg(
-        F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"))
-    return q.join(w, by).select(by, "q1", "median", "q3", "whisker_lo", "whisker_hi", "n_outliers")
+    """F12 of one column (``distributions.box_table``)."""
+    return box_table(df, [x], by, approx).drop("column")
 
 
 def quartile_bins(df: DataFrame, x: str, q: int = 4, approx: bool = False, by: list[str] | None = None) -> DataFrame:

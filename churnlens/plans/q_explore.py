@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from churnlens import schema as S
 from churnlens.functions import treat as TR
 from churnlens.operators import explore as X
+from churnlens.operators.distributions import kde_table
 from churnlens.oracle import with_r, with_s
 from churnlens.plans.catalog import register
 from churnlens.plans.inputs import r_table, s_raw, s_treated
@@ -205,6 +206,65 @@ def box_tenure_by_class(spark, sf):
     return X.box_stats(s_treated(spark, sf), "tenure", "Churn")
 
 
+def _each(sql: str, table: str = "t", cols=S.NUMERIC) -> str:
+    """One common table per numeric column from a template, and all of them one under the other."""
+    parts = [sql.format(x=c, t=table, c=c) for c in cols]
+    return " UNION ALL ".join(f"(SELECT '{c}' AS \"column\", * FROM ({p}))" for c, p in zip(cols, parts, strict=True))
+
+
+def _bins_sql(by: str | None) -> str:
+    keys = f"{by}, " if by else ""
+    dens = f", round(n / (sum(n) OVER (PARTITION BY {by}) * (\"right\" - \"left\")), 9) AS density" if by else ""
+    return f"""SELECT {keys}bin, round("left", 6) AS "left", round("right", 6) AS "right", n{dens} FROM (
+SELECT {keys}bin, lo + bin * (hi - lo) / 30 AS "left", lo + (bin + 1) * (hi - lo) / 30 AS "right", count(*) AS n FROM (
+SELECT {keys}CASE WHEN hi = lo THEN 0 ELSE least(29, cast(floor(({{x}} - lo) / ((hi - lo) / 30)) AS integer)) END AS bin, lo, hi
+FROM {{t}}, (SELECT min({{x}})::double AS lo, max({{x}})::double AS hi FROM {{t}})) GROUP BY ALL)"""
+
+
+_BOX_SQL = """SELECT f.Churn, q1, median, q3,
+  min(CASE WHEN {x} BETWEEN lo_f AND hi_f THEN {x} END)::double AS whisker_lo, max(CASE WHEN {x} BETWEEN lo_f AND hi_f THEN {x} END)::double AS whisker_hi,
+  count(CASE WHEN NOT ({x} BETWEEN lo_f AND hi_f) THEN 1 END) AS n_outliers
+FROM {t} JOIN (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM (
+  SELECT Churn, quantile_cont({x}::double, 0.25) AS q1, quantile_cont({x}::double, 0.5) AS median, quantile_cont({x}::double, 0.75) AS q3 FROM {t} GROUP BY Churn)) f
+  ON {t}.Churn = f.Churn GROUP BY f.Churn, q1, median, q3"""
+_BOX_ROUND = 'SELECT "column", Churn, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")) + ", n_outliers FROM ("
+
+_KDE_SQL = """SELECT v.Churn, point::integer AS point, round(lo + (hi - lo) * point / 99.0, 6) AS x,
+       round(sum(c * exp(-0.5 * ((lo + (hi - lo) * point / 99.0 - v) / h) ^ 2) / sqrt(2 * pi())) / any_value(n * h), 9) AS density
+FROM (SELECT Churn, {x}::double AS v, count(*) AS c FROM {t} GROUP BY Churn, {x})  v
+JOIN (SELECT Churn, count({x}) AS n, stddev_samp({x}) * pow(count({x})::double, -0.2) AS h FROM {t} GROUP BY Churn) st USING (Churn),
+  (SELECT unnest(range(100)) AS point) g, (SELECT min({x})::double AS lo, max({x})::double AS hi FROM {t}) rg GROUP BY v.Churn, point, lo, hi"""
+
+
+def _tables_of_numerics(prefix: str, register_with, table: str, source, tag: str):
+    """F10-F13 of all three numerics, over S or R."""
+    def rounded(df, places):
+        return df.select(*[F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in df.columns])
+
+    @register(f"{prefix}histogram_numerics", register_with("\n" + _each(_bins_sql(None), table)))
+    def histogram_numerics(spark, sf):
+        return rounded(X.histograms(source(spark, sf), S.NUMERIC, 30), {"left": 6, "right": 6})
+
+    @register(f"{prefix}density_numerics_by_class", register_with("\n" + _each(_bins_sql("Churn"), table)))
+    def density_numerics_by_class(spark, sf):
+        return rounded(X.histograms(source(spark, sf), S.NUMERIC, 30, by="Churn"), {"left": 6, "right": 6, "density": 9})
+
+    @register(f"{prefix}box_numerics_by_class", register_with("\n" + _BOX_ROUND + _each(_BOX_SQL, table) + ")"))
+    def box_numerics_by_class(spark, sf):
+        return rounded(X.box_table(source(spark, sf), S.NUMERIC, "Churn"), dict.fromkeys(("q1", "median", "q3", "whisker_lo", "whisker_hi"), 6))
+
+    @register(f"{prefix}kde_numerics_by_class", register_with("\n" + _each(_KDE_SQL, table)))
+    def kde_numerics_by_class(spark, sf):
+        return rounded(kde_table(source(spark, sf), S.NUMERIC, "Churn", 100), {"x": 6, "density": 9})
+
+    for i, fn in enumerate((histogram_numerics, density_numerics_by_class, box_numerics_by_class, kde_numerics_by_class)):
+        fn.__doc__ = f"F{10 + i} of tenure, MonthlyCharges and TotalCharges{tag}."
+
+
+_tables_of_numerics("", with_s, "t", s_treated, "")
+_tables_of_numerics("r_", with_r, "r", r_table, " over R")
+
+
 @register("controlled_fibre_vs_dsl", with_s("""
 SELECT 'same_price_band' AS control, InternetService, round_even(avg(Churn::double), 3) AS churn_rate, count(*) AS n
 FROM t WHERE InternetService <> 'No' AND MonthlyCharges BETWEEN 67.75 AND 94.80 GROUP BY InternetService
