@@ -16,12 +16,12 @@ from churnlens.models.learners import (
     GBT,
     AdaBoost,
     ContractRule,
-    FittedSpark,
     IsotonicCalibrated,
     Logistic,
     Stacking,
     Voting,
 )
+from churnlens.models.newton import FittedLogistic
 
 # --- fixed values: model keys in ladder order and the reference's display names
 MODEL_ORDER = ["contract_rule", "logistic", "adaboost", "xgboost", "lightgbm", "voting", "stacking"]
@@ -73,11 +73,10 @@ class FittedModel:
     def coefficients(self, sample: DataFrame) -> DataFrame:
         """Named coefficients for linear models; empty for the others."""
         spark = sample.sparkSession
-        if not isinstance(self.fitted, FittedSpark) or not hasattr(self.fitted.model, "coefficients"):
+        if not isinstance(self.fitted, FittedLogistic):
             return spark.createDataFrame([], "feature string, coefficient double")
         names = feature_names(self.prep.transform(sample.limit(1)))
-        coefs = self.fitted.model.coefficients.toArray().tolist()
-        rows = [("intercept", float(self.fitted.model.intercept))] + list(zip(names, map(float, coefs)))
+        rows = [("intercept", self.fitted.intercept), *zip(names, self.fitted.coefficients, strict=True)]
         return spark.createDataFrame(rows, "feature string, coefficient double")
 
     def save(self, path: str) -> None:

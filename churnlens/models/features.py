@@ -63,16 +63,18 @@ def numeric_columns(use_total_charges: bool = True) -> list[str]:
     return [c for c in S.NUMERIC if use_total_charges or c != "TotalCharges"]
 
 
-def preprocessing_stages(use_total_charges: bool = True, features: str = "features") -> list:
-    """Population scaler, one-hot (unknown -> zeros), binaries passed, assembled vector."""
+def preprocessing_stages(use_total_charges: bool = True, features: str = "features", scaled: bool = True) -> list:
+    """Population scaler, one-hot (unknown -> zeros), binaries passed, assembled vector.
+    Without ``scaled`` the numerics are passed as they are, for fits that scale on their own."""
     num = numeric_columns(use_total_charges)
     cat = S.CATEGORICAL
+    scaler = [PopulationScaler(inputCols=num, outputCols=[f"{c}__z" for c in num])] if scaled else []
     return [
-        PopulationScaler(inputCols=num, outputCols=[f"{c}__z" for c in num]),
+        *scaler,
         StringIndexer(inputCols=cat, outputCols=[f"{c}__idx" for c in cat], stringOrderType="alphabetAsc",
                       handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__oh" for c in cat], dropLast=True),
-        VectorAssembler(inputCols=[f"{c}__z" for c in num] + [f"{c}__oh" for c in cat] + S.MODEL_BINARIES,
+        VectorAssembler(inputCols=[f"{c}__z" if scaled else c for c in num] + [f"{c}__oh" for c in cat] + S.MODEL_BINARIES,
                         outputCol=features, handleInvalid="keep"),
     ]
 

@@ -4,8 +4,8 @@ A learner fits on a prepared DataFrame (``features`` vector + label) and its
 fitted form adds a probability-of-churn column. Ensembles share ONE prepared
 feature table (one preprocessor fitted on the outer training rows).
 
-* Logistic: the single-machine objective ½‖w‖² + C·Σ loss (C = 1, raw features)
-  equals Spark's averaged loss with regParam = 1 / Σweights, standardization off.
+* Logistic: the single-machine objective ½‖w‖² + C·Σ loss (C = 1, raw features), by Newton
+  steps of one aggregate each (``models/newton.py``); the fits of all folds share these passes.
 * AdaBoost (SAMME, depth-1 trees): a row's log weight Σ_j α_j · wrong_j(x) is a column that is
   written with the features every few rounds; the fitted ensemble scores as one expression.
 * Gradient boosting: MLlib ``GBTClassifier`` stands in for both boosters
@@ -17,9 +17,9 @@ feature table (one preprocessor fitted on the outer training rows).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -27,7 +27,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
+from churnlens.models.isotonic import isotonic_blocks
+from churnlens.models.newton import FittedLogistic, rows_of, solve
+from churnlens.models.stumps import Stump, StumpSearch, stump_of, votes
 from churnlens.operators.ordered import stored
+from churnlens.operators.splits import stratified_folds
 
 LABEL = S.TARGET
 FEATURES = "features"
@@ -37,32 +41,42 @@ def _p1(col: str) -> Column:
     return vector_to_array(F.col(col))[1]
 
 
-def balanced_weight(df: DataFrame, label: str = LABEL) -> Column:
-    """Weight n / (2 · n_class) per row, from one aggregate of class counts."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    n = sum(counts.values())
-    m = F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(n / (len(counts) * c)))])
-    return m[F.col(label)]
-
-
 # ------------------------------------------------------------------ logistic
 
 @dataclass
 class Logistic:
+    """Ridge logistic regression (C = 1, the intercept free), ``balanced``: with class weights."""
+
     balanced: bool = False
-    max_iter: int = 1000
-    tol: float = 1e-6
     features: str = FEATURES
 
-    def fit(self, df: DataFrame, label: str = LABEL, tag: str = "lr"):
-        d = df.withColumn("_w", balanced_weight(df, label)) if self.balanced else df.withColumn("_w", F.lit(1.0))
-        total_w = d.agg(F.sum("_w")).first()[0]
-        lr = LogisticRegression(featuresCol=self.features, labelCol=label, weightCol="_w",
-                                regParam=1.0 / total_w, elasticNetParam=0.0, standardization=False,
-                                maxIter=self.max_iter, tol=self.tol,
-                                probabilityCol=f"_prob_{tag}", rawPredictionCol=f"_raw_{tag}",
-                                predictionCol=f"_pred_{tag}")
-        return FittedSpark(lr.fit(d), tag)
+    def fit(self, df: DataFrame, label: str = LABEL, tag: str = "lr") -> FittedLogistic:
+        return self.fit_many(df, [F.lit(True)], label)[0]
+
+    def weights(self, df: DataFrame, members: list[Column], label: str = LABEL) -> list[Column]:
+        """A row's weight per member condition: 0 where it doesn't hold, else 1, or n / (2 · n_class) (J7) of
+        the rows for which it holds, from one aggregate of class counts."""
+        if not self.balanced:
+            return [F.when(m, 1.0).otherwise(0.0) for m in members]
+        counts = {r[0]: r[1:] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(
+            *[F.count_if(m).alias(f"n{i}") for i, m in enumerate(members)]).collect()}  # one row per class
+        out = []
+        for i, m in enumerate(members):
+            held = {y: n[i] for y, n in counts.items() if n[i]}
+            each = F.lit(0.0)
+            for y, n in held.items():
+                each = F.when(F.col(label) == y, sum(held.values()) / (len(held) * n)).otherwise(each)
+            out.append(F.when(m, each).otherwise(0.0))
+        return out
+
+    def fit_many(self, df: DataFrame, members: list[Column], label: str = LABEL) -> list[FittedLogistic]:
+        """One model per member condition, on the rows for which it holds; all in the same passes."""
+        rows = stored(rows_of(df, label, self.features, self.weights(df, members, label)), "logistic")
+        first = rows.select(F.size("x")).first()
+        if first is None:
+            raise ValueError("no rows to fit on")
+        solved = solve(rows, first[0], len(members))
+        return [FittedLogistic(float(w[0]), [float(c) for c in w[1:]], self.features) for w in solved]
 
 
 @dataclass
@@ -75,11 +89,6 @@ class FittedSpark:
         return t.withColumn(out, _p1(f"_prob_{self.tag}")).drop(
             f"_prob_{self.tag}", f"_raw_{self.tag}", f"_pred_{self.tag}")
 
-    def logit(self, df: DataFrame, out: str = "logit") -> DataFrame:
-        t = self.model.transform(df)
-        return t.withColumn(out, _p1(f"_raw_{self.tag}")).drop(
-            f"_prob_{self.tag}", f"_raw_{self.tag}", f"_pred_{self.tag}")
-
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
@@ -108,70 +117,40 @@ class GBT:
 
 # ------------------------------------------------------------------ AdaBoost
 
-@dataclass(frozen=True)
-class Stump:
-    """A depth-1 tree: class ``left`` where the feature is at most ``threshold`` (or one of ``values``)."""
-
-    alpha: float
-    left: float
-    right: float
-    feature: int = -1  # -1: a single leaf, class ``left``
-    threshold: float | None = None
-    values: tuple[float, ...] = ()
-
-    @staticmethod
-    def of(tree, alpha: float) -> "Stump":
-        """From a fitted tree's nodes (Spark's ``ml.tree`` API)."""
-        root = tree._call_java("rootNode")
-        if tree.numNodes == 1:
-            return Stump(alpha, root.prediction(), root.prediction())
-        split, sides = root.split(), (root.leftChild().prediction(), root.rightChild().prediction())
-        if split.getClass().getSimpleName() == "ContinuousSplit":
-            return Stump(alpha, *sides, split.featureIndex(), split.threshold())
-        return Stump(alpha, *sides, split.featureIndex(), None, tuple(split.leftCategories()))
-
-    def predicted(self, arr: str = "_fa") -> Column:
-        if self.feature < 0:
-            return F.lit(self.left)
-        x = F.col(arr)[self.feature]
-        return F.when(x.isin(*self.values) if self.threshold is None else x <= self.threshold, F.lit(self.left)).otherwise(F.lit(self.right))
-
-
 @dataclass
 class AdaBoost:
     """SAMME with decision stumps, ``rounds`` rounds, shrinkage ``learning_rate``.
 
-    ``max_bins`` bounds the split points tried per feature. A row's log weight is a column; every
-    ``flush`` rounds it is written with the features, so a round's expression has that many terms at most.
+    Each round's stump is the best over all split points (``models/stumps.py``). A row's log weight is a
+    column; every ``flush`` rounds it is written with the features, so a round's expression has that many
+    terms at most.
     """
 
     rounds: int = 300
     learning_rate: float = 0.5
-    max_bins: int = 256
     flush: int = 25
     features: str = FEATURES
 
     def fit(self, df: DataFrame, label: str = LABEL, tag: str = "ada"):
-        base = stored(df.select(self.features, F.col(label).cast("double").alias("_y"),
-                                vector_to_array(F.col(self.features)).alias("_fa"), F.lit(0.0).alias("_lw")), "boost")
+        base = stored(df.select(vector_to_array(F.col(self.features)).alias("x"), F.col(label).cast("double").alias("y"),
+                                F.lit(0.0).alias("_lw")), "boost")
+        search = StumpSearch(base)
         stumps: list[Stump] = []
         log_w, bound = F.col("_lw"), 0.0
         for i in range(self.rounds):
-            d = base.withColumn("_w", F.exp(log_w - F.lit(bound)))
-            tree = DecisionTreeClassifier(featuresCol=self.features, labelCol="_y", weightCol="_w", maxDepth=1,
-                                          maxBins=self.max_bins).fit(d)
-            wrong = (Stump.of(tree, 0.0).predicted() != F.col("_y")).cast("double")
-            err = float(d.agg((F.sum(F.col("_w") * wrong) / F.sum("_w")).alias("e")).first()["e"])
+            split, total = search.best(base.withColumn("w", F.exp(log_w - F.lit(bound))))
+            stump, wrong = stump_of(split, total, 0.0)
+            err = wrong / sum(total)
             if err <= 0:
-                stumps.append(Stump.of(tree, 1.0))
+                stumps.append(replace(stump, alpha=1.0))
                 break
             if err >= 0.5:
                 if not stumps:
                     raise ValueError("AdaBoost: first stump is no better than chance")
                 break
             alpha = self.learning_rate * math.log((1 - err) / err)
-            stumps.append(Stump.of(tree, alpha))
-            log_w, bound = log_w + F.lit(alpha) * wrong, bound + alpha
+            stumps.append(replace(stump, alpha=alpha))
+            log_w, bound = log_w + F.lit(alpha) * (stump.predicted() != F.col("y")).cast("double"), bound + alpha
             if (i + 1) % self.flush == 0:
                 base, log_w = stored(base.withColumn("_lw", log_w), "boost"), F.col("_lw")
         return FittedAdaBoost(stumps, self.features)
@@ -182,11 +161,8 @@ class FittedAdaBoost:
     stumps: list[Stump] = field(repr=False)
     features: str = FEATURES
 
-    def decision(self) -> Column:
-        vote = F.lit(0.0)
-        for s in self.stumps:
-            vote = vote + F.lit(s.alpha) * (F.lit(2.0) * s.predicted() - F.lit(1.0))
-        return vote / F.lit(sum(s.alpha for s in self.stumps))
+    def decision(self, arr: str = "_fa") -> Column:
+        return votes(self.stumps, arr) / F.lit(sum(s.alpha for s in self.stumps))
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         d = df.withColumn("_fa", vector_to_array(F.col(self.features)))
@@ -226,32 +202,30 @@ class Stacking:
     seed: int = 42
 
     def fit(self, df: DataFrame, label: str = LABEL, tag: str = "stack"):
-        from churnlens.operators.splits import stratified_folds
-
-        folds = stratified_folds(df, y=label, n_splits=self.n_folds, n_repeats=1, seed=self.seed).select(S.ID, "fold")
-        d = df.join(folds, S.ID).persist()
-        oof_parts = []
+        # folds are dealt with the features and written once: a lost executor doesn't deal them again
+        d = stored(stratified_folds(df, label, self.n_folds, 1, self.seed, keep=[FEATURES]), "stack")
+        cols = [f"_pb{i}" for i in range(len(self.bases))]
+        others = [F.col("fold") != k for k in range(self.n_folds)]
+        # logistic bases are fitted on all folds in the same passes
+        fitted = [b.fit_many(d, others, label) if isinstance(b, Logistic) else None for b in self.bases]
+        oof = None
         for k in range(self.n_folds):
-            train, hold = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
-            h = hold
+            h, train = d.filter(F.col("fold") == k), d.filter(others[k])
             for i, b in enumerate(self.bases):
-                h = b.fit(train, label, tag=f"{tag}f{i}").predict(h, out=f"_pb{i}")
-            oof_parts.append(h.select(S.ID, label, *[f"_pb{i}" for i in range(len(self.bases))]))
-        oof = oof_parts[0]
-        for o in oof_parts[1:]:
-            oof = oof.unionByName(o)
-        cols = [f"_pb{i}" for i in range(len(self.bases))]
+                own = fitted[i][k] if fitted[i] else b.fit(train, label, tag=f"{tag}f{k}b{i}")
+                h = own.predict(h, out=cols[i])
+            part = h.select(label, *cols)
+            oof = part if oof is None else oof.unionByName(part)
         meta_in = VectorAssembler(inputCols=cols, outputCol="_meta").transform(oof)
         meta = Logistic(features="_meta").fit(meta_in, label, tag=f"{tag}m")
         full = [b.fit(df, label, tag=f"{tag}b{i}") for i, b in enumerate(self.bases)]
-        d.unpersist()
         return FittedStacking(full, meta)
 
 
 @dataclass
 class FittedStacking:
     bases: list
-    meta: FittedSpark
+    meta: FittedLogistic
 
     def predict(self, df: DataFrame, out: str = "p") -> DataFrame:
         d = df
@@ -272,20 +246,18 @@ class IsotonicCalibrated:
     seed: int = 42
 
     def fit(self, df: DataFrame, label: str = LABEL, tag: str = "iso"):
-        from churnlens.operators.splits import stratified_folds
-
-        folds = stratified_folds(df, y=label, n_splits=self.n_folds, n_repeats=1, seed=self.seed).select(S.ID, "fold")
-        d = df.join(folds, S.ID).persist()
-        pairs = []
-        for k in range(self.n_folds):
-            fitted = self.base.fit(d.filter(F.col("fold") != k), label, tag=f"{tag}{k}")
-            held = fitted.logit(d.filter(F.col("fold") == k), out="_logit")
-            # equal logits are collapsed to their mean label and count: the pooling sees distinct logits only
-            held = held.groupBy("_logit").agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
-            iso = IsotonicRegression(featuresCol="_logit", labelCol="_y", weightCol="_w", predictionCol="_iso", isotonic=True)
-            pairs.append((fitted, iso.fit(held)))
-        d.unpersist()
-        return FittedIsotonic(pairs)
+        d = stored(stratified_folds(df, label, self.n_folds, 1, self.seed, keep=[self.base.features]), "iso")
+        fitted = self.base.fit_many(d, [F.col("fold") != k for k in range(self.n_folds)], label)
+        held = None
+        for k, f in enumerate(fitted):
+            part = f.logit(d.filter(F.col("fold") == k), "_logit").select("fold", "_logit", F.col(label).cast("double").alias("_y"))
+            held = part if held is None else held.unionByName(part)
+        # pooled where the rows are; Spark's model is made from the blocks' ends alone
+        blocks = stored(isotonic_blocks(held, "_logit", "_y", ["fold"]), "blocks")
+        ends = blocks.select("fold", F.explode(F.when(F.col("low") < F.col("high"), F.array("low", "high")).otherwise(F.array("low"))).alias("_logit"),
+                             F.col("mean").alias("_y"), "weight")
+        iso = IsotonicRegression(featuresCol="_logit", labelCol="_y", weightCol="weight", predictionCol="_iso", isotonic=True)
+        return FittedIsotonic([(f, iso.fit(ends.filter(F.col("fold") == k))) for k, f in enumerate(fitted)])
 
 
 @dataclass

@@ -18,10 +18,12 @@ from churnlens.models.learners import (
     FittedSpark,
     FittedStacking,
     FittedVoting,
-    Stump,
 )
+from churnlens.models.newton import FittedLogistic
+from churnlens.models.stumps import Stump
 
 SPARK_MODELS = {"logistic": LogisticRegressionModel, "boosted trees": GBTClassificationModel}
+PLAIN = {"rule": FittedRule, "ridge logistic": FittedLogistic}  # their fields are all there is
 
 
 def _note(path: str, kind: str, **values) -> None:
@@ -38,8 +40,8 @@ def save(fitted, path: str) -> None:
         _note(path, kind, tag=fitted.tag)
     elif isinstance(fitted, FittedAdaBoost):
         _note(path, "adaboost", features=fitted.features, stumps=[vars(s) for s in fitted.stumps])
-    elif isinstance(fitted, FittedRule):
-        _note(path, "rule", **vars(fitted))
+    elif type(fitted) in PLAIN.values():
+        _note(path, next(k for k, cls in PLAIN.items() if cls is type(fitted)), **vars(fitted))
     elif isinstance(fitted, (FittedVoting, FittedStacking)):
         stacking = isinstance(fitted, FittedStacking)
         parts = fitted.bases if stacking else fitted.fitted
@@ -64,8 +66,8 @@ def load(path: str):
         return FittedSpark(SPARK_MODELS[kind].load(f"{path}/model"), fields["tag"])
     if kind == "adaboost":
         return FittedAdaBoost([Stump(**dict(s, values=tuple(s["values"]))) for s in fields["stumps"]], fields["features"])
-    if kind == "rule":
-        return FittedRule(**fields)
+    if kind in PLAIN:
+        return PLAIN[kind](**fields)
     bases = [load(f"{path}/base{i}") for i in range(fields.get("parts", 0))]
     if kind == "voting":
         return FittedVoting(bases)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import argparse
 import platform
 import sys
+import uuid
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,18 @@ def model_dir(out: str, name: str, use_total_charges: bool) -> str:
     return f"{out}/models/{name}{'' if use_total_charges else '-no-total-charges'}"
 
 
+def published(spark: SparkSession, mdir: str) -> str:
+    """The folder of the model last published under ``mdir``: what readers take everything from."""
+    rows = spark.read.schema("folder string, at timestamp").json(f"{mdir}/published")
+    return f"{mdir}/{rows.agg(F.max_by('folder', F.struct('at', 'folder'))).first()[0]}"
+
+
+def publish(spark: SparkSession, mdir: str, folder: str) -> None:
+    """Names a finished folder as the model. One row is appended once all parts are written: a reader sees the
+    former model whole, or this one, never parts of both; a training that breaks off changes nothing."""
+    spark.range(1).select(F.lit(folder).alias("folder"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{mdir}/published")
+
+
 # ------------------------------------------------------------------ M2 compare
 
 def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 42, rounds: int = 300,
@@ -61,16 +74,17 @@ def compare_job(spark: SparkSession, treated: DataFrame, out: str, seed: int = 4
                 reference: str = "logistic", models: list[str] | None = None) -> dict[str, DataFrame]:
     """M2 / A5: CV with and without TotalCharges, paired table, champion, test measurement,
     calibration experiment; writes the tables and the comparison report.
-    ``models`` restricts the ladder (default: all seven)."""
+    ``models`` restricts the ladder (default: all seven). A run that broke off and is started again with the
+    same rows and settings goes on after the fits it had finished."""
     def cat(use_total):
         c = catalogue(use_total, seed, rounds)
         return {k: v for k, v in c.items() if not models or k in models}
 
     sp = stored(stratified_split(treated, test_size=test_size, seed=seed), "split")
     train, test = sp.filter("split = 'train'").drop("split"), sp.filter("split = 'test'").drop("split")
-    fs_with = EV.cross_validate(train, cat(True), n_splits, n_repeats, seed, parallelism)
-    fs_without = EV.cross_validate(train, cat(False), n_splits, n_repeats, seed, parallelism)
-    fs_with, fs_without = fs_with.persist(), fs_without.persist()
+    run = f"{out}/runs/{EV.run_id(train, seed=seed, rounds=rounds, n_splits=n_splits, n_repeats=n_repeats, version=churnlens.__version__)}"
+    fs_with = stored(EV.cross_validate(train, cat(True), n_splits, n_repeats, seed, parallelism, run=f"{run}/with"), "fold-scores")
+    fs_without = stored(EV.cross_validate(train, cat(False), n_splits, n_repeats, seed, parallelism, run=f"{run}/without"), "fold-scores")
     cv_with, cv_without = SEL.cv_summary(fs_with), SEL.cv_summary(fs_without)
     paired = SEL.paired_comparison(fs_with, reference=reference)
     champ = SEL.champion(paired, cv_with)
@@ -101,7 +115,8 @@ def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | No
     training split, metrics by split, lift, coefficients, model and report written."""
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
     m = get_model(name, use_total_charges=use_total_charges, seed=seed, rounds=rounds)  # unknown name → error
-    mdir = model_dir(out, name, use_total_charges)
+    folder = f"v-{uuid.uuid4().hex[:12]}"
+    mdir = f"{model_dir(out, name, use_total_charges)}/{folder}"
     sp = stratified_split(treated, test_size=test_size, seed=seed)
     sp.select(S.ID, "split").write.mode("overwrite").parquet(f"{mdir}/split")   # the split travels with the model
     RAW.write_report(spark.range(1).select(F.lit(seed).alias("seed"), F.lit(test_size).alias("test_size"),
@@ -126,6 +141,7 @@ def train_job(spark: SparkSession, treated: DataFrame, out: str, model: str | No
         F.array(*[F.lit(c) for c in treated.columns]).alias("columns"),
         RAW.nested(metrics).alias("metrics"), RAW.nested(lift).alias("lift"), RAW.nested(coefs).alias("coefficients"))
     RAW.write_report(report, f"{mdir}/report")
+    publish(spark, model_dir(out, name, use_total_charges), folder)
     return {"model_dir": mdir, "metrics": metrics, "lift": lift, "coefficients": coefs}
 
 
@@ -179,7 +195,7 @@ def decide_job(spark: SparkSession, treated: DataFrame, out: str, model: str | N
     """M3 / K9 (A6): the whole decision job on the model's out-of-sample rows."""
     params = params or BusinessParams()
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
-    mdir = model_dir(out, name, use_total_charges)
+    mdir = published(spark, model_dir(out, name, use_total_charges))
     sc = scored_test(spark, treated, mdir, seed, test_size).persist()
     seed = int(spark.read.json(f"{mdir}/settings").first()["seed"])
     opt = K.optimal_campaign(sc, params)
@@ -218,7 +234,7 @@ def segments_job(spark: SparkSession, treated: DataFrame, out: str, model: str |
             "Dependents", "Partner", "PaperlessBilling"]
     seg = churn_by_many(treated, cols)
     name = model or RAW.champion_name(spark, f"{out}/compare/report")
-    mdir = model_dir(out, name, use_total_charges)
+    mdir = published(spark, model_dir(out, name, use_total_charges))
     sc = scored_test(spark, treated, mdir, seed, test_size)
     seed = int(spark.read.json(f"{mdir}/settings").first()["seed"])
     contacts = K.contact_list(sc, params)

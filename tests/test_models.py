@@ -55,19 +55,17 @@ def test_split_quotas(split):
 
 
 def test_logistic_matches_single_machine_objective(prepared):
-    """Gradient of ½‖w‖² + Σ logloss at Spark's solution is ~0."""
+    """The gradient of ½‖w‖² + Σ logloss at the solution is 0."""
     _, feats = prepared
     fitted = Logistic().fit(feats, "Churn")
-    w = fitted.model.coefficients.toArray()
-    b = fitted.model.intercept
+    w, b = np.array(fitted.coefficients), fitted.intercept
     pdf = feats.select(vector_to_array("features").alias("x"), "Churn").toPandas()
     X = np.vstack(pdf["x"].to_numpy())
     y = pdf["Churn"].to_numpy()
     p = 1 / (1 + np.exp(-(X @ w + b)))
     grad_w = w + X.T @ (p - y)
     grad_b = np.sum(p - y)
-    assert np.max(np.abs(grad_w)) < 5e-3 * len(y) ** 0 + 1e-2
-    assert abs(grad_b) < 1e-2
+    assert np.max(np.abs(grad_w)) < 1e-6 and abs(grad_b) < 1e-6
 
 
 def test_voting_is_mean_of_bases(prepared):

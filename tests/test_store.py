@@ -42,10 +42,26 @@ def test_unknown_kinds_raise(spark, tmp_path):
         load_fitted(str(tmp_path / "nothing"))
 
 
+def test_a_broken_training_leaves_the_model(spark, train, tmp_path, monkeypatch):
+    """Readers take a model's parts from the folder that was named last, once all of it was written."""
+    out, where = str(tmp_path / "run"), f"{tmp_path}/run/models/contract_rule"
+    J.train_job(spark, train, out, model="contract_rule")
+    first = J.published(spark, where)
+    n = J.decide_job(spark, train, out, model="contract_rule")["optimal"].first()["n_contacted"]
+    monkeypatch.setattr(J, "lift_table", lambda *a: 1 / 0)  # after the split, the settings and the scores are written
+    with pytest.raises(ZeroDivisionError):
+        J.train_job(spark, train, out, model="contract_rule", seed=7)
+    assert J.published(spark, where) == first
+    assert J.decide_job(spark, train, out, model="contract_rule")["optimal"].first()["n_contacted"] == n
+    monkeypatch.undo()
+    J.train_job(spark, train, out, model="contract_rule", seed=7)
+    assert J.published(spark, where) != first and spark.read.json(f"{J.published(spark, where)}/settings").first()["seed"] == 7
+
+
 def test_jobs_follow_other_settings(spark, train, tmp_path):
     out = str(tmp_path / "run")
     J.train_job(spark, train, out, model="contract_rule", use_total_charges=False, test_size=0.3)
-    report = spark.read.json(f"{out}/models/contract_rule-no-total-charges/report").first()
+    report = spark.read.json(f"{J.published(spark, out + '/models/contract_rule-no-total-charges')}/report").first()
     assert report["test_size"] == 0.3 and report["n_features"] == 1 and report["estimator"] == "ContractRule" and report["versions"]["churnlens"]
     d = J.decide_job(spark, train, out, model="contract_rule", use_total_charges=False)
     assert spark.read.json(f"{out}/decision/report").first()["test_base"]["n"] == 45
