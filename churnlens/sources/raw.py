@@ -8,6 +8,8 @@ the cluster uses.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ _CSV_OPTS = {"header": "true", "quote": '"', "escape": '"', "nullValue": "", "em
              "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 MOST_CHARS = 1 << 20  # of a field: beyond it an open quote is taken to swallow the file, and the read fails
 
-#: fixed values: texts that stand for a missing value
+#: fixed values: texts that many readers take for a missing value; an empty field always is one
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
            "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -45,13 +47,13 @@ def column_names(header: list[str]) -> list[str]:
     return out
 
 
-def read_text_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str, multiline: bool = True, missing: Sequence[str] = ()) -> DataFrame:
     """A CSV with header: every column as text under its own name, and the whole record in ``CORRUPT`` where
     its number of fields isn't the header's (null otherwise).
 
     ``multiline``: quoted fields may hold line feeds; files are then read whole, one task each, as a stream.
     Without it large files are split, and a record with an open quote is a malformed one. Files whose
-    headers differ are an error; texts that stand for a missing value are null.
+    headers differ are an error. ``missing``: texts that stand for a missing value (``MISSING`` has the usual ones).
     """
     header = _header(spark, path, multiline)
     names = column_names(header)
@@ -60,7 +62,8 @@ def read_text_csv(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     schema = StructType([StructField(n, StringType()) for n in [*names, CORRUPT]])
     rows = spark.read.options(**_CSV_OPTS, multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, maxCharsPerColumn=MOST_CHARS, columnPruning=False,
                               enforceSchema=names != header).schema(schema).csv(path)
-    return rows.select(*[F.when(~F.col(f"`{n}`").isin(MISSING), F.col(f"`{n}`")).alias(n) for n in names], CORRUPT)
+    gone = ["", *missing]
+    return rows.select(*[F.when(~F.col(f"`{n}`").isin(gone), F.col(f"`{n}`")).alias(n) for n in names], CORRUPT)
 
 
 def whole_records(text: DataFrame) -> DataFrame:
@@ -74,16 +77,16 @@ def typed(text: DataFrame) -> DataFrame:
     return text.select(*[F.trim(c.name).try_cast(c.spark_type).alias(c.name) if c.kind != "text" else F.col(c.name) for c in S.COLUMNS])
 
 
-def csv_problems(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def csv_problems(spark: SparkSession, path: str, multiline: bool = True, missing: Sequence[str] = ()) -> DataFrame:
     """B1-B4 on a CSV: (column, check, value, n) of everything that breaks the schema, malformed records included."""
-    return raw_problems(read_text_csv(spark, path, multiline), text=True)
+    return raw_problems(read_text_csv(spark, path, multiline, missing), text=True)
 
 
-def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, multiline: bool = True, missing: Sequence[str] = ()) -> DataFrame:
     """A1: the raw subscriber CSV, columns by header name, no inference. Missing and unexpected columns
     raise at once, malformed records when they are read. ``TotalCharges`` stays text so blanks survive
     to the treatment."""
-    text = read_text_csv(spark, path, multiline)
+    text = read_text_csv(spark, path, multiline, missing)
     broken = column_problems(text, text=True)
     if not broken.isEmpty():
         raise SchemaError(f"{path}: " + ", ".join(f"{r['column']} {r['check']}" for r in broken.collect()), broken)
@@ -95,9 +98,9 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_CSV_OPTS).csv(path)
 
 
-def load_treated(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def load_treated(spark: SparkSession, path: str, multiline: bool = True, missing: Sequence[str] = ()) -> DataFrame:
     """A2: load → validate (all problems at once, numbers by value) → treat → validate the 0/1 contract."""
-    text = read_text_csv(spark, path, multiline)
+    text = read_text_csv(spark, path, multiline, missing)
     validate_raw(text, text=True)
     treated = treat(typed(whole_records(text)))
     validate_treated(treated)

@@ -87,7 +87,8 @@ def test_missing_values_by_their_usual_names(spark, tmp_path, lines):
     for f, v in zip(fields, ["NA", "NaN", "null", "None", '""', "N/A"], strict=True):
         f[at] = v
     path = write(tmp_path / "na.csv", [",".join(f) for f in fields])
-    assert RAW.read_raw_csv(spark, path).where(F.col("Partner").isNull()).count() == 6 and problems(spark, path) == []
+    assert RAW.read_raw_csv(spark, path, missing=RAW.MISSING).where(F.col("Partner").isNull()).count() == 6
+    assert problems(spark, path, missing=RAW.MISSING) == [] and len(problems(spark, path)) == 5  # an empty field alone is missing
 
 
 def test_duplicates_in_two_phases(spark):
