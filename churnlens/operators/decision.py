@@ -15,7 +15,7 @@ overlap are independent queries over it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import schema as S
@@ -29,7 +29,7 @@ from churnlens.functions.decision import (
 )
 from churnlens.functions.treat import brl
 from churnlens.operators.cuts import Cuts, cuts_before, group_is
-from churnlens.operators.ordered import ordered_prefix
+from churnlens.operators.ordered import ordered_prefix, stored
 from churnlens.operators.ranking import random_key
 from churnlens.operators.stats import exact_quantiles
 
@@ -73,14 +73,14 @@ def threshold_summary(df: DataFrame, params: BusinessParams | None = None, appro
     return mm.withColumn("threshold_median", med)
 
 
-def queue_keys(d: DataFrame, seed: int = 42, key: str = S.ID) -> DataFrame:
+def queue_keys(d: DataFrame, seed: int = 42, key: str = S.ID, random: Column | None = None) -> DataFrame:
     """E5: stack each customer into 4 (queue, sort_key) rows; every queue sorts ascending
-    on sort_key then id (VE desc, p desc, month-to-month first, md5(seed|id))."""
+    on sort_key then id (VE desc, p desc, month-to-month first, md5(seed|id), or a column that holds it)."""
     keys = [
         F.struct(F.lit(QUEUES[0]).alias("queue"), (-F.col("ve")).alias("sort_key")),
         F.struct(F.lit(QUEUES[1]).alias("queue"), (-F.col("p")).alias("sort_key")),
         F.struct(F.lit(QUEUES[2]).alias("queue"), (-F.col("m2m").cast("double")).alias("sort_key")),
-        F.struct(F.lit(QUEUES[3]).alias("queue"), random_key(seed, key).alias("sort_key")),
+        F.struct(F.lit(QUEUES[3]).alias("queue"), (random_key(seed, key) if random is None else random).alias("sort_key")),
     ]
     return d.select(key, "ve", F.explode(F.array(*keys)).alias("_q")).select(key, "ve", "_q.queue", "_q.sort_key")
 
@@ -174,8 +174,10 @@ def top_overlap(df: DataFrame, params: BusinessParams | None = None, n: int | No
 
 def queue_profits(df: DataFrame, n: int, params: BusinessParams | None = None, seed: int = 42) -> DataFrame:
     """G8 without the curves: profit of each queue's first ``n`` customers. Each queue is cut at one key, and
-    customers up to it are added up where they are read."""
-    stacked = queue_keys(with_decision(df, params), seed)
+    customers up to it are added up where they are read. What the queues need of a customer is written once, as
+    each pass over the queues would work it out again."""
+    d = stored(with_decision(df, params).select(S.ID, "ve", "p", "m2m", random_key(seed).alias("_u")), "queues")
+    stacked = queue_keys(d, seed, random=F.col("_u"))
     cuts = Cuts(stacked, [("sort_key", False), (S.ID, False)], ["queue"])
     last = cuts.at({g: [min(n, size)] for g, size in cuts.sizes.items()} if n > 0 else {})
     chosen = F.lit(False)

@@ -19,12 +19,14 @@ everything in ONE task. ``ordered_prefix`` has one plan for every size instead:
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from churnlens.session import ensure_checkpoint_dir
 
@@ -74,6 +76,14 @@ def _bucket(keys: list[tuple[str, bool]], bounds: str, n: int) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
 
 
+def binned(df: DataFrame, column: str, splits: Sequence[float], desc: bool, out: str) -> DataFrame:
+    """Add the place of a number among ``splits`` (-inf to inf, rising), negative if descending, so that it doesn't
+    fall as the order goes on: ``Bucketizer`` finds it in compiled code. Null is at -1, NaN after the last split."""
+    bins = Bucketizer(splits=list(splits), inputCol="_x", outputCol="_bin", handleInvalid="keep").transform(
+        df.withColumn("_x", F.col(column).cast("double") + F.lit(0.0)))  # -0.0 is 0.0
+    return bins.withColumn(out, F.coalesce(F.col("_bin").cast("int"), F.lit(-1)) * (-1 if desc else 1)).drop("_x", "_bin")
+
+
 def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, buckets: int, seed: int) -> list[tuple]:
     """At most ``buckets`` - 1 distinct rows of the order's keys, in order."""
     share = min(1.0, SAMPLE_PER_BUCKET * buckets / max(n, 1))
@@ -96,6 +106,7 @@ def ordered_prefix(
     write: bool = True,
     bucket: Column | None = None,
     nexts: Sequence[str] = (),
+    apart: bool = False,
 ) -> DataFrame:
     """Add ``rn`` (1-based position inside ``partition`` under ``order`` + ``tiebreak`` asc)
     and inclusive running sums ``cum_<s>`` for every column in ``sums``.
@@ -108,6 +119,9 @@ def ordered_prefix(
     ``nexts``: columns whose value in the next row of the order is added as ``next_<c>`` (null in a
     partition's last row). Inside a bucket that is a lead over the window that numbers the rows; between
     buckets it comes with the offsets, from one edge row per bucket. All keys must have one direction.
+
+    ``apart``: inside a partition hardly any rows are equal in the order's first column (distinct scores, say), so
+    buckets need not split its ties. If it has doubles, a row's bucket is found from it alone, in compiled code.
     """
     partition = list(partition)
     own = _orders(order, tiebreak)
@@ -115,6 +129,8 @@ def ordered_prefix(
     src = stored(df) if write else df
     if bucket is not None:
         b = src.withColumn("_bkt", bucket)
+    elif apart and isinstance(src.schema[own[0][0]].dataType, DoubleType):
+        b = _bucketed(src, own[:1], n_buckets, n, seed, apart=True)
     else:
         b = _bucketed(src, keys, n_buckets, n, seed)
     if nexts and len({d for _, d in own}) > 1:
@@ -153,10 +169,14 @@ def ordered_prefix(
     return out.drop("_bkt", "_ob", "_off_n", "_lead", "_edge", *[f"_o_{p}" for p in partition], *[f"_off_{s}" for s in sums])
 
 
-def _bucketed(src: DataFrame, keys: list[tuple[str, bool]], n_buckets: int | None, n: int | None, seed: int) -> DataFrame:
-    """``src`` with the number of its bucket, by binary search over sampled boundaries."""
+def _bucketed(src: DataFrame, keys: list[tuple[str, bool]], n_buckets: int | None, n: int | None, seed: int, apart: bool = False) -> DataFrame:
+    """``src`` with the number of its bucket, by binary search over sampled boundaries. ``apart``: the keys are
+    one column of doubles."""
     buckets = n_buckets or int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _boundaries(src, keys, src.count() if n is None else n, buckets, seed)
+    if apart:
+        inner = {float(b) + 0.0 for b, in bounds if b is not None and b == b}
+        return binned(src, keys[0][0], sorted({-math.inf, 0.0, math.inf} | inner), keys[0][1], "_bkt")
 
     fields = [StructField("i", IntegerType())] + [StructField(f"f{i}", src.schema[c].dataType) for i, (c, _) in enumerate(keys)]
     table = src.sparkSession.createDataFrame([(i, *b) for i, b in enumerate(bounds)], StructType(fields))
