@@ -50,7 +50,10 @@ class ChurnModel:
         if not self.prepared:
             return FittedModel(self.name, None, self.learner.fit(train, label))
         prep = Pipeline(stages=preprocessing_stages(self.use_total_charges)).fit(train)
-        feats = prep.transform(train).persist()
+        feats = prep.transform(train)
+        if isinstance(self.learner, Logistic):  # reads them once, to write what its passes read
+            return FittedModel(self.name, prep, self.learner.fit(feats, label))
+        feats = feats.persist()
         try:
             fitted = self.learner.fit(feats, label)
         finally:

@@ -37,7 +37,7 @@ def cumulative_scores(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[st
     """(by, p, pos, neg, rn, tps, fps): cumulative counts at each distinct score, descending.
     ``counted=True`` when ``df`` already is a stored (by, p, pos, neg) table."""
     sc = df if counted else stored(score_counts(df, y, p, by), "scores")
-    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False)
+    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False, apart=True)
     return cum.withColumnRenamed("cum_pos", "tps").withColumnRenamed("cum_neg", "fps")
 
 
@@ -99,7 +99,7 @@ def roc_points(df: DataFrame, y: str = "y", p: str = "p", by: Sequence[str] = ()
     the same counts, so one order gives all that is needed."""
     by = list(by)
     sc = stored(score_counts(df, y, p, by), "scores")
-    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False, nexts=["pos", "neg"])
+    cum = ordered_prefix(sc, [("p", True)], sums=["pos", "neg"], partition=by, rn="rn", write=False, nexts=["pos", "neg"], apart=True)
     j = _totals(cum, sc, by, {"n_pos": F.sum("pos"), "n_neg": F.sum("neg")})
     keep = (F.col("rn") == 1) | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
     pts = j.filter(keep).select(*by, F.try_divide(F.col("cum_neg"), F.col("n_neg")).alias("fpr"),
