@@ -79,9 +79,18 @@ def _bucket(keys: list[tuple[str, bool]], bounds: str, n: int) -> Column:
 def binned(df: DataFrame, column: str, splits: Sequence[float], desc: bool, out: str) -> DataFrame:
     """Add the place of a number among ``splits`` (-inf to inf, rising), negative if descending, so that it doesn't
     fall as the order goes on: ``Bucketizer`` finds it in compiled code. Null is at -1, NaN after the last split."""
-    bins = Bucketizer(splits=list(splits), inputCol="_x", outputCol="_bin", handleInvalid="keep").transform(
-        df.withColumn("_x", F.col(column).cast("double") + F.lit(0.0)))  # -0.0 is 0.0
-    return bins.withColumn(out, F.coalesce(F.col("_bin").cast("int"), F.lit(-1)) * (-1 if desc else 1)).drop("_x", "_bin")
+    x, at = _unused(df, "_x"), _unused(df, "_bin")
+    bins = Bucketizer(splits=list(splits), inputCol=x, outputCol=at, handleInvalid="keep").transform(
+        df.withColumn(x, F.col(column).cast("double") + F.lit(0.0)))  # -0.0 is 0.0
+    return bins.withColumn(out, F.coalesce(F.col(at).cast("int"), F.lit(-1)) * (-1 if desc else 1)).drop(x, at)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, buckets: int, seed: int) -> list[tuple]:
